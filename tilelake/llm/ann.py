@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 from .common import cut
 from .ngram_join import _groups
 
-SAMPLE, PROBES, COLUMNS, EPSILON = 20_000, 0.35, 16, 2.1
+SAMPLE, PROBES, COLUMNS, EPSILON = 20_000, 0.6, 16, 2.1
 CANDIDATES, QUERIES = 4096, 512
 
 

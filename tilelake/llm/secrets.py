@@ -20,7 +20,7 @@ from .common import settled
 
 TREES, DEPTH, LEAF = 24, 7, 3
 # a run of eight or more value characters with a digit among them, or a key with a value
-CANDIDATE = r"(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{8,}|[A-Za-z_]{3,}[=:][\"']?\S{5,}"
+CANDIDATE = r"(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{8,}|A[KS]IA[A-Z0-9]{12,}|[A-Za-z_]{3,}[=:][\"']?\S{5,}"
 KEYS = "pass|pwd|secret|token|api.?key|access.?key|auth|credential|private"
 PLAIN = "commit|sha|hash|uuid|version|build|order|phone|tel|call|card|isbn|id|ref|checksum|example|sample|dummy|placeholder"
 # A fixed list of common words for dictionary coverage.
@@ -107,7 +107,7 @@ def labelled_findings(n: int = 3000, seed: int = 5) -> list[tuple[str, str, str,
             elif shape == 10:
                 w = f"{one('title', 'name', 'note', 'see', 'class', 'id', 'page')}{one('=', ':')}{word()}{word()}{one('', pick(digits, 3))}"
             else:
-                w = f"v{pick(digits, 1)}.{pick(digits, 2)}.{pick(digits, 2)}-{word()}{pick(digits, 2)}"
+                w = one(f"v{pick(digits, 1)}.{pick(digits, 2)}.{pick(digits, 2)}-{word()}{pick(digits, 2)}", f"{word()}{word()}{word()}".upper())
             rows.append((" ".join(before), w + junk(), after, 0))
     return rows
 
