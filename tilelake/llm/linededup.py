@@ -64,14 +64,15 @@ def removals(docs: DataFrame, long_words: int = LONG) -> DataFrame:
 def dedup(docs: DataFrame, long_words: int = LONG) -> DataFrame:
     """docs with the repeated chunks cut out of text, and columns _n_lines, _n_removed (lines)."""
     cols = docs.columns
-    src = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(-2**63))).withColumn("_t", F.xxhash64("text"))
-    joined = src.join(removals(docs, long_words), ["_d", "_t"], "left").withColumn("_text", F.col("text").cast("string"))
+    src = docs.select(*(F.col(f"`{c}`").alias(f"in_{k}") for k, c in enumerate(cols)), F.coalesce(F.col("doc_id").cast("long"), F.lit(-2**63)).alias("_d"), F.xxhash64("text").alias("_t"))
+    joined = src.join(removals(docs, long_words), ["_d", "_t"], "left").withColumn("_text", F.col(f"in_{cols.index('text')}").cast("string"))
     # only texts that lose something are taken apart again
     df = _split(joined.withColumn("_text", F.when(F.col("ks").isNotNull(), F.col("_text"))), long_words)
     df = df.withColumn("_left", F.expr("""
         flatten(transform(array_except(sequence(0, size(_ends) - 1), ks), k -> slice(_lines,
             if(k = 0, 1, get(_ends, k - 1) + 2), get(_ends, k) - if(k = 0, -1, get(_ends, k - 1)))))"""))
-    total = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
+    text = F.col(f"in_{cols.index('text')}")
+    total = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
     return df.select(
-        *(F.when(F.col("ks").isNotNull(), F.array_join("_left", "\n")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in cols),
+        *(F.when(F.col("ks").isNotNull(), F.array_join("_left", "\n")).otherwise(text).alias(c) if c == "text" else F.col(f"in_{k}").alias(c) for k, c in enumerate(cols)),
         total.alias("_n_lines"), F.when(F.col("ks").isNotNull(), F.col("_n") - F.size("_left")).otherwise(0).alias("_n_removed"))

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 POSITIVES, UNLABELLED, NEGATIVES, DEFAULT_PRIOR = 3000, 6000, 1500, 0.5
 HIDDEN, STEPS, BATCH, RATE = 16, 1500, 512, 0.01
@@ -164,8 +165,7 @@ def _scored(docs: DataFrame, net: Net | None, column: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns[:at], *part.columns[at + 1:], pa.array(s)],
                                                  [*part.schema.names[:at], *part.schema.names[at + 1:], "_score"])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != column]
-    return docs.mapInArrow(run, ", ".join([*fields, "_score double"]))
+    return docs.mapInArrow(run, StructType([*(f for f in docs.schema if f.name != column), StructField("_score", DoubleType())]))
 
 
 def score(docs: DataFrame, labels: DataFrame, held: F.Column) -> DataFrame:
@@ -179,5 +179,5 @@ def score(docs: DataFrame, labels: DataFrame, held: F.Column) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, held: F.Column, threshold: float = 0.5) -> DataFrame:
     """The rows of docs, unchanged, that score at least threshold."""
     net = learn(docs, labels, ~held)
-    with_text = docs.withColumn("_text", F.col("text").cast("string"))
-    return _scored(with_text, net, "_text").where(F.col("_score") >= threshold).drop("_score")
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"in_{k}") for k, c in enumerate(docs.columns)), F.col("text").cast("string").alias("_text"))
+    return _scored(rows, net, "_text").where(F.col("_score") >= threshold).select(*(F.col(f"in_{k}").alias(c) for k, c in enumerate(docs.columns)))

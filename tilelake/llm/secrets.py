@@ -226,6 +226,7 @@ def scan(docs: DataFrame, findings: list[tuple] | None = None, threshold: float
 def redact(docs: DataFrame, mark: str = "<secret>", findings: list[tuple] | None = None, threshold: float = 0.5) -> DataFrame:
     """docs, every row and column kept, with each secret value in text replaced by mark."""
     cols = docs.columns
-    found = _found(docs, train(docs.sparkSession, findings), threshold)
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"in_{k}") for k, c in enumerate(cols)), F.col("text").cast("string").alias("text"))
+    found = _found(rows, train(docs.sparkSession, findings), threshold)
     clean = F.expr(f"aggregate(_found, cast(text as string), (t, s) -> replace(t, s.value, {_sql(mark)}))")
-    return found.select(*(F.when(F.size("_found") > 0, clean).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in cols))
+    return found.select(*(F.when(F.size("_found") > 0, clean).otherwise(F.col("text")).alias(c) if c == "text" else F.col(f"in_{k}").alias(c) for k, c in enumerate(cols)))
