@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tilelake.catalog import ORACLE_SQL, QUERIES
+from tilelake.registered import ORACLE_SQL, QUERIES
 from tilelake.operators import suppress
 
 DIR = "/root/testdata/sf0.001"
