@@ -8,16 +8,17 @@ from pyspark.sql.window import Window
 
 from tilelake.operators.suppress import _cut
 
-ASPECTS = (1.0, 1.25, 1.5, 2.0, 0.8, 2 / 3, 0.5, 3.0)
+# Width and height shares of the candidate rectangles (fixed values).
+ASPECTS = ((1.25, 1.0), (2.0, 1.0), (3.5, 1.0), (5.0, 1.0), (1.0, 1.25), (1.0, 2.0), (1.0, 3.5), (1.0, 5.0))
 
 
 def rect_sizes(magnitudes, aspects=ASPECTS) -> list[tuple[int, int]]:
     """Odd rectangle sizes for each magnitude and aspect, distinct and sorted; a small table on the driver."""
     out = set()
     for m in magnitudes:
-        for a in aspects:
-            h = math.sqrt(m / a)
-            w, h = round(a * h), round(h)
+        for rw, rh in aspects:
+            step = math.sqrt(8 * m / (rw * rh))
+            w, h = round(step * rw), round(step * rh)
             out.add((w + 1 - w % 2, h + 1 - h % 2))
     return sorted(out)
 
@@ -64,3 +65,12 @@ def order_from_first(rects: DataFrame, keys: list[str], rect_id: str) -> DataFra
 def number_tasks(tasks: DataFrame, keys: list[str]) -> DataFrame:
     """sort_id from 1 within each region, by x then y."""
     return tasks.withColumn("sort_id", F.row_number().over(Window.partitionBy(*keys).orderBy("x", "y")))
+
+
+def sizes_of(magnitudes: DataFrame) -> DataFrame:
+    """rect_sizes() of a table of magnitudes m."""
+    a = F.explode(F.array(*(F.struct(F.lit(w).alias("rw"), F.lit(h).alias("rh")) for w, h in ASPECTS)))
+    step = F.sqrt(F.col("m") * 8 / (F.col("a.rw") * F.col("a.rh")))
+    odd = lambda c: (c + 1 - c % 2)
+    t = magnitudes.select("m", a.alias("a")).select(F.bround(step * F.col("a.rw")).cast("int").alias("w"), F.bround(step * F.col("a.rh")).cast("int").alias("h"))
+    return t.select(odd(F.col("w")).alias("w"), odd(F.col("h")).alias("h")).distinct()

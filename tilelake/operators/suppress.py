@@ -9,6 +9,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tilelake.functions.geometry import area, iou, over_smaller
 from tilelake.operators.spatial import adjacent_tiles, box_pairs
@@ -80,3 +81,20 @@ def cross_tile_dedup(detections: DataFrame, tiles: DataFrame, threshold: float =
     band = both.join(boxes, ["slide_id", "tile_idx"]).where(touch & (F.col("_l") < F.col("_r")) & (F.col("_t") < F.col("_b")))
     gone = suppressed(conflicts(band, ["slide_id", "ti", "tj"], threshold, 64), ["slide_id", "ti", "tj"])
     return boxes.join(gone.select("slide_id", F.col("v").alias("id")).distinct(), ["slide_id", "id"], "left_anti").drop("id")
+
+
+# Least score and threshold of each preset (fixed values).
+PRESETS = {"meg_40x": (0.45, 0.7), "meg_100x": (0.6, 0.3), "wbc_100x": (0.3, 0.2), "sub_tile": (0.5, 0.45)}
+
+
+def preset(boxes: DataFrame, keys: list[str], name: str, size: int = 512) -> DataFrame:
+    """Boxes above a preset's score, suppressed at its threshold."""
+    least, threshold = PRESETS[name]
+    return nms(boxes.where(F.col("score") > least), keys, threshold, size)
+
+
+def post_process(boxes: DataFrame, keys: list[str], least: float = 0.4, threshold: float = 0.6, most: int = 30000, size: int = 64) -> DataFrame:
+    """The best-scoring boxes of each image, suppressed regardless of class."""
+    best = Window.partitionBy(*keys).orderBy(F.desc("score"), "id")
+    top = boxes.where(F.col("score") >= least).withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= most).drop("_n")
+    return nms(top, keys, threshold, size)

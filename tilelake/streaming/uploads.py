@@ -1,5 +1,6 @@
 """Tile uploads as streams: duplicates, completion, idle time-out, and joining asynchronous results."""
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,3 +32,22 @@ def with_results(uploads: DataFrame, results: DataFrame, bound: str = "1 hour")
     on = (F.col("u.task_id") == F.col("r.task_id")) & (F.col("u.row_index") == F.col("r.row_index")) & (F.col("u.col_index") == F.col("r.col_index"))
     return u.join(r, on & F.expr(f"r.result_ts >= u.ts and r.result_ts <= u.ts + interval {bound}")).select(
         "u.task_id", "u.row_index", "u.col_index", "u.ts", "r.result_ts", "r.n_cells")
+
+
+def completions(uploads: DataFrame, rows: int, cols: int) -> DataFrame:
+    """(task_id, status 100) once, when every place of a task's grid has come; the state is one bit a place."""
+
+    def step(key, frames, state):
+        seen, told = state.get if state.exists else (b"\0" * (-(-rows * cols // 8)), False)
+        bits = bytearray(seen)
+        for f in frames:
+            for p in (f["row_index"] * cols + f["col_index"]).unique():
+                bits[int(p) // 8] |= 1 << int(p) % 8
+        full = sum(b.bit_count() for b in bits) == rows * cols
+        state.update((bytes(bits), bool(told or full)))
+        if full and not told:
+            yield pd.DataFrame({"task_id": [key[0]], "status": [100]})
+
+    inside = (F.col("row_index").between(0, rows - 1)) & F.col("col_index").between(0, cols - 1)
+    rows_in = uploads.where((F.col("n_bytes") > 0) & inside).select("task_id", "row_index", "col_index")
+    return rows_in.groupBy("task_id").applyInPandasWithState(step, "task_id long, status int", "seen binary, told boolean", "append", "NoTimeout")
