@@ -5,9 +5,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _timed(df: DataFrame, column: str, delay: str) -> DataFrame:
+    """df with a watermark; event times must be timestamps with a time zone, which the session's zone gives to others."""
+    return df.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, delay)
+
+
 def accepted(uploads: DataFrame, delay: str = "300 seconds") -> DataFrame:
     """First upload with payload of each (task, row, column) within the watermark."""
-    return uploads.where("n_bytes > 0").withWatermark("ts", delay).dropDuplicatesWithinWatermark(["task_id", "row_index", "col_index"])
+    return _timed(uploads.where("n_bytes > 0"), "ts", delay).dropDuplicatesWithinWatermark(["task_id", "row_index", "col_index"])
 
 
 def running_progress(uploads: DataFrame, rows: int, cols: int) -> DataFrame:
@@ -20,15 +25,15 @@ def running_progress(uploads: DataFrame, rows: int, cols: int) -> DataFrame:
 def idle_sessions(uploads: DataFrame, gap: str = "300 seconds", watermark: str = "300 seconds") -> DataFrame:
     """Sessions of uploads of each task that end after `gap` without an upload."""
     if uploads.isStreaming:
-        uploads = uploads.withWatermark("ts", watermark)
+        uploads = _timed(uploads, "ts", watermark)
     return uploads.groupBy("task_id", F.session_window("ts", gap).alias("s")).agg(F.count("*").alias("n")).select(
         "task_id", F.col("s.start").alias("start_ts"), F.col("s.end").alias("end_ts"), "n")
 
 
 def with_results(uploads: DataFrame, results: DataFrame, bound: str = "1 hour") -> DataFrame:
     """Uploads joined with results that come within a bound; results without upload are dropped."""
-    u = uploads.withWatermark("ts", bound).alias("u")
-    r = results.withColumnRenamed("ts", "result_ts").withWatermark("result_ts", bound).alias("r")
+    u = _timed(uploads, "ts", bound).alias("u")
+    r = _timed(results.withColumnRenamed("ts", "result_ts"), "result_ts", bound).alias("r")
     on = (F.col("u.task_id") == F.col("r.task_id")) & (F.col("u.row_index") == F.col("r.row_index")) & (F.col("u.col_index") == F.col("r.col_index"))
     return u.join(r, on & F.expr(f"r.result_ts >= u.ts and r.result_ts <= u.ts + interval {bound}")).select(
         "u.task_id", "u.row_index", "u.col_index", "u.ts", "r.result_ts", "r.n_cells")
