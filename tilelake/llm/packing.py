@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, slices, text_buffer
 
 CAPACITY = 2048
 SALTS = 64
@@ -103,8 +103,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     def run(batches):
         for batch in batches:
             ids_col, texts = batch.column(0), batch.column(1)
-            for lo in range(0, batch.num_rows, 4000):
-                part = [t or "" for t in texts[lo:lo + 4000].to_pylist()]
+            for lo, hi in slices(text_buffer(texts)[1]):  # by bytes, as 4000 long texts would fill a worker's memory
+                part = [t or "" for t in texts[lo:hi].to_pylist()]
                 rows, piece, start, length, crc = [], [], [], [], []
                 ids, off = encoder(tokenizer)(part, end_id)
                 for i, (a, z) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
@@ -119,7 +119,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                         crc.append(zlib.crc32(raw[4 * at:4 * (at + size)]))
                         at, k, size = at + size, k + 1, capacity
                 yield pa.RecordBatch.from_arrays(
-                    [ids_col[lo:lo + 4000].take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()),
+                    [ids_col[lo:hi].take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()),
                      pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                     ["doc_id", "piece", "start", "length", "ids_crc32"])
 
