@@ -27,10 +27,9 @@ def line_dedup(spark, docs, sf_dir):
 
 
 def ngram_jaccard_join(spark, docs, sf_dir):
-    """One document of each class stays: the one with the least id."""
+    """One row of each class of texts stays: the one with the least id, null ids last."""
     ship(spark)
-    kept = ngram_join.join(docs).where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    return ngram_join.representatives(docs)
 
 
 def secret_scan(spark, docs, sf_dir):

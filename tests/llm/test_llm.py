@@ -210,6 +210,57 @@ def test_ngram_join(spark, docs):
     assert ngram_join.join(empty(spark)).count() == 0
 
 
+def test_ngram_join_of_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    ship(spark)
+    rng = np.random.default_rng(12)
+    word = lambda i, k: f"t{i}w{k}"
+    base = [[word(i, k) for k in range(60)] for i in range(6)]
+    near = lambda i, k: " ".join(base[i][:k] + [f"new{k}"] + base[i][k + 1:])
+    texts = [" ".join(b) for b in base]
+    rows = [(None, texts[0]), (7, texts[0]), (8, near(0, 59)), (None, texts[1]), (None, near(1, 59)), (None, texts[2]), (None, texts[2]), (None, None), (9, ""),
+            (20, texts[3]), (20, texts[4]), (20, texts[4]), (21, near(3, 59)), (22, near(4, 59)), (22, near(3, 0)), (23, texts[5]), (24, sentence(rng, 30))]
+    rows = [(i, t, k) for k, (i, t) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, mark int").repartition(3)
+
+    def alike(s, t):
+        s, t = (s or "").split(), (t or "").split()
+        a, b = ({tuple(x[k:k + 5]) for k in range(max(1, len(x) - 4))} if x else set() for x in (s, t))
+        return s == t or bool(a) and len(a & b) >= 0.8 * len(a | b)
+
+    of: dict = {}
+    for i, t, k in rows:
+        of.setdefault(("id", i) if i is not None else ("row", k), []).append(t)
+    link = {a: {b for b in of if b != a and any(alike(s, t) for s in of[a] for t in of[b])} for a in of}
+
+    def reached(starts, step):
+        seen, todo = set(), list(starts)
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += step(x)
+        return seen
+
+    want = []
+    for i, _, k in rows:
+        me = ("id", i) if i is not None else ("row", k)
+        ids = [v for kind, v in reached([me], lambda x: link[x]) if kind == "id"]
+        want.append((i, min(ids, default=None), len(link[me])))
+    order = lambda x: sorted(x, key=str)
+    assert order((r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_join.join(df).collect()) == order(want)
+    kept = corpus_pipeline.ngram_jaccard_join(spark, df, None)
+    assert kept.columns == df.columns
+    marks = [r["mark"] for r in kept.collect()]
+    classes = {frozenset(reached([k], lambda x: [c for _, t, c in rows if alike(rows[x][1], t)])) for k in range(len(rows))}
+    assert len(marks) == len(classes)
+    for c in classes:
+        here = [k for k in marks if k in c]
+        ids = [rows[k][0] for k in c if rows[k][0] is not None]
+        assert len(here) == 1 and rows[here[0]][0] == min(ids, default=None)
+
+
 def test_large_near_groups_are_dealt_in_blocks(spark):
     ship(spark)
     rng = np.random.default_rng(4)

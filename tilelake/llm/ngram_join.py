@@ -11,8 +11,9 @@
 4. Classes are the components of the verified links.
 
 Words are split at white space and lower-cased (A-Z).  A text of one to four words has one shingle, all its words.
-Null text is empty; empty texts are equal texts.  A null id is replaced by the least long for sorting.  Rows sharing a
-doc_id count as one document, linked where any of its texts is.
+Null text is empty; empty texts are equal texts.  A text is named by a 64-bit hash of its MD5; ids are attributes of
+texts only.  Rows sharing a doc_id count as one document, linked where any of its texts is; every row with a null id is
+a document of its own.  class_id is the least id of the class that is not null; it is null where a class has no other.
 """
 
 import numpy as np
@@ -55,7 +56,7 @@ def _shingles(raw, off, words):
 
 
 def sketches(docs: DataFrame, bands: int, rows: int, words: int = WORDS) -> DataFrame:
-    """(_d, _t, bands, sketch): _t names the text (MD5); bands and sketch are null for texts without words."""
+    """(_d, rep, bands, sketch): rep names the text; bands and sketch are null for texts without words."""
 
     def run(batches):
         for batch in batches:
@@ -81,14 +82,18 @@ def sketches(docs: DataFrame, bands: int, rows: int, words: int = WORDS) -> Data
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * bands, pa.int32()), pa.array(b.reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[lo:hi], batch.column(1)[lo:hi], lists.take(pick), pa.array([r.tobytes() for r in byte], pa.binary()).take(pick)],
-                    ["_d", "_t", "bands", "sketch"])
+                    ["_d", "rep", "bands", "sketch"])
 
-    return _source(docs).mapInArrow(run, "_d long, _t binary, bands array<long>, sketch binary")
+    return _source(docs).mapInArrow(run, "_d long, rep long, bands array<long>, sketch binary")
 
 
 def _source(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-2**63)).alias("_d"), F.unhex(F.md5(text.cast("binary"))).alias("_t"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("_d"), text_name("text").alias("rep"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def text_name(text: str) -> F.Column:
+    """64 bits that stand for a text: with 10 million distinct texts two coincide with probability 3e-6."""
+    return F.xxhash64(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))
 
 
 def _blocks(members: DataFrame, key: str, n: str, by: str, size: int) -> DataFrame:
@@ -169,18 +174,16 @@ def _similar(threshold: float):
 
 
 def _verify(threshold: float):
-    """Within pairs of blocks of a component: links of each text over the pairs that the task owns."""
+    """Within pairs of blocks of a component: links of each text over the pairs that the task owns.
+
+    Rows with `other` are single links, given only where one of the texts has a document of several texts.
+    """
 
     def run(batches):
         out: list = []
         for t in _groups(batches, ["comp", "i", "j"]):
             ids, mine, weight = (np.asarray(t.column(c)) for c in ("rep", "mine", "n"))
-            raw = t.column("shingles").to_pylist()
-            if (ids[1:] == ids[:-1]).any():  # rows that share an id: the greatest of their sets stands for it
-                own = np.array([k for k in {int(i): k for k, i in sorted(enumerate(ids), key=lambda x: raw[x[0]])}.values()])
-                own.sort()
-                ids, mine, weight, raw = ids[own], mine[own], weight[own], [raw[k] for k in own]
-            sets = [np.frombuffer(b, np.uint64) for b in raw]
+            sets = [np.frombuffer(b, np.uint64) for b in t.column("shingles").to_pylist()]
             size = np.array([len(s) for s in sets])
             u, inv, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
             row = np.repeat(np.arange(len(ids)), size)
@@ -201,7 +204,11 @@ def _verify(threshold: float):
             if i != j:
                 link &= mine[:, None] != mine[None]  # pairs inside one block belong to that block's own task
             label = _trees(len(ids), *np.nonzero(np.triu(link)))
-            out.append((ids, link @ weight, ids[label]))
+            out.append((ids, link @ weight, ids[label], None))
+            several = np.asarray(t.column("several").to_numpy(), bool)
+            if several.any():
+                x, y = np.nonzero(link & (several[:, None] | several[None]))
+                out.append((ids[x], np.zeros(len(x)), ids[x], ids[y]))
             if len(out) >= 500:
                 yield _rows(out)
                 out = []
@@ -212,17 +219,38 @@ def _verify(threshold: float):
 
 
 def _rows(out):
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out]).astype(np.int64)) for k in range(3)], ["rep", "links", "label"])
+    other = pa.chunked_array([pa.nulls(len(o[0]), pa.int64()) if o[3] is None else pa.array(o[3], pa.int64()) for o in out]).combine_chunks()
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out]).astype(np.int64)) for k in range(3)] + [other], ["rep", "links", "label", "other"])
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, words: int = WORDS) -> DataFrame:
-    """One row per document: doc_id, class_id (the least doc_id of its class), n_links (other documents linked to it)."""
+def once(df: DataFrame, repeated: bool) -> DataFrame:
+    """df with one of the f.m rows that repeat both id and text; repeated: whether there are any."""
+    one = df.where("f.m = 1")
+    return one.unionByName(df.where("f.m > 1").dropDuplicates(["rep"])) if repeated else one
+
+
+def _verified(docs: DataFrame, threshold: float, recall: float, words: int):
+    """(_d, rep) of every row; carried (rep, _d) of documents of several texts, None if there are none; texts (rep, n, several):
+    the number of documents with that text alone, and whether there are others; and the output of _verify."""
     bands, rows = bands_for(threshold, recall)
     every = cut(sketches(docs, bands, rows, words))
-    text = every.groupBy("_t").agg(F.min("_d").alias("rep"), F.countDistinct("_d").alias("n"))
-    # a text without repeats represents itself, and needs no sketch of another row
-    reps = every.join(text, "_t").where("_d = rep and bands is not null").dropDuplicates(["rep", "_t"]).select("rep", "n", "bands", "sketch")
-    reps = cut(reps)
+    held = cut(every.groupBy("rep", "_d").agg(F.count("*").alias("m"), F.first(F.col("bands").isNotNull()).alias("words")))
+    lone = held.where("_d is not null").groupBy("_d").agg(F.count("*").alias("texts")).where("texts > 1")
+    carried = cut(held.join(lone, "_d").select("rep", "_d"))
+    carried = None if carried.isEmpty() else carried
+    text = held.groupBy("rep").agg(F.sum(F.when(F.col("_d").isNull(), F.col("m")).otherwise(1)).alias("n"))
+    if carried is None:
+        text = text.withColumn("several", F.lit(False))
+    else:
+        text = text.join(carried.groupBy("rep").agg(F.count("*").alias("m")), "rep", "left").select(
+            "rep", (F.col("n") - F.coalesce("m", F.lit(0))).alias("n"), F.col("m").isNotNull().alias("several"))
+    text = cut(text)
+    # one row stands for the rows with its text
+    first = held.where("words").groupBy("rep").agg(F.min(F.struct(F.col("_d").isNull().alias("z"), "_d", "m")).alias("f"))
+    first = cut(first)
+    repeated = not first.where("f.m > 1").isEmpty()
+    own = every.where("bands is not null").join(first, "rep").where("_d <=> f._d").select("rep", "bands", "sketch", "f")
+    reps = cut(once(own, repeated).drop("f"))
     band = reps.select("rep", F.explode("bands").alias("bucket"))
     full = band.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     dealt = _blocks(band.join(full, "bucket").join(reps.select("rep", "sketch"), "rep"), "bucket", "size", "rep", 2 * BLOCK)
@@ -230,24 +258,62 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     comp = components(near.mapInArrow(_similar(threshold), "a long, b long"))
     sizes = comp.groupBy("label").agg(F.count("*").alias("size"))
     cand = comp.join(sizes, "label").select(F.col("v").alias("rep"), F.col("label").alias("comp"), "size")
-    cand = cand.join(reps.select("rep", "n"), "rep")
+    cand = cand.join(text, "rep").join(first, "rep")
 
     def sets(batches):
         for batch in batches:
-            raw, off = text_buffer(batch.column(4))
+            raw, off = text_buffer(batch.column(5))
             for lo, hi in slices(off):
                 s, n = _shingles(raw[off[lo]:off[hi]], off[lo:hi + 1] - off[lo], words)
-                yield pa.RecordBatch.from_arrays([batch.column(k)[lo:hi] for k in range(4)] + [
-                    pa.array([np.unique(x).tobytes() for x in np.split(s, np.cumsum(n)[:-1])], pa.binary())], ["rep", "comp", "size", "n", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(k)[lo:hi] for k in range(5)] + [
+                    pa.array([np.unique(x).tobytes() for x in np.split(s, np.cumsum(n)[:-1])], pa.binary())], ["rep", "comp", "size", "n", "several", "shingles"])
 
-    texts = _source(docs).select(F.col("_d").alias("rep"), "text").join(cand, "rep").select("rep", "comp", "size", "n", "text")
-    shingled = texts.mapInArrow(sets, "rep long, comp long, size long, n long, shingles binary")
+    texts = once(_source(docs).join(cand, "rep").where("_d <=> f._d"), repeated).select("rep", "comp", "size", "n", "several", "text")
+    shingled = texts.mapInArrow(sets, "rep long, comp long, size long, n long, several boolean, shingles binary")
     pairs = _blocks(shingled, "comp", "size", "rep", BLOCK)
-    pairs = pairs.select("comp", "i", "j", "mine", "rep", "n", "shingles").repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "rep")
-    verified = cut(pairs.mapInArrow(_verify(threshold), "rep long, links long, label long"))
+    pairs = pairs.select("comp", "i", "j", "mine", "rep", "n", "several", "shingles").repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "rep")
+    return every.select("_d", "rep"), carried, text, cut(pairs.mapInArrow(_verify(threshold), "rep long, links long, label long, other long"))
+
+
+def _labels(every: DataFrame, edges: DataFrame) -> DataFrame:
+    """(_d, rep, label) of every row: label names the class of its text."""
+    return every.join(components(edges).withColumnRenamed("v", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+
+
+def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, words: int = WORDS) -> DataFrame:
+    """One row per row: doc_id, class_id (the least doc_id of its class), n_links (other documents linked to it)."""
+    every, carried, text, verified = _verified(docs, threshold, recall, words)
     links = verified.groupBy("rep").agg(F.sum("links").alias("links"))
-    classes = components(verified.select(F.col("rep").alias("a"), F.col("label").alias("b")))
-    member = text.join(links, "rep", "left").join(classes.withColumnRenamed("v", "rep"), "rep", "left").select(
-        "_t", F.coalesce("label", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
-    return every.select("_d", "_t").join(member, "_t").select(
-        F.when(F.col("_d") != -2**63, F.col("_d")).alias("doc_id"), F.when(F.col("class_id") != -2**63, F.col("class_id")).alias("class_id"), "n_links")
+    count = text.join(links, "rep", "left").select("rep", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+    edges = verified.select(F.col("rep").alias("a"), F.col("label").alias("b"))
+    if carried is not None:
+        edges = edges.unionByName(carried.join(carried.groupBy("_d").agg(F.min("rep").alias("b")), "_d").select(F.col("rep").alias("a"), "b"))
+        # pairs of linked or equal texts of which one has a document of several texts
+        pair = cut(verified.where("other is not null").select("rep", "other").unionByName(carried.select("rep", F.col("rep").alias("other"))).distinct())
+        of_other = carried.withColumnRenamed("rep", "other").withColumnRenamed("_d", "e")
+        extra = pair.join(of_other, "other").select("rep", "e").distinct().groupBy("rep").agg(F.count("*").alias("extra"))
+        count = count.join(extra, "rep", "left").select("rep", (F.col("n_links") + F.coalesce("extra", F.lit(0))).alias("n_links"))
+        reach = cut(carried.join(pair, "rep").select("_d", "other").distinct())
+        alone = reach.join(text.select(F.col("rep").alias("other"), "n"), "other").groupBy("_d").agg(F.sum("n").alias("alone"))
+        mixed = reach.join(of_other, "other").select("_d", "e").distinct().groupBy("_d").agg(F.count("*").alias("mixed"))
+        whole = alone.join(mixed, "_d").select("_d", (F.col("alone") + F.col("mixed") - 1).alias("whole"))
+    member = cut(_labels(every, edges))
+    label = member.groupBy("label").agg(F.min("_d").alias("class_id"))
+    out = member.join(label, "label").join(count, "rep")
+    if carried is not None:
+        out = out.join(whole, "_d", "left").withColumn("n_links", F.coalesce("whole", "n_links"))
+    return out.select(F.col("_d").alias("doc_id"), "class_id", "n_links")
+
+
+def representatives(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, words: int = WORDS) -> DataFrame:
+    """One row of docs, with all columns, for each class of texts: that of the least id, null ids last.
+
+    Texts are not joined by sharing an id here: a text goes only where a text of its class stays.
+    """
+    every, _, _, verified = _verified(docs, threshold, recall, words)
+    member = _labels(every, verified.select(F.col("rep").alias("a"), F.col("label").alias("b")))
+    rows = member.groupBy("label", "_d", "rep").agg(F.count("*").alias("m"))
+    kept = cut(rows.groupBy("label").agg(F.min(F.struct(F.col("_d").isNull().alias("z"), "_d", "rep", "m")).alias("f")))
+    src = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("_d"), text_name("text").alias("rep"))
+    found = src.join(kept, F.col("_d").eqNullSafe(F.col("f._d")) & (F.col("rep") == F.col("f.rep")))
+    return once(found, not kept.where("f.m > 1").isEmpty()).select("row.*")
