@@ -1,7 +1,8 @@
 """Secrets in texts: candidates by pattern, false positives removed by a random forest; DataFrame functions only.
 
-A text is split at white space.  A word is a candidate if it holds a run of eight or more characters of keys, with a digit, or follows
-a key such as `password=`.  Its features are native expressions over the value and its neighbours: length, shares of
+Candidates are all values of a text that follow a key (`password=`, `"token": "`, `pwd = `), all keys of known form (AKIA, web
+tokens), all values of other assignments, and all other runs of eight or more characters of keys with a digit; a word may hold
+many.  Their features are native expressions over the value and its neighbours: length, shares of
 character classes, character transitions, dictionary coverage, path-like shape and neighbouring words.  The forest is
 grown in numpy on a bounded table of labelled findings (before, word, after, secret) and flattened to arrays of
 nodes, along which an expression walks inside the projection that reads the text: no shuffle and no Python on the executors.
@@ -19,17 +20,26 @@ from pyspark.sql import functions as F
 from .common import settled
 
 TREES, DEPTH, LEAF = 24, 7, 3
-# a run of eight or more value characters with a digit among them, or a key with a value
-CANDIDATE = r"(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{8,}|A[KS]IA[A-Z0-9]{12,}|[A-Za-z_]{3,}[=:][\"']?\S{5,}"
 KEYS = "pass|pwd|secret|token|api.?key|access.?key|auth|credential|private"
 PLAIN = "commit|sha|hash|uuid|version|build|order|phone|tel|call|card|isbn|id|ref|checksum|example|sample|dummy|placeholder"
+KEY = rf"(?i:{KEYS})[A-Za-z0-9_.\-]{{0,40}}+(?:\\?[\"'])?[ \t]{{0,8}}+(?:=>|:=|[=:]{{1,2}}|>)[ \t]{{0,8}}+(?:(?i:bearer|basic)[ ]{{1,4}})?+"
+# named groups k.: what stands before a value; v.: the value
+CANDIDATE = "|".join((
+    rf'(?=[AaCcPpSsTt])(?=(?i:{KEYS}))(?:(?<ka>{KEY}\\")(?<va>[^"\\\r\n]{{3,400}})(?=\\")', rf'(?<kb>{KEY}")(?<vb>(?:[^"\\\r\n]|\\[^\r\n]){{3,400}})(?=")',
+    rf"(?<kc>{KEY}')(?<vc>[^'\r\n]{{3,400}})(?=')", rf"(?<kd>{KEY}[\"'(]?)(?<vd>[^\s\"'<>{{}}(),;&]{{2,}}[A-Za-z0-9+/_=\-]))",
+    r"(?<ve>(?=[Ae])(?<![A-Za-z0-9])(?:A[KS]IA[A-Z0-9]{12,}|eyJ[A-Za-z0-9_\-]{5,}(?:\.[A-Za-z0-9_\-]+){1,4}))",
+    rf"(?<kf>(?<![A-Za-z_])(?=[A-Za-z_]{{3,}}+[\"']?[=:])(?![A-Za-z_]*(?i:{KEYS}))[A-Za-z_]{{3,}}+[\"']?[=:][\"']?)(?<vf>(?:(?!(?i:{KEYS}))[^\s\"'?&=,;{{}}<>]){{4,400}}[A-Za-z0-9+/_\-])",
+    rf"(?<vg>(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])(?=[A-Za-z0-9+/_\-]{{8}})(?![A-Za-z0-9+/_\-]{{0,80}}{KEY})[A-Za-z0-9+/_\-]{{8,}})"))
+# noncharacters that part the pieces of a text; in a text itself MARK is written ESCAPE 0 and ESCAPE is written ESCAPE 1
+MARK, ESCAPE = "\ufdd0", "\ufdd1"
+BEFORE_VALUE = rf"{KEY}[\\\"'(]*$"
 # A fixed list of common words for dictionary coverage.
 DICTIONARY = ("the and for that with this from have you not are was but they his her she will one all would there their what "
               "out about who get which when make can like time just him know take people into year your good some could them see "
               "other than then now look only come its over think also back after use two how our work first well way even new "
               "want because any these give day most pass word change user test name admin value data file example sample mail "
               "com net org http www login server host local page index image version number order phone street").split()
-# over a finding x: the value v in the word w, after the words b and before the words a
+# over a finding x: the value v in the word w, after the text p (b without the start of w) and before the words a
 FEATURES = {
     "n": "length(x.v)",
     "digits": "regexp_count(x.v, '[0-9]') / length(x.v)",
@@ -42,13 +52,13 @@ FEATURES = {
     "hex": "if(x.v rlike '^[0-9a-f]+$', 1, 0)",
     "number": "if(x.v rlike '^[0-9+/_-]+$', 1, 0)",
     "prefix": "if(x.v rlike '^(AKIA|ASIA|gh[pousr]_|xox[baprs]-|sk_|pk_|glpat-|AIza|eyJ)', 1, 0)",
-    "key": f"if(x.w rlike '(?i)(?:{KEYS})[A-Za-z_]*[=:]', 1, 0)",
+    "key": "if(x.p rlike {before_value}, 1, 0)",
     "near": f"if(x.b rlike '(?i)(?:{KEYS})', 1, 0)",
-    "assigned": "if(x.b rlike '[=:]$' or x.w rlike '[=:]', 1, 0)",
+    "assigned": "if(x.b rlike '[=:][ ]*$' or x.w rlike '[=:]', 1, 0)",
     "plain": f"if(concat(x.b, ' ', x.a) rlike '(?i)(?:^|[^a-z])(?:{PLAIN})(?:[^a-z]|$)', 1, 0)",
     "path": "if(x.w rlike '/[^/]+/' or x.w rlike '://' or x.w rlike '[.][a-z]{2,4}$', 1, 0)",
     "mail": "if(x.w rlike '@|[.].*[.]', 1, 0)",
-    "quoted": "if(x.w rlike '[\"]', 1, 0)",
+    "quoted": "if(x.w rlike '[\"]' or x.p rlike '[\"\\']$', 1, 0)",
 }
 
 
@@ -61,12 +71,13 @@ def labelled_findings(n: int = 3000, seed: int = 5) -> list[tuple[str, str, str,
     word = lambda: "".join(one("th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it",
                                "st", "io", "le", "is", "ou", "ar", "as", "de", "rt", "ve", "ch", "ung", "eau", "que") for _ in range(rng.integers(1, 5)))
     key = lambda: one("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key", "auth_token", "client_secret")
+    phrase = lambda: one("", "", "-", "_").join(word() for _ in range(rng.integers(3, 5)))
     junk = lambda: one("", "", "", "", ",", ".", "***", "%%%", "&&&", "###", "$$$")
     rows = []
     for k in range(n):
         before, after = [word(), word(), word()], f"{word()} {word()}"
         if k % 2:
-            shape = rng.integers(7)
+            shape = rng.integers(12)
             if shape == 0:
                 before, w = [word(), key(), one("=", ":")], one('"%s"', "'%s'", "%s") % pick(hexes, one(32, 40, 64))
             elif shape == 1:
@@ -77,14 +88,30 @@ def labelled_findings(n: int = 3000, seed: int = 5) -> list[tuple[str, str, str,
                 w = one("ghp_", "gho_", "glpat-", "sk_live_") + pick(alnum, one(20, 24, 36))
             elif shape == 4:
                 before, w = [word(), key(), one("=", ":", "is")], one('"%s"', "%s") % pick(alnum, rng.integers(16, 44))
+            elif shape == 7:
+                w = '"%s":"%s","%s":"%s"}' % (key(), pick(alnum, rng.integers(6, 20)), key(), phrase())
+            elif shape == 8:
+                before, w = [word(), key(), one("=", ":", "=>")], one('"%s"', "'%s'") % phrase()
+            elif shape == 9:
+                before, w = [word(), key(), one("=", ":")], pick(alnum, rng.integers(4, 9)) + pick(digits, 2)
+            elif shape == 10:
+                w = one("%s,%s", "%s;%s") % tuple(one("AKIA", "ASIA") + pick(upper, 16) for _ in "ab")
+            elif shape == 11:
+                w = one("eyJ%s.eyJ%s.%s" % tuple(pick(alnum + "_-", rng.integers(12, 44)) for _ in "abc"), f"/{word()}?{key()}={pick(alnum, 16)}&page=2", f"{key().upper()}={phrase()}")
             elif shape == 5:
                 w = "xoxb-" + pick(digits, 11) + "-" + pick(alnum, 24)
             else:
                 w = f"{key()}={pick(digits + string.ascii_lowercase, rng.integers(6, 16))}"
             rows.append((" ".join(before), w + junk(), after, 1))
         else:
-            shape = rng.integers(12)
-            if shape == 0:
+            shape = rng.integers(15)
+            if shape == 12:
+                before, w = [word(), key(), one("=", ":")], one("null", "None", "true", "false", "str", "string", "os.environ", "required", "optional")
+            elif shape == 13:
+                before, w = [word(), one("the", "a", "his", "our"), one("secret:", "pass:", "token:", "private:", "password:")], word()
+            elif shape == 14:
+                w = '"%s":"%s%s","%s":"%s"}' % (one("title", "name", "user", "page"), word(), word(), one("note", "city", "lang"), one(word() + word(), pick(digits, 5)))
+            elif shape == 0:
                 before, w = [word(), word(), one("commit", "sha", "hash", "checksum")], pick(hexes, one(7, 12, 40, 64))
             elif shape == 1:
                 w = f"/{word()}/{pick(hexes, one(8, 32))}/{word()}.{one('html', 'png', 'js')}"
@@ -180,53 +207,70 @@ def _sql(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-RUN = r"([A-Za-z0-9+/_-]{4,})[^A-Za-z0-9+/_-]*$"
-AFTER_KEY = r'^[^=:]*[A-Za-z_][=:]+"?([^"]{5,}?)[^A-Za-z0-9+/_-]*$'
+def parted(text: F.Column) -> F.Column:
+    """The pieces of text: every second one, from the second on, is a candidate.  MARK and ESCAPE are written as above."""
+    safe = F.replace(F.replace(text, F.lit(ESCAPE), F.lit(ESCAPE + "1")), F.lit(MARK), F.lit(ESCAPE + "0"))
+    keys, values = ("".join(f"${{{c}{k}}}" for k in names) for c, names in (("k", "abcdf"), ("v", "abcdefg")))
+    return F.split(F.regexp_replace(safe, CANDIDATE, f"{keys}{MARK}{values}{MARK}"), MARK, -1)
+
+
+def plain(text: F.Column) -> F.Column:
+    return F.replace(F.replace(text, F.lit(ESCAPE + "0"), F.lit(MARK)), F.lit(ESCAPE + "1"), F.lit(ESCAPE))
 
 
-def value_sql(w: str) -> str:
-    """What follows a key in the word w, else the word's last run of value characters, else the empty string."""
-    return f"coalesce(nullif(regexp_extract({w}, {_sql(AFTER_KEY)}, 1), ''), regexp_extract({w}, {_sql(RUN)}, 1))"
+def _candidates(df: DataFrame, text: F.Column) -> DataFrame:
+    """df with _parts, and _x: the candidates, in order, as FEATURES want them."""
+    df = settled(df, _parts=parted(F.coalesce(text, F.lit(""))))
+    part = lambda k: f"coalesce(get(_parts, 2 * i + {k}), '')"
+    before = f"right(concat(right({part(-2)}, 120), right({part(-1)}, 120), right({part(0)}, 120)), 120)"
+    df = settled(df, _y=F.expr(f"""
+        transform(filter(sequence(0, size(_parts) div 2), i -> 2 * i + 1 < size(_parts)), i -> named_struct('v', get(_parts, 2 * i + 1), 'p', {before},
+            'after', left({part(2)}, 120)))"""))
+    return df.withColumn("_x", F.expr(rf"""
+        transform(_y, y -> named_struct('v', y.v, 'p', y.p, 'w', concat(regexp_extract(y.p, {_sql(r"(\S*)$")}, 1), y.v, regexp_extract(y.after, {_sql(r"^(\S*)")}, 1)),
+            'b', regexp_extract(y.p, {_sql(r"((?:\S+\s+){0,3})\S*$")}, 1),
+            'a', regexp_extract(y.after, {_sql(r"^\S*\s+(\S+(?:\s+\S+)?)")}, 1)))""")).drop("_y")
 
 
 def features_sql() -> str:
     """The features of a finding x as an array."""
-    return "array(" + ", ".join(f"cast({e} as double)" for e in FEATURES.values()) + ")"
+    return "array(" + ", ".join(f"cast({e.replace('{before_value}', _sql(BEFORE_VALUE))} as double)" for e in FEATURES.values()) + ")"
 
 
 def train(spark: SparkSession, findings: list[tuple] | None = None) -> dict[str, list]:
     """The forest for labelled findings (a bounded list)."""
     rows = findings or labelled_findings()
     df = spark.createDataFrame(rows, "b string, w string, a string, y int")
-    df = df.withColumn("v", F.expr(value_sql("w"))).where("length(v) > 0")
-    got = df.select(F.struct("w", "b", "a", "v").alias("x"), "y").select(F.expr(features_sql()).alias("f"), "y").collect()
+    df = _candidates(df, F.concat_ws(" ", "b", "w", "a")).select("w", "y", F.explode("_x").alias("x")).where("instr(w, x.v) > 0")
+    got = df.select(F.expr(features_sql()).alias("f"), "y").collect()
     data = np.array(sorted((*r["f"], r["y"]) for r in got), float)
     return flat_forest(grow_forest(data[:, :-1], data[:, -1]))
 
 
 def _found(docs: DataFrame, model: dict[str, list], threshold: float) -> DataFrame:
-    """docs with _found: an array of (at, value, score) of the accepted findings, in order."""
-    df = settled(docs, _words=F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), r"\s+"))
-    df = df.withColumn("_at", F.expr(f"filter(sequence(0, size(_words) - 1), i -> get(_words, i) rlike {_sql(CANDIDATE)})"))
-    df = df.withColumn("_x", F.expr(f"""
-        filter(transform(transform(_at, i -> named_struct('at', i, 'w', get(_words, i),
-            'b', concat_ws(' ', get(_words, i - 3), get(_words, i - 2), get(_words, i - 1)), 'a', concat_ws(' ', get(_words, i + 1), get(_words, i + 2)))),
-            y -> named_struct('at', y.at, 'w', y.w, 'b', y.b, 'a', y.a, 'v', {value_sql('y.w')})), z -> length(z.v) > 0)"""))
-    df = df.withColumn("_f", F.expr(f"transform(_x, x -> named_struct('at', x.at, 'value', x.v, 'f', {features_sql()}))"))
-    df = df.withColumn("_s", F.transform("_f", lambda g: F.struct(g["at"].alias("at"), g["value"].alias("value"), forest_score(model, g["f"]).alias("score"))))
-    return df.withColumn("_found", F.filter("_s", lambda s: s["score"] >= threshold)).drop("_words", "_at", "_x", "_f", "_s")
+    """docs with _parts, _x and _score: the score of each candidate."""
+    df = _candidates(docs, F.col("text").cast("string"))
+    df = df.withColumn("_f", F.expr(f"transform(_x, x -> {features_sql()})"))
+    return settled(df, _score=F.transform("_f", lambda f: forest_score(model, f))).withColumn("_any", F.exists("_score", lambda s: s >= threshold))
 
 
 def scan(docs: DataFrame, findings: list[tuple] | None = None, threshold: float = 0.5) -> DataFrame:
-    """One row a finding: doc_id, word (number of the word in the text), value, score."""
-    found = _found(docs.select("doc_id", "text"), train(docs.sparkSession, findings), threshold)
-    return found.select("doc_id", F.explode("_found").alias("s")).select("doc_id", F.col("s.at").alias("word"), F.col("s.value").alias("value"), F.col("s.score").alias("score"))
+    """One row a finding: doc_id, word (number of the word in the text in which it starts), value, score."""
+    found = _found(docs.select("doc_id", "text"), train(docs.sparkSession, findings), threshold).where("_any")
+    found = settled(found.select("doc_id", "_parts", "_score"), _on=F.expr(f"filter(sequence(0, size(_score) - 1), i -> get(_score, i) >= {threshold})"),
+                    _spaces=F.expr("transform(_parts, p -> regexp_count(p, " + _sql(r"\s+") + "))"))
+    step = "s.n + aggregate(slice(_spaces, s.at + 1, 2 * i + 1 - s.at), 0, (n, k) -> n + k)"
+    found = settled(found, _words=F.expr(f"""aggregate(_on, named_struct('n', 0, 'at', 0, 'words', cast(array() as array<int>)),
+        (s, i) -> named_struct('n', {step}, 'at', 2 * i + 1, 'words', concat(s.words, array({step}))), s -> s.words)"""))
+    found = found.select("doc_id", F.explode(F.expr("transform(_on, (i, k) -> named_struct('word', get(_words, k), 'value', get(_parts, 2 * i + 1), 'score', get(_score, i)))")).alias("s"))
+    return found.select("doc_id", F.col("s.word").alias("word"), plain(F.col("s.value")).alias("value"), F.col("s.score").alias("score"))
 
 
 def redact(docs: DataFrame, mark: str = "<secret>", findings: list[tuple] | None = None, threshold: float = 0.5) -> DataFrame:
-    """docs, every row and column kept, with each secret value in text replaced by mark."""
+    """docs, every row and column kept, with each secret value in text replaced, where it stands, by mark."""
     cols = docs.columns
     rows = docs.select(*(F.col(f"`{c}`").alias(f"in_{k}") for k, c in enumerate(cols)), F.col("text").cast("string").alias("text"))
     found = _found(rows, train(docs.sparkSession, findings), threshold)
-    clean = F.expr(f"aggregate(_found, cast(text as string), (t, s) -> replace(t, s.value, {_sql(mark)}))")
-    return found.select(*(F.when(F.size("_found") > 0, clean).otherwise(F.col("text")).alias(c) if c == "text" else F.col(f"in_{k}").alias(c) for k, c in enumerate(cols)))
+    safe_mark = mark.replace(ESCAPE, ESCAPE + "1").replace(MARK, ESCAPE + "0")
+    clean = plain(F.array_join(F.expr(f"transform(_parts, (p, i) -> if(i % 2 = 1 and get(_score, i div 2) >= {threshold}, {_sql(safe_mark)}, p))"), ""))
+    return found.select(*(F.when(F.col("_any"), clean).otherwise(F.col("text")).alias(c) if c == "text" else F.col(f"in_{k}").alias(c) for k, c in enumerate(cols)))
