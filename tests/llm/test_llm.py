@@ -101,6 +101,20 @@ def test_neighbours(spark):
     assert ann.search(df.where("vec_id > 5000"), "vec_id", "embedding", F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("n", [2, 3, 4, 6, 7, 20])
+def test_neighbours_of_small_tables(spark, n):
+    ship(spark)
+    x = np.random.default_rng(n).normal(size=(n, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in ann.search(df, "vec_id", "embedding", F.lit(True)).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    s = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = s @ s.T
+    np.fill_diagonal(s, -9)
+    assert got == {q: np.argsort(-s[q])[:min(5, n - 1)].tolist() for q in range(n)}
+
+
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 2900, 2921, 2922, 2923, 3106, 50_000])
 def test_transport_stream_round_trip(n):
     data = mpegts.padded(np.random.default_rng(n).integers(0, 256, n, dtype=np.uint8).tobytes())

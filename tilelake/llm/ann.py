@@ -2,7 +2,8 @@
 
 Vectors are scaled to length one and turned by a random rotation, so that any leading block of columns estimates a
 squared distance without bias.  Lists belong to centroids fitted on a bounded sample (SAMPLE rows); every row is put in
-its nearest list.  A query probes its PROBES share of the lists, nearest first.  In a list, candidates are scanned in
+its nearest list.  A query probes its PROBES share of the lists, nearest first, and further ones
+until they hold 4 k rows besides those that may share its id.  In a list, candidates are scanned in
 blocks of columns: after each block a hypothesis test compares the scaled partial distance with the query's k-th best
 so far, and abandons the candidate if a smaller true distance is implausible.  Survivors are scored exactly, in double
 precision on the original vectors.
@@ -107,21 +108,35 @@ def search(df: DataFrame, id_col: str, vec_col: str, is_query: F.Column, k: int
     centres = spark.sparkContext.broadcast(_centroids(x, lists))
     probed = max(1, round(len(centres.value) * probes))
 
+    import pyarrow.compute  # noqa: F401
+
+    def nearest(batches):
+        for b in batches:
+            v = np.asarray(pa.compute.list_flatten(b.column(0)), float).reshape(-1, dims)
+            near = (v / np.linalg.norm(v, axis=1, keepdims=True)) @ centres.value.T
+            yield pa.RecordBatch.from_arrays([pa.array(near.argmax(1).astype(np.int64))], ["list"])
+
+    # one row for each list: at most 2048
+    sizes = np.zeros(len(centres.value), np.int64)
+    for r in rows.select("v").mapInArrow(nearest, "list long").groupBy("list").count().collect():
+        sizes[r["list"]] = r["count"]
+    need = 4 * k + rows.groupBy("id").count().agg(F.max("count")).first()[0]
+
     def assign(batches):
         for b in batches:
             v = np.asarray(pa.compute.list_flatten(b.column(1)), float).reshape(-1, dims)
             unit = v / np.linalg.norm(v, axis=1, keepdims=True)
             near = unit @ centres.value.T
             asks = np.asarray(b.column(2).fill_null(False).to_numpy(zero_copy_only=False), bool)
-            order = np.argpartition(-near[asks], probed - 1, 1)[:, :probed] if probed < near.shape[1] else np.tile(np.arange(near.shape[1]), (asks.sum(), 1))
+            order = np.argsort(-near[asks], 1, kind="stable")
+            held = sizes[order]
+            use = (np.arange(order.shape[1]) < probed) | (held.cumsum(1) - held < need)
             raw = pa.array([r.tobytes() for r in v], pa.binary())
             own = np.flatnonzero(asks)
-            at = np.r_[np.arange(len(v)), np.repeat(own, order.shape[1])]
+            at = np.r_[np.arange(len(v)), np.repeat(own, use.sum(1))]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(at)), raw.take(pa.array(at)), pa.array(np.r_[near.argmax(1), order.reshape(-1)].astype(np.int64)),
-                 pa.array(np.r_[np.zeros(len(v), bool), np.ones(order.size, bool)])], ["id", "v", "list", "q"])
-
-    import pyarrow.compute  # noqa: F401
+                [b.column(0).take(pa.array(at)), raw.take(pa.array(at)), pa.array(np.r_[near.argmax(1), order[use]].astype(np.int64)),
+                 pa.array(np.r_[np.zeros(len(v), bool), np.ones(use.sum(), bool)])], ["id", "v", "list", "q"])
 
     dealt = cut(rows.mapInArrow(assign, "id long, v binary, list long, q boolean"))
     # one row for each list: at most 2048
