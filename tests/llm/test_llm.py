@@ -157,18 +157,78 @@ def test_secrets_that_share_a_word_or_follow_a_key(spark):
     assert {r["word"] for r in found if r["doc_id"] == 99} == {500} and [r["value"] for r in found if r["doc_id"] == 7] == ["\ufdd0abc12345"]
 
 
+class Automaton:
+    """A backoff automaton of dictionaries, walked a token at a time."""
+
+    def __init__(self, texts, order, priors, discount):
+        self.order, self.priors = order, priors
+        self.count, self.follow, ends = Counter(), {}, Counter()
+        for t in texts:
+            padded = ["<s>"] * (order - 1) + t
+            for i in range(order - 1, len(padded)):
+                for n in range(order):
+                    h, w = tuple(padded[i - n:i]), padded[i]
+                    self.follow.setdefault(h, Counter())[w] += 1
+        root = self.follow.get((), Counter())
+        n, self.types = sum(root.values()), len(root)
+        self.root = {w: (c - discount) / n for w, c in root.items()}
+        self.unseen = discount * self.types / n
+        self.arcs, self.fail = {(): self.root}, {}
+        for h in sorted(self.follow, key=len):
+            if h:
+                m, c = priors[len(h) - 1], self.follow[h]
+                total = sum(c.values()) + m
+                self.fail[h] = m / total
+                self.arcs[h] = {w: (k + m * self.probability(h[1:], w)) / total for w, k in c.items()}
+
+    def probability(self, h, w):
+        if w in self.arcs[h]:
+            return self.arcs[h][w]
+        return self.fail[h] * self.probability(h[1:], w) if h else self.unseen
+
+    def walk(self, text):
+        state, gain = ("<s>",) * (self.order - 1), 0.0
+        for w in text:
+            while state and w not in self.arcs[state]:
+                gain += math.log10(self.fail[state])
+                state = state[1:]
+            gain += math.log10(self.arcs[state].get(w, self.unseen))
+            state = (state + (w,))[-(self.order - 1):] if w in self.root else ()
+            while state not in self.arcs:
+                state = state[1:]
+        return gain
+
+
 def test_lm(spark, docs):
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 1
     low = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
     words = lambda t: re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().translate(low)) + [b"\0end"]
     src = [(r["doc_id"], words(r["text"])) for r in docs.collect()]
-    c = Counter(w for i, ws in src if zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1 for w in ws)
+    known = [ws for i, ws in src if zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1]
+    c = Counter(w for ws in known for w in ws)
     n, v = sum(c.values()), len(c)
-    want = sorted((-1 if i is None else i, len(ws), sum(w in c for w in ws), round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), 6)) for i, ws in src)
+    model = Automaton(known, lm.ORDER, lm.PRIORS, lm.DISCOUNT)
+    for h in model.arcs:  # every state's weights sum to one
+        assert abs(sum(model.probability(h, w) for w in c) + model.probability(h, None) - 1) < 1e-9
+    want = sorted((-1 if i is None else i, len(ws), sum(w in c for w in ws), round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), 6), round(model.walk(ws), 6)) for i, ws in src)
     got = lm.score(docs, held).collect()
-    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in got) == want
-    assert all(r["train_tokens"] == n and r["score"] < 0 for r in got)
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in got) == want
+    assert all(r["train_tokens"] == n for r in got)
     assert lm.score(empty(spark), held).count() == 0
+    alone = lm.score(docs.where("doc_id = 3"), F.lit(True)).collect()
+    assert [(r["n_tokens"], r["train_tokens"], r["base_score"], r["score"]) for r in alone] == [(2, 0, 0.0, 0.0)]
+
+
+def test_lm_keeps_every_history(spark):
+    """Many small blocks and buckets give the same scores as one, and large counts survive the packing."""
+    ship(spark)
+    rng = np.random.default_rng(3)
+    rows = [(i, "a b " * 400 if i % 3 == 0 else sentence(rng, 50)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    texts = [t.split() + ["</s>"] for _, t in rows]
+    model = Automaton([t for i, t in enumerate(texts) if i % 5], 3, (2.0, 1.0), 0.5)
+    got = {r["doc_id"]: r["score"] for r in lm.score(df, F.col("doc_id") % 5 == 0, discount=0.5, priors=(2.0, 1.0)).collect()}
+    assert all(abs(got[i] - model.walk(t)) < 1e-6 for i, t in enumerate(texts))
 
 
 def test_line_dedup(spark, docs):

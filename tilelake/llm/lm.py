@@ -1,20 +1,30 @@
 """Language-model scores of documents by a weighted backoff automaton over words.
 
-The automaton.  State 0 is the root.  Every frequent history word (at least 1/STATES of all training tokens, so there
-are at most STATES of them) is a state; the end token is the history at a document's start.  State v has an arc for
-every word w that follows it in the training documents, with weight log10((c(vw) + m p(w)) / (c(v) + m)), and a
-failure arc to the root with weight log10(m / (c(v) + m)).  The root has an arc for every training word with weight
-log10((c(w) - d) / N) and one for all unseen words with log10(d V / N).  Each state's weights, followed through the
-failure arc, sum to one over the V + 1 types.
-
-The traversal.  Every document is read left to right once; the state that each token meets is the word before it, if
-it is a state.  The arcs grow with the corpus, so they are not sent to every task: the steps (state, word) of the
-traversal travel to the partition that owns the word's arcs, in columnar blocks, and each partition accumulates
-log-probabilities by document, which travel back to the documents' blocks.  Arcs of frequent words are dealt by word and state, those of other words by word.
+The automaton.  Its states are the histories of the training documents, of none (the root) up to ORDER - 1 words; a
+document starts in the history of ORDER - 1 start marks.  With p the probability at the next shorter history h':
+
+    an arc      from h by w:  log10((c(h w) + m p(w | h')) / (c(h) + m)), for every w that follows h in training
+    a failure arc from h:     log10(m / (c(h) + m)), to the state of h'
+    at the root               log10((c(w) - d) / N) for training words, log10(d V / N) for all others together
+
+m is the history's prior count (PRIORS).  The weights of a state, followed through its failure arcs, sum to one.  No
+history and no arc is left out: the automaton grows with the corpus, and so it is never in one place.
+
+The traversal.  Tasks cut the documents into blocks.  A block's distinct n-grams (of each order, as 40-bit fingerprints
+within a bucket, with their counts in the block) go to the partitions that own them; those return the counts over all
+training documents.  These make the part of the automaton that the block can reach, and the block's documents are read
+from left to right: the state in which a token finds the automaton is the one that the token before left behind, an arc
+is taken if there is one and failure arcs until there is.  Since a state is named by its last words, this is done for
+all documents of a block at once, in arrays.  However common an n-gram is, a block sends it once.
+
+Fingerprints.  A bucket holds about STEPS n-grams, so two n-grams of one bucket share a fingerprint with a probability of
+2e-6 at any size of the corpus; the counts of such a pair would be added.
 
 Tokens are words of A-Z lower-cased text between white space, and one end token a document.  Null text is empty: its
-only token is the end.  Repeated rows are scored each.  Without training documents, base and score follow the same
-formulas with N = V = 0: base log10(0.5/0.5) = 0 a token, and score 0.
+only token is the end.  Repeated rows, also with equal ids, are scored each; equal texts get equal scores.  A null id
+stays null.  Columns other than doc_id and text are not read, so their names do not matter.  A text is read whole;
+a task holds one block, of BLOCK_BYTES or of one longer text.  An empty table gives no rows.  Without training documents,
+base and score follow the same formulas with N = V = 0: base log10(0.5/0.5) = 0 a token, and score 0.
 """
 
 import numpy as np
@@ -22,19 +32,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, slices, text_buffer, word_hashes
+from .common import mix, shuffle_width, slices, text_buffer, word_hashes
 
-STATES = 60_000
+ORDER = 3
 DISCOUNT = 0.75
-PRIOR = 5_000.0
-END = np.uint64(0x5EED0000000000E1)
-#: Steps of the traversal that one reducing task holds at a time.
-STEPS = 2_000_000
-BLOCK_BYTES = 8_000_000
+#: Prior counts m of histories of one word, two words, and so on.
+PRIORS = (1000.0, 3.0)
+END, START = np.uint64(0x5EED0000000000E1), np.uint64(0x5EED0000000000A5)
+#: Training tokens whose n-grams one bucket holds.
+STEPS = 500_000
+BLOCK_BYTES = 4_000_000
 
 
-def _with_ends(raw, off):
-    """Word hashes, rows, and the hash before each, with an end token after each row's words."""
+def _tokens(raw, off):
+    """Word hashes with an end token after each row's words, which of them are the first of a row, and their numbers."""
     h, row = word_hashes(raw, off)
     n = len(off) - 1
     counts = np.bincount(row, minlength=n) + 1
@@ -43,172 +54,207 @@ def _with_ends(raw, off):
     is_end = np.zeros(len(out), bool)
     is_end[stop] = True
     out[~is_end], out[is_end] = h, END
-    before = np.empty_like(out)
-    before[1:] = out[:-1]
-    if len(out):
-        before[0] = END
-    return out, np.repeat(np.arange(n), counts), before, counts
+    first = np.zeros(len(out), bool)
+    first[stop - counts + 1] = True
+    return out, first, counts
+
+
+def _ngrams(h, first, order):
+    """Keys of the n-grams that end at each token, for n = 1 to order."""
+    keys, before = [mix(h)], h
+    for _ in range(order - 1):
+        shifted = np.empty_like(before)
+        shifted[1:] = before[:-1]
+        shifted[first] = START
+        before = shifted
+        keys.append(mix(keys[-1] * np.uint64(3) + before))
+    return keys
+
+
+def _bucket(keys, buckets):
+    """Buckets are ranges of keys, so sorted keys are sorted by bucket."""
+    return ((keys >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
 
 
-def _source(docs: DataFrame, held: F.Column) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held"))
+def _prints(keys) -> np.ndarray:
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(h, c): words of all documents, the end token included, summed in each task before the shuffle."""
+def _unprints(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view("<u8").reshape(-1)
+
+
+def _small(a) -> bytes:
+    """Counts, mostly small: a byte each, and those from 255 on once more at the end."""
+    return np.minimum(a, 255).astype(np.uint8).tobytes() + a[a >= 255].astype("<i8").tobytes()
+
+
+def _unsmall(data: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(data, "<i8", offset=n)
+    return out
+
+
+def vocabulary(docs: DataFrame) -> tuple[int, int]:
+    """Number of tokens, and of distinct ones, of all documents; summed in each task before the shuffle."""
 
     def run(batches):
         held: list = []
         size = 0
 
         def flush():
-            h = np.concatenate([x[0] for x in held])
-            c = np.concatenate([x[1] for x in held])
-            u, inv = np.unique(h, return_inverse=True)
-            n = np.bincount(inv, weights=c).astype(np.int64)
+            u, inv = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+            n = np.bincount(inv, weights=np.concatenate([x[1] for x in held])).astype(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], ["h", "c"])
 
         for batch in batches:
             raw, off = text_buffer(batch.column(0))
             for lo, hi in slices(off):
-                h = _with_ends(raw[off[lo]:off[hi]], off[lo:hi + 1] - off[lo])[0]
-                u, c = np.unique(h, return_counts=True)
+                u, c = np.unique(_tokens(raw[off[lo]:off[hi]], off[lo:hi + 1] - off[lo])[0], return_counts=True)
                 held.append((u, c))
                 size += len(u)
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield flush()
                     held, size = [], 0
         if held:
             yield flush()
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    words = docs.select(F.col("text").cast("string")).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
 
 
-_BLOCK = "bucket long, block long, w binary, n binary, state binary, doc binary, train binary"
-_SUMS = "block long, docs boolean, a binary, b binary, c binary, d binary"
+_MESSAGE = "bucket long, block long, keys array<binary>, counts array<binary>, docs binary"
 
 
-def _pack(block, n_docs, buckets, bucket, w, state, doc, ids, held):
-    """One stretch of documents: a row for each bucket with its steps, and a row with the documents themselves."""
-    order = np.argsort(bucket, kind="stable")
-    edge = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0])
-    train = np.packbits(~held).tobytes()
+def _message(block: int, pending: list, order: int, buckets: int) -> pa.RecordBatch:
+    """A block: a row for each bucket with its n-grams, and a row with the documents."""
+    raw = np.concatenate([p[0] for p in pending])
+    sizes = np.concatenate([p[1] for p in pending])
+    ids, held = (np.concatenate([p[k] for p in pending]) for k in (2, 3))
+    off = np.r_[0, np.cumsum(sizes)]
+    h, first, counts = _tokens(raw, off)
+    train = np.repeat(~held, counts).astype(float)
+    borders = np.arange(buckets + 1)
+    parts = []
+    for keys in _ngrams(h, first, order):
+        u, inv = np.unique(keys, return_inverse=True)
+        parts.append((_prints(u), np.bincount(inv, weights=train).astype(np.int64), np.searchsorted(_bucket(u, buckets), borders)))
     rows = []
-    for part in np.split(order, edge[1:]):
-        part = part[np.argsort(w[part], kind="stable")]
-        x = w[part]
-        first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
-        rows.append((int(bucket[part[0]]), x[first].tobytes(), np.diff(np.r_[first, len(x)]).astype(np.uint32).tobytes(),
-                     state[part].astype(np.uint16).tobytes(), doc[part].astype(np.uint16).tobytes(), train))
-    tokens = np.bincount(doc, minlength=n_docs)
-    rows.append((buckets + block % buckets, ids.tobytes(), tokens.astype(np.int64).tobytes(), b"", b"", held.tobytes()))
+    for b in range(buckets):
+        cut = [slice(e[b], e[b + 1]) for _, _, e in parts]
+        if any(s.stop > s.start for s in cut):
+            rows.append((b, [p[s].tobytes() for (p, _, _), s in zip(parts, cut)], [_small(c[s]) for (_, c, _), s in zip(parts, cut)], None))
+    held_bits = np.packbits(held).tobytes()
+    head = np.array([len(sizes), len(raw)], "<i8").tobytes()
+    body = pa.compress(head + sizes.astype("<i8").tobytes() + ids.astype("<i8").tobytes() + held_bits + raw.tobytes(), codec="zstd", asbytes=True)
+    rows.append((buckets + block % (4 * buckets), [], [], np.array([len(head) + 8 * len(sizes) + 8 * ids.size + len(held_bits) + len(raw)], "<i8").tobytes() + body))
     return pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], pa.int64()), pa.array([block] * len(rows), pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 6))],
-        ["bucket", "block", "w", "n", "state", "doc", "train"])
+        [pa.array([r[0] for r in rows], pa.int64()), pa.array([block] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.binary())),
+         pa.array([r[2] for r in rows], pa.list_(pa.binary())), pa.array([r[3] for r in rows], pa.binary())], ["bucket", "block", "keys", "counts", "docs"])
+
 
+def _documents(data: bytes):
+    """raw, sizes, ids (value, is null), held of a row with documents."""
+    body = pa.decompress(data[8:], int(np.frombuffer(data, "<i8", 1)[0]), codec="zstd", asbytes=True)
+    n, size = np.frombuffer(body, "<i8", 2).tolist()
+    at = 16
+    sizes = np.frombuffer(body, "<i8", n, at)
+    ids = np.frombuffer(body, "<i8", 2 * n, at + 8 * n).reshape(-1, 2)
+    at += 24 * n
+    held = np.unpackbits(np.frombuffer(body, np.uint8, -(-n // 8), at), count=n).astype(bool)
+    return np.frombuffer(body, np.uint8, size, len(body) - size), sizes, ids, held
 
-def score(docs: DataFrame, held: F.Column, states: int = STATES, discount: float = DISCOUNT, prior: float = PRIOR) -> DataFrame:
+
+def traverse(counts: list, first, starts: int, total: int, distinct: int, discount: float, priors) -> np.ndarray:
+    """log10 probability of each token: counts[n - 1] is the count of the n-gram that ends at it.
+
+    `state` is the length of the history in which a token finds the automaton: that of the longest n-gram which the
+    token before completed, cut to the longest history; a document starts in the longest one.
+    """
+    longest = len(counts) - 1
+    matched = sum((c > 0).astype(np.int8) for c in counts)
+    state = np.empty(len(first), np.int64)
+    state[1:] = np.minimum(matched[:-1], longest)
+    state[first] = longest if starts else 0
+    root = np.where(counts[0] > 0, counts[0] - discount, discount * distinct)
+    gain = np.log10(root / total) if total else np.zeros(len(root))
+    for n in range(1, longest + 1):
+        m = priors[n - 1]
+        history = np.empty(len(first), float)
+        history[1:] = counts[n - 1][:-1]
+        history[first] = starts
+        here = state >= n
+        arc, fail = here & (counts[n] > 0), here & (counts[n] == 0)
+        gain[arc] = np.log10((counts[n][arc] + m * 10 ** gain[arc]) / (history[arc] + m))
+        gain[fail] += np.log10(m / (history[fail] + m))
+    return gain
+
+
+def score(docs: DataFrame, held: F.Column, order: int = ORDER, discount: float = DISCOUNT, priors=PRIORS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learns where held is false."""
-    if not 0 < states < 65_535:
-        raise ValueError("states are numbered in 16 bits")
     spark = docs.sparkSession
-    src = _source(docs, held)
-    vocabulary = cut(word_counts(src.where(~F.col("held"))))
-    n_all, v_all = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    # fewer than `states` words can reach this count, whatever the corpus
-    top = vocabulary.where(F.col("c") > n_all / states).collect() if n_all else []
-    top_h = np.array([r["h"] for r in top], np.int64).view(np.uint64)
-    order = np.argsort(top_h)
-    shared = spark.sparkContext.broadcast((top_h[order], np.array([r["c"] for r in top], np.int64)[order]))
-    buckets = max(12, -(-n_all // STEPS))
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held"))
+    n_all, v_all = vocabulary(src.where(~F.col("held")))
+    buckets = max(24, -(-n_all // STEPS))
+    tasks = max(shuffle_width(spark), buckets // 2)
 
     def walk(batches):
-        names, _ = shared.value
         pending: list = []
-        size = docs_in = 0
-
-        def index(x):
-            at = np.minimum(np.searchsorted(names, x), max(len(names) - 1, 0))
-            return np.where(names[at] == x, at + 1, 0) if len(names) else np.zeros(len(x), np.int64)
-
-        def flush():
-            shift, parts = 0, []
-            for w, row, s, hot, ids, _, _ in pending:
-                b = np.where(hot > 0, mix(w ^ (s.astype(np.uint64) << np.uint64(7)) + np.uint64(1)), mix(w)) % np.uint64(buckets)
-                parts.append((b.astype(np.int64), w, s, row + shift))
-                shift += len(ids)
-            steps = [np.concatenate([p[k] for p in parts]) for k in range(4)]
-            ids, held = (np.concatenate([p[k] for p in pending]) for k in (4, 5))
-            return _pack(pending[0][6], shift, buckets, *steps, ids, held)
-
+        size = 0
         for batch in batches:
             raw, off = text_buffer(batch.column(1))
             ids = np.stack([np.asarray(batch.column(0).fill_null(0)), np.asarray(batch.column(0).is_null().cast(pa.int64()))], 1)
-            keys = np.asarray(batch.column(3))
             held_rows = np.asarray(batch.column(2).to_numpy(zero_copy_only=False), bool)
-            for lo, hi in slices(off):
-                for a in range(lo, hi, 30_000):
-                    z = min(hi, a + 30_000)
-                    if docs_in + z - a > 60_000 or size > BLOCK_BYTES:
-                        yield flush()
-                        pending, size, docs_in = [], 0, 0
-                    w, row, before, _ = _with_ends(raw[off[a]:off[z]], off[a:z + 1] - off[a])
-                    pending.append((w, row, index(before), index(w), ids[a:z], held_rows[a:z], int(keys[a])))
-                    size += int(off[z] - off[a])
-                    docs_in += z - a
+            keys = np.asarray(batch.column(3))
+            for lo, hi in slices(off, BLOCK_BYTES // 4):
+                if pending and size + off[hi] - off[lo] > BLOCK_BYTES:
+                    yield _message(pending[0][4], pending, order, buckets)
+                    pending, size = [], 0
+                pending.append((raw[off[lo]:off[hi]].copy(), np.diff(off[lo:hi + 1]), ids[lo:hi], held_rows[lo:hi], int(keys[lo])))
+                size += int(off[hi] - off[lo]) + 64 * (hi - lo)
         if pending:
-            yield flush()
+            yield _message(pending[0][4], pending, order, buckets)
+
+    def totals(part):
+        if part.column("bucket")[0].as_py() >= buckets:  # documents go on as they are
+            return pa.table({"bucket": part.column("bucket"), "block": part.column("block"), "counts": part.column("counts"), "docs": part.column("docs")})
+        keys, counts = part.column("keys").to_pylist(), part.column("counts").to_pylist()
+        out: list = [[] for _ in keys]
+        for n in range(order):
+            found = [_unprints(k[n]) for k in keys]
+            _, inv = np.unique(np.concatenate(found), return_inverse=True)
+            sizes = np.array([len(f) for f in found])
+            own = np.concatenate([_unsmall(c[n], k) for c, k in zip(counts, sizes.tolist())])
+            every = np.bincount(inv, weights=own).astype(np.int64)[inv]
+            for row, x in zip(out, np.split(every, np.cumsum(sizes)[:-1])):
+                row.append(_small(x))
+        return pa.table({"bucket": part.column("bucket"), "block": part.column("block"), "counts": pa.array(out, pa.list_(pa.binary())),
+                         "docs": pa.nulls(part.num_rows, pa.binary())})
+
+    def read(part):
+        own = part.filter(part.column("docs").is_valid())
+        raw, sizes, ids, held_rows = _documents(own.column("docs")[0].as_py())
+        h, first, tokens = _tokens(raw, np.r_[0, np.cumsum(sizes)])
+        rest = part.filter(part.column("docs").is_null()).sort_by("bucket")
+        names, back = np.asarray(rest.column("bucket")), rest.column("counts").to_pylist()
+        counts = []
+        for n, keys in enumerate(_ngrams(h, first, order)):
+            u, inv = np.unique(keys, return_inverse=True)
+            many = np.bincount(_bucket(u, buckets), minlength=buckets)[names]
+            counts.append(np.concatenate([_unsmall(b[n], k) for b, k in zip(back, many.tolist())])[inv].astype(float))
+        starts = counts[0][tokens[0] - 1]  # the end token occurs once a document
+        gain = traverse(counts, first, starts, n_all, v_all, discount, priors)
+        at = np.flatnonzero(first)
+        add = lambda x: np.add.reduceat(x, at)
+        return pa.table({"doc_id": pa.array(ids[:, 0], pa.int64(), mask=ids[:, 1] > 0), "held_out": held_rows, "n_tokens": tokens.astype(np.int64),
+                         "n_known": add((counts[0] > 0).astype(np.int64)), "base": add(np.log10(counts[0] + 0.5)), "gain": add(gain)})
 
-    steps = src.withColumn("key", F.monotonically_increasing_id()).mapInArrow(walk, _BLOCK)
-
-    def arcs(part):
-        if part.column("bucket")[0].as_py() >= buckets:  # the documents of blocks go on as they are
-            return pa.table({"block": part.column("block"), "docs": pa.array([True] * part.num_rows), "a": part.column("w"), "b": part.column("n"),
-                             "c": part.column("train"), "d": part.column("doc")})
-        names, counts = shared.value
-        read = lambda c, t: [np.frombuffer(b, t) for b in part.column(c).to_pylist()]
-        w = np.concatenate([np.repeat(a, b) for a, b in zip(read("w", np.uint64), read("n", np.uint32))])
-        s = np.concatenate(read("state", np.uint16)).astype(np.int32)
-        docs_of = read("doc", np.uint16)
-        train = np.concatenate([np.unpackbits(t)[d] for t, d in zip(read("train", np.uint8), docs_of)]).astype(np.float64)
-        u, word = np.unique(w, return_inverse=True)
-        c = np.bincount(word, weights=train, minlength=len(u))
-        if len(names):
-            at = np.minimum(np.searchsorted(names, u), len(names) - 1)
-            c = np.where(names[at] == u, counts[at], c)
-        p = np.where(c > 0, c - discount, discount * v_all)[word] / max(n_all, 1)
-        _, pair = np.unique(word * (states + 1) + s, return_inverse=True)
-        both = np.bincount(pair, weights=train)[pair]
-        history = np.r_[0, counts][s]
-        p = np.where(s > 0, (both + prior * p) / (history + prior), p)
-        gain = np.log10(p) if n_all else np.zeros(len(p))
-        base, known = np.log10(c + 0.5)[word], (c > 0)[word].astype(float)
-        out, lo = [], 0
-        for d in docs_of:
-            z = slice(lo, lo + len(d))
-            seen, own = np.unique(d, return_inverse=True)
-            add = lambda x: np.bincount(own, weights=x[z])  # noqa: B023, E731
-            out.append((seen.tobytes(), add(known).astype(np.uint32).tobytes(), add(base).tobytes(), add(gain).tobytes()))
-            lo += len(d)
-        return pa.table({"block": part.column("block"), "docs": pa.array([False] * len(out)),
-                         **{k: pa.array([o[i] for o in out], pa.binary()) for i, k in enumerate("abcd")}})
-
-    def total(part):
-        own = part.filter(part.column("docs"))
-        ids = np.frombuffer(own.column("a")[0].as_py(), np.int64).reshape(-1, 2)
-        tokens = np.frombuffer(own.column("b")[0].as_py(), np.int64)
-        sums = np.zeros((3, len(ids)))
-        for r in part.filter(pa.compute.invert(part.column("docs"))).to_pylist():
-            d = np.frombuffer(r["a"], np.uint16)
-            for k, (c, t) in enumerate((("b", np.uint32), ("c", np.float64), ("d", np.float64))):
-                sums[k, d] += np.frombuffer(r[c], t)
-        return pa.table({"doc_id": pa.array(ids[:, 0], pa.int64(), mask=ids[:, 1] > 0), "held_out": np.frombuffer(own.column("c")[0].as_py(), bool),
-                         "n_tokens": tokens, "n_known": sums[0].astype(np.int64), "base": sums[1], "gain": sums[2]})
-
-    import pyarrow.compute  # noqa: F401
-
-    sums = steps.groupBy("bucket").applyInArrow(arcs, _SUMS)
-    total = sums.groupBy("block").applyInArrow(total, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, gain double")
-    return total.select(
+    # each document's block is named by the number of its first row
+    sent = src.withColumn("key", F.monotonically_increasing_id()).mapInArrow(walk, _MESSAGE).repartition(tasks, "bucket")
+    back = sent.groupBy("bucket").applyInArrow(totals, "bucket long, block long, counts array<binary>, docs binary").repartition(tasks, "block")
+    rows = back.groupBy("block").applyInArrow(read, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, gain double")
+    return rows.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"),
         (F.col("base") - F.col("n_tokens") * F.log10(F.lit(n_all + 0.5 * (v_all + 1)))).alias("base_score"), F.col("gain").alias("score"))
