@@ -12,7 +12,8 @@ history and no arc is left out: the automaton grows with the corpus, and so it i
 
 The traversal.  Tasks cut the documents into blocks.  A block's distinct n-grams (of each order, as 40-bit fingerprints
 within a bucket, with their counts in the block) go to the partitions that own them; those return the counts over all
-training documents.  These make the part of the automaton that the block can reach, and the block's documents are read
+training documents.  Documents are read a second time for it and meet the counts by block; where docs is more than a
+read of files, it is written first, so that both times give the same blocks (which a checksum makes sure of).  These make the part of the automaton that the block can reach, and the block's documents are read
 from left to right: the state in which a token finds the automaton is the one that the token before left behind, an arc
 is taken if there is one and failure arcs until there is.  Since a state is named by its last words, this is done for
 all documents of a block at once, in arrays.  However common an n-gram is, a block sends it once.
@@ -27,12 +28,14 @@ a task holds one block, of BLOCK_BYTES or of one longer text.  An empty table gi
 base and score follow the same formulas with N = V = 0: base log10(0.5/0.5) = 0 a token, and score 0.
 """
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, shuffle_width, slices, text_buffer, word_hashes
+from .common import cut, mix, shuffle_width, slices, text_buffer, word_hashes
 
 ORDER = 3
 DISCOUNT = 0.75
@@ -40,7 +43,7 @@ DISCOUNT = 0.75
 PRIORS = (1000.0, 3.0)
 END, START = np.uint64(0x5EED0000000000E1), np.uint64(0x5EED0000000000A5)
 #: Training tokens whose n-grams one bucket holds.
-STEPS = 500_000
+STEPS = 1_000_000
 BLOCK_BYTES = 4_000_000
 
 
@@ -73,17 +76,27 @@ def _ngrams(h, first, order):
 
 def _bucket(keys, buckets):
     """Buckets are ranges of keys, so sorted keys are sorted by bucket."""
-    return ((keys >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+    b, low = np.uint64(buckets), np.uint64(0xFFFFFFFF)
+    return (((keys >> np.uint64(32)) * b + ((keys & low) * b >> np.uint64(32))) >> np.uint64(32)).astype(np.int64)
+
+
+def _prints(keys, buckets):
+    """40 bits for each key, in the order of the keys within a bucket."""
+    return keys * np.uint64(buckets) >> np.uint64(24)
 
 
-def _prints(keys) -> np.ndarray:
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+def _steps(prints) -> bytes:
+    """Sorted fingerprints as differences, of four bytes where that is enough, the first bytes of all before the second ones."""
+    d = np.diff(prints, prepend=np.uint64(0)).astype("<u8")
+    width = 4 if d.max(initial=0) < 1 << 32 else 5
+    return bytes([width]) + d.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
-def _unprints(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return out.view("<u8").reshape(-1)
+def _unsteps(data: bytes) -> np.ndarray:
+    width = data[0]
+    out = np.zeros(((len(data) - 1) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1).T
+    return np.cumsum(out.view("<u8").reshape(-1), dtype=np.uint64)
 
 
 def _small(a) -> bytes:
@@ -97,6 +110,19 @@ def _unsmall(data: bytes, n: int) -> np.ndarray:
     return out
 
 
+def _blob(parts: list[bytes]) -> bytes:
+    """Byte strings, compressed together."""
+    sizes = np.array([len(parts), *map(len, parts)], "<i8").tobytes()
+    return sizes + pa.compress(b"".join(parts), codec="zstd", asbytes=True)
+
+
+def _unblob(data: bytes) -> list[bytes]:
+    n = int(np.frombuffer(data, "<i8", 1)[0])
+    ends = np.cumsum(np.frombuffer(data, "<i8", n, 8)).tolist()
+    body = pa.decompress(data[8 * n + 8:], ends[-1], codec="zstd", asbytes=True)
+    return [body[a:z] for a, z in zip([0, *ends], ends)]
+
+
 def vocabulary(docs: DataFrame) -> tuple[int, int]:
     """Number of tokens, and of distinct ones, of all documents; summed in each task before the shuffle."""
 
@@ -125,46 +151,43 @@ def vocabulary(docs: DataFrame) -> tuple[int, int]:
     return words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
 
 
-_MESSAGE = "bucket long, block long, keys array<binary>, counts array<binary>, docs binary"
-
-
-def _message(block: int, pending: list, order: int, buckets: int) -> pa.RecordBatch:
-    """A block: a row for each bucket with its n-grams, and a row with the documents."""
-    raw = np.concatenate([p[0] for p in pending])
-    sizes = np.concatenate([p[1] for p in pending])
-    ids, held = (np.concatenate([p[k] for p in pending]) for k in (2, 3))
-    off = np.r_[0, np.cumsum(sizes)]
-    h, first, counts = _tokens(raw, off)
-    train = np.repeat(~held, counts).astype(float)
-    borders = np.arange(buckets + 1)
-    parts = []
-    for keys in _ngrams(h, first, order):
-        u, inv = np.unique(keys, return_inverse=True)
-        parts.append((_prints(u), np.bincount(inv, weights=train).astype(np.int64), np.searchsorted(_bucket(u, buckets), borders)))
-    rows = []
-    for b in range(buckets):
-        cut = [slice(e[b], e[b + 1]) for _, _, e in parts]
-        if any(s.stop > s.start for s in cut):
-            rows.append((b, [p[s].tobytes() for (p, _, _), s in zip(parts, cut)], [_small(c[s]) for (_, c, _), s in zip(parts, cut)], None))
-    held_bits = np.packbits(held).tobytes()
-    head = np.array([len(sizes), len(raw)], "<i8").tobytes()
-    body = pa.compress(head + sizes.astype("<i8").tobytes() + ids.astype("<i8").tobytes() + held_bits + raw.tobytes(), codec="zstd", asbytes=True)
-    rows.append((buckets + block % (4 * buckets), [], [], np.array([len(head) + 8 * len(sizes) + 8 * ids.size + len(held_bits) + len(raw)], "<i8").tobytes() + body))
-    return pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], pa.int64()), pa.array([block] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.binary())),
-         pa.array([r[2] for r in rows], pa.list_(pa.binary())), pa.array([r[3] for r in rows], pa.binary())], ["bucket", "block", "keys", "counts", "docs"])
-
-
-def _documents(data: bytes):
-    """raw, sizes, ids (value, is null), held of a row with documents."""
-    body = pa.decompress(data[8:], int(np.frombuffer(data, "<i8", 1)[0]), codec="zstd", asbytes=True)
-    n, size = np.frombuffer(body, "<i8", 2).tolist()
-    at = 16
-    sizes = np.frombuffer(body, "<i8", n, at)
-    ids = np.frombuffer(body, "<i8", 2 * n, at + 8 * n).reshape(-1, 2)
-    at += 24 * n
-    held = np.unpackbits(np.frombuffer(body, np.uint8, -(-n // 8), at), count=n).astype(bool)
-    return np.frombuffer(body, np.uint8, size, len(body) - size), sizes, ids, held
+_MESSAGE = "bucket long, block long, data binary"
+
+
+def _blocks(batches):
+    """(number of the first row, text bytes, sizes of the texts, ids with a mark for null, held) of stretches of documents."""
+    pending: list = []
+    size = 0
+
+    def block():
+        return pending[0][4], *(np.concatenate([p[k] for p in pending]) for k in range(4))
+
+    for batch in batches:
+        raw, off = text_buffer(batch.column(1))
+        ids = np.stack([np.asarray(batch.column(0).fill_null(0)), np.asarray(batch.column(0).is_null().cast(pa.int64()))], 1)
+        held = np.asarray(batch.column(2).to_numpy(zero_copy_only=False), bool)
+        keys = np.asarray(batch.column(3))
+        for lo, hi in slices(off, BLOCK_BYTES // 4):
+            if pending and size + off[hi] - off[lo] > BLOCK_BYTES:
+                yield block()
+                pending, size = [], 0
+            pending.append((raw[off[lo]:off[hi]].copy(), np.diff(off[lo:hi + 1]), ids[lo:hi], held[lo:hi], int(keys[lo])))
+            size += int(off[hi] - off[lo]) + 64 * (hi - lo)
+    if pending:
+        yield block()
+
+
+def _rows(rows):
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["bucket", "block", "data"])
+
+
+def _same(raw) -> bytes:
+    return zlib.crc32(raw).to_bytes(4, "little")
+
+
+def _steady(docs: DataFrame) -> DataFrame:
+    """docs if it reads files and no more; else a written copy, as its rows might come in another order the next time."""
+    return cut(docs) if "Exchange" in docs._jdf.queryExecution().toString() else docs
 
 
 def traverse(counts: list, first, starts: int, total: int, distinct: int, discount: float, priors) -> np.ndarray:
@@ -195,55 +218,55 @@ def traverse(counts: list, first, starts: int, total: int, distinct: int, discou
 def score(docs: DataFrame, held: F.Column, order: int = ORDER, discount: float = DISCOUNT, priors=PRIORS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learns where held is false."""
     spark = docs.sparkSession
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held"))
+    src = _steady(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held")))
     n_all, v_all = vocabulary(src.where(~F.col("held")))
     buckets = max(24, -(-n_all // STEPS))
     tasks = max(shuffle_width(spark), buckets // 2)
 
-    def walk(batches):
-        pending: list = []
-        size = 0
-        for batch in batches:
-            raw, off = text_buffer(batch.column(1))
-            ids = np.stack([np.asarray(batch.column(0).fill_null(0)), np.asarray(batch.column(0).is_null().cast(pa.int64()))], 1)
-            held_rows = np.asarray(batch.column(2).to_numpy(zero_copy_only=False), bool)
-            keys = np.asarray(batch.column(3))
-            for lo, hi in slices(off, BLOCK_BYTES // 4):
-                if pending and size + off[hi] - off[lo] > BLOCK_BYTES:
-                    yield _message(pending[0][4], pending, order, buckets)
-                    pending, size = [], 0
-                pending.append((raw[off[lo]:off[hi]].copy(), np.diff(off[lo:hi + 1]), ids[lo:hi], held_rows[lo:hi], int(keys[lo])))
-                size += int(off[hi] - off[lo]) + 64 * (hi - lo)
-        if pending:
-            yield _message(pending[0][4], pending, order, buckets)
+    def ask(batches):
+        for key, raw, sizes, _, held in _blocks(batches):
+            h, first, counts = _tokens(raw, np.r_[0, np.cumsum(sizes)])
+            train = np.repeat(~held, counts).astype(float)
+            parts = []
+            for keys in _ngrams(h, first, order):
+                u, inv = np.unique(keys, return_inverse=True)
+                parts.append((_prints(u, buckets), np.bincount(inv, weights=train).astype(np.int64), np.searchsorted(_bucket(u, buckets), np.arange(buckets + 1))))
+            rows = []
+            for b in np.flatnonzero(sum(np.diff(e) for _, _, e in parts)).tolist():
+                own = [slice(e[b], e[b + 1]) for _, _, e in parts]
+                rows.append((b, key, _blob([_same(raw), *(_steps(p[s]) for (p, _, _), s in zip(parts, own)), *(_small(c[s]) for (_, c, _), s in zip(parts, own))])))
+            yield _rows(rows)
+
+    def bring(batches):
+        for key, raw, sizes, ids, held in _blocks(batches):
+            yield _rows([(-1, key, _blob([sizes.astype("<i8").tobytes(), ids.astype("<i8").tobytes(), held.tobytes(), raw.tobytes()]))])
 
     def totals(part):
-        if part.column("bucket")[0].as_py() >= buckets:  # documents go on as they are
-            return pa.table({"bucket": part.column("bucket"), "block": part.column("block"), "counts": part.column("counts"), "docs": part.column("docs")})
-        keys, counts = part.column("keys").to_pylist(), part.column("counts").to_pylist()
-        out: list = [[] for _ in keys]
-        for n in range(order):
-            found = [_unprints(k[n]) for k in keys]
-            _, inv = np.unique(np.concatenate(found), return_inverse=True)
-            sizes = np.array([len(f) for f in found])
-            own = np.concatenate([_unsmall(c[n], k) for c, k in zip(counts, sizes.tolist())])
+        found = [_unblob(d) for d in part.column("data").to_pylist()]
+        out: list = [[f[0]] for f in found]
+        for n in range(1, order + 1):
+            keys = [_unsteps(f[n]) for f in found]
+            _, inv = np.unique(np.concatenate(keys), return_inverse=True)
+            sizes = np.array([len(k) for k in keys])
+            own = np.concatenate([_unsmall(f[order + n], k) for f, k in zip(found, sizes.tolist())])
             every = np.bincount(inv, weights=own).astype(np.int64)[inv]
             for row, x in zip(out, np.split(every, np.cumsum(sizes)[:-1])):
                 row.append(_small(x))
-        return pa.table({"bucket": part.column("bucket"), "block": part.column("block"), "counts": pa.array(out, pa.list_(pa.binary())),
-                         "docs": pa.nulls(part.num_rows, pa.binary())})
+        return pa.table({"bucket": part.column("bucket"), "block": part.column("block"), "data": pa.array([_blob(o) for o in out], pa.binary())})
 
     def read(part):
-        own = part.filter(part.column("docs").is_valid())
-        raw, sizes, ids, held_rows = _documents(own.column("docs")[0].as_py())
+        part = part.sort_by("bucket")
+        names, (own, *back) = np.asarray(part.column("bucket")), [_unblob(d) for d in part.column("data").to_pylist()]
+        sizes, raw = np.frombuffer(own[0], "<i8"), np.frombuffer(own[3], np.uint8)
+        ids, held_rows = np.frombuffer(own[1], "<i8").reshape(-1, 2), np.frombuffer(own[2], bool)
+        if names[0] >= 0 or any(b[0] != _same(raw) for b in back):
+            raise RuntimeError("the documents came in another order when read again; write them to files first")
         h, first, tokens = _tokens(raw, np.r_[0, np.cumsum(sizes)])
-        rest = part.filter(part.column("docs").is_null()).sort_by("bucket")
-        names, back = np.asarray(rest.column("bucket")), rest.column("counts").to_pylist()
         counts = []
         for n, keys in enumerate(_ngrams(h, first, order)):
             u, inv = np.unique(keys, return_inverse=True)
-            many = np.bincount(_bucket(u, buckets), minlength=buckets)[names]
-            counts.append(np.concatenate([_unsmall(b[n], k) for b, k in zip(back, many.tolist())])[inv].astype(float))
+            many = np.bincount(_bucket(u, buckets), minlength=buckets)[names[1:]]
+            counts.append(np.concatenate([_unsmall(b[n + 1], k) for b, k in zip(back, many.tolist())])[inv].astype(float))
         starts = counts[0][tokens[0] - 1]  # the end token occurs once a document
         gain = traverse(counts, first, starts, n_all, v_all, discount, priors)
         at = np.flatnonzero(first)
@@ -251,10 +274,11 @@ def score(docs: DataFrame, held: F.Column, order: int = ORDER, discount: float =
         return pa.table({"doc_id": pa.array(ids[:, 0], pa.int64(), mask=ids[:, 1] > 0), "held_out": held_rows, "n_tokens": tokens.astype(np.int64),
                          "n_known": add((counts[0] > 0).astype(np.int64)), "base": add(np.log10(counts[0] + 0.5)), "gain": add(gain)})
 
-    # each document's block is named by the number of its first row
-    sent = src.withColumn("key", F.monotonically_increasing_id()).mapInArrow(walk, _MESSAGE).repartition(tasks, "bucket")
-    back = sent.groupBy("bucket").applyInArrow(totals, "bucket long, block long, counts array<binary>, docs binary").repartition(tasks, "block")
-    rows = back.groupBy("block").applyInArrow(read, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, gain double")
+    # a block is named by the number of its first row; its documents do not travel with its n-grams
+    numbered = src.withColumn("key", F.monotonically_increasing_id())
+    asked = numbered.mapInArrow(ask, _MESSAGE).repartition(tasks, "bucket").groupBy("bucket").applyInArrow(totals, _MESSAGE)
+    both = asked.unionByName(numbered.mapInArrow(bring, _MESSAGE)).repartition(tasks, "block")
+    rows = both.groupBy("block").applyInArrow(read, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, gain double")
     return rows.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"),
         (F.col("base") - F.col("n_tokens") * F.log10(F.lit(n_all + 0.5 * (v_all + 1)))).alias("base_score"), F.col("gain").alias("score"))
