@@ -3,6 +3,7 @@
 import math
 import re
 import zlib
+from bisect import bisect_left, insort
 from collections import Counter
 
 import numpy as np
@@ -46,8 +47,9 @@ def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
+    docs = docs.unionByName(spark.createDataFrame([(900, "a <|endoftext|> b<|endoftext|>", None, None, 0, "", 0, 0, 0), (901, "<|endo <|endoftext|", None, None, 0, "", 0, 0, 0)], SCHEMA))
     rows = packing.pack(docs, BPE).collect()
+    assert sum(r["length"] for r in rows if r["doc_id"] is None) == len(t.encode("one").ids) + 1
     seqs: dict = {}
     for r in rows:
         seqs.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
@@ -66,13 +68,52 @@ def test_packing(spark, docs):
     assert packing.pack(empty(spark), BPE).count() == 0
 
 
-def test_rounds_are_near_the_bound():
+def best_fit(sizes, capacity):
+    """Number of sequences of sequential best fit, longest first."""
+    gaps: list = []
+    n = 0
+    for size in sorted(sizes, reverse=True):
+        k = bisect_left(gaps, size)
+        if k == len(gaps):
+            gaps.append(capacity)
+            n += 1
+        insort(gaps, gaps.pop(k) - size)
+    return n
+
+
+@pytest.mark.parametrize("kind", ["mixed", "large", "short", "equal", "one"])
+def test_sweeps_against_sequential_best_fit(spark, kind):
+    ship(spark)
     rng = np.random.default_rng(1)
-    counts = Counter(rng.integers(1, 2048, 5000).tolist()) + Counter([1] * 3000)
-    placed, n = packing.rounds(counts)
-    assert sum(hi - lo for _, lo, hi, *_ in placed) == sum(counts.values())
-    bound = max(sum(k * v for k, v in counts.items()) / 2048, sum(v for k, v in counts.items() if k > 1024))
-    assert n <= bound * 1.02 + 2
+    sizes = {"mixed": np.r_[rng.integers(65, 400, 500), rng.geometric(1 / 400, 300).clip(65, 2047)], "large": np.full(400, 1100), "short": rng.integers(65, 75, 300), "equal": np.full(256, 512),
+             "one": np.array([7])}[kind]
+    df = spark.createDataFrame([(i, int(n)) for i, n in enumerate(sizes)], "id long, size long")
+    seqs: dict = {}
+    for r in packing.seats(df, 2048, 250).collect():  # several ranges
+        seqs.setdefault(r["other"], []).append((r["at"], r["id"]))
+    assert sorted(i for v in seqs.values() for _, i in v) == list(range(len(sizes)))
+    for v in seqs.values():
+        at = 0
+        for a, i in sorted(v):
+            assert a == at
+            at += sizes[i]
+        assert at <= 2048
+    assert len(seqs) <= 1.02 * best_fit(sizes.tolist(), 2048) + 2
+
+
+def test_meetings_pair_brackets():
+    """Units left over open and gaps left over close; the nearest free unit before a gap is its own."""
+    rng = np.random.default_rng(7)
+    for _ in range(200):
+        left, spare = ({p: int(rng.integers(0, 4)) for p in range(6)} for _ in "ab")
+        got = {(q, g + i): (p, u + i) for p, u, q, g, m in packing._meetings(left, spare) for i in range(m)}
+        stack, want = [], {}
+        for p in range(6):
+            for g in range(spare[p]):
+                if stack:
+                    want[p, g] = stack.pop()
+            stack += [(p, u) for u in range(left[p])][::-1]
+        assert got == want
 
 
 def test_neighbours(spark):

@@ -1,20 +1,26 @@
 """Best-fit packing of tokenised documents into sequences of a fixed number of tokens.
 
-Bulk-synchronous best fit.  Documents are tokenised once, cut, and range-sorted by length: every document gets its
-rank among the documents of equal length by two distributed passes (a row number inside small salted buckets, plus
-the sum of the buckets before).  From there on documents of one length, and gaps of one size, are interchangeable, so
-the rounds work on runs (size, number) and not on rows; there are at most `capacity` runs of each kind however large
-the corpus is.  A round finds every run's successor (the smallest gap that holds it), shares a contested gap run out
-by rank (longer documents first), updates the gaps, and repeats; where nothing fits, new sequences open.  The rank
-intervals that the rounds give out are joined back to the rows.
-
-Null text is an empty document, which still holds its end id and so has one token.  Repeated rows are packed each.
-An empty table gives an empty result.  Columns other than the two named are ignored.
+Documents are tokenised once and cut into pieces; pieces of UNIT tokens or fewer are joined, within a task, to units of at
+least UNIT, so that the number of rounds does not depend on how short documents are.  Then, bulk-synchronously:
+
+1. As many sequences open as the tokens (or the pieces of over half a sequence) need at least; each is one gap.
+2. Units and gaps are range-sorted together by size.  A sweep in ascending order gives every gap the longest unit before it
+   that is still free, which is the unit whose successor the gap is; a conflict for a gap goes by that rank, and the unit
+   that loses has the next gap as its successor.  Each range is swept by its own task.  What a range leaves over (units
+   with no gap behind them, gaps with no unit before them) is matched between ranges by counting: the numbers left over
+   by each range, swept in turn, say which stretch of units meets which stretch of gaps, and the rows meet by rank.
+3. Filled gaps shrink or close, and the next round begins.  When hardly any unit finds a gap, further sequences open;
+   when those that find none hold less than REST of all tokens, every task packs its share of them best-fit into new sequences.
+
+Null text is an empty document, which still holds its end id and so has one token.  Repeated rows are packed each, a null
+id stays null, and ties of length go by row number.  An empty table gives an empty result.  Columns other than the two
+named are not read, so their names do not matter.  Texts are tokenised whole, in slices of about 2 MB or one longer text.
 """
 
 import json
 import re
-from collections import defaultdict
+import zlib
+from bisect import bisect_left, insort
 from itertools import chain
 
 import numpy as np
@@ -22,12 +28,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import cut, slices, text_buffer
 
-CAPACITY = 2048
-SALTS = 64
+CAPACITY, UNIT = 2048, 64
+#: Rows that one task sweeps; the share of all tokens that is packed without sweeps; the share of gaps that ends a phase.
+ROWS, REST, FEW = 100_000, 0.02, 0.004
 _encoders: dict = {}
 
 
@@ -51,20 +57,33 @@ class _Encoder:
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
+            file = json.load(f)
+        vocabulary = file["model"]["vocab"]
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes written as themselves
         odd = [b for b in range(256) if b not in plain]
         byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(odd)}
         ranks = {bytes(map(byte_of.__getitem__, w)): i for w, i in vocabulary.items() if not w.startswith("<|")}
         self.t = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.path, self.special = path, [t["content"] for t in file.get("added_tokens", [])]
         self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for w, i in ranks.items():
             self.bytes[i] = len(w)
 
+    def _special(self, text: str) -> bool:
+        return any(w in text for w in self.special)
+
+    def _whole(self, text: str) -> list[int]:
+        """Ids of a text taken as it is.  Texts that spell a special token are left to tokenizers, which gives its id."""
+        if not self._special(text):
+            return self.t.encode_ordinary(text)
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path).encode(text, add_special_tokens=False).ids
+
     def __call__(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by end_id, and the n + 1 offsets of the texts."""
         n = len(texts)
-        whole = np.array([_RUN.search(t) is not None for t in texts], bool)
+        whole = np.array([_RUN.search(t) is not None or self._special(t) for t in texts], bool)
         lists = pc.split_pattern(pa.array(["" if w else t for t, w in zip(texts, whole)], pa.large_string()), " ")
         starts = np.asarray(lists.offsets)
         first = np.zeros(int(starts[-1]), bool)
@@ -74,7 +93,7 @@ class _Encoder:
         ids = np.array(self.t.encode_ordinary("".join([" " + w for w in words.to_pylist()])), np.int64)
         ends = np.cumsum(np.asarray(pc.binary_length(words)).astype(np.int64) + 1)
         last = np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1 if len(words) else np.zeros(0, np.int64)
-        heads = [self.t.encode_ordinary(t if w else t.split(" ", 1)[0]) for t, w in zip(texts, whole)]
+        heads = [self._whole(t) if w else self.t.encode_ordinary(t.split(" ", 1)[0]) for t, w in zip(texts, whole)]
         size = np.r_[np.diff(np.r_[0, last]), np.fromiter(map(len, heads), np.int64, n)]
         at = np.cumsum(size) - size
         flat = np.r_[ids, np.fromiter(chain.from_iterable(heads), np.int64)].astype("<u4")
@@ -98,8 +117,6 @@ def encoder(path: str) -> _Encoder:
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32.  Only the first piece may be shorter than capacity."""
-    import zlib
-
     def run(batches):
         for batch in batches:
             ids_col, texts = batch.column(0), batch.column(1)
@@ -127,80 +144,168 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     return src.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def rounds(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple], int]:
-    """Place runs of documents (length -> number) in gaps; returns placements and the number of sequences.
+_UNITS = "row long, length long, unit long, at long, total long"
 
-    A placement (length, lo, hi, per, sequence, offset) puts the documents of that length with rank r in [lo, hi)
-    into sequence + (r - lo) div per, at offset + ((r - lo) mod per) * length.
-    """
-    left = np.zeros(capacity + 1, np.int64)
-    for size, n in counts.items():
-        left[size] = n
-    rank = np.zeros(capacity + 1, np.int64)
-    gaps: dict[int, list[list[int]]] = defaultdict(list)  # size -> runs of sequences [first, number]
-    placed: list[tuple] = []
-    opened = 0
-
-    def fill(size: int, gap: int, first: int, number: int) -> int:
-        """Put documents of a length into `number` sequences from `first` on; returns how many sequences were used."""
-        per = gap // size
-        n = min(int(left[size]), per * number)
-        placed.append((size, int(rank[size]), int(rank[size]) + n, per, first, capacity - gap))
-        whole, rest = divmod(n, per)
-        if whole:
-            gaps[gap - per * size].append([first, whole])
-        if rest:
-            gaps[gap - rest * size].append([first + whole, 1])
-        left[size] -= n
-        rank[size] += n
-        return whole + bool(rest)
-
-    while left.any():
-        sizes = np.flatnonzero(left)[::-1]
-        active = sizes[sizes > sizes[0] // 2]  # longer documents choose before those of half their length
-        free = np.array(sorted(g for g, runs in gaps.items() if runs and g), np.int64)
-        successor = np.searchsorted(free, active)
-        claims: dict[int, list[int]] = defaultdict(list)
-        for size, s in zip(active.tolist(), successor.tolist()):
-            if s < len(free):
-                claims[int(free[s])].append(size)
-        for gap, by_rank in claims.items():
-            runs, gaps[gap] = gaps[gap], []
-            for size in by_rank:
-                while runs and left[size]:
-                    first, number = runs.pop()
-                    used = fill(size, gap, first, number)
-                    if used < number:
-                        runs.append([first + used, number - used])
-            gaps[gap] += runs
-        if int(sizes[0]) not in [s for c in claims.values() for s in c]:
-            for size in active.tolist():
-                if size == sizes[0] or 2 * size > capacity and size not in {s for c in claims.values() for s in c}:
-                    number = -(-int(left[size]) // (capacity // size))
-                    fill(size, capacity, opened, number)
-                    opened += number
-    return placed, opened
-
-
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+
+def _units(batches):
+    """Rows (row, length) with the unit they belong to (named by its first row), their place in it, and, at its first row, its size."""
+    for batch in batches:
+        row, length = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        short = length <= UNIT
+        order = np.r_[np.flatnonzero(~short), np.flatnonzero(short)]
+        row, length, short = row[order], length[order], short[order]
+        n = int((~short).sum())
+        # short pieces join until they are over UNIT
+        ends = np.cumsum(length[n:])
+        first, k = [*range(n)], 0
+        while k < len(ends):
+            first.append(n + k)
+            k = int(np.searchsorted(ends, (ends[k - 1] if k else 0) + UNIT, "right")) + 1
+        first = np.array(first, np.int64)
+        total = np.zeros(len(row), np.int64)
+        if len(first):
+            total[first] = np.add.reduceat(length, first)
+        own = np.repeat(first, np.diff(np.r_[first, len(row)]))
+        before = np.cumsum(length) - length
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (row, length, row[own], before - before[own], total)], ["row", "length", "unit", "at", "total"])
+
+
+#: kind 0: a unit (id, size); 1: a gap (id of its sequence, size); 2: a unit with its place (id, other: its sequence, at).
+_STATE = "part int, kind int, id long, size long, other long, at long, n long"
+
+
+def _state(rows: list) -> pa.RecordBatch:
+    names = ["part", "kind", "id", "size", "other", "at", "n"]
+    types = [pa.int32(), pa.int32(), *[pa.int64()] * 5]
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.broadcast_to(r[k], len(r[2])) for r in rows]), t) for k, t in enumerate(types)], names)
+
+
+def _sweep(capacity: int):
+    """Match units and gaps of one range, which come sorted.  Those left over are numbered: units from the last, gaps from the first."""
+
+    def run(batches):
+        t = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+        if t is None or not t.num_rows:
+            return
+        part, kind, ids, size = (np.asarray(t.column(c)) for c in ("part", "kind", "id", "size"))
+        gap = kind == 1
+        height = np.cumsum(np.where(gap, -1, 1))
+        floor = np.minimum.accumulate(np.minimum(height, 0))
+        depth = height - floor  # free units after each row
+        lost = gap & (np.diff(floor, prepend=0) < 0)  # gaps that meet no free unit
+        level = np.where(gap, depth + 1, depth)
+        on = np.flatnonzero(~lost)
+        order = on[np.argsort(level[on], kind="stable")]  # on a level, units and the gaps that take them alternate
+        nxt = np.r_[order[1:], -1] if len(order) else order
+        pair = (~gap[order]) & (nxt >= 0) & gap[nxt] & (level[order] == level[nxt]) if len(order) else np.zeros(0, bool)
+        unit, taker = order[pair], nxt[pair]
+        free = np.ones(len(ids), bool)
+        free[unit] = free[taker] = False
+        rest = size[taker] - size[unit]
+        left, spare = np.flatnonzero(free & ~gap)[::-1], np.flatnonzero(free & gap)
+        p, open_ = int(part[0]), rest > 0
+        yield _state([
+            (p, 2, ids[unit], size[unit], ids[taker], capacity - size[taker], 0), (p, 3, ids[taker][open_], rest[open_], 0, 0, 0),
+            (p, 0, ids[left], size[left], 0, 0, np.arange(len(left))), (p, 1, ids[spare], size[spare], 0, 0, np.arange(len(spare)))])
+
+    return run
+
+
+def _meetings(left: dict, spare: dict) -> list[tuple[int, int, int, int, int]]:
+    """(part of units, first unit, part of gaps, first gap, number) by which ranges, in turn, give gaps the units nearest before."""
+    out, stack = [], []
+    for p in sorted({*left, *spare}):
+        taken, want = 0, spare.get(p, 0)
+        while stack and taken < want:
+            q, first, n = stack.pop()
+            m = min(n, want - taken)
+            out.append((q, first, p, taken, m))
+            taken += m
+            if m < n:
+                stack.append((q, first + m, n - m))
+        if left.get(p):
+            stack.append((p, 0, left[p]))
+    return out
+
+
+def _best_fit(capacity: int):
+    """A share of the units that are left, packed into sequences of its own."""
+
+    def run(batches):
+        for batch in batches:
+            ids, size = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            gaps: list[tuple[int, int]] = []  # (size, number of the sequence), sorted
+            other, at = np.empty(len(ids), np.int64), np.empty(len(ids), np.int64)
+            opened = []
+            for k in np.lexsort((ids, -size)).tolist():
+                n = int(size[k])
+                j = bisect_left(gaps, (n, -1))
+                if j == len(gaps):
+                    gaps.append((capacity, len(opened)))
+                    opened.append(-2 - int(ids[k]))  # named by its first unit
+                    j = len(gaps) - 1
+                room, s = gaps.pop(j)
+                other[k], at[k] = opened[s], capacity - room
+                if room > n:
+                    insort(gaps, (room - n, s))
+            yield _state([(0, 2, ids, size, other, at, 0)])
+
+    return run
+
+
+def seats(units: DataFrame, capacity: int = CAPACITY, rows: int = ROWS) -> DataFrame:
+    """(id, other, at): the sequence of every unit (id, size; sizes below capacity), and its place there."""
+    spark = units.sparkSession
+    none = F.lit(0).cast("long")
+    units = units.select(F.lit(0).alias("part"), F.lit(0).alias("kind"), "id", "size", none.alias("other"), none.alias("at"), none.alias("n"))
+    gaps = lambda lo, hi: spark.range(lo, hi).select(F.lit(0).alias("part"), F.lit(1).alias("kind"), "id", F.lit(capacity).cast("long").alias("size"), none.alias("other"), none.alias("at"), none.alias("n"))
+    count, tokens, large = units.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0)), F.count_if(F.col("size") * 2 > capacity)).first()
+    left, total, opened, placed, open_gaps = count, tokens, 0, [], 0
+    state, stuck = units, True
+    while left and not (stuck and opened and total <= REST * tokens):
+        if stuck:
+            many = max(-(-total // capacity), large)
+            state, opened, open_gaps = state.unionByName(gaps(opened, opened + many)), opened + many, open_gaps + many
+        tasks = -(-(left + open_gaps) // rows)
+        ranged = state.repartitionByRange(tasks, "size", "kind", "id").sortWithinPartitions("size", "kind", "id").withColumn("part", F.spark_partition_id())
+        swept = cut(ranged.mapInArrow(_sweep(capacity), _STATE))
+        # one row for each range
+        told = {(r["part"], r["kind"]): r["n"] for r in swept.where("kind < 2").groupBy("part", "kind").agg(F.count("*").alias("n")).collect()}
+        meet = _meetings(*({p: n for (p, k), n in told.items() if k == kind} for kind in (0, 1)))
+        placed.append(swept.where("kind = 2"))
+        state = swept.where("kind = 0 or kind = 1 or kind = 3").withColumn("kind", F.when(F.col("kind") == 0, 0).otherwise(1))
+        if meet:
+            met = F.broadcast(spark.createDataFrame([(i, *m) for i, m in enumerate(meet)], "m long, p int, u long, q int, g long, k long"))
+            rest = swept.where("kind < 2").join(met, ((F.col("kind") == 0) & (F.col("part") == F.col("p")) & (F.col("n") >= F.col("u")) & (F.col("n") < F.col("u") + F.col("k")))
+                                                | ((F.col("kind") == 1) & (F.col("part") == F.col("q")) & (F.col("n") >= F.col("g")) & (F.col("n") < F.col("g") + F.col("k"))), "left")
+            rank = F.col("n") - F.when(F.col("kind") == 0, F.col("u")).otherwise(F.col("g"))
+            side = lambda kind, c: rest.where((F.col("kind") == kind) & F.col("m").isNotNull()).select("m", rank.alias("r"), F.col("id").alias(c), F.col("size").alias(c + "_size"))
+            pair = cut(side(0, "unit").join(side(1, "gap"), ["m", "r"]))
+            row = lambda kind, i, size, other, at: pair.select(F.lit(0).alias("part"), F.lit(kind).alias("kind"), F.col(i).alias("id"), size.alias("size"), other.alias("other"), at.alias("at"), none.alias("n"))
+            placed.append(row(2, "unit", F.col("unit_size"), F.col("gap"), capacity - F.col("gap_size")))
+            shrunk = row(1, "gap", F.col("gap_size") - F.col("unit_size"), none, none).where("size > 0")
+            alone = rest.where(F.col("m").isNull()).select(*swept.columns)
+            state = cut(alone.unionByName(shrunk).unionByName(swept.where("kind = 3").withColumn("kind", F.lit(1))))
+        before = left
+        left, total, large, open_gaps = state.agg(F.count_if(F.col("kind") == 0), F.coalesce(F.sum(F.when(F.col("kind") == 0, F.col("size"))), F.lit(0)),
+                                                  F.count_if((F.col("kind") == 0) & (F.col("size") * 2 > capacity)), F.count_if(F.col("kind") == 1)).first()
+        stuck = before - left <= FEW * open_gaps
+    if left:
+        last = state.where("kind = 0").select("id", "size").repartition(-(-left // rows), "id")
+        placed.append(last.mapInArrow(_best_fit(capacity), _STATE))
+    out = units if not placed else placed[0]
+    for p in placed[1:]:
+        out = out.unionByName(p)
+    return out.select("id", "other", "at")
+
+
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, rows: int = ROWS) -> DataFrame:
     """pieces() with sequence_id and offset; no sequence holds more than capacity tokens, and none has a hole."""
-    spark = docs.sparkSession
     made = cut(pieces(docs, tokenizer, capacity, end_id).withColumn("row", F.monotonically_increasing_id()))
-    short = made.where(F.col("length") < capacity).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)))
-    # at most capacity * SALTS rows, whatever the number of documents
-    runs = short.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    before = runs.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).drop("n")
-    counts = {r["length"]: r["n"] for r in runs.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    placed, _ = rounds(counts, capacity)
-    plan = spark.createDataFrame(placed, "length long, lo long, hi long, per long, first long, used long")
-    if len(placed) <= 200_000:  # 10 MB; beyond that Spark chooses
-        plan = F.broadcast(plan)
-    ranked = short.withColumn("r", F.row_number().over(Window.partitionBy("length", "salt").orderBy("row")) - 1)
-    ranked = ranked.join(before, ["length", "salt"]).withColumn("r", F.col("r") + F.col("before"))
-    seated = ranked.join(plan, (ranked.length == plan.length) & (ranked.r >= plan.lo) & (ranked.r < plan.hi)).select(
-        "doc_id", "piece", "start", ranked.length, "ids_crc32",
-        F.expr("first + (r - lo) div per").alias("sequence_id"),
-        (F.col("used") + F.expr("(r - lo) % per") * ranked.length).alias("offset"))
-    whole = made.where(F.col("length") == capacity).select(
-        "doc_id", "piece", "start", "length", "ids_crc32", (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    units = cut(made.where(F.col("length") < capacity).select("row", "length").mapInArrow(_units, _UNITS))
+    seat = seats(units.where("total > 0").select(F.col("unit").alias("id"), F.col("total").alias("size")), capacity, rows)
+    where = units.select("row", "unit", F.col("at").alias("inside")).join(seat.withColumnRenamed("id", "unit"), "unit").select("row", "other", (F.col("at") + F.col("inside")).alias("offset"))
+    out = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    seated = made.join(where, "row").select(*out, F.col("other").alias("sequence_id"), "offset")
+    whole = made.where(F.col("length") == capacity).select(*out, (F.lit(-2 - 2**62) - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return seated.unionByName(whole)
