@@ -112,14 +112,14 @@ def _unsmall(data: bytes, n: int) -> np.ndarray:
 
 def _blob(parts: list[bytes]) -> bytes:
     """Byte strings, compressed together."""
-    sizes = np.array([len(parts), *map(len, parts)], "<i8").tobytes()
+    sizes = np.array([len(parts), *map(len, parts)], "<u4").tobytes()
     return sizes + pa.compress(b"".join(parts), codec="zstd", asbytes=True)
 
 
 def _unblob(data: bytes) -> list[bytes]:
-    n = int(np.frombuffer(data, "<i8", 1)[0])
-    ends = np.cumsum(np.frombuffer(data, "<i8", n, 8)).tolist()
-    body = pa.decompress(data[8 * n + 8:], ends[-1], codec="zstd", asbytes=True)
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    ends = np.cumsum(np.frombuffer(data, "<u4", n, 4), dtype=np.int64).tolist()
+    body = pa.decompress(data[4 * n + 4:], ends[-1], codec="zstd", asbytes=True)
     return [body[a:z] for a, z in zip([0, *ends], ends)]
 
 
@@ -221,7 +221,7 @@ def score(docs: DataFrame, held: F.Column, order: int = ORDER, discount: float =
     src = _steady(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held")))
     n_all, v_all = vocabulary(src.where(~F.col("held")))
     buckets = max(24, -(-n_all // STEPS))
-    tasks = max(shuffle_width(spark), buckets // 2)
+    tasks = max(shuffle_width(spark), buckets)
 
     def ask(batches):
         for key, raw, sizes, _, held in _blocks(batches):
