@@ -142,6 +142,43 @@ def test_neighbours(spark):
     assert ann.search(df.where("vec_id > 5000"), "vec_id", "embedding", F.lit(True)).count() == 0
 
 
+def test_adaptive_scan_abandons_and_keeps_the_nearest():
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    q, c = unit(rng.normal(size=(40, 64))), unit(rng.normal(size=(3000, 64)))
+    want = np.argsort(-(q @ c.T), 1)[:, :6]
+    i, j = ann._adaptive(q, c, 6, np.full(40, np.inf))
+    hit = {(a, b) for a, b in zip(i.tolist(), j.tolist())}
+    assert sum((a, b) in hit for a in range(40) for b in want[a].tolist()) >= 0.97 * 240
+    assert len(i) < 0.02 * 40 * 3000
+    kth = 2 - 2 * np.sort(q @ c.T, 1)[:, -6]
+    i2, _ = ann._adaptive(q, c, 6, kth)  # a carried bound leaves no others
+    assert len(i2) <= 40 * 6
+
+
+def test_neighbours_in_long_lists(spark):
+    """Lists of over 1000 rows and vectors of four blocks of columns, a quarter of the lists probed, a group of copies, clashing columns."""
+    ship(spark)
+    rng = np.random.default_rng(8)
+    middle = rng.normal(size=(8, 64)) * 1.5
+    x = middle[rng.integers(0, 8, 5000)] + rng.normal(size=(5000, 64))
+    x[1000:2000] = x[7]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    df = df.select("*", *(F.lit(1).alias(c) for c in ("id", "v", "q", "row", "list", "bound", "score")))
+    got: dict = {}
+    for r in ann.search(df, "vec_id", "embedding", F.col("vec_id") % 50 == 0, lists=8).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = 0
+    for q in range(0, 5000, 50):
+        s = np.round(u @ u[q], 12)
+        s[q] = -9
+        best = np.lexsort((np.arange(5000), -s))[:5]
+        hit += len(set(best.tolist()) & {v for v, _ in got[q]})
+        assert len({v for v, _ in got[q]}) == 5 and all(abs(score - u[v] @ u[q]) < 1e-12 for v, score in got[q])
+    assert hit / 500 >= 0.9 and [v for v, _ in got[1500]] == [7, 1000, 1001, 1002, 1003]
+
+
 @pytest.mark.parametrize("n", [2, 3, 4, 6, 7, 20])
 def test_neighbours_of_small_tables(spark, n):
     ship(spark)
