@@ -309,16 +309,106 @@ def test_lm_keeps_every_history(spark):
     assert all(abs(got[i] - model.walk(t)) < 1e-6 for i, t in enumerate(texts))
 
 
+def chunks_by_reading(rows, even):
+    """The lines of each document, and the places (document, first line, last line) of each chunk, found line by line."""
+    docs = {}
+    for i, text in rows:
+        if text is not None:
+            docs[(-2**63 if i is None else i, text)] = text.split("\n")
+    where: dict = {}
+    for key, lines in docs.items():
+        n, w = len(lines), [x.count(" ") + 1 for x in lines]
+        is_even = [k > 0 and even[lines[k - 1], lines[k]] for k in range(n)]
+        found, start = set(), 0
+        for k in range(n):
+            if k == n - 1 or w[k] >= 50 or w[k + 1] >= 50 or (1 <= k < n - 2 and is_even[k] and not is_even[k - 1]):
+                for s in range(start, k + 1, 32):
+                    e = min(s + 31, k)
+                    if e > s or w[s] >= 50:
+                        found.add((s, e))
+                start = k + 1
+        for s in range(n):
+            if w[s] < 50:
+                e = next((e for e in range(s + 1, min(n, s + 8)) if sum(w[s:e + 1]) >= 50), None)
+                if e is not None:
+                    found.add((s, e))
+        for s, e in found:
+            where.setdefault(tuple(lines[s:e + 1]), []).append((key, s, e))
+    return docs, where
+
+
+def test_line_dedup_against_brute_force(spark):
+    rng = np.random.default_rng(21)
+    line = lambda n: sentence(rng, n)
+    shared = [line(n) for n in (30, 30, 20, 60, 4, 5, 51, 26, 26)]
+    rows = []
+    for i in range(60):
+        lines = [line(int(n)) for n in rng.integers(1, 40, rng.integers(1, 9))]
+        at = int(rng.integers(0, len(lines) + 1))
+        if i % 3 == 0:
+            lines[at:at] = shared[:2]
+        elif i % 7 == 1:
+            lines[at:at] = [shared[3]]
+        elif i % 7 == 2:
+            lines[at:at] = shared[2:7]
+        elif i % 7 == 3:
+            lines[at:at] = [shared[4]]
+        elif i % 7 == 4:
+            lines[at:at] = shared[7:]
+        rows.append((i, "\n".join(lines)))
+    rows += [(60, "\n".join(["same"] * 200)), (61, None), (62, ""), (None, rows[3][1]), (63, rows[9][1]), rows[9], (64, "\n".join(["same"] * 90)), (65, "\n\n\n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = {(a, b) for _, t in rows if t is not None for a, b in zip(t.split("\n"), t.split("\n")[1:])}
+    told = spark.createDataFrame(list(pairs), "a string, b string").selectExpr("a", "b", "pmod(xxhash64(xxhash64(a), xxhash64(b)), 2) = 0 as even")
+    even = {(r["a"], r["b"]): r["even"] for r in told.collect()}
+    t_hash = {r["text"]: r["h"] for r in df.selectExpr("text", "xxhash64(text) as h").collect()}
+    docs, where = chunks_by_reading(rows, even)
+    gone: dict = {k: set() for k in docs}
+    for places in where.values():
+        first = min(places, key=lambda p: (p[0][0], t_hash[p[0][1]], p[1]))
+        for key, s, e in places:
+            if (key, s) != first[:2]:
+                gone[key] |= set(range(s, e + 1))
+    want = []
+    for i, text in rows:
+        if text is None:
+            want.append((i, None, 0, 0))
+        else:
+            key = (-2**63 if i is None else i, text)
+            kept = [x for k, x in enumerate(docs[key]) if k not in gone[key]]
+            want.append((i, "\n".join(kept), len(docs[key]), len(gone[key])))
+    got = [tuple(r) for r in linededup.dedup(df, counts=("lines", "removed")).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    # every passage of 50 words or more stays once only, and every line stays somewhere
+    texts = [g[1] for g in got if g[1]]
+    for passage in ("\n".join(shared[:2]), shared[3], shared[6], "\n".join(shared[7:])):
+        assert sum(passage in t for t in texts) == 1
+    assert {x for _, t in rows if t for x in t.split("\n")} <= {x for t in texts for x in t.split("\n")} | {""}
+
+
 def test_line_dedup(spark, docs):
-    out = linededup.dedup(docs).collect()
+    out = linededup.dedup(docs, counts=("n_lines", "n_removed")).collect()
     assert len(out) == docs.count()
     src = {r["doc_id"]: r["text"] for r in docs.collect()}
     new = {r["doc_id"]: r for r in out}
-    assert new[5]["text"] == src[5] and new[6]["text"] == "" and new[6]["_n_removed"] == 8
-    assert 4 <= new[7]["_n_removed"] <= 8 and new[5]["_d"] == "z"
+    assert new[5]["text"] == src[5] and new[6]["text"] == "" and new[6]["n_removed"] == 8
+    assert new[7]["text"] == "own start of it" and new[5]["_d"] == "z"
     for i in [0, 1, 2, 3, 4, 8, 9, *range(17, 57)]:
         assert new[i]["text"] == src[i]
-    assert linededup.dedup(empty(spark)).count() == 0
+    assert linededup.dedup(empty(spark)).count() == 0 and linededup.dedup(docs).columns == docs.columns
+    odd = docs.select("doc_id", "text", *(F.lit(1).alias(c) for c in ("_t", "_h", "_lines", "cs", "s", "e", "line", "in_0", "n_lines")))
+    assert linededup.dedup(odd).columns == odd.columns and linededup.dedup(odd).where("text = 'own start of it'").count() == 1
+    with pytest.raises(ValueError):
+        linededup.dedup(odd, counts=("n_lines", "n_removed"))
+
+
+def test_line_dedup_spares_lines_that_only_share_a_hash(spark, monkeypatch):
+    """With a hash that all lines share, chunks that differ in bytes are not touched."""
+    rows = [(1, "one two\nthree"), (2, "four five\nsix"), (3, "\n".join(f"l{k}" for k in range(40)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    split = linededup._split
+    monkeypatch.setattr(linededup, "_split", lambda d: split(d).withColumn("_h", F.expr("transform(_h, x -> 7L)")))
+    assert {tuple(r) for r in linededup.dedup(df).collect()} == set(rows)
 
 
 def test_language_id(spark, docs):

@@ -1,13 +1,21 @@
 """Removal of multi-line chunks that repeat anywhere in the corpus; DataFrame functions only.
 
-Lines are hashed; line i is a candidate border when a hash rolled over lines i-1 and i is even, and it is a border when
-it is a candidate and line i-1 is not.  That depends on three lines, so borders move with the text, and no two borders
-touch: chunks have two lines at least (four on average).  A line of LONG words or more is a chunk by itself, as such a
-line is a paragraph.  Chunks are grouped by a hash of their lines (narrow rows, partial aggregation); the first
-occurrence, by document id and place, stays.  Every other one is compared byte by byte with it, and goes if equal.
+Chunks.  Lines are hashed.  Line i ends a coarse chunk when a hash rolled over lines i-1 and i is even and that of lines
+i-2 and i-1 is not; this depends on three lines, so borders move with the text, and no two borders touch.  A chunk of over
+MOST lines is split every MOST lines.  A passage that two documents share in the middle of different coarse chunks has
+borders of its own: from every line on, a fine chunk ends where a count of words rolled over the lines first reaches
+LONG (within REACH lines), so every shared run of LONG words or more holds a whole chunk, whatever stands around it.  A line of
+LONG words or more is such a run by itself, and one line: it is the only kind of single line that is ever removed.
+
+Chunks are grouped by a hash of their lines (narrow rows, partial aggregation); the first occurrence, by document id and
+place, stays, and the lines of every other one go.  Before that all lines of repeated chunks that share a hash are compared
+byte by byte (least and greatest text of each line hash, aggregated before the shuffle); chunks with lines that differ are
+not touched.  Every line that is removed stays somewhere: the line it repeats comes earlier in the order of ids and places.
 
 Null text stays null.  A document whose every line goes keeps its row with an empty text.  Rows with equal id and
-text are one document and get the same result.  One short line is never removed.  A null id sorts first.
+text are one document and get the same result.  A null id sorts first.  Other columns stay as they are, whatever their
+names; `counts` names the two columns to add, and raises if the table has one of that name.  An empty table gives no rows.
+A text is handled by one task as arrays of its lines, however long it is.
 """
 
 from pyspark.sql import DataFrame
@@ -15,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import settled
 
-LONG = 50
+LONG, MOST, REACH = 50, 32, 8
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -23,56 +31,69 @@ def _keyed(docs: DataFrame) -> DataFrame:
                        F.col("text").cast("string").alias("_text"))
 
 
-def _split(df: DataFrame, long_words: int) -> DataFrame:
-    """_lines and _ends: the number of the last line of every chunk."""
+def _split(df: DataFrame) -> DataFrame:
+    """_lines, their number _n and their hashes _h."""
     df = settled(df, _lines=F.split("_text", "\n", -1))
-    df = df.withColumn("_n", F.size("_lines"))
-    df = settled(df, _h=F.expr("transform(_lines, x -> xxhash64(x))"),
-                 _long=F.expr(f"transform(_lines, x -> length(x) - length(replace(x, ' ', '')) >= {long_words - 1})"))
-    df = settled(df, _even=F.expr("transform(_h, (x, i) -> i > 0 and pmod(xxhash64(get(_h, i - 1), x), 2) = 0)"))
-    return settled(df, _ends=F.expr("""
-        filter(sequence(0, _n - 1), i -> i = _n - 1 or get(_long, i) or get(_long, i + 1)
-            or (i >= 1 and i < _n - 2 and get(_even, i) and not get(_even, i - 1)))"""))
+    return settled(df.withColumn("_n", F.size("_lines")), _h=F.expr("transform(_lines, x -> xxhash64(x))"))
 
 
-def chunks(docs: DataFrame, long_words: int = LONG) -> DataFrame:
-    """(_d, _t, k, s, e, h): chunk k of a document holds lines s to e; only chunks that may be removed."""
-    df = _split(_keyed(docs).where("_text is not null"), long_words)
-    df = df.select("_d", "_t", F.expr("""
-        inline(filter(transform(_ends, (e, k) -> struct(k as k, if(k = 0, 0, get(_ends, k - 1) + 1) as s, e as e,
-            xxhash64(slice(_h, if(k = 0, 1, get(_ends, k - 1) + 2), e - if(k = 0, 0, get(_ends, k - 1) + 1) + 1)) as h,
-            get(_long, e) as l)), c -> c.e > c.s or c.l))"""))
-    return df.drop("l")
+def chunks(docs: DataFrame, long_words: int = LONG, most: int = MOST, reach: int = REACH) -> DataFrame:
+    """(_d, _t, s, e, h): lines s to e of a document are a chunk; only chunks that may be removed."""
+    df = _split(_keyed(docs).where("_text is not null"))
+    df = settled(df, _w=F.expr("transform(_lines, x -> length(x) - length(replace(x, ' ', '')) + 1)"),
+                 _even=F.expr("transform(_h, (x, i) -> i > 0 and pmod(xxhash64(get(_h, i - 1), x), 2) = 0)"))
+    df = settled(df.drop("_lines", "_text"), _ends=F.expr(f"""
+        filter(sequence(0, _n - 1), i -> i = _n - 1 or get(_w, i) >= {long_words} or get(_w, i + 1) >= {long_words}
+            or (i >= 1 and i < _n - 2 and get(_even, i) and not get(_even, i - 1)))"""))
+    words, ends = "get(_w, i)", []
+    for d in range(1, reach):
+        words += f" + get(_w, i + {d})"
+        ends.append(f"when i + {d} < _n and {words} >= {long_words} then i + {d}")
+    df = settled(df, _coarse=F.expr(f"""
+        flatten(transform(_ends, (e, k) -> transform(sequence(if(k = 0, 0, get(_ends, k - 1) + 1), e, {most}), s -> struct(s as s, least(s + {most - 1}, e) as e))))"""),
+                 _fine=F.expr(f"transform(filter(sequence(0, _n - 1), i -> get(_w, i) < {long_words}), i -> struct(i as s, case {' '.join(ends)} end as e))"))
+    df = df.select("_d", "_t", "_h", F.expr(f"inline(array_distinct(concat(filter(_coarse, c -> c.e > c.s or get(_w, c.s) >= {long_words}), filter(_fine, c -> c.e is not null))))"))
+    return df.select("_d", "_t", "s", "e", F.expr("xxhash64(slice(_h, s + 1, e - s + 1))").alias("h"))
 
 
-def removals(docs: DataFrame, long_words: int = LONG) -> DataFrame:
-    """(_d, _t, ks): the numbers of the chunks to remove, for documents that lose any."""
+def _repeated(docs: DataFrame, long_words: int) -> DataFrame:
+    """(_d, _t, cs): for each document with repeated chunks their places (s, e), and whether each is a first occurrence."""
     found = chunks(docs, long_words)
-    first = found.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("_d", "_t", "k")).alias("keep")).where("n > 1").drop("n")
-    again = found.join(first, "h").select("_d", "_t", F.struct(
-        "h", "k", "s", "e", (F.struct("_d", "_t", "k") == F.col("keep")).alias("first")).alias("c"))
-    wanted = again.groupBy("_d", "_t").agg(F.collect_list("c").alias("cs"))
-    texts = _keyed(docs).join(wanted, ["_d", "_t"])
-    bodies = settled(texts, _lines=F.split("_text", "\n", -1)).select("_d", "_t", F.expr("""
-        inline(transform(cs, c -> struct(c.h as h, c.k as k, c.first as first,
-            array_join(slice(_lines, c.s + 1, c.e - c.s + 1), '\n') as body)))"""))
-    kept = bodies.where("first").select("h", F.col("body").alias("kept")).dropDuplicates(["h"])
-    equal = bodies.where("not first").join(kept, "h").where("body = kept")
-    return equal.groupBy("_d", "_t").agg(F.collect_set("k").alias("ks"))
-
-
-def dedup(docs: DataFrame, long_words: int = LONG) -> DataFrame:
-    """docs with the repeated chunks cut out of text, and columns _n_lines, _n_removed (lines)."""
+    first = found.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("_d", "_t", "s")).alias("keep")).where("n > 1").drop("n")
+    again = found.join(first, "h").select("_d", "_t", F.struct("s", "e", (F.struct("_d", "_t", "s") == F.col("keep")).alias("first")).alias("c"))
+    return again.groupBy("_d", "_t").agg(F.collect_set("c").alias("cs"))
+
+
+def _spans(which: str) -> str:
+    """Numbers of the lines that chunks of cs cover, each once."""
+    return f"array_distinct(flatten(transform(filter(cs, c -> {which}), c -> sequence(c.s, c.e))))"
+
+
+def differing(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(line): hashes under which repeated chunks hold lines of different bytes."""
+    texts = _split(_keyed(docs).join(repeated, ["_d", "_t"]))
+    lines = texts.select(F.expr(f"inline(transform({_spans('true')}, i -> struct(get(_h, i) as line, get(_lines, i) as body)))"))
+    return lines.groupBy("line").agg(F.min("body").alias("a"), F.max("body").alias("z")).where("a <> z").select("line")
+
+
+def dedup(docs: DataFrame, long_words: int = LONG, counts: tuple[str, str] | None = None) -> DataFrame:
+    """docs with the repeated chunks cut out of text; counts names two more columns: lines, and lines removed."""
     cols = docs.columns
+    if set(counts or ()) & set(cols):
+        raise ValueError(f"the table has a column {set(counts) & set(cols)}; name the counts differently")
+    repeated = _repeated(docs, long_words)
+    bad = differing(docs, repeated)
     src = docs.select(*(F.col(f"`{c}`").alias(f"in_{k}") for k, c in enumerate(cols)), F.coalesce(F.col("doc_id").cast("long"), F.lit(-2**63)).alias("_d"), F.xxhash64("text").alias("_t"))
-    joined = src.join(removals(docs, long_words), ["_d", "_t"], "left").withColumn("_text", F.col(f"in_{cols.index('text')}").cast("string"))
-    # only texts that lose something are taken apart again
-    df = _split(joined.withColumn("_text", F.when(F.col("ks").isNotNull(), F.col("_text"))), long_words)
-    df = df.withColumn("_left", F.expr("""
-        flatten(transform(array_except(sequence(0, size(_ends) - 1), ks), k -> slice(_lines,
-            if(k = 0, 1, get(_ends, k - 1) + 2), get(_ends, k) - if(k = 0, -1, get(_ends, k - 1)))))"""))
     text = F.col(f"in_{cols.index('text')}")
+    # only texts that lose something are taken apart again
+    df = src.join(repeated, ["_d", "_t"], "left").withColumn("_text", F.when(F.expr("exists(cs, c -> not c.first)"), text.cast("string")))
+    df = _split(df)
+    if not bad.isEmpty():
+        hit = _split(_keyed(docs).join(repeated, ["_d", "_t"])).select("_d", "_t", F.expr("posexplode(_h)").alias("at", "line")).join(bad, "line")
+        df = df.join(hit.groupBy("_d", "_t").agg(F.collect_set("at").alias("_bad")), ["_d", "_t"], "left")
+        df = df.withColumn("cs", F.expr("filter(cs, c -> not exists(coalesce(_bad, array()), i -> i between c.s and c.e))"))
+    df = df.withColumn("_left", F.expr(f"transform(array_except(sequence(0, _n - 1), {_spans('not c.first')}), i -> get(_lines, i))"))
     total = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
-    return df.select(
-        *(F.when(F.col("ks").isNotNull(), F.array_join("_left", "\n")).otherwise(text).alias(c) if c == "text" else F.col(f"in_{k}").alias(c) for k, c in enumerate(cols)),
-        total.alias("_n_lines"), F.when(F.col("ks").isNotNull(), F.col("_n") - F.size("_left")).otherwise(0).alias("_n_removed"))
+    removed = F.when(F.col("_text").isNotNull(), F.col("_n") - F.size("_left")).otherwise(0)
+    more = [c.alias(name) for name, c in zip(counts or (), (total, removed))]
+    return df.select(*(F.when(F.col("_text").isNotNull(), F.array_join("_left", "\n")).otherwise(text).alias(c) if c == "text" else F.col(f"in_{k}").alias(c) for k, c in enumerate(cols)), *more)

@@ -32,8 +32,7 @@ def op5_lm_scores(spark, sf_dir):
 
 def op6_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = linededup.dedup(docs)
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), "text")
+    return linededup.dedup(docs, counts=("n_lines", "n_removed")).select("doc_id", "n_lines", "n_removed", "text")
 
 
 def op7_language_id(spark, sf_dir):
