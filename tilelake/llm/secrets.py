@@ -7,8 +7,12 @@ character classes, character transitions, dictionary coverage, path-like shape a
 grown in numpy on a bounded table of labelled findings (before, word, after, secret) and flattened to arrays of
 nodes, along which an expression walks inside the projection that reads the text: no shuffle and no Python on the executors.
 
-Labelled findings are a parameter; `labelled_findings()` makes the default table by rule.  Null text has no findings.
-A value that occurs several times in a text is one finding for each occurrence.
+Labelled findings are a parameter; `labelled_findings()` makes the default table by rule, of the kinds of keys that services
+issue, and of the kinds of text that is taken for them.  Null and empty text has no findings.  A value that occurs several times in
+a text is one finding for each occurrence; repeated rows, also with equal ids, give theirs each; a forest whose trees are
+divided evenly (a tie at the threshold) calls a candidate a secret.  scan() reads doc_id and text only; redact() keeps
+every column, whatever its name.  An empty table gives no rows.  The patterns read a text once from left to right and take no
+second look at what they have passed, so an unbroken word of megabytes takes time in proportion to its length.
 """
 
 import string
@@ -28,17 +32,22 @@ CANDIDATE = "|".join((
     rf'(?=[AaCcPpSsTt])(?=(?i:{KEYS}))(?:(?<ka>{KEY}\\")(?<va>[^"\\\r\n]{{3,400}})(?=\\")', rf'(?<kb>{KEY}")(?<vb>(?:[^"\\\r\n]|\\[^\r\n]){{3,400}})(?=")',
     rf"(?<kc>{KEY}')(?<vc>[^'\r\n]{{3,400}})(?=')", rf"(?<kd>{KEY}[\"'(]?)(?<vd>[^\s\"'<>{{}}(),;&]{{2,}}[A-Za-z0-9+/_=\-]))",
     r"(?<ve>(?=[Ae])(?<![A-Za-z0-9])(?:A[KS]IA[A-Z0-9]{12,}|eyJ[A-Za-z0-9_\-]{5,}(?:\.[A-Za-z0-9_\-]+){1,4}))",
-    rf"(?<kf>(?<![A-Za-z_])(?=[A-Za-z_]{{3,}}+[\"']?[=:])(?![A-Za-z_]*(?i:{KEYS}))[A-Za-z_]{{3,}}+[\"']?[=:][\"']?)(?<vf>(?:(?!(?i:{KEYS}))[^\s\"'?&=,;{{}}<>]){{4,400}}[A-Za-z0-9+/_\-])",
-    rf"(?<vg>(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])(?=[A-Za-z0-9+/_\-]{{8}})(?![A-Za-z0-9+/_\-]{{0,80}}{KEY})[A-Za-z0-9+/_\-]{{8,}})"))
+    rf"(?<kf>(?<![A-Za-z_])(?=[A-Za-z_]{{3,}}+[\"']?[=:])(?![A-Za-z_]*(?i:{KEYS}))[A-Za-z_]{{3,}}+[\"']?[=:][\"']?)(?<vf>(?!//)(?:(?!(?i:{KEYS}))[^\s\"'?&=,;{{}}<>]){{4,400}}[A-Za-z0-9+/_\-])",
+    rf"(?<vg>(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])(?=[A-Za-z0-9+/_\-]{{8}})(?![A-Za-z0-9+/_\-]{{0,80}}{KEY})[A-Za-z0-9+/_\-]{{8,}})",
+    r"(?<kh>://[^\s/:@]{1,64}:)(?<vh>[^\s/@:]{3,200})(?=@)"))
 # noncharacters that part the pieces of a text; in a text itself MARK is written ESCAPE 0 and ESCAPE is written ESCAPE 1
 MARK, ESCAPE = "\ufdd0", "\ufdd1"
 BEFORE_VALUE = rf"{KEY}[\\\"'(]*$"
-# A fixed list of common words for dictionary coverage.
+# A fixed list of common words for dictionary coverage; another one can be given.
 DICTIONARY = ("the and for that with this from have you not are was but they his her she will one all would there their what "
               "out about who get which when make can like time just him know take people into year your good some could them see "
               "other than then now look only come its over think also back after use two how our work first well way even new "
-              "want because any these give day most pass word change user test name admin value data file example sample mail "
-              "com net org http www login server host local page index image version number order phone street").split()
+              "want because any these give day most very been has had more where does should between under through great world "
+              "house place water right small large name home hand number part sound long little show every live found answer study "
+              "still learn plant cover food sun four thought let keep eye never last door city tree cross farm hard start might "
+              "story saw far sea draw left late run while press close night real life few open seem together next white children "
+              "pass word change user test admin value data file sample mail com net org www login server host local page index "
+              "image version order phone street title note city lang list item type code text line key table date class true false").split()
 # over a finding x: the value v in the word w, after the text p (b without the start of w) and before the words a
 FEATURES = {
     "n": "length(x.v)",
@@ -59,83 +68,67 @@ FEATURES = {
     "path": "if(x.w rlike '/[^/]+/' or x.w rlike '://' or x.w rlike '[.][a-z]{2,4}$', 1, 0)",
     "mail": "if(x.w rlike '@|[.].*[.]', 1, 0)",
     "quoted": "if(x.w rlike '[\"]' or x.p rlike '[\"\\']$', 1, 0)",
+    "url": "if(x.p rlike '://[^/ ]*:$', 1, 0)",
+    "stand_in": "if(lower(x.v) rlike '^(x+|[*]+|[.]+)$|your|change.?me|example|placeholder|redacted|dummy|[$]|^(null|none|true|false|nil|undefined|required|optional|string|str)$', 1, 0)",
 }
 
 
-def labelled_findings(n: int = 3000, seed: int = 5) -> list[tuple[str, str, str, int]]:
-    """(before, word, after, secret) made by rule: shapes of real keys, and shapes that are often taken for keys."""
+def labelled_findings(n: int = 4000, seed: int = 5) -> list[tuple[str, str, str, int]]:
+    """(before, word, after, secret) made by rule: keys as services issue them and as people set them, and look-alikes."""
     rng = np.random.default_rng(seed)
     pick = lambda s, k: "".join(rng.choice(list(s), k))
     one = lambda *s: s[rng.integers(len(s))]
-    digits, hexes, alnum, upper = string.digits, "0123456789abcdef", string.ascii_letters + string.digits, string.ascii_uppercase + string.digits
-    word = lambda: "".join(one("th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it",
-                               "st", "io", "le", "is", "ou", "ar", "as", "de", "rt", "ve", "ch", "ung", "eau", "que") for _ in range(rng.integers(1, 5)))
-    key = lambda: one("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key", "auth_token", "client_secret")
-    phrase = lambda: one("", "", "-", "_").join(word() for _ in range(rng.integers(3, 5)))
-    junk = lambda: one("", "", "", "", ",", ".", "***", "%%%", "&&&", "###", "$$$")
+    span = lambda a, z: int(rng.integers(a, z))
+    lower, digits, hexes = string.ascii_lowercase, string.digits, "0123456789abcdef"
+    alnum, upper = string.ascii_letters + digits, string.ascii_uppercase + digits
+    sounds = [c + v for c in "bcdfghklmnprstvw" for v in "aeiou"] + ["th", "er", "on", "an", "in", "st", "ion", "ung", "eau", "que"]
+    word = lambda: one(one(*DICTIONARY), "".join(one(*sounds) for _ in range(span(1, 5))))
+    key = lambda: one("password", "passwd", "pwd", "passphrase", "secret", "token", "api_key", "apikey", "access_key", "auth_token", "client_secret", "private_key", "credential")
+    name = lambda: one("title", "name", "note", "class", "id", "page", "width", "color", "lang", "city", "next", "sort", "level", "count", word())
+    phrase = lambda: one("", "", "-", "_").join(word() for _ in range(span(2, 5))) + one("", "", pick(digits, span(1, 5)))
+    chosen = lambda: one(pick(alnum, span(6, 30)), pick(alnum + "!#%^", span(8, 24)), pick(lower + digits, span(6, 16)), phrase(), pick(lower, span(4, 9)) + pick(digits, span(2, 5)))
+    issued = lambda: one(
+        lambda: one("AKIA", "ASIA") + pick(upper, 16), lambda: one("ghp_", "gho_", "ghs_") + pick(alnum, 36), lambda: "glpat-" + pick(alnum, 20),
+        lambda: one("sk_live_", "pk_live_", "sk_test_") + pick(alnum, 24), lambda: one("xoxb-", "xoxp-") + pick(digits, 11) + "-" + pick(alnum, 24),
+        lambda: "AIza" + pick(alnum + "_-", 35), lambda: "eyJ%s.eyJ%s.%s" % tuple(pick(alnum + "_-", span(12, 60)) for _ in "abc"))()
+    quoted = lambda v: one("%s", "'%s'", '"%s"') % v
+    stop = lambda: one("", "", "", pick(string.punctuation.replace("=", ""), span(1, 4)), ",", ".", ";")
+    secret = (
+        lambda: ((word(), one(key(), key().upper()), one("=", ":", "is", "=>", ":=")), quoted(chosen()) + stop()),
+        lambda: ((word(), word(), key()), one("=", ":", "= ", ": ").strip() + quoted(one(pick(hexes, one(32, 40, 64)), pick(alnum, span(16, 44))))),
+        lambda: ((word(), word()), one("%s=%s", "%s:%s", "--%s=%s") % (one(key(), key().upper()), quoted(chosen())) + stop()),
+        lambda: ((word(), word()), issued() + stop()),
+        lambda: ((word(), key(), one("=", ":")), quoted(issued()) + stop()),
+        lambda: ((word(), word()), one(",", ";").join(issued() for _ in "ab")),
+        lambda: ((word(), one("Authorization:", "auth:")), one("Bearer ", "Basic ") + pick(alnum + "+/", span(20, 60))),
+        lambda: ((word(),), '{"%s":"%s","%s":"%s"}' % (one(name(), key()), chosen(), key(), chosen()) + stop()),
+        lambda: ((word(), word()), "https://%s.%s/%s?%s=%s&%s=%s" % (word(), one("com", "io", "net"), word(), key(), pick(alnum, span(12, 40)), name(), word())),
+        lambda: ((word(),), "%s://%s:%s@%s.%s" % (one("https", "postgres", "mysql", "redis", "ftp"), word(), chosen(), word(), one("com", "net", "local"))),
+    )
+    stand_in = lambda: one("null", "None", "true", "false", "string", "required", "optional", "changeme", "xxxxxxxx", "<your-token>", "your_api_key_here", "${SECRET}", "********", "os.environ", "example")
+    harmless = (
+        lambda: ((word(), one("commit", "sha", "hash", "checksum", "etag", "digest", "rev")), one("", "", ":").join(("", "")) + pick(hexes, one(7, 12, 32, 40, 64)) + stop()),
+        lambda: ((word(), word()), "/".join(("", word(), one(word(), pick(hexes, one(6, 8, 32))), word())) + one("", ".html", ".png", ".js", ".py")),
+        lambda: ((word(), one("order", "call", "isbn", "card", "account", "tel", word())), one("", "+", "#") + pick(digits, span(8, 20)) + stop()),
+        lambda: ((word(), word()), one("-", " ", ".").join(pick(digits, k) for k in (3, one(3, 4), 4)) + stop()),
+        lambda: ((word(), word()), "%s%s@%s.%s" % (word(), one("", "." + word(), pick(digits, span(1, 5)), "." + pick(digits, 2)), one(word() + pick(digits, 1), word() + "." + word()), one("com", "org", "de", "example"))),
+        lambda: ((word(), one("id", "uuid", "request", word())), "-".join(pick(hexes, m) for m in (8, 4, 4, 4, 12)) + stop()),
+        lambda: ((word(), word()), word() + word() + pick(digits, span(1, 5)) + stop()),
+        lambda: ((word(), one("on", "at", "since", word())), "20%s-0%s-1%s" % (pick(digits, 2), pick("123456789", 1), pick(digits, 1)) + one("", "T10:30:00", "T08") + stop()),
+        lambda: ((word(), word()), "https://%s.%s/%s/%s?%s=%s" % (word(), one("com", "org"), word(), one(word(), pick(digits, 5)), name(), one(word(), pick(digits, 2), pick(digits, 6)))),
+        lambda: ((word(), word()), "%s%s%s" % (name(), one("=", ":"), quoted(one(word() + word(), pick(digits, span(1, 7)), word() + pick(digits, span(1, 4)), pick(hexes, 6)))) + stop()),
+        lambda: ((word(), word()), one(f"v{pick(digits, 1)}.{pick(digits, 2)}.{pick(digits, 2)}-{word()}{pick(digits, 2)}", (word() + word() + word()).upper(), (word() + "_" + word() + "_" + pick(digits, 2)).upper(), f"{pick(digits, 3)}.{pick(digits, 2)}.{pick(digits, 1)}.{pick(digits, 3)}")),
+        lambda: ((word(), key(), one("=", ":")), quoted(stand_in()) + stop()),
+        lambda: ((word(),), one("%s=%s", "%s:%s") % (key(), stand_in()) + stop()),
+        lambda: ((word(), one("the", "a", "his", "our", "their"), one("secret:", "pass:", "token:", "private:", "password:")), word() + stop()),
+        lambda: ((word(),), '{"%s":"%s %s","%s":"%s"}' % (name(), word(), word(), name(), one(word() + word(), pick(digits, 5)))),
+        lambda: ((word(), word()), "data:image/png;base64," + pick(alnum + "+/", 40)),
+    )
     rows = []
     for k in range(n):
-        before, after = [word(), word(), word()], f"{word()} {word()}"
-        if k % 2:
-            shape = rng.integers(12)
-            if shape == 0:
-                before, w = [word(), key(), one("=", ":")], one('"%s"', "'%s'", "%s") % pick(hexes, one(32, 40, 64))
-            elif shape == 1:
-                w = one("%s=%s", "%s:%s", '%s="%s"') % (key(), pick(alnum + "!#%", rng.integers(8, 24)))
-            elif shape == 2:
-                w = one("AKIA", "ASIA") + pick(upper, 16)
-            elif shape == 3:
-                w = one("ghp_", "gho_", "glpat-", "sk_live_") + pick(alnum, one(20, 24, 36))
-            elif shape == 4:
-                before, w = [word(), key(), one("=", ":", "is")], one('"%s"', "%s") % pick(alnum, rng.integers(16, 44))
-            elif shape == 7:
-                w = '"%s":"%s","%s":"%s"}' % (key(), pick(alnum, rng.integers(6, 20)), key(), phrase())
-            elif shape == 8:
-                before, w = [word(), key(), one("=", ":", "=>")], one('"%s"', "'%s'") % phrase()
-            elif shape == 9:
-                before, w = [word(), key(), one("=", ":")], pick(alnum, rng.integers(4, 9)) + pick(digits, 2)
-            elif shape == 10:
-                w = one("%s,%s", "%s;%s") % tuple(one("AKIA", "ASIA") + pick(upper, 16) for _ in "ab")
-            elif shape == 11:
-                w = one("eyJ%s.eyJ%s.%s" % tuple(pick(alnum + "_-", rng.integers(12, 44)) for _ in "abc"), f"/{word()}?{key()}={pick(alnum, 16)}&page=2", f"{key().upper()}={phrase()}")
-            elif shape == 5:
-                w = "xoxb-" + pick(digits, 11) + "-" + pick(alnum, 24)
-            else:
-                w = f"{key()}={pick(digits + string.ascii_lowercase, rng.integers(6, 16))}"
-            rows.append((" ".join(before), w + junk(), after, 1))
-        else:
-            shape = rng.integers(15)
-            if shape == 12:
-                before, w = [word(), key(), one("=", ":")], one("null", "None", "true", "false", "str", "string", "os.environ", "required", "optional")
-            elif shape == 13:
-                before, w = [word(), one("the", "a", "his", "our"), one("secret:", "pass:", "token:", "private:", "password:")], word()
-            elif shape == 14:
-                w = '"%s":"%s%s","%s":"%s"}' % (one("title", "name", "user", "page"), word(), word(), one("note", "city", "lang"), one(word() + word(), pick(digits, 5)))
-            elif shape == 0:
-                before, w = [word(), word(), one("commit", "sha", "hash", "checksum")], pick(hexes, one(7, 12, 40, 64))
-            elif shape == 1:
-                w = f"/{word()}/{pick(hexes, one(8, 32))}/{word()}.{one('html', 'png', 'js')}"
-            elif shape == 2:
-                w = pick(digits, rng.integers(8, 20))
-            elif shape == 3:
-                w = f"+{pick(digits, one(10, 11, 12))}"
-            elif shape == 4:
-                w = f"{pick(digits, 3)}-{pick(digits, 4)}"
-            elif shape == 5:
-                w = f"{word()}.{pick(digits, 2)}@mail{pick(digits, 1)}.example.com"
-            elif shape == 6:
-                w = "-".join(pick(hexes, m) for m in (8, 4, 4, 4, 12))
-            elif shape == 7:
-                w = f"{word()}{word()}{pick(digits, rng.integers(1, 4))}"
-            elif shape == 8:
-                w = f"20{pick(digits, 2)}-0{pick('123456789', 1)}-1{pick(digits, 1)}{one('', 'T10')}"
-            elif shape == 9:
-                w = f"http://{word()}.example.com/{word()}/{pick(digits, 3)}?page={pick(digits, 1)}"
-            elif shape == 10:
-                w = f"{one('title', 'name', 'note', 'see', 'class', 'id', 'page')}{one('=', ':')}{word()}{word()}{one('', pick(digits, 3))}"
-            else:
-                w = one(f"v{pick(digits, 1)}.{pick(digits, 2)}.{pick(digits, 2)}-{word()}{pick(digits, 2)}", f"{word()}{word()}{word()}".upper())
-            rows.append((" ".join(before), w + junk(), after, 0))
+        kinds = secret if k % 2 else harmless
+        before, w = kinds[rng.integers(len(kinds))]()
+        rows.append((" ".join((word(), *before)), w, f"{word()} {word()}", k % 2))
     return rows
 
 
@@ -210,7 +203,7 @@ def _sql(s: str) -> str:
 def parted(text: F.Column) -> F.Column:
     """The pieces of text: every second one, from the second on, is a candidate.  MARK and ESCAPE are written as above."""
     safe = F.replace(F.replace(text, F.lit(ESCAPE), F.lit(ESCAPE + "1")), F.lit(MARK), F.lit(ESCAPE + "0"))
-    keys, values = ("".join(f"${{{c}{k}}}" for k in names) for c, names in (("k", "abcdf"), ("v", "abcdefg")))
+    keys, values = ("".join(f"${{{c}{k}}}" for k in names) for c, names in (("k", "abcdfh"), ("v", "abcdefgh")))
     return F.split(F.regexp_replace(safe, CANDIDATE, f"{keys}{MARK}{values}{MARK}"), MARK, -1)
 
 
