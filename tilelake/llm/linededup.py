@@ -12,6 +12,9 @@ place, stays, and the lines of every other one go.  Before that all lines of rep
 byte by byte (least and greatest text of each line hash, aggregated before the shuffle); chunks with lines that differ are
 not touched.  Every line that is removed stays somewhere: the line it repeats comes earlier in the order of ids and places.
 
+Documents without repeated chunks are told by a bitmap of hashes (bounded; a full one lets more through, and changes nothing
+else) and are not shuffled.
+
 Null text stays null.  A document whose every line goes keeps its row with an empty text.  Rows with equal id and
 text are one document and get the same result.  A null id sorts first.  Other columns stay as they are, whatever their
 names; `counts` names the two columns to add, and raises if the table has one of that name.  An empty table gives no rows.
@@ -21,9 +24,11 @@ A text is handled by one task as arrays of its lines, however long it is.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import cut, settled
 
 LONG, MOST, REACH = 50, 32, 8
+#: Bits of the filter that says which documents have no repeated chunk; they make 4 MB, whatever the number of documents.
+BITS = 1 << 25
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -69,9 +74,18 @@ def _spans(which: str) -> str:
     return f"array_distinct(flatten(transform(filter(cs, c -> {which}), c -> sequence(c.s, c.e))))"
 
 
+def _among(df: DataFrame, repeated: DataFrame) -> DataFrame:
+    """df with _may: false for documents that are surely not in repeated."""
+    slot = F.pmod(F.xxhash64("_d", "_t"), F.lit(BITS)) + 1
+    bits = repeated.select(slot.alias("_slot")).groupBy(F.bitmap_bucket_number("_slot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bits"))
+    df = df.withColumn("_bucket", F.bitmap_bucket_number(slot)).withColumn("_bit", F.bitmap_bit_position(slot)).join(F.broadcast(bits), "_bucket", "left")
+    byte = "cast(conv(hex(substring(_bits, cast(_bit div 8 as int) + 1, 1)), 16, 10) as int)"
+    return df.withColumn("_may", F.expr(f"_bits is not null and shiftright({byte}, cast(_bit % 8 as int)) % 2 = 1")).drop("_bucket", "_bit", "_bits")
+
+
 def differing(docs: DataFrame, repeated: DataFrame) -> DataFrame:
     """(line): hashes under which repeated chunks hold lines of different bytes."""
-    texts = _split(_keyed(docs).join(repeated, ["_d", "_t"]))
+    texts = _split(_among(_keyed(docs), repeated).where("_may").join(repeated, ["_d", "_t"]))
     lines = texts.select(F.expr(f"inline(transform({_spans('true')}, i -> struct(get(_h, i) as line, get(_lines, i) as body)))"))
     return lines.groupBy("line").agg(F.min("body").alias("a"), F.max("body").alias("z")).where("a <> z").select("line")
 
@@ -81,19 +95,24 @@ def dedup(docs: DataFrame, long_words: int = LONG, counts: tuple[str, str] | Non
     cols = docs.columns
     if set(counts or ()) & set(cols):
         raise ValueError(f"the table has a column {set(counts) & set(cols)}; name the counts differently")
-    repeated = _repeated(docs, long_words)
-    bad = differing(docs, repeated)
+    repeated = cut(_repeated(docs, long_words))
+    bad = cut(differing(docs, repeated))
     src = docs.select(*(F.col(f"`{c}`").alias(f"in_{k}") for k, c in enumerate(cols)), F.coalesce(F.col("doc_id").cast("long"), F.lit(-2**63)).alias("_d"), F.xxhash64("text").alias("_t"))
+    src = _among(src, repeated)
     text = F.col(f"in_{cols.index('text')}")
-    # only texts that lose something are taken apart again
-    df = src.join(repeated, ["_d", "_t"], "left").withColumn("_text", F.when(F.expr("exists(cs, c -> not c.first)"), text.cast("string")))
-    df = _split(df)
+    lines = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
+
+    def shown(df: DataFrame, new: F.Column, removed: F.Column) -> DataFrame:
+        more = [c.alias(name) for name, c in zip(counts or (), (lines, removed))]
+        return df.select(*((new if c == "text" else F.col(f"in_{k}")).alias(c) for k, c in enumerate(cols)), *more)
+
+    df = src.where("_may").join(repeated, ["_d", "_t"], "left").withColumn("_text", F.when(F.expr("exists(cs, c -> not c.first)"), text.cast("string")))
+    df = _split(df)  # only texts that lose something are taken apart again
     if not bad.isEmpty():
         hit = _split(_keyed(docs).join(repeated, ["_d", "_t"])).select("_d", "_t", F.expr("posexplode(_h)").alias("at", "line")).join(bad, "line")
         df = df.join(hit.groupBy("_d", "_t").agg(F.collect_set("at").alias("_bad")), ["_d", "_t"], "left")
         df = df.withColumn("cs", F.expr("filter(cs, c -> not exists(coalesce(_bad, array()), i -> i between c.s and c.e))"))
     df = df.withColumn("_left", F.expr(f"transform(array_except(sequence(0, _n - 1), {_spans('not c.first')}), i -> get(_lines, i))"))
-    total = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
-    removed = F.when(F.col("_text").isNotNull(), F.col("_n") - F.size("_left")).otherwise(0)
-    more = [c.alias(name) for name, c in zip(counts or (), (total, removed))]
-    return df.select(*(F.when(F.col("_text").isNotNull(), F.array_join("_left", "\n")).otherwise(text).alias(c) if c == "text" else F.col(f"in_{k}").alias(c) for k, c in enumerate(cols)), *more)
+    gone = F.col("_text").isNotNull()
+    touched = shown(df, F.when(gone, F.array_join("_left", "\n")).otherwise(text), F.when(gone, F.col("_n") - F.size("_left")).otherwise(0))
+    return touched.unionByName(shown(src.where("not _may"), text, F.lit(0)))
