@@ -644,16 +644,47 @@ def test_quality(spark):
     ship(spark)
     rng = np.random.default_rng(6)
     bad = lambda: " ".join(w.upper() + "!!" for w in rng.choice(WORDS, 30))
-    rows = [(i, bad() if i % 5 == 0 else sentence(rng, 30)) for i in range(300)] + [(300, None), (301, "")]
+    rows = [(i, bad() if i % 5 == 0 else sentence(rng, 30)) for i in range(1200)] + [(1200, None), (1201, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_text", F.lit(1))
-    labels = spark.createDataFrame([(i, int(i % 5 != 0)) for i in range(0, 300, 2)], "doc_id long, quality int")
+    labels = spark.createDataFrame([(i, int(i % 5 != 0)) for i in range(0, 1200, 2)], "doc_id long, quality int")
     held = F.col("doc_id") % 3 == 1
     got = {r["doc_id"]: r for r in quality.score(df, labels, held).collect()}
-    assert len(got) == 302 and all(0 <= r["score"] <= 1 for r in got.values())
-    assert sum(got[i]["predicted"] == int(i % 5 != 0) for i in range(300)) >= 295
+    assert len(got) == 1202 and all(0 <= r["score"] <= 1 for r in got.values())
+    assert sum(got[i]["predicted"] == int(i % 5 != 0) for i in range(1200)) >= 1180
     kept = quality.keep_good(df, labels, held)
-    assert kept.columns == df.columns and kept.where("doc_id < 300 and doc_id % 5 = 0").count() <= 3
+    assert kept.columns == df.columns and kept.where("doc_id < 1200 and doc_id % 5 = 0").count() <= 12
     assert {r["score"] for r in quality.score(df, labels.limit(0), held).collect()} == {0.5}
+    # labels of 0 change nothing; repeated rows and rows without an id are scored alike; columns of the operator's names stay
+    more = df.unionByName(df.where("doc_id = 2")).unionByName(df.where("doc_id = 2").withColumn("doc_id", F.lit(None).cast("long")))
+    more = more.select("doc_id", "text", *(F.lit(1).alias(c) for c in ("_score", "kind", "x", "in_0", "held_out")))
+    again = quality.score(more, labels.where("quality = 1"), held).collect()
+    assert len(again) == 1204 and all(abs(r["score"] - got[r["doc_id"] or 2]["score"]) < 1e-9 for r in again if r["doc_id"] != 0)
+    assert quality.keep_good(more, labels, held).columns == more.columns and quality.score(empty(spark), labels, held).count() == 0
+
+
+def test_prior_and_risk():
+    rng = np.random.default_rng(3)
+    pos, unl = rng.normal(2, 1, 3000), np.r_[rng.normal(2, 1, 4200), rng.normal(-2, 1, 1800)]
+    assert abs(quality.best_bin(pos, unl) - 0.7) < 0.05
+    # one step of descent from equal weights lowers the risk as it is defined, where the bracket is positive
+    x, y = rng.normal(0.5, 1, (400, quality.N_FEATURES)), rng.normal(-0.5, 1, (800, quality.N_FEATURES))
+
+    def risk(net, prior):
+        lp, lu = net.score(x), net.score(y)
+        return prior * (1 - lp).mean() + max(0.0, lu.mean() - prior * lp.mean())
+
+    before = quality.Net(np.zeros(quality.N_FEATURES), np.ones(quality.N_FEATURES))
+    first = risk(before, 0.4)
+    assert risk(before.fit(x, y, 0.4, steps=200), 0.4) < 0.5 * first
+
+
+def test_features_against_counting():
+    text = "The THE cat!! sat, on\nthe mat\nthe mat 42"
+    got = dict(zip(range(quality.N_FEATURES), quality.features(text)))
+    words, tail = text.split(), quality.N_FEATURES - 14
+    assert abs(got[tail] - math.log1p(len(words)) / 10) < 1e-12 and got[tail + 1] == len(set(words)) / len(words)
+    assert got[tail + 2] == max(Counter(words).values()) / len(words) and abs(got[tail + 4] - np.mean([len(w) for w in words]) / 10) < 1e-12
+    assert got[tail + 12] == 1.0 and not quality.features(" \n").any() and abs(got[2] - 2 / len(text)) < 1e-12
 
 
 def test_pipeline(spark):

@@ -1,14 +1,18 @@
 """Quality scores by positive-unlabelled learning with the non-negative risk estimator.
 
-Positives are trusted documents (label 1); everything else in the training fold is unlabelled web text.  A small
-network over text statistics minimises  pi R_p(+) + max(0, R_u(-) - pi R_p(-)),  with the sigmoid loss; where the
-bracket is negative, the step goes against it.  The class prior pi is estimated on labelled rows of the training fold,
-as the share of label 1; without label 0 there, DEFAULT_PRIOR holds.  Scores are calibrated on the same bounded sample
-by Platt's method, so that 0.5 is where both labels are equally likely.
-
-The sample is bounded: POSITIVES positive and UNLABELLED unlabelled documents (and NEGATIVES rows of label 0 for prior and
-calibration), the first in the order of a hash of the id.  Every document is scored over its whole text.  Null text
-is empty text and gets the score of its all-zero statistics.  Without positives, every document scores 0.5.
+Positives are trusted documents (label 1); everything else in the training fold is unlabelled web text.  Label 0 is not used.
+The class prior pi, the share of positives in the unlabelled text, is estimated from the two samples alone: a first network
+tells positives from unlabelled text; on the halves of the samples that it has not seen, pi is the share of unlabelled
+text over that of positives above a threshold, at the threshold where the upper confidence bound of that ratio is least
+(the best bin: there, unlabelled text is nearly all positive).  A second network over the same text statistics minimises
+pi R_p(+) + max(0, R_u(-) - pi R_p(-)),  with the sigmoid loss; where the bracket is negative, the step goes against it.
+The score is the sigmoid of its margin, so 0.5 is where that risk puts the border.
+
+The sample is bounded: of each kind the ids with the least hash in each of POSITIVES or UNLABELLED cells of hashes.  Every
+document is scored over its whole text.  Null text is empty text and gets the score of its all-zero statistics.  Without
+positives, every document scores 0.5.  Repeated rows are scored each, alike; rows that share an id count once in the sample;
+a null id is scored but never sampled.  A score of just 0.5 is predicted 1.  keep_good() keeps every column, whatever its name.
+Empty tables give no rows.
 """
 
 from collections import Counter
@@ -19,8 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-POSITIVES, UNLABELLED, NEGATIVES, DEFAULT_PRIOR = 3000, 6000, 1500, 0.5
+POSITIVES, UNLABELLED = 3000, 6000
 HIDDEN, STEPS, BATCH, RATE = 16, 1500, 512, 0.01
+#: Part of the bound by Hoeffding's inequality that best_bin() takes; the whole one is wide for samples of hundreds.
+SLACK = 1.0
 
 _UPPER, _LOWER, _DIGIT, _SPACE, _HIGH, _MARK = (np.zeros(256, bool) for _ in range(6))
 _UPPER[65:91] = _LOWER[97:123] = _DIGIT[48:58] = _HIGH[128:] = True
@@ -59,9 +65,9 @@ def features(text: str) -> np.ndarray:
 
 
 class Net:
-    def __init__(self, mean, std, weights=None, scale=(1.0, 0.0), seed=3):
+    def __init__(self, mean, std, weights=None, seed=3):
         rng = np.random.default_rng(seed)
-        self.mean, self.std, self.scale = mean, std, scale
+        self.mean, self.std = mean, std
         self.w = weights or [rng.normal(0, 1 / np.sqrt(N_FEATURES), (N_FEATURES, HIDDEN)), np.zeros(HIDDEN),
                              rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)]
 
@@ -78,10 +84,11 @@ class Net:
         return np.clip((x - self.mean) / self.std, -8, 8)
 
     def score(self, x):
-        m = self._margin(self.scaled(x))[1] * self.scale[0] + self.scale[1]
+        m = self._margin(self.scaled(x))[1]
         return 1 / (1 + np.exp(-np.clip(m, -50, 50)))
 
-    def fit(self, pos, unl, prior, steps=STEPS, decay=1e-4, seed=4):
+    def fit(self, pos, unl, prior: float | None, steps=STEPS, decay=1e-4, seed=4):
+        """Least non-negative risk for a prior; without one, the logistic loss of telling positives from unlabelled text."""
         pos, unl = self.scaled(pos), self.scaled(unl)
         rng = np.random.default_rng(seed)
         m, v = [[np.zeros_like(w) for w in self.w] for _ in range(2)]
@@ -90,12 +97,14 @@ class Net:
             hp, mp = self._margin(p)
             hu, mu = self._margin(u)
             lp, lu = 1 / (1 + np.exp(-mp)), 1 / (1 + np.exp(-mu))  # loss of calling it positive wrongly; 1 - loss the other way
-            negative = lu.mean() - prior * lp.mean()
+            add = lambda a, b, sign=1: [sign * (x + y) for x, y in zip(a, b)]
             dp, du = lp * (1 - lp) / len(p), lu * (1 - lu) / len(u)
-            if negative >= 0:
-                g = [a + b for a, b in zip(self._pull(p, hp, -2 * prior * dp), self._pull(u, hu, du))]
+            if prior is None:
+                g = add(self._pull(p, hp, (lp - 1) / len(p)), self._pull(u, hu, lu / len(u)))
+            elif lu.mean() >= prior * lp.mean():
+                g = add(self._pull(p, hp, -2 * prior * dp), self._pull(u, hu, du))
             else:
-                g = [-(a + b) for a, b in zip(self._pull(u, hu, du), self._pull(p, hp, -prior * dp))]
+                g = add(self._pull(u, hu, du), self._pull(p, hp, -prior * dp), -1)
             lr = RATE * (1 - 0.9 * i / steps)
             for k, w in enumerate(self.w):
                 d = g[k] + decay * w
@@ -104,52 +113,52 @@ class Net:
                 self.w[k] = w - lr * (m[k] / (1 - 0.9**i)) / (np.sqrt(v[k] / (1 - 0.99**i)) + 1e-8)
         return self
 
-    def calibrate(self, x, y, steps=400):
-        s = self._margin(self.scaled(x))[1]
-        a, b = 1.0, 0.0
-        for _ in range(steps):
-            p = 1 / (1 + np.exp(-np.clip(a * s + b, -50, 50)))
-            g, h = p - y, p * (1 - p) + 1e-6
-            ga, gb = (g * s).mean() + 1e-3 * a, g.mean()
-            haa, hab, hbb = (h * s * s).mean() + 1e-3, (h * s).mean(), h.mean()
-            det = haa * hbb - hab * hab + 1e-12
-            a, b = a - 0.5 * (hbb * ga - hab * gb) / det, b - 0.5 * (haa * gb - hab * ga) / det
-        self.scale = (float(a), float(b))
-        return self
+
+def best_bin(pos: np.ndarray, unl: np.ndarray, delta: float = 0.1) -> float:
+    """Share of positives in unlabelled text, from scores that are high for positives."""
+    cut = np.sort(pos)[::-1]
+    share_p = np.arange(1, len(cut) + 1) / len(cut)
+    share_u = 1 - np.searchsorted(np.sort(unl), cut, "left") / len(unl)
+    slack = SLACK * np.sqrt(np.log(4 / delta) / 2) * (1 / np.sqrt(len(unl)) + 1.01 / np.sqrt(len(pos)))
+    at = int(((share_u + slack) / share_p).argmin())
+    return float(min(share_u[at] / share_p[at], 1.0))
+
+
+def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
+    """best_bin() on one half of each sample, scored by a network that learned from the other half."""
+    net = Net(unl.mean(0), unl.std(0) + 1e-3).fit(pos[::2], unl[::2], None, decay=3e-3)
+    rest = [x[1::2] if len(x) > 1 else x for x in (pos, unl)]
+    return float(np.clip(best_bin(*map(net.score, rest)), 0.01, 0.99))
 
 
-def _first(df: DataFrame, n: int) -> DataFrame:
-    return df.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+def _sampled(df: DataFrame, n: int) -> DataFrame:
+    """Of the ids the one with the least hash in each of n cells of hashes."""
+    h = F.xxhash64("doc_id")
+    return df.where(F.col("doc_id").isNotNull()).groupBy(F.pmod(h, F.lit(n)).alias("cell")).agg(F.min_by("doc_id", h).alias("doc_id")).select("doc_id")
 
 
 def learn(docs: DataFrame, labels: DataFrame, train: F.Column, label_col: str = "quality") -> Net | None:
     """Labels of ids that `docs` lacks are not used."""
     spark = docs.sparkSession
-    known = labels.where(train & F.col(label_col).isNotNull()).select("doc_id", F.col(label_col).cast("int").alias("y"))
-    shares = {r["y"]: r["n"] for r in known.where("y in (0, 1)").groupBy("y").agg(F.count("*").alias("n")).collect()}
-    prior = shares[1] / (shares[0] + shares[1]) if shares.get(0) and shares.get(1) else DEFAULT_PRIOR
-    kinds = (("p", known.where("y = 1"), POSITIVES), ("n", known.where("y = 0"), NEGATIVES), ("u", docs.where(train), UNLABELLED))
-    ids = [(r["doc_id"], k) for k, df, n in kinds for r in _first(df, n).collect()]  # at most 10,500
+    trusted = labels.where(train & (F.col(label_col).cast("int") == 1)).select(F.col("doc_id").cast("long").alias("doc_id"))
+    kinds = (("p", trusted, POSITIVES), ("u", docs.where(train).select(F.col("doc_id").cast("long").alias("doc_id")), UNLABELLED))
+    ids = [(r["doc_id"], k) for k, df, n in kinds for r in _sampled(df, n).collect()]  # at most 9000
     wanted = spark.createDataFrame(ids, "doc_id long, kind string")
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(t or "").tolist() for t in b.column(1).to_pylist()],
-                                                                    pa.list_(pa.float64()))], ["kind", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([features(t or "").tolist() for t in b.column(2).to_pylist()],
+                                                                                pa.list_(pa.float64()))], ["doc_id", "kind", "x"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(wanted), "doc_id").select("kind", "text")
-    found: dict[str, list] = {"p": [], "n": [], "u": []}
-    for r in rows.mapInArrow(run, "kind string, x array<double>").collect():
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(wanted), "doc_id").select("doc_id", "kind", "text")
+    found: dict[str, list] = {"p": [], "u": []}
+    for r in rows.mapInArrow(run, "doc_id long, kind string, x array<double>").groupBy("kind", "doc_id").agg(F.min("x").alias("x")).orderBy("kind", F.xxhash64("doc_id")).collect():
         found[r["kind"]].append(r["x"])
-    pos, neg, unl = (np.array(sorted(found[k])).reshape(-1, N_FEATURES) for k in "pnu")
+    pos, unl = (np.array(found[k]).reshape(-1, N_FEATURES) for k in "pu")
     if not len(pos):
         return None
     unl = unl if len(unl) else pos
-    net = Net(unl.mean(0), unl.std(0) + 1e-3).fit(pos, unl, prior)
-    if len(neg):
-        x, y = np.concatenate([pos, neg]), np.r_[np.ones(len(pos)), np.zeros(len(neg))]
-        net.calibrate(x, y)
-    return net
+    return Net(unl.mean(0), unl.std(0) + 1e-3).fit(pos, unl, estimate_prior(pos, unl))
 
 
 def _scored(docs: DataFrame, net: Net | None, column: str) -> DataFrame:
