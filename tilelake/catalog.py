@@ -1,11 +1,10 @@
 """The registered queries over derived slide tables, each with DuckDB SQL that gives the same rows."""
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
 from tilelake.fixtures import load, oracle
 from tilelake.functions.geometry import area, iou, over_smaller
 from tilelake.operators import cover, heatmap, spatial, suppress, tiles as T
+from tilelake.sources import files
 from tilelake.streaming import uploads as S
 
 QUERIES: dict = {}
@@ -38,13 +37,13 @@ _GLOBAL = """g as (select d.*, d.x1 + t.position_x as X1g, d.y1 + t.position_y a
 
 def _settle(rounds: int = 5) -> str:
     """Common table expressions k1, s1, ... over nodes(g, id) and edges(g, u, v); s{rounds} holds the suppressed."""
-    out = ["k1 as (select g, u from edges where (g, u) not in (select (g, v) from edges))".replace("(select (g, v)", "(select g, v"),
-           "s1 as (select distinct e.g, e.v from edges e join k1 using (g, u))"]
+    out = ["k1 as materialized (select g, u from edges where (g, u) not in (select (g, v) from edges))".replace("(select (g, v)", "(select g, v"),
+           "s1 as materialized (select distinct e.g, e.v from edges e join k1 using (g, u))"]
     for i in range(2, rounds + 1):
         p = i - 1
-        out.append(f"b{i} as (select distinct e.g, e.v from edges e left join s{p} s on e.g = s.g and e.u = s.v where s.v is null)")
-        out.append(f"k{i} as (select distinct e.g, e.u from edges e left join s{p} s on e.g = s.g and e.u = s.v left join b{i} b on e.g = b.g and e.u = b.v where s.v is null and b.v is null)")
-        out.append(f"s{i} as (select distinct e.g, e.v from edges e join k{i} using (g, u))")
+        out.append(f"b{i} as materialized (select distinct e.g, e.v from edges e left join s{p} s on e.g = s.g and e.u = s.v where s.v is null)")
+        out.append(f"k{i} as materialized (select distinct e.g, e.u from edges e left join s{p} s on e.g = s.g and e.u = s.v left join b{i} b on e.g = b.g and e.u = b.v where s.v is null and b.v is null)")
+        out.append(f"s{i} as materialized (select distinct e.g, e.v from edges e join k{i} using (g, u))")
     return ", ".join(out)
 
 
@@ -57,13 +56,13 @@ def _iou(a: str, b: str) -> str:
 # ---- suppression ---------------------------------------------------------------------------------------------------
 
 @query(f"""with bx as (select d.slide_id, d.tile_idx, d.cell_id, d.score, d.x1 + t.position_x as x1, d.y1 + t.position_y as y1, d.x2 + t.position_x as x2, d.y2 + t.position_y as y2,
-      d.cell_id * 80 + d.tile_idx as id from detections d join tiles t using (slide_id, tile_idx) where d.label = 0),
+      d.tile_idx::bigint * 1000000000000000 + d.cell_id as id from detections d join tiles t using (slide_id, tile_idx) where d.label = 0),
     pr as (select a.slide_id, a.tile_idx as ti, b.tile_idx as tj, greatest(a.position_x, b.position_x) as l, greatest(a.position_y, b.position_y) as t,
       least(a.position_x, b.position_x) + 2448 as r, least(a.position_y, b.position_y) + 2048 as bt from tiles a join tiles b on a.slide_id = b.slide_id
       and ((b.row_index = a.row_index and b.col_index = a.col_index + 1) or (b.row_index = a.row_index - 1 and abs(b.col_index - a.col_index) <= 1))),
     band as (select p.slide_id * 10000 + p.ti * 100 + p.tj as g, p.slide_id, x.id, x.score, x.x1, x.y1, x.x2, x.y2 from pr p join bx x on x.slide_id = p.slide_id and x.tile_idx in (p.ti, p.tj)
       where x.x1 < r and x.x2 > l and x.y1 < bt and x.y2 > t and l < r and t < bt),
-    edges as (select a.g, a.id as u, b.id as v from band a join band b on a.g = b.g and (a.score > b.score or (a.score = b.score and a.id < b.id)) where {_iou('a', 'b')} > 0.2),
+    edges as materialized (select a.g, a.id as u, b.id as v from band a join band b on a.g = b.g and (a.score > b.score or (a.score = b.score and a.id < b.id)) where {_iou('a', 'b')} > 0.2),
     {_settle()}, gone as (select distinct g // 10000 as slide_id, v as id from s5)
     select x.slide_id, x.tile_idx, count(*) as kept, cast(sum(x.cell_id % 1000003) as bigint) as id_sum from bx x left join gone using (slide_id, id) where gone.id is null group by 1, 2""", "detections", "tiles")
 def n2_cross_tile_dedup(s, d):
@@ -83,7 +82,7 @@ _MEGS = """mg as (select m.slide_id, m.meg_id as id, m.rate, m.x + t.position_x
 
 def _nms_sql(score: str, where: str) -> str:
     return f"""with {_MEGS}, nb as (select *, slide_id as g, {score} as sc from mg),
-    edges as (select a.g, a.id as u, b.id as v from nb a join nb b on a.g = b.g and (a.sc > b.sc or (a.sc = b.sc and a.id < b.id)) where {where}), {_settle()}
+    edges as materialized (select a.g, a.id as u, b.id as v from nb a join nb b on a.g = b.g and (a.sc > b.sc or (a.sc = b.sc and a.id < b.id)) where {where}), {_settle()}
     select n.slide_id, n.id as meg_id, n.x1, n.y1, n.x2, n.y2 from nb n left join s5 s on n.g = s.g and n.id = s.v where s.v is null"""
 
 
@@ -98,7 +97,7 @@ def n3_greedy_nms(s, d):
 
 @query(_nms_sql("(x2 - x1)::double * (y2 - y1)", _iou("a", "b") + " > 0.9"), "megs", "tiles")
 def n5_meg_global_nms(s, d):
-    return _kept(suppress.nms(_megs(s, d).withColumn("score", area(suppress.BOX)), ["slide_id"], 0.9, 512))
+    return _kept(suppress.meg_boxes(_megs(s, d), ["slide_id"]))
 
 
 @query(_nms_sql("(x2 - x1)::double * (y2 - y1)", """(greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0)::double * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0))
@@ -136,7 +135,7 @@ def f3_global_boxes(s, d):
 
 @query("select slide_id, tile_idx, row_index, cast(7 - row_index as int) as flipped from tiles", "tiles")
 def f4_row_flip(s, d):
-    return load(s, d, "tiles").select("slide_id", "tile_idx", "row_index", (7 - F.col("row_index")).alias("flipped"))
+    return T.flip_rows(load(s, d, "tiles"), 8).select("slide_id", "tile_idx", "row_index", "flipped")
 
 
 @query("select slide_id, tile_idx, cell_id, score from detections where row_index between 1 and 6 and col_index between 1 and 8", "detections")
@@ -151,7 +150,7 @@ def f2_roi_cells(s, d):
 
 @query("select slide_id, tile_idx, cell_id, score from detections where label = 0", "detections")
 def f7_nucleated(s, d):
-    return load(s, d, "detections").where("label = 0").select("slide_id", "tile_idx", "cell_id", "score")
+    return T.of_label(load(s, d, "detections")).select("slide_id", "tile_idx", "cell_id", "score")
 
 
 @query("""select d.slide_id, d.tile_idx, d.cell_id from detections d where exists (select 1 from mask_pixels m where m.slide_id = d.slide_id and m.tile_idx = d.tile_idx
@@ -192,9 +191,7 @@ def f20_windows(s, d):
 
 @query("""select slide_id, tile_idx, position_x, position_y from tiles where position_x + 2448 > 3000 and position_x < 12000 and position_y + 2048 > 2000 and position_y < 9000""", "tiles")
 def f17_visible_tiles(s, d):
-    t = load(s, d, "tiles")
-    return t.where((F.col("position_x") + T.TILE_W > ROI[0]) & (F.col("position_x") < ROI[2]) & (F.col("position_y") + T.TILE_H > ROI[1]) & (F.col("position_y") < ROI[3])).select(
-        "slide_id", "tile_idx", "position_x", "position_y")
+    return T.visible(load(s, d, "tiles"), *T.viewport(-1500, -1000, 0.5, 4500, 3500)).select("slide_id", "tile_idx", "position_x", "position_y")
 
 
 @query("""select m.slide_id, m.meg_id, greatest(0, least(m.x - 40, 2448 - 384)) as vx, greatest(0, least(m.y - 40, 2048 - 283)) as vy from megs m""", "megs")
@@ -294,7 +291,7 @@ def a4_head_crop(s, d):
 
 @query(f"with {_GRID} select slide_id, round(avg(score), 6) as mean_score, count(*) as cells from grid where score <> -1000 group by 1", "blocks_raw", "tiles")
 def a5_mean_score(s, d):
-    return _grid(s, d).groupBy("slide_id").agg(_r(F.avg(F.when(F.col("score") != -1000, F.col("score")))).alias("mean_score"), F.count(F.when(F.col("score") != -1000, 1)).alias("cells"))
+    return heatmap.mean_score(_grid(s, d)).withColumn("mean_score", _r("mean_score"))
 
 
 @query(f"""with {_GRID}, r as (select slide_id, min(score) as lo, max(score) as hi from grid group by 1)
@@ -305,54 +302,48 @@ def a12_grey(s, d):
 
 @query(f"with {_SCORED} select slide_id, tile_idx, dx, dy from sc where grade <> 5", "blocks_raw")
 def f9_not_particle(s, d):
-    return _scored(s, d).where("label is not null and label <> 5").select("slide_id", "tile_idx", "dx", "dy")
-
-
-_E = [f"exp(least(cast(embedding[{i + 1}] as double) * 8, 32))" for i in range(7)]
+    return heatmap.off_label(_scored(s, d)).select("slide_id", "tile_idx", "dx", "dy")
 
 
-@query(f"""with e as (select vec_id, {', '.join(f'{x} as e{i}' for i, x in enumerate(_E))} from embeddings), p as (select vec_id, unnest([0,1,2,3,4,5,6]) as type,
-    unnest([{', '.join(f'e{i}' for i in range(7))}]) / ({' + '.join(f'e{i}' for i in range(7))}) as percent from e)
+@query(f"""with e as (select vec_id, unnest(range(len(embedding))) as type, exp(least(cast(unnest(embedding) as double) * 8, 32)) as x from embeddings),
+    p as (select vec_id, type, x / sum(x) over (partition by vec_id) as percent from e)
     select vec_id, cast(row_number() over (partition by vec_id order by percent desc, type) as int) as rank, cast(type as int) as type, round(percent, 6) as percent from p
     qualify row_number() over (partition by vec_id order by percent desc, type) <= 5""")
 def w2_softmax_top_k(s, d):
-    e = load(s, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 7), lambda x: x.cast("double") * 8).alias("l"))
+    e = load(s, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 8).alias("l"))
     t = e.select("vec_id", F.posexplode(heatmap.top_k(heatmap.softmax(F.col("l")), 5)).alias("rank", "t"))
     return t.select("vec_id", (F.col("rank") + 1).alias("rank"), F.col("t.type").alias("type"), _r(F.col("t.percent")).alias("percent"))
 
 
-@query("""select vec_id, cast(case when greatest(embedding[1], embedding[2], embedding[3]) = embedding[1] then 0 when greatest(embedding[1], embedding[2], embedding[3]) = embedding[2] then 1 else 2 end as int) as label
-    from embeddings where greatest(embedding[1], embedding[2], embedding[3]) >= 0.1""")
+@query("""select vec_id, cast(list_position(embedding, list_max(embedding)) - 1 as int) as label from embeddings where list_max(embedding) >= 0.1::float""")
 def f5_class_argmax(s, d):
-    a = F.slice("embedding", 1, 3)
-    return load(s, d, "embeddings").where(F.array_max(a) >= F.lit(0.1)).select("vec_id", heatmap.argmax(a).alias("label"))
+    return heatmap.classes(load(s, d, "embeddings"), F.col("embedding"), F.lit(0.1).cast("float")).select("vec_id", "label")
 
 
 @query("""select slide_id, tile_idx, cell_id, cast(row_number() over (partition by slide_id, tile_idx order by score desc, cell_id) as int) as rank from detections
     qualify row_number() over (partition by slide_id, tile_idx order by score desc, cell_id) <= 20""", "detections")
 def w3_top_k_boxes(s, d):
-    w = Window.partitionBy("slide_id", "tile_idx").orderBy(F.desc("score"), "cell_id")
-    return load(s, d, "detections").withColumn("rank", F.row_number().over(w)).where("rank <= 20").select("slide_id", "tile_idx", "cell_id", "rank")
+    return suppress.best_scores(load(s, d, "detections").withColumnRenamed("cell_id", "id"), ["slide_id", "tile_idx"], 20).select("slide_id", "tile_idx", F.col("id").alias("cell_id"), "rank")
 
 
 # ---- aggregates, order and sets ----------------------------------------------------------------------------------------
 
 @query("select slide_id, tile_idx, count(*) as cells, cast(sum(label) as bigint) as megs from detections group by 1, 2", "detections")
 def a3_cells_per_tile(s, d):
-    return load(s, d, "detections").groupBy("slide_id", "tile_idx").agg(F.count("*").alias("cells"), F.sum(F.col("label").cast("long")).alias("megs"))
+    return T.cells_per_tile(load(s, d, "detections"))
 
 
 @query("""select slide_id, min(gx) as x1, min(gy) as y1, max(gx + w) as x2, max(gy + h) as y2, greatest(max(gx) - min(gx), max(gy) - min(gy)) as span from cells_true group by 1""", "cells_true")
 def a6_bounding_box(s, d):
-    c = load(s, d, "cells_true")
-    return c.groupBy("slide_id").agg(F.min("gx").alias("x1"), F.min("gy").alias("y1"), F.max(F.col("gx") + F.col("w")).alias("x2"), F.max(F.col("gy") + F.col("h")).alias("y2"),
-                                     F.greatest(F.max("gx") - F.min("gx"), F.max("gy") - F.min("gy")).alias("span"))
+    return spatial.bounds(load(s, d, "cells_true").selectExpr("slide_id", "gx as x1", "gy as y1", "gx + w as x2", "gy + h as y2"), ["slide_id"])
 
 
 @query("""select slide_id, tile_idx, px // 306 as dx, py // 256 as dy, count(*) filter (where white > 200) as white_px, count(*) filter (where red > 128) as red_px from mask_pixels group by 1, 2, 3, 4""", "mask_pixels")
 def a9_block_areas(s, d):
-    m = load(s, d, "mask_pixels").withColumn("dx", F.expr("cast(px div 306 as int)")).withColumn("dy", F.expr("cast(py div 256 as int)"))
-    return m.groupBy("slide_id", "tile_idx", "dx", "dy").agg(F.count_if(F.col("white") > 200).alias("white_px"), F.count_if(F.col("red") > 128).alias("red_px"))
+    m = load(s, d, "mask_pixels")
+    blocks = m.select("slide_id", "tile_idx").distinct().withColumn("dx", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("dy", F.explode(F.array(F.lit(0), F.lit(1))))
+    rects = blocks.select("*", (F.col("dx") * 306).alias("x1"), (F.col("dy") * 256).alias("y1"), (F.col("dx") * 306 + 306).alias("x2"), (F.col("dy") * 256 + 256).alias("y2"))
+    return heatmap.pixel_areas(m, rects, ["slide_id", "tile_idx"], ["dx", "dy"])
 
 
 @query("""select slide_id, view_id, x, y, cast(row_number() over (partition by slide_id order by x, y) as int) as sort_id from views""", "views")
@@ -378,32 +369,35 @@ def w9_latest_tile(s, d):
 
 @query("select slide_id, tile_idx from tiles except select slide_id, tile_idx from megs where rate > 0.7", "tiles", "megs")
 def o2_remaining(s, d):
-    return load(s, d, "tiles").select("slide_id", "tile_idx").join(load(s, d, "megs").where("rate > 0.7"), ["slide_id", "tile_idx"], "left_anti")
+    return T.remaining(load(s, d, "tiles").select("slide_id", "tile_idx"), load(s, d, "megs").where("rate > 0.7"), ["slide_id", "tile_idx"])
 
 
 @query("""with d as (select distinct doc_id, path, last_value(scalar_value) over (partition by doc_id, path order by seq rows between unbounded preceding and unbounded following) as v,
     count(*) over (partition by doc_id, path) as n from doc_updates) select doc_id, path, v as value, n from d""", "doc_updates")
 def s11_merge_updates(s, d):
-    return load(s, d, "doc_updates").groupBy("doc_id", "path").agg(F.max_by("scalar_value", "seq").alias("value"), F.count("*").alias("n"))
+    u = load(s, d, "doc_updates")
+    return files.merge_scalars(u.withColumnRenamed("scalar_value", "value"), ["doc_id"]).join(u.groupBy("doc_id", "path").agg(F.count("*").alias("n")), ["doc_id", "path"])
 
 
 # ---- views and uploads ---------------------------------------------------------------------------------------------------
 
-@query("""select p.slide_id, p.cell_id, cast(i.i * 96 as int) as wx, cast(j.j * 70 as int) as wy from cells_true p, range(300) i(i), range(300) j(j) where p.slide_id = 0 and p.label = 1
-    and i.i * 96 <= p.gx and p.gx <= i.i * 96 + 384 and j.j * 70 <= p.gy and p.gy <= j.j * 70 + 283""", "cells_true")
+@query("""with i as (select slide_id, cell_id, gy, unnest(range(cast(ceil((gx - 384) / 96.0::double) as int), gx // 96 + 1)) as i from cells_true),
+    j as (select slide_id, cell_id, i, unnest(range(cast(ceil((gy - 283) / 70.0::double) as int), gy // 70 + 1)) as j from i)
+    select slide_id, cell_id, cast(i * 96 as int) as wx, cast(j * 70 as int) as wy from j""", "cells_true")
 def r9_candidate_views(s, d):
-    p = load(s, d, "cells_true").where("slide_id = 0 and label = 1").selectExpr("slide_id", "cell_id", "gx as x", "gy as y")
+    p = load(s, d, "cells_true").selectExpr("slide_id", "cell_id", "gx as x", "gy as y")
     return cover.windows_of(p, ["slide_id"], "cell_id", 384, 283, 0.25)
 
 
-@query("select slide_id, count(*) as points, cast(0 as bigint) as uncovered from cells_true where label = 1 group by 1", "cells_true")
+@query("select slide_id, count(*) as points, count(*) as gained, cast(0 as bigint) as idle, cast(0 as bigint) as uncovered from cells_true group by 1", "cells_true")
 def r10_set_cover(s, d):
-    """Greedy cover; the result counts points that no chosen view covers, which is none."""
-    p = load(s, d, "cells_true").where("label = 1").selectExpr("slide_id", "cell_id", "gx as x", "gy as y")
-    chosen = cover.greedy_cover(cover.windows_of(p, ["slide_id"], "cell_id", 1224, 1024, 0.5), ["slide_id"], "cell_id")
+    """Greedy cover.  The chosen windows' gains are the points, each once (`gained`), none gains nothing (`idle`), no point is left out."""
+    p = load(s, d, "cells_true").selectExpr("slide_id", "cell_id", "gx as x", "gy as y")
+    chosen = suppress._cut(cover.greedy_cover(cover.windows_of(p, ["slide_id"], "cell_id", 1224, 1024, 0.5), ["slide_id"], "cell_id"))
     boxes = chosen.selectExpr("slide_id", "wx as x1", "wy as y1", "wx + 1224 as x2", "wy + 1024 as y2")
     hit = spatial.points_in_boxes(p, boxes, ["slide_id"], 1024, closed=True).select("slide_id", "cell_id").distinct().withColumn("hit", F.lit(1))
-    return p.join(hit, ["slide_id", "cell_id"], "left").groupBy("slide_id").agg(F.count("*").alias("points"), F.count_if(F.col("hit").isNull()).alias("uncovered"))
+    gains = chosen.groupBy("slide_id").agg(F.sum("gain").alias("gained"), F.count_if(F.col("gain") < 1).alias("idle"))
+    return p.join(hit, ["slide_id", "cell_id"], "left").groupBy("slide_id").agg(F.count("*").alias("points"), F.count_if(F.col("hit").isNull()).alias("uncovered")).join(gains, "slide_id")
 
 
 @query("""select event_id, task_id, cast(case when n_bytes = 0 then 201 when row_number() over (partition by task_id, row_index, col_index, n_bytes > 0 order by ts, event_id) > 1 then 103 else 0 end as int) as code

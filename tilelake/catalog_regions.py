@@ -150,9 +150,9 @@ def w6_display_order(s, d):
 
 
 @query(f"""with {_TYPED}, o as (select *, row_number() over (partition by slide_id, view_type order by so, view_pos_y::double, view_pos_x::double, task_id) as n from tt)
-    select slide_id, task_id, view_type from o where view_type = 'wbc' or (view_type = 'meg' and n <= 10)""", "megs")
+    select slide_id, task_id, view_type from o where view_type = 'wbc' or (view_type = 'meg' and n <= 50)""", "megs")
 def w8_shown_tasks(s, d):
-    return K.shown_tasks(_tasks(s, d), ["slide_id"], 10).select("slide_id", "task_id", "view_type")
+    return K.shown_tasks(_tasks(s, d), ["slide_id"]).select("slide_id", "task_id", "view_type")
 
 
 @query(f"""with {_TYPED}, p as (select slide_id, row_index, col_index, count(*) filter (where view_type = 'wbc') as wbc, count(*) filter (where view_type = 'meg') as meg from tt where view_type is not null group by 1, 2, 3)
@@ -205,7 +205,7 @@ def x8_edge_action(s, d):
 # ---- suppression presets ---------------------------------------------------------------------------------------------------
 
 def _preset(least: float, threshold: float) -> str:
-    return f"""with {_MEGS}, nb as (select *, slide_id as g from mg where rate > {least}), edges as (select a.g, a.id as u, b.id as v from nb a join nb b on a.g = b.g
+    return f"""with {_MEGS}, nb as (select *, slide_id as g from mg where rate > {least}), edges as materialized (select a.g, a.id as u, b.id as v from nb a join nb b on a.g = b.g
       and (a.rate > b.rate or (a.rate = b.rate and a.id < b.id)) where {_iou('a', 'b')} > {threshold}), {_settle()}
     select n.slide_id, n.id as meg_id from nb n left join s5 s on n.g = s.g and n.id = s.v where s.v is null"""
 
@@ -215,13 +215,26 @@ def n4_meg_100x(s, d):
     return suppress.preset(_megs(s, d).withColumnRenamed("rate", "score"), ["slide_id"], "meg_100x").select("slide_id", F.col("id").alias("meg_id"))
 
 
-@query(f"""with nb as (select *, cell_id as id, slide_id * 100 + tile_idx as g from detections where score >= 0.5 qualify row_number() over (partition by slide_id, tile_idx order by score desc, cell_id) <= 60),
-    edges as (select a.g, a.id as u, b.id as v from nb a join nb b on a.g = b.g and (a.score > b.score or (a.score = b.score and a.id < b.id)) where {_iou('a', 'b')} > 0.6), {_settle()}
-    select n.slide_id, n.tile_idx, n.cell_id, round(greatest(0, least((x1 - 12.0::double) / 0.5::double, 2448)), 6) as x1, round(greatest(0, least((y1 - 8.0::double) / 0.5::double, 2048)), 6) as y1
-    from nb n left join s5 s on n.g = s.g and n.id = s.v where s.v is null""", "detections")
+for _name, _f in (("meg_40x", (0.45, 0.7)), ("wbc_100x", (0.3, 0.2)), ("sub_tile", (0.5, 0.45))):
+    def _run(s, d, name=_name):
+        return suppress.preset(_megs(s, d).withColumnRenamed("rate", "score"), ["slide_id"], name).select("slide_id", F.col("id").alias("meg_id"))
+
+    _run.__name__ = f"n4_{_name}"
+    query(_preset(*_f), "megs", "tiles")(_run)
+
+
+@query(f"""with nb as (select *, cell_id as id, slide_id * 100 + tile_idx as g from detections where score >= 0.4 qualify row_number() over (partition by slide_id, tile_idx order by score desc, cell_id) <= 30000),
+    edges as materialized (select a.g, a.id as u, b.id as v from nb a join nb b on a.g = b.g and a.x1 < b.x2 and b.x1 < a.x2 and a.y1 < b.y2 and b.y1 < a.y2
+      and (a.score > b.score or (a.score = b.score and a.id < b.id)) where {_iou('a', 'b')} > 0.6), {_settle()},
+    kept as (select n.*, row_number() over (partition by n.g order by score desc, x1, y1, x2, y2, n.id) as place from nb n left join s5 s on n.g = s.g and n.id = s.v where s.v is null)
+    select slide_id, tile_idx, cell_id, cast(label as int) as label, cast(place as int) as place, round(greatest(0, least((x1 - 12.0::double) / 0.5::double, 2448)), 6) as x1,
+    round(greatest(0, least((y1 - 8.0::double) / 0.5::double, 2048)), 6) as y1 from kept where place <= 2000""", "detections")
 def n7_post_process(s, d):
-    out = suppress.post_process(load(s, d, "detections").withColumnRenamed("cell_id", "id"), ["slide_id", "tile_idx"], 0.5, 0.6, 60)
-    return T.unpad(out, 0.5, 12.0, 8.0, 2448, 2048).select("slide_id", "tile_idx", F.col("id").alias("cell_id"), _r("x1").alias("x1"), _r("y1").alias("y1"))
+    each = lambda c: F.when(F.col("label") == c, F.col("score")).otherwise(F.col("score") - 0.25)
+    raw = load(s, d, "detections").select("slide_id", "tile_idx", F.col("cell_id").alias("id"), ((F.col("x1") + F.col("x2")) / 2).alias("cx"), ((F.col("y1") + F.col("y2")) / 2).alias("cy"),
+                                          (F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h"), F.array(each(0), each(1)).alias("p"))
+    out = T.unpad(suppress.post_process(raw, ["slide_id", "tile_idx"]), 0.5, 12.0, 8.0, 2448, 2048)
+    return out.select("slide_id", "tile_idx", F.col("id").alias("cell_id"), "label", "place", _r("x1").alias("x1"), _r("y1").alias("y1"))
 
 
 # ---- regions ---------------------------------------------------------------------------------------------------------------
@@ -234,10 +247,9 @@ def a2_cells_of_regions(s, d):
     return R.cells_of_regions(_grid(s, d).where("score > -6"), n, ["slide_id"], AREA)
 
 
-@query("select task_id, count(distinct row_index * 2 + col_index) = 4 as complete from uploads group by 1", "uploads")
+@query("select task_id, count(distinct case when n_bytes > 0 then row_index * 2 + col_index end) = 4 as complete from uploads group by 1", "uploads")
 def a7_upload_complete(s, d):
-    u = load(s, d, "uploads")
-    return u.groupBy("task_id").agg((F.count_distinct("row_index", "col_index") == 4).alias("complete"))
+    return T.upload_complete(load(s, d, "uploads"), 2, 2)
 
 
 def _quad_sql(x: str, y: str, corners) -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tilelake.operators.spatial import points_in_boxes
 from tilelake.operators.suppress import _cut
 
 # Width and height shares of the candidate rectangles (fixed values).
@@ -14,34 +15,38 @@ ASPECTS = ((1.25, 1.0), (2.0, 1.0), (3.5, 1.0), (5.0, 1.0), (1.0, 1.25), (1.0, 2
 
 def rect_sizes(magnitudes, aspects=ASPECTS) -> list[tuple[int, int]]:
     """Odd rectangle sizes for each magnitude and aspect, distinct and sorted; a small table on the driver."""
-    out = set()
-    for m in magnitudes:
-        for rw, rh in aspects:
-            step = math.sqrt(8 * m / (rw * rh))
-            w, h = round(step * rw), round(step * rh)
-            out.add((w + 1 - w % 2, h + 1 - h % 2))
-    return sorted(out)
+    odd = lambda n: n + 1 - n % 2
+    return sorted({tuple(odd(round(math.sqrt(8 * m / (a[0] * a[1])) * side)) for side in a) for m in magnitudes for a in aspects})
 
 
-def windows_of(points: DataFrame, keys: list[str], point_id: str, w: int, h: int, ratio: float) -> DataFrame:
-    """(keys, point_id, wx, wy): the windows of a stride grid that cover each point, borders included.
+def auto_ratio(points: DataFrame, keys: list[str], w: int, h: int, ratio: float = 0.25, most: int = 20_000) -> float:
+    """The stride ratio at which no key has over `most` windows within its points' bounds: ratio times the root of the excess, at most 1."""
+    side = lambda c, size: F.ceil((F.max(c) - F.min(c) + 1) / max(1, int(size * ratio)))
+    n = points.groupBy(*keys).agg((side("x", w) * side("y", h)).alias("n")).agg(F.max("n")).first()[0] or 0
+    return ratio if n <= most else min(1.0, ratio * math.sqrt(n / most))
+
+
+def windows_of(points: DataFrame, keys: list[str], point_id: str, w: int, h: int, ratio: float, closed: bool = True) -> DataFrame:
+    """(keys, point_id, wx, wy): the windows of a stride grid that cover each point, borders included (the lower ones only unless closed).
 
     A window k starts at k * step, so those that cover x are a range of k; no window without points is ever made.
     """
     sx, sy = max(1, int(w * ratio)), max(1, int(h * ratio))
-    rng = lambda c, size, s: F.sequence(F.greatest(F.lit(0), F.ceil((F.col(c) - size) / s)).cast("int"), F.floor(F.col(c) / s).cast("int"))
+    low = lambda c, size, s: F.ceil((F.col(c) - size) / s) if closed else F.floor((F.col(c) - size) / s) + 1
+    rng = lambda c, size, s: F.sequence(low(c, size, s).cast("int"), F.floor(F.col(c) / s).cast("int"))
     return points.select(*keys, point_id, F.explode(rng("x", w, sx)).alias("i"), "y").select(*keys, point_id, "i", F.explode(rng("y", h, sy)).alias("j")).select(
         *keys, point_id, (F.col("i") * sx).alias("wx"), (F.col("j") * sy).alias("wy"))
 
 
-def greedy_cover(cand: DataFrame, keys: list[str], point_id: str, most_rounds: int = 200) -> DataFrame:
+def greedy_cover(cand: DataFrame, keys: list[str], point_id: str) -> DataFrame:
     """Windows (keys, wx, wy, gain) that together cover every point of cand (keys, point_id, wx, wy).
 
     Each round takes every window that gains most among the windows sharing one of its uncovered points; ties go to
-    the smaller window.  The result is the sequential greedy cover.
+    the smaller window.  The result is the sequential greedy cover.  The window of the greatest gain is always taken, so the
+    rounds end.
     """
     left, chosen = _cut(cand), None
-    for _ in range(most_rounds):
+    while True:
         if left.isEmpty():
             return chosen if chosen is not None else cand.select(*keys, "wx", "wy").withColumn("gain", F.lit(0).cast("long")).limit(0)
         gain = left.groupBy(*keys, "wx", "wy").agg(F.count("*").alias("gain"))
@@ -52,7 +57,20 @@ def greedy_cover(cand: DataFrame, keys: list[str], point_id: str, most_rounds: i
         chosen = take if chosen is None else chosen.unionByName(take)
         done = left.join(take, [*keys, "wx", "wy"], "left_semi").select(*keys, point_id).distinct()
         left = _cut(left.join(done, [*keys, point_id], "left_anti"))
-    raise RuntimeError("cover did not settle")
+
+
+def recentre(views: DataFrame, points: DataFrame, keys: list[str], view_id: str, point_id: str, w: int, h: int) -> DataFrame:
+    """Views (keys, view_id, x, y), each moved to the middle of the points that it owns; views that own none go.
+
+    A point in several views is owned by the one whose centre is nearest, the lower one on ties.  Points stay inside.
+    """
+    boxes = views.select(*keys, view_id, F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + w).alias("x2"), (F.col("y") + h).alias("y2"))
+    hit = points_in_boxes(points.select(*keys, point_id, "x", "y"), boxes, keys, max(w, h))
+    dx, dy = F.col("x") - F.col("x1") - w / 2, F.col("y") - F.col("y1") - h / 2
+    owner = hit.groupBy(*keys, point_id).agg(F.min(F.struct((dx * dx + dy * dy).alias("d"), view_id)).alias("o"), F.first("x").alias("x"), F.first("y").alias("y"))
+    low = owner.groupBy(*keys, F.col(f"o.{view_id}").alias(view_id)).agg(*(f(F.floor(c)).alias(n + c) for c in "xy" for n, f in (("a", F.min), ("z", F.max))))
+    mid = lambda c, size: F.floor((F.col("a" + c) + F.col("z" + c) + 1 - size) / 2).cast("int")
+    return low.select(*keys, view_id, mid("x", w).alias("x"), mid("y", h).alias("y"))
 
 
 def order_from_first(rects: DataFrame, keys: list[str], rect_id: str) -> DataFrame:

@@ -5,6 +5,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilelake.operators.spatial import points_in_boxes
+
 WEIGHTS = [64.0, 32.0, 16.0, 8.0, 4.0, 2.0, 1.0]
 
 
@@ -25,6 +27,35 @@ def argmax(a: Column) -> Column:
     return (F.array_position(a, F.array_max(a)) - 1).cast("int")
 
 
+def classes(df: DataFrame, scores: Column, least) -> DataFrame:
+    """Rows whose best class scores at least `least`, with that class (the first on ties) as label."""
+    return df.where(F.array_max(scores) >= least).withColumn("label", argmax(scores))
+
+
+def mean_score(grid: DataFrame, missing: float = -1000.0) -> DataFrame:
+    """Mean of each slide's valid scores, and their number."""
+    valid = F.when(F.col("score") != missing, F.col("score"))
+    return grid.groupBy("slide_id").agg(F.avg(valid).alias("mean_score"), F.count(valid).alias("cells"))
+
+
+def off_label(blocks: DataFrame, label: int = 5) -> DataFrame:
+    """Blocks of a known label other than one; 5 is a marrow particle."""
+    return blocks.where(F.col("label").isNotNull() & (F.col("label") != label))
+
+
+def pixel_areas(pixels: DataFrame, rects: DataFrame, keys: list[str], names: list[str], white: int = 200, red: int = 128, size: int = 256) -> DataFrame:
+    """White and red pixels (px, py, white, red) of each rectangle (keys, names, x1..y2) that holds any pixel."""
+    hit = points_in_boxes(pixels.withColumn("x", F.col("px")).withColumn("y", F.col("py")), rects, keys, size)
+    return hit.groupBy(*keys, *names).agg(F.count_if(F.col("white") > white).alias("white_px"), F.count_if(F.col("red") > red).alias("red_px"))
+
+
+def complete_blocks(blocks: DataFrame, tiles: DataFrame, rows: int, cols: int) -> DataFrame:
+    """Slides that break what a full grid promises: their tiles and places, and their tiles without just four blocks."""
+    four = blocks.groupBy("slide_id", "tile_idx").agg(F.count_distinct("dx", "dy").alias("n"))
+    t = tiles.select("slide_id", "tile_idx").join(four, ["slide_id", "tile_idx"], "left").groupBy("slide_id").agg(F.count("*").alias("tiles"), F.count_if(F.coalesce("n", F.lit(0)) != 4).alias("odd_tiles"))
+    return t.withColumn("places", F.lit(rows * cols).cast("long")).where("tiles <> places or odd_tiles > 0")
+
+
 def grade(p: Column) -> Column:
     return argmax(p)
 

@@ -60,3 +60,18 @@ def halo(selected: DataFrame, tiles: DataFrame, reach: int = 1) -> DataFrame:
     near = selected.select("slide_id", "row_index", "col_index").withColumn("dr", F.explode(steps)).withColumn("dc", F.explode(steps)).select(
         "slide_id", (F.col("row_index") + F.col("dr")).alias("row_index"), (F.col("col_index") + F.col("dc")).alias("col_index")).distinct()
     return near.join(tiles.select("slide_id", "row_index", "col_index"), ["slide_id", "row_index", "col_index"], "left_semi")
+
+
+def bounds(boxes: DataFrame, keys: list[str], pad: int = 0) -> DataFrame:
+    """Bounding box (x1..y2) of each key's boxes, padded, and the span: the wider range of their origins."""
+    span = F.greatest(F.max("x1") - F.min("x1"), F.max("y1") - F.min("y1")).alias("span")
+    return boxes.groupBy(*keys).agg((F.min("x1") - pad).alias("x1"), (F.min("y1") - pad).alias("y1"), (F.max("x2") + pad).alias("x2"), (F.max("y2") + pad).alias("y2"), span)
+
+
+def tightened(points: DataFrame, keys: list[str], view: tuple[int, int], share: float = 0.1) -> DataFrame:
+    """Box (x, y, w, h) around each key's points, padded by a share of its range on each side, and no smaller than a view."""
+    g = points.groupBy(*keys).agg(*(f(c).alias(f"_{n}{c}") for c in "xy" for n, f in (("a", F.min), ("z", F.max))))
+    for c, size, v in (("x", "w", view[0]), ("y", "h", view[1])):
+        pad = (F.col(f"_z{c}") - F.col(f"_a{c}")) * share
+        g = g.withColumn(c, F.floor(F.col(f"_a{c}") - pad)).withColumn(size, F.greatest(F.ceil(F.col(f"_z{c}") + pad) - F.col(c), F.lit(v)))
+    return g.select(*keys, "x", "y", "w", "h")

@@ -5,38 +5,40 @@ outranks it.  A round keeps every box without a live edge into it, suppresses wh
 of suppressed boxes; the result equals the sequential one, in as many rounds as the longest chain of suppressions.
 """
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tilelake.functions.geometry import area, iou, over_smaller
 from tilelake.operators.spatial import adjacent_tiles, box_pairs
+from tilelake.sources.files import shared_folder
 
 BOX = ("x1", "y1", "x2", "y2")
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
-    return df.checkpoint()
-
-
-def suppressed(edges: DataFrame, keys: list[str], most_rounds: int = 100) -> DataFrame:
-    """(keys, v) of the suppressed boxes."""
-    live = _cut(edges.select(*keys, "u", "v"))
-    out = None
-    for _ in range(most_rounds):
-        if live.isEmpty():
-            return live.select(*keys, "v") if out is None else out
-        low = live.select(*keys, F.col("v").alias("u")).distinct()
-        new = _cut(live.join(low, [*keys, "u"], "left_anti").select(*keys, "v").distinct())
+    """df written to the shared checkpoint folder, and read from there: a plan without lineage, whose size Spark knows."""
+    path = shared_folder(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def suppressed(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, v) of the suppressed boxes.
+
+    One checkpoint a round: the live edges, marked where nothing live points at their source.  Every round settles the
+    best box of each group of live edges at least, so the rounds end however long a chain is.
+    """
+    live, out = edges.select(*keys, "u", "v"), None
+    while True:
+        low = live.select(*keys, F.col("v").alias("u")).distinct().withColumn("_low", F.lit(True))
+        marked = _cut(live.join(low, [*keys, "u"], "left").withColumn("_low", F.col("_low").isNotNull()))
+        new = marked.where("not _low").select(*keys, "v").distinct()
         out = new if out is None else out.unionByName(new)
-        gone = new.withColumnRenamed("v", "u")
-        live = _cut(live.join(gone, [*keys, "u"], "left_anti").join(new, [*keys, "v"], "left_anti"))
-    raise RuntimeError("suppression did not settle")
+        rest = marked.where("_low").drop("_low")
+        if rest.isEmpty():
+            return out
+        live = rest.join(new.withColumnRenamed("v", "u"), [*keys, "u"], "left_anti").join(new, [*keys, "v"], "left_anti")
 
 
 def conflicts(boxes: DataFrame, keys: list[str], threshold: float, size: int, measure=iou) -> DataFrame:
@@ -72,7 +74,7 @@ def cross_tile_dedup(detections: DataFrame, tiles: DataFrame, threshold: float =
     boxes = detections.where("label = 0").join(place, ["slide_id", "tile_idx"]).select(
         "slide_id", "tile_idx", "cell_id", "score", (F.col("x1") + F.col("position_x")).alias("x1"), (F.col("y1") + F.col("position_y")).alias("y1"),
         (F.col("x2") + F.col("position_x")).alias("x2"), (F.col("y2") + F.col("position_y")).alias("y2"),
-        (F.col("cell_id") * 80 + F.col("tile_idx")).alias("id"))
+        F.struct("tile_idx", "cell_id").alias("id"))
     pairs = adjacent_tiles(tiles).select(
         "slide_id", "ti", "tj", F.greatest("ix", "jx").alias("_l"), F.greatest("iy", "jy").alias("_t"),
         (F.least("ix", "jx") + width).alias("_r"), (F.least("iy", "jy") + height).alias("_b"))
@@ -87,14 +89,38 @@ def cross_tile_dedup(detections: DataFrame, tiles: DataFrame, threshold: float =
 PRESETS = {"meg_40x": (0.45, 0.7), "meg_100x": (0.6, 0.3), "wbc_100x": (0.3, 0.2), "sub_tile": (0.5, 0.45)}
 
 
+def per_class(boxes: DataFrame, keys: list[str], threshold: float, size: int, agnostic: bool = False) -> DataFrame:
+    """nms() within each label (regardless of it if agnostic), numbered by score, then place: `place` from 1 in each key."""
+    kept = nms(boxes, keys if agnostic else [*keys, "label"], threshold, size)
+    return kept.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), *BOX, "id")))
+
+
+def meg_boxes(boxes: DataFrame, keys: list[str], threshold: float = 0.9, size: int = 512) -> DataFrame:
+    """Of exactly equal boxes the first one; then larger boxes suppress those that they overlap almost wholly."""
+    first = boxes.join(first_of_equal(boxes, keys).select(*keys, "id"), [*keys, "id"], "left_semi")
+    return nms(first.withColumn("score", area(BOX)), keys, threshold, size)
+
+
 def preset(boxes: DataFrame, keys: list[str], name: str, size: int = 512) -> DataFrame:
     """Boxes above a preset's score, suppressed at its threshold."""
     least, threshold = PRESETS[name]
     return nms(boxes.where(F.col("score") > least), keys, threshold, size)
 
 
-def post_process(boxes: DataFrame, keys: list[str], least: float = 0.4, threshold: float = 0.6, most: int = 30000, size: int = 64) -> DataFrame:
-    """The best-scoring boxes of each image, suppressed regardless of class."""
-    best = Window.partitionBy(*keys).orderBy(F.desc("score"), "id")
-    top = boxes.where(F.col("score") >= least).withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= most).drop("_n")
-    return nms(top, keys, threshold, size)
+def best_scores(boxes: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """The `most` boxes of the best score in each key, the smaller id on ties, with their rank."""
+    return boxes.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "id"))).where(F.col("rank") <= most)
+
+
+def post_process(raw: DataFrame, keys: list[str], least: float = 0.4, threshold: float = 0.6, most: int = 30000, most_kept: int = 2000, agnostic: bool = True,
+                 size: int = 64) -> DataFrame:
+    """Boxes from a detector's output (id, cx, cy, w, h, p: the score of each class).
+
+    Each takes its best class and that score; those of at least `least` and, of these, the best `most` of an image, are suppressed
+    (regardless of class if agnostic), and the first `most_kept` by score and place stay, numbered by `place`.
+    """
+    score = F.array_max("p")
+    boxes = raw.where(score >= least).select(
+        *keys, "id", score.alias("score"), (F.array_position("p", score) - 1).cast("int").alias("label"), (F.col("cx") - F.col("w") / 2).alias("x1"), (F.col("cy") - F.col("h") / 2).alias("y1"),
+        (F.col("cx") + F.col("w") / 2).alias("x2"), (F.col("cy") + F.col("h") / 2).alias("y2"))
+    return per_class(best_scores(boxes, keys, most).drop("rank"), keys, threshold, size, agnostic).where(F.col("place") <= most_kept)

@@ -4,11 +4,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tilelake.operators.suppress import _cut
+
 TILE_W, TILE_H = 2448, 2048
 
 
-def missing_tiles(tiles: DataFrame, rows: int, cols: int) -> DataFrame:
-    """Places of the rows x cols grid that have no tile, or a tile without image."""
+def missing_tiles(tiles: DataFrame, rows: int, cols: int, order: str | None = None) -> DataFrame:
+    """Places of the rows x cols grid that have no tile, or a tile without image; of tiles added again, the last by `order` counts.
+
+    A sparse layer (0 rows or columns) has no places of its own: it reports its tiles without image.
+    """
+    if order:
+        tiles = latest(tiles, ["slide_id", "row_index", "col_index"], order)
+    if not rows or not cols:
+        return tiles.where("image_uid is null").select("slide_id", "row_index", "col_index", F.lit(0).alias("position_missing"), F.lit(1).alias("image_missing"))
     grid = tiles.select("slide_id").distinct().withColumn("row_index", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))).withColumn(
         "col_index", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
     out = grid.join(tiles.select("slide_id", "row_index", "col_index", "image_uid", F.lit(1).alias("here")), ["slide_id", "row_index", "col_index"], "left")
@@ -61,6 +70,23 @@ def widen(boxes: DataFrame, factor: int, width: int, height: int, scale: int) ->
     return boxes.withColumn("x1", fit(cx - rw, width)).withColumn("y1", fit(cy - rh, height)).withColumn("x2", fit(cx + rw, width)).withColumn("y2", fit(cy + rh, height))
 
 
+def big_cell_peaks(peaks: DataFrame, least: float, stride: int, width: int, height: int) -> DataFrame:
+    """Peaks of a pooled map with decoded size (w, h) and offset (ox, oy), in cells of `stride` pixels, as boxes clipped to the image."""
+    p = peaks.where((F.col("center") == F.col("center_pool")) & (F.col("center") >= least))
+    mid = lambda c, o: (F.col(c) + F.col(o)) * stride
+    fit = lambda v, m: F.greatest(F.lit(0), F.least(v.cast("int"), F.lit(m)))
+    return p.withColumn("x1", fit(mid("px", "ox") - F.col("w") / 2, width)).withColumn("y1", fit(mid("py", "oy") - F.col("h") / 2, height)).withColumn(
+        "x2", fit(mid("px", "ox") + F.col("w") / 2, width)).withColumn("y2", fit(mid("py", "oy") + F.col("h") / 2, height))
+
+
+def windows_to_tile(boxes: DataFrame) -> DataFrame:
+    """Boxes found in sub-tile windows (wx, wy: the window's origin) in the coordinates of the tile."""
+    out = boxes
+    for c, o in (("x1", "wx"), ("x2", "wx"), ("y1", "wy"), ("y2", "wy")):
+        out = out.withColumn(c, F.col(c) + F.col(o))
+    return out
+
+
 def local_peaks(peaks: DataFrame, least: float, white: float, side: int, width: int, height: int) -> DataFrame:
     """Peaks of a pooled map as boxes of a fixed side, clipped to the image."""
     r = side // 2
@@ -77,6 +103,60 @@ def windows(tiles: DataFrame, side: int, n: int = 3) -> DataFrame:
     return tiles.withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps)).withColumn("wx", start("j", TILE_W).cast("int")).withColumn("wy", start("i", TILE_H).cast("int"))
 
 
+def flip_rows(df: DataFrame, rows: int, row: str = "row_index", to: str = "flipped") -> DataFrame:
+    """Row numbers that grow downwards as ones that grow upwards, or back."""
+    return df.withColumn(to, (F.lit(rows - 1) - F.col(row)).cast("int"))
+
+
+def of_label(cells: DataFrame, label: int = 0) -> DataFrame:
+    """Cells of a label; 0 is nucleated."""
+    return cells.where(F.col("label") == label)
+
+
+def of_classes(cells: DataFrame, classes: DataFrame, column: str = "label") -> DataFrame:
+    """Cells whose class is in a table of allowed classes."""
+    return cells.join(classes.select(column), column, "left_semi")
+
+
+def visible(tiles: DataFrame, x1: float, y1: float, x2: float, y2: float) -> DataFrame:
+    """Tiles that a viewport shows part of."""
+    return tiles.where((F.col("position_x") + TILE_W > x1) & (F.col("position_x") < x2) & (F.col("position_y") + TILE_H > y1) & (F.col("position_y") < y2))
+
+
+def viewport(offset_x: float, offset_y: float, zoom: float, width: int, height: int) -> tuple[float, float, float, float]:
+    """The part of a slide that a window of width x height shows at a zoom, moved by an offset of window pixels."""
+    return -offset_x / zoom, -offset_y / zoom, (width - offset_x) / zoom, (height - offset_y) / zoom
+
+
+def cells_per_tile(cells: DataFrame) -> DataFrame:
+    return cells.groupBy("slide_id", "tile_idx").agg(F.count("*").alias("cells"), F.sum(F.col("label").cast("long")).alias("megs"))
+
+
+def remaining(all_rows: DataFrame, taken: DataFrame, keys: list[str]) -> DataFrame:
+    return all_rows.join(taken, keys, "left_anti")
+
+
+def letterbox(w: Column, h: Column, side: int = 1248, stride: int = 32, exact: bool = False) -> tuple[Column, Column, Column]:
+    """Scale, left and top padding of an image of w x h fitted into a square; padding is cut to whole strides unless exact.
+
+    Halves of the padding are rounded after taking off a tenth, so the odd pixel goes to the right and the bottom.
+    """
+    r = F.least(F.lit(float(side)) / h, F.lit(float(side)) / w)
+
+    def pad(n: Column) -> Column:
+        d = F.lit(float(side)) - F.round(n * r)
+        d = (d if exact else d % stride) / 2 - 0.1
+        return F.when(d < 0, -F.floor(0.5 - d)).otherwise(F.floor(d + 0.5)).cast("int")  # halves away from zero
+
+    return r, pad(w), pad(h)
+
+
+def unpad_by_size(boxes: DataFrame, width: int, height: int, side: int = 1248, stride: int = 32) -> DataFrame:
+    """unpad() with the scale and padding that letterbox() gives for an image of width x height."""
+    r, left, top = letterbox(F.lit(width), F.lit(height), side, stride)
+    return unpad(boxes, r, left, top, width, height)
+
+
 def latest(tiles: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The last row of each key."""
     return tiles.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).where("_n = 1").drop("_n")
@@ -87,22 +167,45 @@ def clamp_view(x: Column, origin: Column, view: int, tile: int) -> Column:
     return F.greatest(F.lit(0), F.least(x - origin, F.lit(max(0, tile - view))))
 
 
-def nearest_tile(points: DataFrame, tiles: DataFrame, keys: list[str]) -> DataFrame:
-    """Each point's tile with the nearest centre, the lower tile on ties.
+def nearest_tile(points: DataFrame, tiles: DataFrame, keys: list[str], reach: int = max(TILE_W, TILE_H)) -> DataFrame:
+    """Each point's tile with the nearest centre, the lower tile on ties, wherever the tiles lie.
 
-    Tile origins lie on a grid of known steps, so only tiles within two steps of the point are compared; a point
-    with none (beyond holes in the grid) is compared with all tiles of its slide.
+    Tile centres go to the nine cells of width `reach` around them, so a point sees every tile within reach in its own cell.
+    What it finds there is right if it is no farther than reach; points that found nothing so near look again at twice the reach.
     """
-    t = tiles.select("slide_id", "tile_idx", "row_index", "col_index", (F.col("position_x") + TILE_W / 2).alias("tx"), (F.col("position_y") + TILE_H / 2).alias("ty"))
-    step = F.sequence(F.lit(-2), F.lit(2))
-    p = points.withColumn("_r", F.floor(F.col("y") / 1844).cast("int")).withColumn("_c", F.floor(F.col("x") / 2204).cast("int"))
-    near = p.withColumn("_a", F.explode(step)).withColumn("_b", F.explode(step)).withColumn("row_index", F.col("_r") + F.col("_a")).withColumn(
-        "col_index", F.col("_c") + F.col("_b")).drop("_a", "_b", "_r", "_c").join(t, ["slide_id", "row_index", "col_index"])
-    dist = (F.col("x") - F.col("tx")) * (F.col("x") - F.col("tx")) + (F.col("y") - F.col("ty")) * (F.col("y") - F.col("ty"))
-    pick = lambda df: df.groupBy("slide_id", *keys).agg(F.min(F.struct(dist.alias("d"), "tile_idx")).alias("m")).select("slide_id", *keys, F.col("m.tile_idx").alias("tile_idx"), F.col("m.d").alias("dist2"))
-    found = pick(near)
-    lost = points.join(found, ["slide_id", *keys], "left_anti").join(t, "slide_id")
-    return found.unionByName(pick(lost))
+    t = tiles.select("slide_id", "tile_idx", (F.col("position_x") + TILE_W / 2).alias("tx"), (F.col("position_y") + TILE_H / 2).alias("ty"))
+    ends = lambda df, *c: df.agg(*(f(x) for x in c for f in (F.min, F.max))).first()
+    a, b = ends(t, "tx", "ty"), ends(points, "x", "y")
+    if None in (*a, *b):
+        return points.select("slide_id", *keys, F.lit(None).cast("int").alias("tile_idx"), F.lit(None).cast("double").alias("dist2")).limit(0)
+    widest = max(max(a[k + 1], b[k + 1]) - min(a[k], b[k]) for k in (0, 2))
+    step, out, left = F.sequence(F.lit(-1), F.lit(1)), None, points
+    while True:
+        cell = lambda c: F.floor(F.col(c) / reach)  # noqa: B023, E731
+        around = t.withColumn("_a", F.explode(step)).withColumn("_b", F.explode(step)).select("slide_id", "tile_idx", "tx", "ty", (cell("tx") + F.col("_a")).alias("_u"), (cell("ty") + F.col("_b")).alias("_v"))
+        dist = (F.col("x") - F.col("tx")) * (F.col("x") - F.col("tx")) + (F.col("y") - F.col("ty")) * (F.col("y") - F.col("ty"))
+        seen = left.withColumn("_u", cell("x")).withColumn("_v", cell("y")).join(around, ["slide_id", "_u", "_v"])
+        found = seen.groupBy("slide_id", *keys).agg(F.min(F.struct(dist.alias("d"), "tile_idx")).alias("m")).select("slide_id", *keys, F.col("m.tile_idx").alias("tile_idx"), F.col("m.d").alias("dist2"))
+        last = reach > widest
+        found = found if last else found.where(F.col("dist2") <= float(reach) * reach)
+        if last and out is None:
+            return found
+        found = _cut(found)
+        out = found if out is None else out.unionByName(found)
+        left = left.join(found, ["slide_id", *keys], "left_anti")
+        if last or left.isEmpty():
+            return out
+        reach *= 2
+
+
+def received() -> Column:
+    """Places that an upload with a payload has filled."""
+    return F.count_distinct(F.when(F.col("n_bytes") > 0, F.struct("row_index", "col_index")))
+
+
+def upload_complete(uploads: DataFrame, rows: int, cols: int) -> DataFrame:
+    """Whether every place of a task's grid has an upload with a payload."""
+    return uploads.groupBy("task_id").agg((received() == rows * cols).alias("complete"))
 
 
 def upload_status(uploads: DataFrame) -> DataFrame:
@@ -113,6 +216,6 @@ def upload_status(uploads: DataFrame) -> DataFrame:
 
 def progress(uploads: DataFrame, rows: int, cols: int) -> DataFrame:
     """Received, expected and missing places of each task, and its status (100 when complete, else 101)."""
-    got = uploads.groupBy("task_id").agg(F.count_distinct(F.when(F.col("n_bytes") > 0, F.struct("row_index", "col_index"))).alias("received"))
+    got = uploads.groupBy("task_id").agg(received().alias("received"))
     return got.withColumn("expected", F.lit(rows * cols).cast("long")).withColumn("missing", F.col("expected") - F.col("received")).withColumn(
         "status", F.when(F.col("missing") == 0, 100).otherwise(101))

@@ -16,7 +16,10 @@ TILE_CENTRE = (1224, 1024)
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder that the driver and every executor see: below spark.checkpoint.dir; a temporary one only where that is unset."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = base or tempfile.mkdtemp(prefix="spark-")
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
@@ -124,6 +127,30 @@ def load_project(spark: SparkSession, path: str, slide_id: int | None = None) ->
     return df if slide_id is None else df.where(F.col("slide_id") == slide_id)
 
 
+def merge_scalars(updates: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, path, value): of each path the value of the last update (greatest seq)."""
+    return updates.groupBy(*keys, "path").agg(F.max_by("value", "seq").alias("value"))
+
+
+def merge_lists(updates: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, path, value): the lists of all updates of a path, appended in order of seq.  A path's list is one value of a document."""
+    ordered = F.array_sort(F.collect_list(F.struct("seq", "value")))
+    return updates.groupBy(*keys, "path").agg(F.flatten(F.transform(ordered, lambda s: s["value"])).alias("value"))
+
+
+def nested(merged: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, json): paths of two segments `a.b` (or one) and their values as a JSON document with one object for each first segment."""
+    part = F.split("path", "[.]", 2)
+    leaf = merged.select(*keys, F.get(part, F.lit(0)).alias("a"), F.get(part, F.lit(1)).alias("b"), F.to_json(F.struct(F.col("value").alias("v"))).alias("v"))
+    # the value's own JSON, without the object around it
+    leaf = leaf.withColumn("v", F.when(F.col("v") == "{}", "null").otherwise(F.expr("substring(v, 6, length(v) - 6)")))
+    text = lambda name, value: F.concat(F.expr(f"regexp_replace(to_json(array({name})), '^.|.$', '')"), F.lit(":"), value)
+    joined = lambda c: F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(c)), ","), F.lit("}"))
+    inner = leaf.where(F.col("b").isNotNull()).groupBy(*keys, "a").agg(joined(text("b", F.col("v"))).alias("v"))
+    top = inner.unionByName(leaf.where(F.col("b").isNull()).select(*keys, "a", "v"))
+    return top.groupBy(*keys).agg(joined(text("a", F.col("v"))).alias("json"))
+
+
 def json_safe(df: DataFrame) -> DataFrame:
     """Columns that JSON can hold: NaN and infinities become null, also inside arrays; dates, binaries and intervals become text."""
     def safe(c: F.Column, kind: str) -> F.Column:
