@@ -473,6 +473,31 @@ def chunks_by_reading(rows, even):
     return docs, where
 
 
+def brute_line_dedup(spark, rows):
+    """(doc_id, text, lines, removed) of each row (doc_id, text); only the hashes themselves come from Spark."""
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = {(a, b) for _, t in rows if t is not None for a, b in zip(t.split("\n"), t.split("\n")[1:])}
+    told = spark.createDataFrame(list(pairs), "a string, b string").selectExpr("a", "b", "pmod(xxhash64(xxhash64(a), xxhash64(b)), 2) = 0 as even")
+    even = {(r["a"], r["b"]): r["even"] for r in told.collect()}
+    t_hash = {r["text"]: r["h"] for r in df.selectExpr("text", "xxhash64(text) as h").collect()}
+    docs, where = chunks_by_reading(rows, even)
+    gone: dict = {k: set() for k in docs}
+    for places in where.values():
+        first = min(places, key=lambda p: (p[0][0], t_hash[p[0][1]], p[1]))
+        for key, s, e in places:
+            if (key, s) != first[:2]:
+                gone[key] |= set(range(s, e + 1))
+    want = []
+    for i, text in rows:
+        if text is None:
+            want.append((i, None, 0, 0))
+        else:
+            key = (-2**63 if i is None else i, text)
+            kept = [x for k, x in enumerate(docs[key]) if k not in gone[key]]
+            want.append((i, "\n".join(kept), len(docs[key]), len(gone[key])))
+    return want
+
+
 def test_line_dedup_against_brute_force(spark):
     rng = np.random.default_rng(21)
     line = lambda n: sentence(rng, n)
@@ -494,25 +519,7 @@ def test_line_dedup_against_brute_force(spark):
         rows.append((i, "\n".join(lines)))
     rows += [(60, "\n".join(["same"] * 200)), (61, None), (62, ""), (None, rows[3][1]), (63, rows[9][1]), rows[9], (64, "\n".join(["same"] * 90)), (65, "\n\n\n")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    pairs = {(a, b) for _, t in rows if t is not None for a, b in zip(t.split("\n"), t.split("\n")[1:])}
-    told = spark.createDataFrame(list(pairs), "a string, b string").selectExpr("a", "b", "pmod(xxhash64(xxhash64(a), xxhash64(b)), 2) = 0 as even")
-    even = {(r["a"], r["b"]): r["even"] for r in told.collect()}
-    t_hash = {r["text"]: r["h"] for r in df.selectExpr("text", "xxhash64(text) as h").collect()}
-    docs, where = chunks_by_reading(rows, even)
-    gone: dict = {k: set() for k in docs}
-    for places in where.values():
-        first = min(places, key=lambda p: (p[0][0], t_hash[p[0][1]], p[1]))
-        for key, s, e in places:
-            if (key, s) != first[:2]:
-                gone[key] |= set(range(s, e + 1))
-    want = []
-    for i, text in rows:
-        if text is None:
-            want.append((i, None, 0, 0))
-        else:
-            key = (-2**63 if i is None else i, text)
-            kept = [x for k, x in enumerate(docs[key]) if k not in gone[key]]
-            want.append((i, "\n".join(kept), len(docs[key]), len(gone[key])))
+    want = brute_line_dedup(spark, rows)
     got = [tuple(r) for r in linededup.dedup(df, counts=("lines", "removed")).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     # every passage of 50 words or more stays once only, and every line stays somewhere
@@ -729,7 +736,141 @@ def test_features_against_counting():
     assert got[tail + 12] == 1.0 and not quality.features(" \n").any() and abs(got[2] - 2 / len(text)) < 1e-12
 
 
+@pytest.fixture(scope="module")
+def mixed(spark):
+    """Documents with all that a stage has to do, nulls, repeats, and columns of the operators' names; and their labels."""
+    ship(spark)
+    rng = np.random.default_rng(31)
+    bad = lambda: " ".join(w.upper() + "!!" for w in rng.choice(WORDS, 30))
+    passage = "\n".join(sentence(rng, 30) for _ in range(3))
+    texts = [bad() if i % 5 == 0 else sentence(rng, 40) for i in range(400)]
+    for i in (11, 13, 17):
+        texts[i] += "\n" + passage + "\n" + sentence(rng, 8)
+    words = sentence(rng, 90).split()
+    texts[21] = " ".join(words)
+    texts[22] = " ".join(words[:40] + ["other"] + words[41:])
+    texts[23] = texts[24] = sentence(rng, 50)
+    texts[26] += ' password="hunter2abc9" and more'
+    texts[27] = sentence(rng, 9000)
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)] + [(1, texts[1], "en", "s", len(texts[1])), (None, texts[21], None, None, None), (None, None, None, None, None), (401, "", "en", "s", 0), (402, None, "de", "s", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select("*", *(F.lit(1).alias(c) for c in ("_score", "rep", "h", "row", "_text")))
+    labels = spark.createDataFrame([(i, int(i % 5 != 0)) for i in range(0, 400, 2)], "doc_id long, quality int")
+    return df.repartition(3), labels
+
+
+def test_pipeline_stages_against_brute_force(spark, mixed, tmp_path):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    docs, labels = mixed
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    stage = {name: f for name, f in corpus_pipeline.STAGES}
+    key = lambda r: (r["doc_id"], r["text"])
+    count = lambda rows: Counter(map(key, rows))
+    rows = docs.collect()
+
+    # quality classifier: just the rows that the scores say, untouched
+    good = stage["quality classifier"](spark, docs, str(tmp_path))
+    said = Counter((r["doc_id"], r["predicted"]) for r in quality.score(docs, labels, F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1).collect())
+    kept = good.collect()
+    assert good.columns == docs.columns and not count(kept) - count(rows)
+    assert Counter(r["doc_id"] for r in kept) == Counter({i: n for (i, p), n in said.items() if p})
+    assert sum(r["doc_id"] % 5 == 0 for r in kept if r["doc_id"] is not None and r["doc_id"] < 400) <= 4 and sum(r["doc_id"] % 5 != 0 for r in kept if r["doc_id"] is not None and r["doc_id"] < 400) >= 315
+
+    # line dedup: as line by line; the shared passage stays with one document, n_chars follows
+    out = stage["line dedup"](spark, good, str(tmp_path))
+    after = out.collect()
+    assert count(after) == Counter((i, t) for i, t, _, _ in brute_line_dedup(spark, [key(r) for r in kept])) and out.columns == docs.columns
+    assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in after)
+    passage = docs.where("doc_id = 11").first()["text"].split("\n")[1]
+    assert sum(passage in (r["text"] or "") for r in after) == 1
+
+    # n-gram Jaccard join: one row of each class under the transitive closure of all pairs
+    def grams(t):
+        w = re.findall(r"[^\x20\x09-\x0d]+", (t or "").lower())
+        return {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    before = after
+    distinct = sorted({r["text"] or "" for r in before})
+    sets, label = [grams(t) for t in distinct], list(range(len(distinct)))
+    for a in range(len(distinct)):
+        for b in range(a):
+            if sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = label[a], label[b]
+                label = [min(x, y) if v in (x, y) else v for v in label]
+    classes: dict = {}
+    for r in before:
+        classes.setdefault(label[distinct.index(r["text"] or "")], []).append(r["doc_id"])
+    once = stage["n-gram Jaccard join"](spark, out, str(tmp_path))
+    order = lambda x: sorted(x, key=lambda i: (i is None, i))
+    assert order(r["doc_id"] for r in once.collect()) == order(min((i for i in ids if i is not None), default=None) for ids in classes.values())
+    assert once.columns == docs.columns
+
+    # secret scans: every row stays, the value is replaced where it stands
+    safe = stage["secret scans"](spark, once, str(tmp_path))
+    clean = {r["doc_id"]: r["text"] for r in safe.collect()}
+    assert all(clean[r["doc_id"]] == (r["text"] if r["doc_id"] != 26 else r["text"].replace("hunter2abc9", "<secret>")) for r in once.collect()) and safe.columns == docs.columns
+
+    # best-fit packing: all tokens of all rows, each place once
+    t = Tokenizer.from_file(BPE)
+    packed = stage["best-fit packing"](spark, safe, str(tmp_path)).collect()
+    want = Counter({i: len(t.encode(x or "", add_special_tokens=False).ids) + 1 for i, x in clean.items()})
+    got: Counter = Counter()
+    seqs: dict = {}
+    for r in packed:
+        got[r["doc_id"]] += r["length"]
+        seqs.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert got == want
+    for parts in seqs.values():
+        assert [o for o, _ in sorted(parts)] == list(np.cumsum([0, *(n for _, n in sorted(parts))])[:-1]) and sum(n for _, n in parts) <= 2048
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
-    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+    rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    n = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    assert 0.5 * n < rows.select("doc_id").distinct().count() <= n and rows.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+
+
+def test_remaining_operators_on_odd_tables(spark, docs):
+    """Empty tables, repeated rows and clashing columns of the operators that the tests above leave out."""
+    many = docs.select("doc_id", "text", *(F.lit(1).alias(c) for c in ("held", "key", "ids", "bands", "block", "held_out", "lang_pred", "score", "class_id", "_d", "row", "length")))
+    n = docs.count()
+    assert spm.encode(empty(spark), PIECES).count() == 0 and spm.encode(many, PIECES).count() == n
+    twice = {bytes(r["ids"]) for r in spm.encode(docs.where("doc_id = 5"), PIECES).collect()}
+    assert len(twice) == 1 and docs.where("doc_id = 5").count() == 2
+    assert lm.score(many, F.col("doc_id") % 5 == 1).count() == n and ngram_join.join(many).count() == n
+    assert {r["lang_pred"] for r in langid.identify(many.withColumn("lang", F.lit(None).cast("string")), F.lit(False)).collect()} == {"und"}
+    long = spark.createDataFrame([(1, "x" * 300_000), (2, "ab " * 100_000)], "doc_id long, text string")
+    assert spm.digests(long, PIECES).count() == 2 and ngram_join.join(long).count() == 2 and lm.score(long, F.lit(False)).count() == 2
+
+
+def test_letters_and_whole_characters(spark):
+    """`und` goes by str.isalpha, and windows never part a character."""
+    rows = [(i, "le la maison est là " * 3 if i % 2 else "the house is in the river " * 3, "fr" if i % 2 else "en") for i in range(40)]
+    rows += [(100, "½ ² Ⅷ 12", "fr"), (101, "\u00e9", "fr"), (102, None, "fr")]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(False)).collect()}
+    assert got[100] == got[102] == "und" and got[101] in ("fr", "en")
+    assert [langid.has_letters(t) for t in ("½", "²", "Ⅷ", "é", "", None)] == [any(map(str.isalpha, t or "")) for t in ("½", "²", "Ⅷ", "é", "", None)]
+    data = ("日本語é x" * 300).encode()
+    raw, off = np.frombuffer(data, np.uint8), np.array([0, len(data)])
+    start, end, low, high, _ = langid.windows(raw, off, 100, 7)
+    assert start[0] == 0 and end[-1] == len(data) and (start[1:] == end[:-1]).all()
+    for at in {*start, *end, *low, *high}:
+        data[:at].decode(), data[at:].decode()
+    # every position once: the mean over windows is that over one window of the whole text, where the context is the whole text
+    net = langid.BiGRU(["a", "b"], hidden=4)
+    whole = net.positions(raw[:, None].astype(np.int64)).mean((1, 2))
+    assert np.allclose(net.documents(raw, off)[0], whole, atol=0.02)
+
+

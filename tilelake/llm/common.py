@@ -12,16 +12,22 @@ from pyspark.sql import functions as F
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from the written copy.
 
-    The folder is the one that the session names in spark.checkpoint.dir; only where nothing is set (tests, a
-    laptop) a temporary folder is made.  Lost executors lose nothing: the copy is on shared storage.
+    Lost executors lose nothing: the copy is on shared storage.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; a temporary one only where Spark runs on this machine alone."""
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return base or tempfile.mkdtemp(prefix="ckpt-")
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once for each Spark context; they need not have it installed."""
     sc = spark.sparkContext
