@@ -1,16 +1,19 @@
 """A pipeline of corpus stages; each stage's result is written as Parquet and read again as the next one's documents.
 
 Stages keep the columns of documents, all but the last.  Counted as part of the subpackage llm.
+
+Every stage takes null ids and texts, empty and very long texts, repeated rows, empty tables and further columns of any name:
+null text is empty text (and stays null where it is not changed), a null id is a document of its own, and rows that repeat are
+treated alike, but for the n-gram join, which keeps one row of each class.  Ties are broken as the operators' docstrings say.
 """
 
-import tempfile
 import uuid
 
 import public_tokenizers
 from pyspark.sql import functions as F
 
 from tilelake.llm import linededup, ngram_join, packing, quality, secrets
-from tilelake.llm.common import fold, ship, table
+from tilelake.llm.common import fold, shared_folder, ship, table
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -56,8 +59,7 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir):
     """All stages applied to documents."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    base = f"{base}/pipeline-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
