@@ -14,6 +14,9 @@ Words are split at white space and lower-cased (A-Z).  A text of one to four wor
 Null text is empty; empty texts are equal texts.  A text is named by a 64-bit hash of its MD5; ids are attributes of
 texts only.  Rows sharing a doc_id count as one document, linked where any of its texts is; every row with a null id is
 a document of its own.  class_id is the least id of the class that is not null; it is null where a class has no other.
+Repeated rows have one class and count each as a document only where their id is null; ties of ids do not matter, as texts are the
+vertices.  Other columns are not read by join() and stay, whatever their names, in representatives().  An empty table gives
+no rows.  Texts are read whole, in slices of about 2 MB or one longer text; a text's shingle set is one value.
 """
 
 import numpy as np

@@ -10,7 +10,9 @@ byte-pair model, for which the best path by scores is not the right result: the
 rank.  So the edges are relaxed in order of rank: a round takes, in every segment at once, the edge of the best rank
 (leftmost on ties) that joins two neighbouring tokens, until none is left.  Characters without a piece become bytes.
 
-Null text is the empty text, which has no ids.  Repeated rows are encoded each.
+Null text is the empty text, which has no ids.  Repeated rows are encoded each; ties of rank do not occur, and of equal pairs the
+leftmost merges first.  A null id stays null.  Other columns are not read, so their names do not matter.  An empty table gives no
+rows.  A task takes 1500 texts at a time; an unbroken text of over BATCH_CHARS characters is one batch, of about 200 bytes a character.
 """
 
 import heapq
@@ -38,7 +40,7 @@ class Model:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
         self.byte = {}
-        self.text: list[bytes | str] = []
+        self.text: list[bytes] = []
         pieces: list[tuple[str, int]] = []
         for i in range(n):
             p = sp.id_to_piece(i)
@@ -46,9 +48,9 @@ class Model:
                 self.byte[int(p[3:5], 16)] = i
                 self.text.append(bytes([int(p[3:5], 16)]))
             elif sp.is_control(i) or sp.is_unknown(i):
-                self.text.append("")
+                self.text.append(b"")
             else:
-                self.text.append(p)
+                self.text.append(p.encode())
                 pieces.append((p, i))
         if any(len(p) > MAX_PIECE or re.search(f"[^{SPACE}]{SPACE}|\n", p) for p, _ in pieces):
             raise ValueError("a piece is too long, or crosses a segment")
@@ -215,7 +217,7 @@ class Model:
         return [b"".join(map(get, parts)) for parts in lists]
 
     def decode(self, ids: np.ndarray) -> str:
-        out = b"".join(x if isinstance(x, bytes) else x.encode() for x in map(self.text.__getitem__, ids.tolist()))
+        out = b"".join(map(self.text.__getitem__, ids.tolist()))
         text = out.decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if text.startswith(" ") else text
 
