@@ -24,11 +24,9 @@ A text is handled by one task as arrays of its lines, however long it is.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, settled
+from .common import among, cut, settled
 
 LONG, MOST, REACH = 50, 32, 8
-#: Bits of the filter that says which documents have no repeated chunk; they make 4 MB, whatever the number of documents.
-BITS = 1 << 25
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -74,18 +72,9 @@ def _spans(which: str) -> str:
     return f"array_distinct(flatten(transform(filter(cs, c -> {which}), c -> sequence(c.s, c.e))))"
 
 
-def _among(df: DataFrame, repeated: DataFrame) -> DataFrame:
-    """df with _may: false for documents that are surely not in repeated."""
-    slot = F.pmod(F.xxhash64("_d", "_t"), F.lit(BITS)) + 1
-    bits = repeated.select(slot.alias("_slot")).groupBy(F.bitmap_bucket_number("_slot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bits"))
-    df = df.withColumn("_bucket", F.bitmap_bucket_number(slot)).withColumn("_bit", F.bitmap_bit_position(slot)).join(F.broadcast(bits), "_bucket", "left")
-    byte = "cast(conv(hex(substring(_bits, cast(_bit div 8 as int) + 1, 1)), 16, 10) as int)"
-    return df.withColumn("_may", F.expr(f"_bits is not null and shiftright({byte}, cast(_bit % 8 as int)) % 2 = 1")).drop("_bucket", "_bit", "_bits")
-
-
 def differing(docs: DataFrame, repeated: DataFrame) -> DataFrame:
     """(line): hashes under which repeated chunks hold lines of different bytes."""
-    texts = _split(_among(_keyed(docs), repeated).where("_may").join(repeated, ["_d", "_t"]))
+    texts = _split(among(_keyed(docs), repeated, "_d", "_t").where("_may").join(repeated, ["_d", "_t"]))
     lines = texts.select(F.expr(f"inline(transform({_spans('true')}, i -> struct(get(_h, i) as line, get(_lines, i) as body)))"))
     return lines.groupBy("line").agg(F.min("body").alias("a"), F.max("body").alias("z")).where("a <> z").select("line")
 
@@ -98,7 +87,7 @@ def dedup(docs: DataFrame, long_words: int = LONG, counts: tuple[str, str] | Non
     repeated = cut(_repeated(docs, long_words))
     bad = cut(differing(docs, repeated))
     src = docs.select(*(F.col(f"`{c}`").alias(f"in_{k}") for k, c in enumerate(cols)), F.coalesce(F.col("doc_id").cast("long"), F.lit(-2**63)).alias("_d"), F.xxhash64("text").alias("_t"))
-    src = _among(src, repeated)
+    src = among(src, repeated, "_d", "_t")
     text = F.col(f"in_{cols.index('text')}")
     lines = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
 

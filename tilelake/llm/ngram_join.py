@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, mix, slices, text_buffer, word_hashes
+from .common import among, components, cut, mix, slices, text_buffer, word_hashes
 
 WORDS, THRESHOLD, RECALL, HASHES = 5, 0.8, 0.995, 256
 BLOCK = 256
@@ -226,6 +226,12 @@ def _rows(out):
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out]).astype(np.int64)) for k in range(3)] + [other], ["rep", "links", "label", "other"])
 
 
+def of_first(df: DataFrame, first: DataFrame) -> DataFrame:
+    """Rows of df (rep, _d) with the row of first (rep, f) of their text, where they have the id that stands for it."""
+    other = first.withColumnRenamed("rep", "_rep")
+    return df.join(other, (F.col("rep") == F.col("_rep")) & F.col("_d").eqNullSafe(F.col("f._d"))).drop("_rep")
+
+
 def once(df: DataFrame, repeated: bool) -> DataFrame:
     """df with one of the f.m rows that repeat both id and text; repeated: whether there are any."""
     one = df.where("f.m = 1")
@@ -252,7 +258,7 @@ def _verified(docs: DataFrame, threshold: float, recall: float, words: int):
     first = held.where("words").groupBy("rep").agg(F.min(F.struct(F.col("_d").isNull().alias("z"), "_d", "m")).alias("f"))
     first = cut(first)
     repeated = not first.where("f.m > 1").isEmpty()
-    own = every.where("bands is not null").join(first, "rep").where("_d <=> f._d").select("rep", "bands", "sketch", "f")
+    own = of_first(every.where("bands is not null"), first).select("rep", "bands", "sketch", "f")
     reps = cut(once(own, repeated).drop("f"))
     band = reps.select("rep", F.explode("bands").alias("bucket"))
     full = band.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
@@ -261,7 +267,7 @@ def _verified(docs: DataFrame, threshold: float, recall: float, words: int):
     comp = components(near.mapInArrow(_similar(threshold), "a long, b long"))
     sizes = comp.groupBy("label").agg(F.count("*").alias("size"))
     cand = comp.join(sizes, "label").select(F.col("v").alias("rep"), F.col("label").alias("comp"), "size")
-    cand = cand.join(text, "rep").join(first, "rep")
+    cand = cut(cand.join(text, "rep").join(first, "rep"))
 
     def sets(batches):
         for batch in batches:
@@ -271,7 +277,9 @@ def _verified(docs: DataFrame, threshold: float, recall: float, words: int):
                 yield pa.RecordBatch.from_arrays([batch.column(k)[lo:hi] for k in range(5)] + [
                     pa.array([np.unique(x).tobytes() for x in np.split(s, np.cumsum(n)[:-1])], pa.binary())], ["rep", "comp", "size", "n", "several", "shingles"])
 
-    texts = once(_source(docs).join(cand, "rep").where("_d <=> f._d"), repeated).select("rep", "comp", "size", "n", "several", "text")
+    # only the candidates' texts are shuffled, and copies of one text by their ids
+    near = among(_source(docs), cand.select("rep", F.col("f._d").alias("_d")), "rep", "_d").where("_may").drop("_may")
+    texts = once(of_first(near, cand), repeated).select("rep", "comp", "size", "n", "several", "text")
     shingled = texts.mapInArrow(sets, "rep long, comp long, size long, n long, several boolean, shingles binary")
     pairs = _blocks(shingled, "comp", "size", "rep", BLOCK)
     pairs = pairs.select("comp", "i", "j", "mine", "rep", "n", "several", "shingles").repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "rep")
