@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import ann, langid, linededup, lm, mpegts, ngram_join, packing, quality, secrets, spm
+from . import ann, codes, langid, linededup, lm, mpegts, ngram_join, packing, quality, repair, secrets, spm, toxicity
 from .common import fold, table
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -51,7 +51,19 @@ def op10_quality(spark, sf_dir):
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold("doc_id", 3) == 1)
 
 
+def op11_vector_codes(spark, sf_dir):
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_conversation_repair(spark, sf_dir):
+    return repair.repair(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_toxicity(spark, sf_dir):
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold("doc_id", 5) == 0)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_nearest_neighbours, op3_transport_streams, op4_secret_scan, op5_lm_scores, op6_line_dedup,
-    op7_language_id, op8_sentencepiece, op9_ngram_join, op10_quality)}
-ORACLE_SQL: dict[str, str] = {}
+    op7_language_id, op8_sentencepiece, op9_ngram_join, op10_quality, op11_vector_codes, op12_conversation_repair, op13_toxicity)}
+ORACLE_SQL: dict[str, str] = {"op11_vector_codes": codes.sql()}
