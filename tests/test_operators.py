@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tilelake.operators import cover, heatmap, regions, search, suppress, tiles as T, views
+from tilelake.operators import capture, cover, heatmap, regions, search, suppress, tiles as T, views
 from tilelake.sources import files
 
 
@@ -71,7 +71,7 @@ def test_rotated_windows_against_every_place(spark):
     rng = np.random.default_rng(6)
     grid = {(x, y): float(rng.normal()) for x in range(14) for y in range(12) if rng.random() < 0.9}
     df = spark.createDataFrame([(0, x, y, s) for (x, y), s in grid.items()], "slide_id long, gx int, gy int, score double")
-    got = {(r["w"], r["h"], r["angle"]): (r["cx"], r["cy"], round(r["area_score"], 6)) for r in search.rotated_windows(df, search.kernels(spark, [(3, 5), (5, 1), (99, 3)], 14, 12)).collect()}
+    got = {(r["w"], r["h"], r["angle"]): (r["cx"], r["cy"], round(r["area_score"], 6)) for r in search.rotated_windows(df, [(3, 5), (5, 1), (99, 3)], {"min_row": 0, "max_row": 5, "min_col": 0, "max_col": 6}).collect()}
     assert len(got) == 6
     for (w, h, angle), (cx, cy, mean) in got.items():
         c, s = np.cos(np.radians(angle)), np.sin(np.radians(angle))
@@ -80,20 +80,173 @@ def test_rotated_windows_against_every_place(spark):
         assert abs(value[cx, cy] - mean) < 1e-5 and value[cx, cy] >= max(value.values()) - 1e-9
 
 
-def test_components_and_capture():
-    on = np.array([[1, 0, 0, 1], [0, 1, 0, 1], [0, 0, 0, 0], [1, 1, 0, 1]], bool)
-    label = search._components(on)
-    assert label[0, 0] == label[1, 1] != label[0, 3] == label[1, 3] and label[3, 0] == label[3, 1] != label[3, 3] and not label[2].any()
-    # one dense corner of 3 x 2 cells with 10 cells a tile is found, and strips take the rest of the region
-    score, inside = np.full((6, 8), -5.0), np.ones((6, 8), bool)
-    score[:2, :4] = -0.1
-    usable, tile = inside.copy(), np.add.outer(np.arange(6) // 2 * 4, np.arange(8) // 2)
-    rects = search._capture(score, inside, usable, tile, np.full(12, 10), -4.0, 20, 0.3)
-    assert rects[0] == (0, 0, 4, 2)
-    seen = np.zeros((6, 8), int)
-    for x, y, w, h in rects:
-        seen[y:y + h, x:x + w] += 1
-    assert (seen == 1).all()
+def by_flooding(on):
+    """Bounds of the largest of the 8-connected parts of on, the one that begins first in order of rows on ties."""
+    left, best = {(int(y), int(x)) for y, x in zip(*np.nonzero(on))}, None
+    for start in sorted(left):
+        if start in left:
+            part, todo = set(), [start]
+            left.discard(start)
+            while todo:
+                y, x = todo.pop()
+                part.add((y, x))
+                for q in [(y + a, x + b) for a in (-1, 0, 1) for b in (-1, 0, 1)]:
+                    if q in left:
+                        left.discard(q)
+                        todo.append(q)
+            if best is None or len(part) > len(best):
+                best = part
+    ys, xs = zip(*best)
+    return min(xs), min(ys), max(xs), max(ys)
+
+
+def test_capture_chooses_the_part_of_every_threshold_tried():
+    """Every score is tried as a threshold, its largest part found by flooding, its cells counted one by one; strips are grown cell by cell."""
+    rng = np.random.default_rng(11)
+    held_first = 0
+    for trial in range(60):
+        h, w = 2 * int(rng.integers(1, 5)), 2 * int(rng.integers(1, 6))
+        score = np.round(rng.normal(-4, 2, (h, w)), 1)
+        inside, label = rng.random((h, w)) < 0.8, rng.integers(0, 7, (h, w))
+        usable = inside & (label != 5)
+        tile = np.add.outer(np.arange(h) // 2 * (w // 2), np.arange(w) // 2)
+        cells = rng.integers(0, 30, h * w // 4)
+        area_score, target = float(rng.normal(-3, 1)), int(rng.integers(5, 200))
+        found = []
+        for v in sorted({min(float(s), 0.0) for s in score[inside] if s > area_score - 7}, reverse=True):
+            box = x1, y1, x2, y2 = by_flooding(inside & (np.minimum(score, 0.0) >= v))
+            seen = {int(tile[y, x]) for y in range(y1, y2 + 1) for x in range(x1, x2 + 1) if usable[y, x]}
+            found.append((v, box, int(sum(cells[t] for t in seen))))
+        near = [f for f in found if target * 0.7 <= f[2] <= target * 1.3]
+        over = [f for f in found if f[2] >= target]
+        want = min(near, key=lambda f: (abs(f[2] - target), -f[0])) if near else over[0] if over else found[-1] if found else None
+        got = capture.first_part(score, inside, usable, tile, cells, area_score, target, 0.3)
+        assert got == (want and (want[0], want[1]))
+        held_first += bool(near)
+        if want is None or not usable.any():
+            continue
+        marked = {(x, y) for y, x in zip(*np.nonzero(inside & (np.minimum(score, 0.0) >= want[0])))}
+        left = {(x, y) for y, x in zip(*np.nonzero(usable))}
+        x1, y1, x2, y2 = want[1]
+        left -= {(x, y) for x in range(x1, x2 + 1) for y in range(y1, y2 + 1)}
+        strips = [want[1]]
+        while left:
+            sides = [(x1, y1 - 1, x2, y1 - 1), (x1, y2 + 1, x2, y2 + 1), (x1 - 1, y1, x1 - 1, y2), (x2 + 1, y1, x2 + 1, y2)]
+            whole = [(a, b, c, e) if a >= 0 and b >= 0 and c < w and e < h else None for a, b, c, e in sides]
+            count = lambda s, cells: sum(s[0] <= x <= s[2] and s[1] <= y <= s[3] for x, y in cells) if s else 0
+            for cells_of in (marked, left):
+                n = [count(s, cells_of) for s in whole]
+                if max(n):
+                    break
+            else:
+                break
+            s = whole[n.index(max(n))]
+            if count(s, left):
+                strips.append(s)
+            left -= {(x, y) for x in range(s[0], s[2] + 1) for y in range(s[1], s[3] + 1)}
+            x1, y1, x2, y2 = min(x1, s[0]), min(y1, s[1]), max(x2, s[2]), max(y2, s[3])
+        assert capture.rectangles(score, inside, usable, tile, cells, area_score, target, 0.3) == strips
+    assert held_first > 10
+
+
+def test_runs_are_the_cells_of_the_window():
+    for w, h in search.all_sizes()[::9]:
+        for angle in search.ANGLES:
+            c, s = np.cos(np.radians(angle)), np.sin(np.radians(angle))
+            r = int(np.hypot(w, h) / 2) + 2
+            want = {(a, b) for a in range(-r, r + 1) for b in range(-r, r + 1) if abs(a * c + b * s) <= w / 2 and abs(b * c - a * s) <= h / 2}
+            assert {(x, y) for y, lo, hi in search.runs(w, h, angle) for x in range(lo, hi + 1)} == want
+
+
+def test_windows_of_slides_of_different_grids(spark):
+    """One call over two slides of different grids gives what a call for each gives."""
+    rng = np.random.default_rng(8)
+    rows = [(s, x, y, float(rng.normal())) for s, w, h in ((0, 12, 10), (1, 18, 14)) for x in range(w) for y in range(h)]
+    grid = spark.createDataFrame(rows, "slide_id long, gx int, gy int, score double")
+    areas = [{"min_row": 0, "max_row": 4, "min_col": 2, "max_col": 7}, {"min_row": 1, "max_row": 7, "min_col": 0, "max_col": 8}]
+    table = spark.createDataFrame([(s, *a.values()) for s, a in enumerate(areas)], "slide_id long, min_row int, max_row int, min_col int, max_col int")
+    sizes = [(3, 3), (5, 3), (7, 9), (5, 11)]
+    got = {tuple(r) for r in search.rotated_windows(grid, sizes, table).collect()}
+    want = {tuple(r) for s, a in enumerate(areas) for r in search.rotated_windows(grid.where(f"slide_id = {s}"), sizes, a).collect()}
+    assert got == want and {r[0] for r in got} == {0, 1}
+    pts = grid.select("slide_id", "gx", "gy")
+    assert {tuple(r) for r in regions.tile_of_grid(pts, table).collect()} == {tuple(r) for s, a in enumerate(areas) for r in regions.tile_of_grid(pts.where(f"slide_id = {s}"), a).collect()}
+
+
+@pytest.mark.parametrize("at_once", [4000, 25])
+def test_cover_is_whole_and_no_larger_than_greedy(spark, at_once):
+    rng = np.random.default_rng(3)
+    pts = [(k, i, float(x), float(y)) for k in (0, 1) for i, (x, y) in enumerate(rng.integers(-300, 2500 if k else 900, (160, 2)))] + [(0, 900, 5.0, 5.0), (0, 901, 5.0, 5.0)]
+    df = spark.createDataFrame(pts, "k int, id long, x double, y double")
+    got = [tuple(r)[:3] for r in cover.cover(df, ["k"], "id", 200, 150, 0.5, at_once=at_once).collect()]
+    assert len(got) == len(set(got))
+    hold = {v: {i for k, i, x, y in pts if k == v[0] and v[1] <= x <= v[1] + 200 and v[2] <= y <= v[2] + 150} for v in got}
+    for k in (0, 1):
+        held = [i for v, own in hold.items() if v[0] == k for i in own]
+        assert set(held) == {p[1] for p in pts if p[0] == k}
+        assert all(any(held.count(i) == 1 for i in own) for v, own in hold.items() if v[0] == k)  # none to spare
+    greedy = cover.greedy_cover(cover.windows_of(df, ["k"], "id", 200, 150, 0.5), ["k"], "id").count()
+    assert len(got) <= greedy if at_once == 4000 else len(got) <= 1.2 * greedy
+
+
+def test_parts_of_bins():
+    rng = np.random.default_rng(4)
+    bins = np.unique(rng.integers(0, 14, (70, 2)), axis=0)
+    n = rng.integers(1, 9, len(bins))
+    component, part = cover.divide(bins[:, 0], bins[:, 1], n, 3, 2, 20)
+    for a in range(len(bins)):
+        for b in range(len(bins)):
+            if np.abs(bins[a] - bins[b]).max() <= 1:
+                assert component[a] == component[b]
+    for p in set(part):
+        own = part == p
+        assert len(set(component[own])) == 1 and (n[own].sum() <= 20 or own.sum() == 1)
+
+
+def in_turn(views, points, w, h):
+    """Owners of points by one loop over all overlapping pairs in their order."""
+    hold = {v: {i for i, (x, y) in points.items() if a <= x < a + w and b <= y < b + h} for v, (a, b) in views.items()}
+    span = lambda own: max(max(points[i][c] for i in own) - min(points[i][c] for i in own) for c in (0, 1)) if own else 0
+    pairs = []
+    for a in views:
+        for b in views:
+            i = max(0, w - abs(views[a][0] - views[b][0])) * max(0, h - abs(views[a][1] - views[b][1]))
+            if a < b and i / (2 * w * h - i) > 0.01:
+                pairs.append((cover._turn(a, b), a, b))
+    for _, a, b in sorted(pairs):
+        both = hold[a] & hold[b]
+        if both:
+            more = [span(hold[v]) - span(hold[v] - both) for v in (a, b)]
+            hold[b if more[1] > more[0] else a] -= both
+    return {(v, i) for v, own in hold.items() for i in own}
+
+
+@pytest.mark.parametrize("at_once", [20_000, 40])
+def test_shared_points_go_to_the_view_that_grows_less(spark, at_once):
+    rng = np.random.default_rng(7)
+    views = {i + 1: (int(x), int(y)) for i, (x, y) in enumerate(rng.integers(0, 700, (40, 2)))}
+    points = {i: (float(x), float(y)) for i, (x, y) in enumerate(rng.integers(0, 800, (150, 2)))}
+    v = spark.createDataFrame([(0, i, x, y) for i, (x, y) in views.items()], "k int, view_id long, x int, y int")
+    p = spark.createDataFrame([(0, i, x, y) for i, (x, y) in points.items()], "k int, id long, x double, y double")
+    got = {(r["view_id"], r["id"]) for r in cover.owned(v, p, ["k"], "view_id", "id", 120, 90, at_once=at_once).collect()}
+    assert got == in_turn(views, points, 120, 90)
+
+
+def test_stride_of_a_slide_is_its_own(spark):
+    pts = [(0, i, float(40 * i), float(30 * i)) for i in range(20)] + [(1, i, float(9000 * i), float(7000 * i)) for i in range(20)]
+    df = spark.createDataFrame(pts, "k int, id long, x double, y double")
+    alone = {r["k"]: r["ratio"] for k in (0, 1) for r in cover.stride_ratios(df.where(f"k = {k}"), ["k"], 384, 283).collect()}
+    assert {r["k"]: r["ratio"] for r in cover.stride_ratios(df, ["k"], 384, 283).collect()} == alone
+    n = ((19 * 9000) / int(384 * 0.25) + 1) * ((19 * 7000) / int(283 * 0.25) + 1)
+    assert alone[0] == 0.25 and abs(alone[1] - min(1.0, 0.25 * (n / 20_000) ** 0.5)) < 1e-9
+
+
+def test_boxes_without_area_overlap_nothing(spark):
+    rows = [(0, 1, 0.9, 5, 5, 5, 5), (0, 2, 0.8, 5, 5, 5, 5), (0, 3, 0.7, 0, 0, 10, 10), (0, 4, 0.6, 2, 2, 2, 8), (0, 5, 0.5, 0, 0, 10, 10)]
+    df = spark.createDataFrame(rows, "k int, id long, score double, x1 int, y1 int, x2 int, y2 int")
+    assert {r["id"] for r in suppress.nms(df, ["k"], 0.2, 64).collect()} == {1, 2, 3, 4}
+    assert {r["id"] for r in suppress.contained(df, ["k"], 0.45, 64).collect()} == {1, 2, 3, 4}
+    assert {r["id"] for r in regions.off_bad_regions(df.drop("score"), spark.createDataFrame([(0, 4, 4, 4, 9)], "k int, x1 int, y1 int, x2 int, y2 int"), ["k"]).collect()} == {1, 2, 3, 4, 5}
 
 
 def test_letterbox(spark):

@@ -389,15 +389,29 @@ def r9_candidate_views(s, d):
     return cover.windows_of(p, ["slide_id"], "cell_id", 384, 283, 0.25)
 
 
+@query("""with b as (select slide_id, min(gx)::double as ax, max(gx)::double as zx, min(gy)::double as ay, max(gy)::double as zy from cells_true group by 1),
+    n as (select slide_id, ((zx - ax) / 96 + 1) * ((zy - ay) / 70 + 1) as n from b), r as (select slide_id, case when n <= 20000 then 0.25::double else least(1.0::double, 0.25::double * sqrt(n / 20000)) end as ratio from n),
+    st as (select slide_id, ratio, greatest(1, cast(floor(384 * ratio) as int)) as sx, greatest(1, cast(floor(283 * ratio) as int)) as sy from r),
+    i as (select c.slide_id, cell_id, gy, sx, sy, unnest(range(cast(floor((gx - 384) / sx::double) as int) + 1, gx // sx + 1)) as i from cells_true c join st using (slide_id)),
+    j as (select slide_id, cell_id, i * sx as wx, sy, unnest(range(cast(floor((gy - 283) / sy::double) as int) + 1, gy // sy + 1)) as j from i)
+    select slide_id, wx, cast(j * sy as int) as wy, count(*) as points from j group by all""", "cells_true")
+def r9_windows_by_slide(s, d):
+    """Candidate windows with their points, at the stride of each slide."""
+    p = load(s, d, "cells_true").selectExpr("slide_id", "cell_id", "gx as x", "gy as y")
+    p = p.join(cover.stride_ratios(p, ["slide_id"], 384, 283), "slide_id")
+    return cover.windows_of(p, ["slide_id"], "cell_id", 384, 283, F.col("ratio"), closed=False).groupBy("slide_id", "wx", "wy").agg(F.count("*").alias("points"))
+
+
 @query("select slide_id, count(*) as points, count(*) as gained, cast(0 as bigint) as idle, cast(0 as bigint) as uncovered from cells_true group by 1", "cells_true")
 def r10_set_cover(s, d):
-    """Greedy cover.  The chosen windows' gains are the points, each once (`gained`), none gains nothing (`idle`), no point is left out."""
+    """Cover of all cells.  Each cell belongs to the first of the windows that hold it (`gained`); none is without a cell of its own (`idle`), no cell is left out."""
     p = load(s, d, "cells_true").selectExpr("slide_id", "cell_id", "gx as x", "gy as y")
-    chosen = suppress._cut(cover.greedy_cover(cover.windows_of(p, ["slide_id"], "cell_id", 1224, 1024, 0.5), ["slide_id"], "cell_id"))
-    boxes = chosen.selectExpr("slide_id", "wx as x1", "wy as y1", "wx + 1224 as x2", "wy + 1024 as y2")
-    hit = spatial.points_in_boxes(p, boxes, ["slide_id"], 1024, closed=True).select("slide_id", "cell_id").distinct().withColumn("hit", F.lit(1))
-    gains = chosen.groupBy("slide_id").agg(F.sum("gain").alias("gained"), F.count_if(F.col("gain") < 1).alias("idle"))
-    return p.join(hit, ["slide_id", "cell_id"], "left").groupBy("slide_id").agg(F.count("*").alias("points"), F.count_if(F.col("hit").isNull()).alias("uncovered")).join(gains, "slide_id")
+    chosen = suppress._cut(cover.cover(p, ["slide_id"], "cell_id", 1224, 1024, 0.5))
+    boxes = chosen.selectExpr("slide_id", "wx as x1", "wy as y1", "wx + 1224 as x2", "wy + 1024 as y2", "struct(-points as n, wx, wy) as view")
+    first = spatial.points_in_boxes(p, boxes, ["slide_id"], 1024, closed=True).groupBy("slide_id", "cell_id").agg(F.min("view").alias("view"))
+    gains = boxes.select("slide_id", "view").join(first.groupBy("slide_id", "view").agg(F.count("*").alias("gain")), ["slide_id", "view"], "left")
+    gains = gains.groupBy("slide_id").agg(F.sum("gain").alias("gained"), F.count_if(F.col("gain").isNull()).alias("idle"))
+    return p.join(first, ["slide_id", "cell_id"], "left").groupBy("slide_id").agg(F.count("*").alias("points"), F.count_if(F.col("view").isNull()).alias("uncovered")).join(gains, "slide_id")
 
 
 @query("""select event_id, task_id, cast(case when n_bytes = 0 then 201 when row_number() over (partition by task_id, row_index, col_index, n_bytes > 0 order by ts, event_id) > 1 then 103 else 0 end as int) as code

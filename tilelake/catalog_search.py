@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 from tilelake.catalog import _GLOBAL, _GRID, _MEGS, _blocks, _box_cells, _grid, _iou, _megs, _r, _scored, _settle, query
 from tilelake.catalog_regions import _BAD, _INTER, AREA
 from tilelake.fixtures import load
-from tilelake.operators import cover, heatmap, regions as R, search as Q, spatial, suppress, tasks as K, tiles as T, views as V
+from tilelake.operators import capture as C, cover, heatmap, regions as R, search as Q, spatial, suppress, tasks as K, tiles as T, views as V
 from tilelake.sources import files
 from tilelake.streaming import uploads as S
 
-SIZES = [(3, 3), (5, 3), (7, 5), (9, 7), (5, 11)]
 TARGET = 600
 
 
@@ -88,7 +87,7 @@ def n3_per_class(s, d):
 
 def _kernel_sql() -> str:
     rows = []
-    for w, h in SIZES:
+    for w, h in Q.all_sizes():
         if (int(math.hypot(w, h)) + 4) | 1 <= 16:
             rows += [f"({len(rows) + i}, {w}, {h}, {a})" for i, a in enumerate(Q.ANGLES)]
     return f"""k as (select * from (values {', '.join(rows)}) t(kernel, w, h, angle)), kc as (select kernel, w, h, angle, dx, dy from k, range(-9, 10) a(dx), range(-9, 10) b(dy)
@@ -101,7 +100,7 @@ def _kernel_sql() -> str:
     select slide_id, w, h, angle, cast(cx as int) as cx, cast(cy as int) as cy, round(mean, 6) as area_score from m
     qualify row_number() over (partition by slide_id, kernel order by round(mean, 9) desc, cy, cx) = 1""", "blocks_raw", "tiles")
 def r2_rotated_windows(s, d):
-    found = Q.rotated_windows(_grid(s, d), Q.kernels(s, SIZES, 20, 16))
+    found = Q.rotated_windows(_grid(s, d), Q.all_sizes(), AREA)
     return found.select("slide_id", "w", "h", "angle", "cx", "cy", _r("area_score").alias("area_score"))
 
 
@@ -111,27 +110,62 @@ def _tile_cells(s, d):
 
 def _region(s, d):
     grid, cells = suppress._cut(_grid(s, d)), _tile_cells(s, d)
-    found = suppress._cut(Q.search(grid, heatmap.head_crop(grid, -6.0, 16), cells, SIZES, AREA, 3 * TARGET))
+    found = suppress._cut(Q.search(grid, heatmap.head_crop(grid, -6.0, 16), cells, Q.all_sizes(), AREA, 3 * TARGET))
     return grid, cells, found, Q.best_region(found, V.middles(_box_cells(s, d)), load(s, d, "tiles"), AREA, 3 * TARGET)
 
 
-@query("""select slide_id, 1 as regions, true as among_best, true as uniform from tiles group by 1""", "tiles")
+def _inside_sql(x: str, y: str, corners: str) -> str:
+    """in_quad() over the structs lt, rt, rb, lb (with a prefix)."""
+    pts = [f"{corners}{c}" for c in Q.CORNERS]
+    sides = [f"(({b}.x - {a}.x) * ({y} - {a}.y) - ({b}.y - {a}.y) * ({x} - {a}.x))" for a, b in zip(pts, [*pts[1:], pts[0]])]
+    return f"(least({', '.join(sides)}) >= 0 or greatest({', '.join(sides)}) <= 0)"
+
+
+def _corner_sql(c: str) -> str:
+    ix, iy = f"cast(floor(n.{c}.x / 2) as int)", f"(7 - cast(floor(n.{c}.y / 2) as int))"
+    far_x, far_y = T.TILE_W * (c in ("rt", "rb")), T.TILE_H * (c in ("rb", "lb"))
+    at = lambda what, other: f"coalesce((select {what} from tiles t where t.slide_id = n.slide_id and t.col_index = {ix} and t.row_index = {iy}), {other})"
+    return f"{{'x': {at('position_x', f'{ix} * {T.TILE_W * 9 // 10}')} + {far_x}, 'y': {at('position_y', f'{iy} * {T.TILE_H * 9 // 10}')} + {far_y}}} as p{c}"
+
+
+_TURN = list(zip(Q.CORNERS, [*Q.CORNERS[1:], Q.CORNERS[0]]))
+_REGION = f"""{_GRID}, {_kernel_sql()}, m as (select slide_id, kernel, w, h, angle, gx - dx as cx, gy - dy as cy, (sum(score + 1000) - 1000 * any_value(cells)) / (w * h) as mean
+      from grid, kn group by 1, 2, 3, 4, 5, 6, 7),
+    win as (select *, cos(radians(angle)) as c, sin(radians(angle)) as s from m qualify row_number() over (partition by slide_id, kernel order by round(mean, 9) desc, cy, cx) = 1),
+    pt as (select *, list_sort([{', '.join(f"{{'y': greatest(0.0::double, least(cy + w * {a / 2}::double * s + h * {b / 2}::double * c, 15.0::double)), 'x': greatest(0.0::double, least(cx + w * {a / 2}::double * c - h * {b / 2}::double * s, 19.0::double))}}" for a in (-1, 1) for b in (-1, 1))}]) as q from win),
+    cand as materialized (select slide_id, kernel, w, h, angle, cx, cy, mean, case when q[1].x <= q[2].x then q[1] else q[2] end as lt, case when q[1].x <= q[2].x then q[2] else q[1] end as rt,
+      case when q[3].x <= q[4].x then q[3] else q[4] end as lb, case when q[3].x <= q[4].x then q[4] else q[3] end as rb from pt),
+    per as (select slide_id, col_index as ix, row_index as iy, count(*) as n from detections group by 1, 2, 3), tot as (select slide_id, sum(n) as total from per group by 1),
+    xs as (select *, unnest(range(cast(floor(least(lt.x, rt.x, rb.x, lb.x)) as int), cast(ceil(greatest(lt.x, rt.x, rb.x, lb.x)) as int) + 1)) as x from cand),
+    xy as (select *, unnest(range(cast(floor(least(lt.y, rt.y, rb.y, lb.y)) as int), cast(ceil(greatest(lt.y, rt.y, rb.y, lb.y)) as int) + 1)) as y from xs),
+    hit as (select distinct slide_id, kernel, x // 2 as ix, 7 - y // 2 as iy from xy where {_inside_sql('x', 'y', '')}),
+    cnt as (select slide_id, kernel, coalesce(sum(n), 0) as cells from hit left join per using (slide_id, ix, iy) group by 1, 2),
+    hc as (select slide_id, min(gx) as lo, (max(gx) - min(gx) + 1) // 5 + min(gx) as cw from (select slide_id, gx from grid where score > -6 group by 1, 2 having count(*) > 1) group by 1),
+    ch as (select c.*, cells, total, coalesce(least(lt.x, rt.x, rb.x, lb.x) >= lo and least(lt.x, rt.x, rb.x, lb.x) <= lo + cw, false) as head from cand c join cnt using (slide_id, kernel) join tot using (slide_id) left join hc using (slide_id)),
+    off as (select * from ch qualify not head or bool_and(head) over (partition by slide_id)),
+    lv as (select *, case when cells >= {3 * TARGET} then list_min(list_filter(range(41), lambda k: cells <= {3 * TARGET} * (1 + 0.2::double * pow(2.0::double, k)) and (k = 0 or {3 * TARGET} * (1 + 0.2::double * pow(2.0::double, k)) <= total))) end as level from off),
+    fit as (select * from lv qualify level = min(level) over (partition by slide_id) or (min(level) over (partition by slide_id) is null and row_number() over (partition by slide_id order by cells desc, kernel) = 1)),
+    top as (select * from fit qualify row_number() over (partition by slide_id order by mean desc, kernel) <= 3), px as materialized (select n.*, {', '.join(map(_corner_sql, Q.CORNERS))} from top n),
+    sz as (select *, greatest(abs({' + '.join(f"(p{a}.x::double * p{b}.y - p{b}.x::double * p{a}.y)" for a, b in _TURN)}) / 2 / 400, 1.0::double) as size from px),
+    cell as (select d.slide_id, (d.x1 + d.x2) / 2.0::double + t.position_x as x, (d.y1 + d.y2) / 2.0::double + t.position_y as y from detections d join tiles t using (slide_id, tile_idx)),
+    bin as (select distinct z.slide_id, kernel, size, floor(x / 20) as mx, cast(floor(y / 20) as int) as my from sz z join cell e on e.slide_id = z.slide_id and {_inside_sql('e.x', 'e.y', 'z.p')}),
+    ro as (select distinct slide_id, kernel, size, mx, unnest(range(my - 6, my + 8)) as r from bin),
+    un as (select slide_id, kernel, sum(n) / any_value(size) as uniformity from (select *, least(coalesce(lead(mx) over (partition by slide_id, kernel, r order by mx) - mx, 19), 19) as n from ro) group by 1, 2),
+    chosen as (select t.*, coalesce(uniformity, 0) as uniformity from top t left join un using (slide_id, kernel) qualify row_number() over (partition by slide_id order by coalesce(uniformity, 0) desc, mean desc, kernel) = 1)"""
+
+
+@query(f"""with {_REGION} select slide_id, cast(w as int) as w, cast(h as int) as h, cast(angle as int) as angle, cast(cx as int) as cx, cast(cy as int) as cy, cast(cells as bigint) as cells, round(mean, 6) as area_score, round(uniformity, 6) as uniformity from chosen""", "blocks_raw", "tiles", "detections")
 def r5_best_region(s, d):
-    """One region a slide; its area score is among the three best of those nearest the target, and its uniformity a share."""
-    _, _, found, best = _region(s, d)
-    off = found.where(~F.col("head")).select("slide_id").distinct().withColumn("_o", F.lit(True))
-    pool = found.join(off, "slide_id", "left").where(~F.col("head") | F.col("_o").isNull())
-    near = R.near_target(pool.drop("total", "_o"), found.select("slide_id", "total").distinct(), ["slide_id"], 3 * TARGET)
-    better = near.select("slide_id", F.col("area_score").alias("other")).join(best.select("slide_id", "id", "area_score", "uniformity"), "slide_id")
-    return better.groupBy("slide_id").agg(F.count_distinct("id").cast("int").alias("regions"), (F.count_if(F.col("other") > F.col("area_score")) < 3).alias("among_best"),
-                                          F.every((F.col("uniformity") >= 0) & (F.col("uniformity") <= 1.5)).alias("uniform"))
+    """The region of each slide: where it lies, how many cells it holds, its score and uniformity."""
+    best = _region(s, d)[3]
+    return best.select("slide_id", "w", "h", "angle", "cx", "cy", "cells", _r("area_score").alias("area_score"), _r("uniformity").alias("uniformity"))
 
 
 @query("""select slide_id, true as any_cell, cast(0 as bigint) as repeated, cast(0 as bigint) as particles, cast(0 as bigint) as outside from tiles group by 1""", "tiles")
 def r6_capture(s, d):
     """Cells to capture: none twice, none of label 5, each in its rectangle."""
     grid, cells, _, best = _region(s, d)
-    parts = suppress._cut(Q.capture(best, grid, cells, AREA, TARGET)).join(grid.select("slide_id", "gx", "gy", "label"), ["slide_id", "gx", "gy"])
+    parts = suppress._cut(C.capture(best, grid, cells, AREA, TARGET)).join(grid.select("slide_id", "gx", "gy", "label"), ["slide_id", "gx", "gy"])
     inside = spatial.contains((F.col("x"), F.col("y"), F.col("x") + F.col("w"), F.col("y") + F.col("h")), "gx", "gy")
     return parts.groupBy("slide_id").agg((F.count("*") > 0).alias("any_cell"), (F.count("*") - F.count_distinct("gx", "gy")).alias("repeated"), F.count_if(F.col("label") == 5).alias("particles"),
                                          F.count_if(~inside).alias("outside"))
@@ -156,9 +190,9 @@ def r11_recentred_views(s, d):
     group by 1""", "blocks_raw", "tiles", "detections")
 def r12_wbc_views(s, d):
     """Nucleated cells at selected grid points: each has one view, and lies in it."""
-    t = load(s, d, "tiles")
-    views, cells = V.wbc_views(_grid(s, d).where("score > -6"), _box_cells(s, d).where("label = 0"), t, AREA)
-    chosen = V.selected_cells(_grid(s, d).where("score > -6"), V.middles(_box_cells(s, d).where("label = 0")), t, AREA)
+    t, good, boxes = (suppress._cut(x) for x in (load(s, d, "tiles"), _grid(s, d).where("score > -6"), _box_cells(s, d).where("label = 0")))
+    views, cells = V.wbc_views(good, boxes, t, AREA)
+    chosen = V.selected_cells(good, V.middles(boxes), t, AREA)
     own = cells.join(views.select("slide_id", "view_id", F.col("x").alias("vx"), F.col("y").alias("vy")), ["slide_id", "view_id"])
     inside = spatial.contains((F.col("vx"), F.col("vy"), F.col("vx") + V.VIEW_W, F.col("vy") + V.VIEW_H), "x", "y")
     seen = own.groupBy("slide_id").agg(F.count("*").alias("n"), F.every(inside).alias("in_view"))
@@ -173,10 +207,10 @@ def r12_wbc_views(s, d):
     select n.slide_id, count(*) as megs, cast(0 as bigint) as unassigned, true as on_tile from nb n left join s5 s on n.g = s.g and n.id = s.v where s.v is null group by 1""", "blocks_raw", "tiles", "megs")
 def r13_meg_views(s, d):
     """Megakaryocytes off bad regions, duplicates suppressed: each has a view, and every view lies on its tile."""
-    t, blocks = load(s, d, "tiles"), _blocks(s, d)
+    t, blocks, megs = map(suppress._cut, (load(s, d, "tiles"), _blocks(s, d), _megs(s, d)))
     first = t.groupBy("slide_id").agg(F.min("position_x").alias("x"), F.min("position_y").alias("y"))
-    kept = suppress.meg_boxes(R.off_bad_regions(_megs(s, d), R.bad_regions(blocks, t), ["slide_id"], 0.2), ["slide_id"])
-    views, boxes = V.meg_views(_megs(s, d), blocks, t, first)
+    kept = suppress.meg_boxes(R.off_bad_regions(megs, R.bad_regions(blocks, t), ["slide_id"], 0.2), ["slide_id"])
+    views, boxes = V.meg_views(megs, blocks, t, first)
     on_tile = (F.col("view_pos_x").between(0, T.TILE_W - V.VIEW_W)) & F.col("view_pos_y").between(0, T.TILE_H - V.VIEW_H)
     n = kept.groupBy("slide_id").agg(F.count("*").alias("megs")).join(boxes.groupBy("slide_id").agg(F.count("*").alias("n")), "slide_id")
     return n.join(views.groupBy("slide_id").agg(F.every(on_tile).alias("on_tile")), "slide_id").select("slide_id", "megs", (F.col("megs") - F.col("n")).alias("unassigned"), "on_tile")
@@ -185,8 +219,8 @@ def r13_meg_views(s, d):
 @query("""select slide_id, true as any_wbc, true as any_meg, true as meg_last, cast(0 as bigint) as repeated, cast(0 as bigint) as off_view from tiles group by 1""", "tiles")
 def r15_task_list(s, d):
     """Detections to task records: groups of nucleated cells first, megakaryocytes last, no task twice, and every cell's middle in its view."""
-    blocks = _scored(s, d).select("slide_id", "tile_idx", "dx", "dy", "score", "label")
-    r = suppress._cut(V.task_list(load(s, d, "detections"), load(s, d, "tiles"), blocks, _megs(s, d), SIZES, AREA, TARGET))
+    tables = (load(s, d, "detections"), load(s, d, "tiles"), _scored(s, d).select("slide_id", "tile_idx", "dx", "dy", "score", "label"), _megs(s, d))
+    r = suppress._cut(V.task_list(*map(suppress._cut, tables), AREA, TARGET))
     off = F.size(F.filter("cell_list", lambda c: (F.abs(c["cell_x"] + c["cell_width"] / 2 - F.col("view_pos_x") - F.col("view_width") / 2) > F.col("view_width") / 2 + 1)
                           | (F.abs(c["cell_y"] + c["cell_height"] / 2 - F.col("view_pos_y") - F.col("view_height") / 2) > F.col("view_height") / 2 + 1)))
     wbc, key = F.col("view_type") == "wbc", F.struct("group", "sort_id")

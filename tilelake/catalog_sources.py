@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tilelake.catalog import _r, query
 from tilelake.fixtures import load
 from tilelake.operators import heatmap
+from tilelake.session import shared_folder
 from tilelake.sources import files, models
 
 
@@ -12,7 +13,7 @@ def _text_cells(s, d):
     c = load(s, d, "detections").join(load(s, d, "tiles").select("slide_id", "tile_idx", "position_x", "position_y"), ["slide_id", "tile_idx"])
     fields = ["col_index", "row_index", "position_x + 1224", "position_y + 1024", "1", "x1", "y1", "x1 + position_x", "y1 + position_y"]
     line = F.concat_ws(" ", *(F.expr(f"cast({e} as string)") for e in fields))
-    path = files.shared_folder(s, "cells")
+    path = shared_folder(s, "cells")
     files.write_lines(c.select("slide_id", F.when(F.col("cell_id") % 97 == 0, F.concat(line, F.lit(" 0"))).otherwise(line).alias("value")), path)
     return files.read_cells(s, path)
 
@@ -30,7 +31,7 @@ def _text_blocks(s, d):
     b = load(s, d, "blocks_raw").withColumn("v", F.explode(F.array(F.col("l0") - 1, F.col("l0"))))
     fields = ["tile_idx % 10", "tile_idx div 10", "dx * 612", "if(dy = 0, 352, 864)", "1", "v"]
     line = F.concat_ws(" ", *(F.expr(f"cast({e} as string)") for e in fields))
-    path = files.shared_folder(s, "blocks")
+    path = shared_folder(s, "blocks")
     files.write_lines(b.select("slide_id", F.when(F.col("nuc_area") % 53 == 0, F.lit("1 2 3")).otherwise(line).alias("value")), path)
     return files.read_blocks(s, path)
 
@@ -60,7 +61,7 @@ def _project(s, d):
     t = load(s, d, "tiles").join(area, ["slide_id", "tile_idx"]).join(wbc, ["slide_id", "tile_idx"], "left").join(meg, ["slide_id", "tile_idx"], "left")
     node = F.struct(F.col("row_index").alias("row"), F.col("col_index").alias("col"), F.struct(
         floats("position_x", "position_y").alias("position"), "area_score_info", "wbc_center_pt", "meg_center_pt").alias("data"))
-    path = files.shared_folder(s, "project")
+    path = shared_folder(s, "project")
     t.groupBy("slide_id").agg(F.collect_list(node).alias("nodes")).select(
         "slide_id", F.struct(F.lit(8).alias("row_num"), F.lit(10).alias("col_num")).alias("task_info"), "nodes").write.json(path)
     return files.read_project(s, path, multi_line=False)
@@ -128,7 +129,7 @@ def s9_task_list(s, d):
     from tilelake.operators.cover import number_tasks
 
     v = number_tasks(load(s, d, "views").withColumn("region", (F.col("view_id") % 7).cast("int")), ["slide_id", "region"])
-    path = files.shared_folder(s, "tasks")
+    path = shared_folder(s, "tasks")
     files.write_task_list(v.select("slide_id", "region", "sort_id", F.col("x").alias("view_pos_x"), F.col("y").alias("view_pos_y")), path)
     back = s.read.schema("slide_id long, region int, tasks array<struct<sort_id: int, view_pos_x: int, view_pos_y: int>>").json(path)
     return back.select("slide_id", "region", F.inline("tasks"))
@@ -136,7 +137,7 @@ def s9_task_list(s, d):
 
 @query("select slide_id, tile_idx, cell_id, x1, y1 from detections where slide_id = 0", "detections")
 def s10_saved_project(s, d):
-    path = files.shared_folder(s, "saved")
+    path = shared_folder(s, "saved")
     files.save_project(load(s, d, "detections"), path)
     return files.load_project(s, path, 0).select(F.col("slide_id").cast("long"), "tile_idx", "cell_id", "x1", "y1")
 

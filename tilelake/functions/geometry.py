@@ -21,13 +21,20 @@ def intersection(a, b) -> Column:
     return F.greatest(w, F.lit(0)).cast("double") * F.greatest(h, F.lit(0))
 
 
+def _share(part: Column, whole: Column) -> Column:
+    """part / whole, 0 where there is no whole: points and lines overlap nothing."""
+    return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
+
+
 def iou(a, b) -> Column:
+    """Intersection over union; 0 for two boxes without area."""
     i = intersection(a, b)
-    return i / (area(a) + area(b) - i)
+    return _share(i, area(a) + area(b) - i)
 
 
 def over_smaller(a, b) -> Column:
-    return intersection(a, b) / F.least(area(a), area(b))
+    """Intersection over the smaller area; 0 if that box has no area."""
+    return _share(intersection(a, b), F.least(area(a), area(b)))
 
 
 def contains(box, x, y, closed: bool = False) -> Column:

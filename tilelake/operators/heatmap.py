@@ -89,9 +89,12 @@ def heat_map(blocks: DataFrame, tiles: DataFrame) -> DataFrame:
         "score", "label")
 
 
-def head_crop(grid: DataFrame, least: float, height: int) -> DataFrame:
-    """Columns with more than height // 10 cells above a score, and the width of the head crop."""
-    per = grid.where(F.col("score") > least).groupBy("slide_id", "gx").agg(F.count("*").alias("n")).where(F.col("n") > height // 10)
+def head_crop(grid: DataFrame, least: float, height: int = 0, area=None) -> DataFrame:
+    """Columns with more than height // 10 cells above a score, and the width of the head crop.  The height is that of the area, if one is given."""
+    from tilelake.operators.regions import at_area
+
+    per = grid.where(F.col("score") > least).groupBy("slide_id", "gx").agg(F.count("*").alias("n"))
+    per = per.where(F.col("n") > height // 10) if area is None else at_area(per, area).where(F.col("n") > F.expr("2 * (_max_row - _min_row + 1) div 10"))
     return per.groupBy("slide_id").agg(F.min("gx").alias("lo"), F.max("gx").alias("hi")).withColumn(
         "crop_w", F.expr("cast((hi - lo + 1) div 5 + lo as int)"))
 

@@ -13,6 +13,20 @@ BOX = ("x1", "y1", "x2", "y2")
 BLOCK_X, BLOCK_Y, BLOCK_SIDE = (0, 848), (352, 1152), 896
 
 
+AREA_COLUMNS = ("_min_row", "_max_row", "_min_col", "_max_col")
+
+
+def at_area(df: DataFrame, area) -> DataFrame:
+    """df with the bounds of its slide's user area as columns.
+
+    area: one dict for all slides, or a table (slide_id, min_row, max_row, min_col, max_col) with a row for each slide;
+    slides that the table lacks go.
+    """
+    if isinstance(area, dict):
+        return df.withColumns({c: F.lit(area[c[1:]]) for c in AREA_COLUMNS})
+    return df.join(area.select("slide_id", *(F.col(c[1:]).alias(c) for c in AREA_COLUMNS)), "slide_id")
+
+
 def tile_boxes(tiles: DataFrame) -> DataFrame:
     return tiles.select("slide_id", "tile_idx", F.col("position_x").alias("x1"), F.col("position_y").alias("y1"),
                         (F.col("position_x") + TILE_W).alias("x2"), (F.col("position_y") + TILE_H).alias("y2"))
@@ -84,18 +98,19 @@ def dedup_report(raw: DataFrame, kept: DataFrame, keys: list[str], tolerance: in
     return n(raw, "raw").unionByName(n(kept, "kept")).unionByName(n(removed, "removed")).groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("raw", "kept", "removed")))
 
 
-def tile_of_grid(points: DataFrame, area: dict) -> DataFrame:
+def tile_of_grid(points: DataFrame, area) -> DataFrame:
     """ix, iy of the tile that a grid point (gx, gy) of a user area lies on, with the rows flipped."""
-    return points.withColumn("ix", F.expr("gx div 2").cast("int") + area["min_col"]).withColumn("iy", F.lit(area["max_row"]) - F.expr("gy div 2").cast("int"))
+    ix, iy = F.expr("gx div 2").cast("int") + F.col("_min_col"), F.col("_max_row") - F.expr("gy div 2").cast("int")
+    return at_area(points, area).withColumn("ix", ix).withColumn("iy", iy).drop(*AREA_COLUMNS)
 
 
-def cells_of_regions(points: DataFrame, cells_per_tile: DataFrame, keys: list[str], area: dict) -> DataFrame:
+def cells_of_regions(points: DataFrame, cells_per_tile: DataFrame, keys: list[str], area) -> DataFrame:
     """Cells of the tiles that the grid points of each region touch, each tile once."""
     tiles = tile_of_grid(points, area).select(*keys, "ix", "iy").distinct()
     return tiles.join(cells_per_tile, ["slide_id", "ix", "iy"], "left").groupBy(*keys).agg(F.coalesce(F.sum("cells"), F.lit(0)).alias("cells"))
 
 
-def grid_to_pixels(rects: DataFrame, tiles: DataFrame, area: dict, patch: tuple[int, int] = (1224, 1024), off_x=(0, 1224), off_y=(0, 1024)) -> DataFrame:
+def grid_to_pixels(rects: DataFrame, tiles: DataFrame, area, patch: tuple[int, int] = (1224, 1024), off_x=(0, 1224), off_y=(0, 1024)) -> DataFrame:
     """Pixel boxes of grid rectangles (gx, gy, gw, gh), by the tile under their first corner."""
     t = tiles.select("slide_id", F.col("col_index").alias("ix"), F.col("row_index").alias("iy"), "position_x", "position_y")
     pick = lambda c, v: F.when(F.col(c) % 2 == 0, v[0]).otherwise(v[1])

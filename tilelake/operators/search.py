@@ -1,54 +1,105 @@
-"""Search for regions of a slide's score grid: rotated windows, the best region, and its cut into rectangles to capture."""
+"""Search for regions of a slide's score grid: rotated windows of many sizes, and the best region among them."""
 
 import math
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from tilelake.operators.regions import cells_of_regions, in_quad, most_uniform, near_target
+from tilelake.operators.cover import rect_sizes
+from tilelake.operators.regions import AREA_COLUMNS, at_area, cells_of_regions, in_quad, most_uniform, near_target
 from tilelake.operators.tiles import TILE_H, TILE_W
 
 ANGLES = (0, 15, 75)
 MISSING = -1000.0
 CORNERS = ("lt", "rt", "rb", "lb")
+# Window areas in tiles (fixed values): 4 to 20, then wider steps.
+MAGNITUDES = (*range(4, 21), 25, 30, 40, 60, 80, 100, 120, 160, 200, 300, 400)
 
 
-def kernels(spark: SparkSession, sizes: list[tuple[int, int]], width: int, height: int, angles=ANGLES) -> DataFrame:
-    """(kernel, w, h, angle, dx, dy, cells): cells of each rotated window around its middle; windows larger than the grid go."""
-    side = [(w, h, (int(math.hypot(w, h)) + 4) | 1) for w, h in sizes]
-    rows = [(k, w, h, a) for k, (w, h, a) in enumerate((w, h, a) for w, h, s in side if s <= min(width, height) for a in angles)]
-    t = spark.createDataFrame(rows, "kernel int, w int, h int, angle int")
-    reach = (F.sqrt(F.col("w") * F.col("w") + F.col("h") * F.col("h")) / 2 + 1).cast("int")
-    t = t.withColumn("dx", F.explode(F.sequence(-reach, reach))).withColumn("dy", F.explode(F.sequence(-reach, reach)))
-    c, s = F.cos(F.radians("angle")), F.sin(F.radians("angle"))
-    inside = (F.abs(F.col("dx") * c + F.col("dy") * s) <= F.col("w") / 2) & (F.abs(F.col("dy") * c - F.col("dx") * s) <= F.col("h") / 2)
-    return t.where(inside).withColumn("cells", F.count("*").over(Window.partitionBy("kernel")))
+def all_sizes() -> list[tuple[int, int]]:
+    """Every window size that is searched, in grid cells."""
+    return rect_sizes(MAGNITUDES)
 
 
-def rotated_windows(grid: DataFrame, kernel: DataFrame) -> DataFrame:
-    """Where each kernel's mean score is greatest on a sparse grid: (slide_id, kernel, w, h, angle, cx, cy, area_score).
+def runs(w: int, h: int, angle: float) -> list[tuple[int, int, int]]:
+    """The cells of a rotated window around its middle as one interval a row: (dy, first dx, last dx)."""
+    reach = int(math.hypot(w, h) / 2 + 1)
+    dx, dy = np.meshgrid(np.arange(-reach, reach + 1), np.arange(-reach, reach + 1))
+    c, s = math.cos(math.radians(angle)), math.sin(math.radians(angle))
+    inside = (np.abs(dx * c + dy * s) <= w / 2) & (np.abs(dy * c - dx * s) <= h / 2)
+    return [(int(y[0]), int(x[on].min()), int(x[on].max())) for x, y, on in zip(dx, dy, inside) if on.any()]
 
-    Absent cells count as MISSING, and the mean is over w * h; of equal means the first in order of rows counts.  The kernels
-    are a small table whatever the slides.
-    """
-    s = grid.select("slide_id", "gx", "gy", (F.col("score") - MISSING).alias("s"), F.lit(0).alias("_k")).join(F.broadcast(kernel.withColumn("_k", F.lit(0))), "_k")
-    total = s.groupBy("slide_id", "kernel", "w", "h", "angle", "cells", (F.col("gx") - F.col("dx")).alias("cx"), (F.col("gy") - F.col("dy")).alias("cy")).agg(F.sum("s").alias("s"))
-    mean = (F.col("s") + MISSING * F.col("cells")) / (F.col("w") * F.col("h"))
-    best = total.groupBy("slide_id", "kernel", "w", "h", "angle").agg(F.max_by(F.struct("cx", "cy", mean.alias("area_score")), F.struct(F.round(mean, 9), -F.col("cy"), -F.col("cx"))).alias("b"))
-    return best.select("slide_id", "kernel", "w", "h", "angle", "b.*")
 
+def best_place(value: np.ndarray, there: np.ndarray, w: int, h: int, angle: float) -> tuple[int, int, float]:
+    """(cx, cy, mean) of the best place of one window on a grid; value and there are row-wise running sums, a zero first.
 
-def with_corners(windows: DataFrame, width: int, height: int) -> DataFrame:
-    """windows with their corners lt, rt, rb, lb (structs x, y), clipped to the grid; sorted by y, then by x in each half."""
+    Every row of the window takes two look-ups in the running sums at each place.
+    """
+    height, width = value.shape[0], value.shape[1] - 1
+    own = runs(w, h, angle)
+    r = max(max(abs(v) for v in run) for run in own)
+    cx = np.arange(-r, width + r)
+    total, count = np.zeros((height + 2 * r, width + 2 * r)), np.zeros((height + 2 * r, width + 2 * r), np.int64)
+    for dy, lo, hi in own:
+        start, end = np.clip(cx + lo, 0, width), np.clip(cx + hi + 1, 0, width)
+        at = slice(r - dy, r - dy + height)  # the places whose row dy is a row of the grid
+        total[at] += value[:, end] - value[:, start]
+        count[at] += there[:, end] - there[:, start]
+    mean = (total + MISSING * (sum(hi - lo + 1 for _, lo, hi in own) - count)) / (w * h)
+    y, x = np.unravel_index(np.round(mean, 9).argmax(), mean.shape)
+    return int(x) - r, int(y) - r, float(mean[y, x])
+
+
+def rotated_windows(grid: DataFrame, sizes: list[tuple[int, int]], area, angles=ANGLES, together: int = 48) -> DataFrame:
+    """Where each window's mean score is greatest: (slide_id, kernel, w, h, angle, cx, cy, area_score).
+
+    Absent cells count as MISSING, and the mean is over w * h; of equal means the first in order of rows counts.  Windows whose
+    side exceeds a slide's grid are left out for that slide.  A slide's grid is a scanner's table of blocks; it goes
+    to several tasks with `together` windows each, so the work is spread over slides and sizes.
+    """
+    table = [(k, w, h, a) for k, (w, h, a) in enumerate((w, h, a) for w, h in sizes for a in angles)]
+    cells = grid.where("score is not null").groupBy("slide_id").agg(F.collect_list(F.struct("gx", "gy", "score")).alias("c"))
+    packed = at_area(cells, area).select("slide_id", (2 * (F.col("_max_col") - F.col("_min_col") + 1)).alias("width"), (2 * (F.col("_max_row") - F.col("_min_row") + 1)).alias("height"),
+                                         "c.gx", "c.gy", "c.score")
+    blocks = -(-len(table) // together)
+    n = int(grid.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(n, "slide_id", "block")
+    key = grid.schema["slide_id"]
+    place = best_place
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                width, height = r["width"], r["height"]
+                gx, gy, score = (np.array(r[c]) for c in ("gx", "gy", "score"))
+                on = (gx >= 0) & (gx < width) & (gy >= 0) & (gy < height)
+                value, there = np.zeros((height, width + 1)), np.zeros((height, width + 1), np.int64)
+                value[gy[on], gx[on] + 1] = score[on]
+                there[gy[on], gx[on] + 1] = 1
+                value, there = value.cumsum(1), there.cumsum(1)
+                for k, w, h, a in table[r["block"] * together:(r["block"] + 1) * together]:
+                    if (int(math.hypot(w, h)) + 4) | 1 <= min(width, height):
+                        out.append((r["slide_id"], k, w, h, a, *place(value, there, w, h, a)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (b.schema.field("slide_id").type, *[pa.int32()] * 6, pa.float64()))],
+                                                 ["slide_id", "kernel", "w", "h", "angle", "cx", "cy", "area_score"])
+
+    return tasks.mapInArrow(run, StructType([key]).add("kernel", "integer").add("w", "integer").add("h", "integer").add("angle", "integer").add("cx", "integer").add("cy", "integer").add("area_score", "double"))
+
+
+def with_corners(windows: DataFrame) -> DataFrame:
+    """windows with their corners lt, rt, rb, lb (structs x, y), clipped to the grid (_width, _height); sorted by y, then by x in each half."""
     c, s = F.cos(F.radians("angle")), F.sin(F.radians("angle"))
-    fit = lambda v, n: F.greatest(F.lit(0.0), F.least(v, F.lit(float(n - 1))))
+    fit = lambda v, n: F.greatest(F.lit(0.0), F.least(v, n - 1.0))
 
     def corner(a, b):
         u, v = F.col("w") * (a / 2), F.col("h") * (b / 2)
-        return F.struct(fit(F.col("cy") + u * s + v * c, height).alias("y"), fit(F.col("cx") + u * c - v * s, width).alias("x"))
+        return F.struct(fit(F.col("cy") + u * s + v * c, F.col("_height")).alias("y"), fit(F.col("cx") + u * c - v * s, F.col("_width")).alias("x"))
 
     pts = F.array_sort(F.array(*(corner(a, b) for a in (-1, 1) for b in (-1, 1))))
     by_x = lambda half: F.array_sort(F.transform(half, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))))
@@ -69,19 +120,20 @@ def cells_of_windows(windows: DataFrame) -> DataFrame:
     return w.where(in_quad(F.col("gx"), F.col("gy"), corner_pairs())).select("slide_id", "id", "gx", "gy")
 
 
-def search(grid: DataFrame, crop: DataFrame, cells_per_tile: DataFrame, sizes: list[tuple[int, int]], area: dict, target: int, orientation: int = 1) -> DataFrame:
+def search(grid: DataFrame, crop: DataFrame, cells_per_tile: DataFrame, sizes: list[tuple[int, int]], area, target: int, orientation: int = 1) -> DataFrame:
     """Candidate regions of every slide: one for each size and angle, with its cells, and `head`: whether its end lies in the head crop.
 
     A slide with no more cells than the target has one candidate, its whole grid.  crop: (slide_id, lo, hi, crop_w); the head is
-    on the right for orientation 0, on the left for 1.
+    on the right for orientation 0, on the left for 1.  area: a user area for all slides (dict), or a table with each one's.
     """
-    width, height = 2 * (area["max_col"] - area["min_col"] + 1), 2 * (area["max_row"] - area["min_row"] + 1)
+    sized = lambda df: at_area(df, area).withColumn("_width", 2 * (F.col("_max_col") - F.col("_min_col") + 1)).withColumn("_height", 2 * (F.col("_max_row") - F.col("_min_row") + 1)).drop(*AREA_COLUMNS)
     totals = cells_per_tile.groupBy("slide_id").agg(F.sum("cells").alias("total"))
-    found = with_corners(rotated_windows(grid, kernels(grid.sparkSession, sizes, width, height)), width, height)
-    point = lambda x, y: F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"))
-    whole = grid.groupBy("slide_id").agg(F.avg("score").alias("area_score")).select(
-        "slide_id", F.lit(-1).alias("kernel"), F.lit(width).alias("w"), F.lit(height).alias("h"), F.lit(0).alias("angle"), F.lit(width // 2).alias("cx"), F.lit(height // 2).alias("cy"), "area_score",
-        *(point(x, y).alias(c) for c, (x, y) in zip(CORNERS, ((0, 0), (width - 1, 0), (width - 1, height - 1), (0, height - 1)))))
+    found = with_corners(sized(rotated_windows(grid, sizes, area))).drop("_width", "_height")
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    zero, right, low = F.lit(0), F.col("_width") - 1, F.col("_height") - 1
+    whole = sized(grid.groupBy("slide_id").agg(F.avg("score").alias("area_score"))).select(
+        "slide_id", F.lit(-1).alias("kernel"), F.col("_width").alias("w"), F.col("_height").alias("h"), F.lit(0).alias("angle"), F.expr("_width div 2").cast("int").alias("cx"), F.expr("_height div 2").cast("int").alias("cy"), "area_score",
+        *(point(x, y).alias(c) for c, (x, y) in zip(CORNERS, ((zero, zero), (right, zero), (right, low), (zero, low)))))
     small = F.col("total") <= target
     c = found.join(totals.where(~small), "slide_id").unionByName(whole.join(totals.where(small), "slide_id")).withColumnRenamed("kernel", "id")
     counted = cells_of_regions(cells_of_windows(c), cells_per_tile, ["slide_id", "id"], area)
@@ -93,18 +145,18 @@ def search(grid: DataFrame, crop: DataFrame, cells_per_tile: DataFrame, sizes: l
     return c.withColumn("head", head).withColumn("diff", F.col("cells") - target).drop("lo", "hi", "crop_w")
 
 
-def pixel_corners(regions: DataFrame, tiles: DataFrame, area: dict) -> DataFrame:
+def pixel_corners(regions: DataFrame, tiles: DataFrame, area) -> DataFrame:
     """regions with the corners lt, rt, rb, lb in pixels: those of the tiles under them, the far ones by a tile more."""
     t = tiles.select("slide_id", F.col("col_index").alias("_ix"), F.col("row_index").alias("_iy"), "position_x", "position_y")
-    out = regions
+    out = at_area(regions, area)
     for c in CORNERS:
         far_x, far_y = TILE_W * (c[1] == "t" and c[0] == "r" or c == "rb"), TILE_H * ("b" in c)
-        out = out.withColumn("_ix", F.floor(F.col(f"{c}.x") / 2).cast("int") + area["min_col"]).withColumn("_iy", F.lit(area["max_row"]) - F.floor(F.col(f"{c}.y") / 2).cast("int"))
+        out = out.withColumn("_ix", F.floor(F.col(f"{c}.x") / 2).cast("int") + F.col("_min_col")).withColumn("_iy", F.col("_max_row") - F.floor(F.col(f"{c}.y") / 2).cast("int"))
         out = out.join(t, ["slide_id", "_ix", "_iy"], "left")
         # where a tile is missing, its place on the regular grid stands for it
         x, y = F.coalesce("position_x", F.col("_ix") * (TILE_W * 9 // 10)), F.coalesce("position_y", F.col("_iy") * (TILE_H * 9 // 10))
         out = out.withColumn(f"p{c}", F.struct((x + far_x).alias("x"), (y + far_y).alias("y"))).drop("_ix", "_iy", "position_x", "position_y")
-    return out
+    return out.drop(*AREA_COLUMNS)
 
 
 def region_uniformity(regions: DataFrame, cells: DataFrame, bin_px: int = 20, view: tuple[int, int] = (384, 283)) -> DataFrame:
@@ -122,7 +174,7 @@ def region_uniformity(regions: DataFrame, cells: DataFrame, bin_px: int = 20, vi
     return regions.join(lit, ["slide_id", "id"], "left").withColumn("uniformity", F.coalesce("uniformity", F.lit(0.0)))
 
 
-def best_region(candidates: DataFrame, cells: DataFrame, tiles: DataFrame, area: dict, target: int, top: int = 3) -> DataFrame:
+def best_region(candidates: DataFrame, cells: DataFrame, tiles: DataFrame, area, target: int, top: int = 3) -> DataFrame:
     """The region of each slide: of its candidates off the head (of all, where there is none) those nearest the target, of these the
     `top` of the best area score, and of these the most uniform one."""
     off = candidates.groupBy("slide_id").agg(F.max((~F.col("head")).cast("int")).alias("_off"))
@@ -131,95 +183,3 @@ def best_region(candidates: DataFrame, cells: DataFrame, tiles: DataFrame, area:
     leading = near.withColumn("_n", F.row_number().over(Window.partitionBy("slide_id").orderBy(F.desc("area_score"), "id"))).where(F.col("_n") <= top).drop("_n")
     scored = region_uniformity(pixel_corners(leading, tiles, area), cells)
     return scored.join(most_uniform(scored, ["slide_id"], top).select("slide_id", "id"), ["slide_id", "id"], "left_semi")
-
-
-def _components(on: np.ndarray) -> np.ndarray:
-    """Number of the 8-connected component of every cell that is on, 0 elsewhere; by spreading the least number to neighbours."""
-    label = np.where(on, np.arange(1, on.size + 1).reshape(on.shape), 0)
-    while True:
-        wide = np.pad(np.where(on, label, on.size + 1), 1, constant_values=on.size + 1)
-        low = np.min([wide[1 + i:wide.shape[0] - 1 + i, 1 + j:wide.shape[1] - 1 + j] for i in (-1, 0, 1) for j in (-1, 0, 1)], 0)
-        new = np.where(on, low, 0)
-        if (new == label).all():
-            return label
-        label = new
-
-
-def _capture(score, inside, usable, tile, cells, area_score, target, ratio):
-    """Rectangles (x, y, w, h) of one slide's grid, the first around the densest part that holds about the target, then strips."""
-    def count(box):
-        x, y, w, h = box
-        at = usable[y:y + h, x:x + w]
-        return int(sum(cells[t] for t in np.unique(tile[y:y + h, x:x + w][at])))
-
-    high, low, chosen, last, mask = area_score - 7, 0.0, None, None, inside
-    while abs(high - low) > 1e-5 and chosen is None:
-        middle = (high + low) / 2
-        mask = inside & (score > middle)
-        label = _components(mask)
-        names, sizes = np.unique(label[label > 0], return_counts=True)
-        if not len(names):
-            low = middle
-            continue
-        ys, xs = np.nonzero(label == names[sizes.argmax()])
-        last = (int(xs.min()), int(ys.min()), int(np.ptp(xs)) + 1, int(np.ptp(ys)) + 1)
-        n = count(last)
-        if target * (1 - ratio) <= n <= target * (1 + ratio):
-            chosen = last
-        elif n >= target:
-            high = middle
-        else:
-            low = middle
-    first = chosen or last
-    if first is None or not usable.any():
-        return []
-    out, left = [first], usable.copy()
-    x, y, w, h = first
-    left[y:y + h, x:x + w] = False
-    while left.any():
-        strips = [(x, y - 1, w, 1), (x, y + h, w, 1), (x - 1, y, 1, h), (x + w, y, 1, h)]
-        fits = [a >= 0 and b >= 0 and a + c <= mask.shape[1] and b + d <= mask.shape[0] for a, b, c, d in strips]
-        hits = [int(mask[b:b + d, a:a + c].sum()) if ok else 0 for ok, (a, b, c, d) in zip(fits, strips)]
-        if not max(hits):
-            hits = [int(left[max(b, 0):max(b + d, 0), max(a, 0):max(a + c, 0)].sum()) for a, b, c, d in strips]
-        if not max(hits):
-            break
-        a, b, c, d = strips[int(np.argmax(hits))]
-        if left[b:b + d, a:a + c].any():
-            out.append((a, b, c, d))
-            left[b:b + d, a:a + c] = False
-        x, y, w, h = min(x, a), min(y, b), max(x + w, a + c) - min(x, a), max(y + h, b + d) - min(y, b)
-    return out
-
-
-def capture(region: DataFrame, grid: DataFrame, cells_per_tile: DataFrame, area: dict, target: int, ratio: float = 0.3) -> DataFrame:
-    """(slide_id, part, x, y, w, h, gx, gy): the grid cells of each rectangle to capture, part 0 first.
-
-    A threshold between the region's score less 7 and 0 is halved until the largest connected part above it holds the target
-    within `ratio`; strips of one cell then extend it, to the side with most cells above the threshold, else with most cells left.
-    Cells without a label or of label 5 are left out.  One slide's grid is one group: its size is that of the scanner's table.
-    """
-    width, height = 2 * (area["max_col"] - area["min_col"] + 1), 2 * (area["max_row"] - area["min_row"] + 1)
-    members = cells_of_windows(region).select("slide_id", "gx", "gy", F.lit(True).alias("inside"))
-    rows = grid.join(members, ["slide_id", "gx", "gy"], "left").withColumn("ix", F.expr("gx div 2").cast("int") + area["min_col"]).withColumn("iy", F.lit(area["max_row"]) - F.expr("gy div 2").cast("int"))
-    rows = rows.join(cells_per_tile.select("slide_id", "ix", "iy", "cells"), ["slide_id", "ix", "iy"], "left").join(region.select("slide_id", "area_score"), "slide_id")
-    rows = rows.select("slide_id", "gx", "gy", "score", F.coalesce("label", F.lit(5)).alias("label"), F.coalesce("inside", F.lit(False)).alias("inside"), F.coalesce("cells", F.lit(0)).alias("cells"), "area_score")
-    cols = area["max_col"] - area["min_col"] + 1
-    find = _capture
-
-    def one(key, t):
-        t = t[(t.gx >= 0) & (t.gx < width) & (t.gy >= 0) & (t.gy < height)]
-        at = (t.gy.to_numpy(), t.gx.to_numpy())
-        score, inside, usable = np.full((height, width), -1000.0), np.zeros((height, width), bool), np.zeros((height, width), bool)
-        tile, cells = np.zeros((height, width), int), np.zeros(cols * (height // 2), int)
-        score[at], inside[at], usable[at] = t.score, t.inside, t.inside & (t.label != 5)
-        tile[at] = (t.gy // 2) * cols + t.gx // 2
-        cells[tile[at]] = t.cells
-        out, left = [], usable.copy()
-        for k, (x, y, w, h) in enumerate(find(score, inside, usable, tile, cells, float(t.area_score.iloc[0]), target, ratio) if len(t) else []):
-            ys, xs = np.nonzero(left[y:y + h, x:x + w])
-            left[y:y + h, x:x + w] = False
-            out += [(key[0], k, x, y, w, h, int(x + b), int(y + a)) for a, b in zip(ys, xs)]
-        return pd.DataFrame(out, columns=["slide_id", "part", "x", "y", "w", "h", "gx", "gy"])
-
-    return rows.groupBy("slide_id").applyInPandas(one, "slide_id long, part int, x int, y int, w int, h int, gx int, gy int")

@@ -11,18 +11,11 @@ from pyspark.sql.window import Window
 
 from tilelake.functions.geometry import area, iou, over_smaller
 from tilelake.operators.spatial import adjacent_tiles, box_pairs
-from tilelake.sources.files import shared_folder
+from tilelake.session import cut as _cut
 
 BOX = ("x1", "y1", "x2", "y2")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder, and read from there: a plan without lineage, whose size Spark knows."""
-    path = shared_folder(df.sparkSession, "cut")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def suppressed(edges: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, v) of the suppressed boxes.
 

@@ -76,13 +76,14 @@ def on_wbc_tiles(tasks: DataFrame, tiles: DataFrame) -> DataFrame:
     return tasks.join(tiles.select(*keys, "tile_idx", "position_x", "position_y"), keys).join(tasks.where("view_type = 'wbc'").select(*keys), keys, "left_semi")
 
 
-def records(views: DataFrame, cells: DataFrame, tiles: DataFrame, last_row: int, kind: str = "wbc") -> DataFrame:
+def records(views: DataFrame, cells: DataFrame, tiles: DataFrame, last_row, kind: str = "wbc") -> DataFrame:
     """Task records of views (slide_id, region, view_id, x, y, w, h) and the cells assigned to them (slide_id, view_id, cx, cy, cw, ch).
 
     sort_id counts by x, y within a region before views outside all tiles are left out, so it may have gaps.  Cell boxes
-    start half their rounded size before the centre.  A view's cells are few by its size.
+    start half their rounded size before the centre.  A view's cells are few by its size.  last_row: the row from which
+    rows count, or the user area whose last one it is.
     """
-    from tilelake.operators.regions import containing_tile
+    from tilelake.operators.regions import at_area, containing_tile
 
     v = views.withColumn("sort_id", F.row_number().over(Window.partitionBy("slide_id", "region").orderBy("x", "y", "view_id")))
     mid = v.select("slide_id", "view_id", (F.col("x") + 0.5 * F.col("w")).alias("x"), (F.col("y") + 0.5 * F.col("h")).alias("y"))
@@ -92,8 +93,9 @@ def records(views: DataFrame, cells: DataFrame, tiles: DataFrame, last_row: int,
                    F.bround("cw").cast("int").alias("cell_width"), F.bround("ch").cast("int").alias("cell_height"))
     lists = cells.join(v.select("slide_id", "view_id", "position_x", "position_y"), ["slide_id", "view_id"]).groupBy("slide_id", "view_id").agg(F.array_sort(F.collect_list(box)).alias("cell_list"))
     empty = F.array().cast("array<struct<cell_x:int,cell_y:int,cell_width:int,cell_height:int>>")
+    v = v.withColumn("_max_row", F.lit(last_row)) if isinstance(last_row, int) else at_area(v, last_row)
     return v.join(lists, ["slide_id", "view_id"], "left").select(
-        "slide_id", "region", "sort_id", F.when(F.col("region") == 0, "False").otherwise("True").alias("Adition_shooting_flag"), (last_row - F.col("row_index")).alias("row_index"), "col_index",
+        "slide_id", "region", "sort_id", F.when(F.col("region") == 0, "False").otherwise("True").alias("Adition_shooting_flag"), (F.col("_max_row") - F.col("row_index")).alias("row_index"), "col_index",
         (F.col("x") - F.col("position_x")).cast("int").alias("view_pos_x"), (F.col("y") - F.col("position_y")).cast("int").alias("view_pos_y"), F.col("w").cast("int").alias("view_width"),
         F.col("h").cast("int").alias("view_height"), F.lit(kind).alias("view_type"), F.coalesce("cell_list", empty).alias("cell_list"))
 

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tilelake.operators.suppress import _cut
+from tilelake.session import cut as _cut
 
 TILE_W, TILE_H = 2448, 2048
 

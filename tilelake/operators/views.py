@@ -5,33 +5,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tilelake.operators import heatmap
-from tilelake.operators.cover import greedy_cover, recentre, windows_of
-from tilelake.operators.regions import assign_regions, bad_regions, grid_to_pixels, in_union, off_bad_regions
-from tilelake.operators.search import best_region, capture, search
+from tilelake.operators.capture import capture
+from tilelake.operators.cover import cover, recentre
+from tilelake.operators.regions import assign_regions, at_area, bad_regions, grid_to_pixels, in_union, off_bad_regions, tile_of_grid
+from tilelake.operators.search import all_sizes, best_region, search
 from tilelake.operators.spatial import first_cover, halo
-from tilelake.operators.suppress import _cut, cross_tile_dedup, meg_boxes
+from tilelake.operators.suppress import cross_tile_dedup, meg_boxes
 from tilelake.operators.tasks import records
 from tilelake.operators.tiles import TILE_H, TILE_W, clamp_view, nearest_tile
+from tilelake.session import cut as _cut
 
 VIEW_W, VIEW_H, STRIDE = 384, 283, 0.25
 
 
 def views_over(points: DataFrame, keys: list[str], point_id: str, w: int = VIEW_W, h: int = VIEW_H, ratio: float = STRIDE) -> tuple[DataFrame, DataFrame]:
-    """Views (keys, view_id, x, y) that cover every point (x, y), few by greedy cover, and re-centred; and the view of each point."""
+    """Views (keys, view_id, x, y) that cover every point (x, y), few by cover(), and re-centred; and the view of each point."""
     points = points.select(*keys, point_id, "x", "y")
-    cand = windows_of(points, keys, point_id, w, h, ratio, closed=False)
-    chosen = greedy_cover(cand, keys, point_id).withColumn("view_id", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("gain"), "wx", "wy")).cast("long"))
+    chosen = cover(points, keys, point_id, w, h, ratio, closed=False).withColumn("view_id", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("points"), "wx", "wy")).cast("long"))
     views = _cut(recentre(chosen.select(*keys, "view_id", F.col("wx").alias("x"), F.col("wy").alias("y")), points, keys, "view_id", point_id, w, h))
     boxes = views.select(*keys, "view_id", F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + w).alias("x2"), (F.col("y") + h).alias("y2"))
     return views, first_cover(points, boxes, keys, point_id, "view_id", max(w, h))
 
 
-def selected_cells(selected: DataFrame, cells: DataFrame, tiles: DataFrame, area: dict, reach: int = 1) -> DataFrame:
+def selected_cells(selected: DataFrame, cells: DataFrame, tiles: DataFrame, area, reach: int = 1) -> DataFrame:
     """Cells (slide_id, tile_idx, x, y) of the selected tiles and their neighbours that lie in the quadrants of selected grid points."""
     rects = grid_to_pixels(selected.select("slide_id", "gx", "gy", F.lit(1).alias("gw"), F.lit(1).alias("gh")), tiles, area)
-    boxes = _cut(rects.select("slide_id", F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("w")).alias("x2"), (F.col("y") + F.col("h")).alias("y2")))
-    own = selected.select("slide_id", (F.lit(area["max_row"]) - F.expr("gy div 2")).cast("int").alias("row_index"), (F.expr("gx div 2") + area["min_col"]).cast("int").alias("col_index")).distinct()
-    near = _cut(halo(_cut(own), tiles, reach).join(tiles.select("slide_id", "row_index", "col_index", "tile_idx"), ["slide_id", "row_index", "col_index"]).select("slide_id", "tile_idx"))
+    boxes = rects.select("slide_id", F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("w")).alias("x2"), (F.col("y") + F.col("h")).alias("y2"))
+    own = tile_of_grid(selected, area).select("slide_id", F.col("iy").cast("int").alias("row_index"), F.col("ix").cast("int").alias("col_index")).distinct()
+    near = halo(own, tiles, reach).join(tiles.select("slide_id", "row_index", "col_index", "tile_idx"), ["slide_id", "row_index", "col_index"]).select("slide_id", "tile_idx")
     return in_union(cells.join(near, ["slide_id", "tile_idx"], "left_semi"), boxes, ["slide_id"], TILE_H // 2)
 
 
@@ -41,7 +42,7 @@ def middles(boxes: DataFrame) -> DataFrame:
         "cw", F.greatest(F.col("x2") - F.col("x1") + 1, F.lit(1)).cast("double")).withColumn("ch", F.greatest(F.col("y2") - F.col("y1") + 1, F.lit(1)).cast("double"))
 
 
-def wbc_views(selected: DataFrame, cells: DataFrame, tiles: DataFrame, area: dict) -> tuple[DataFrame, DataFrame]:
+def wbc_views(selected: DataFrame, cells: DataFrame, tiles: DataFrame, area) -> tuple[DataFrame, DataFrame]:
     """Views over the nucleated cells (slide_id, tile_idx, cell_id, x1..y2) at selected grid points; and those cells with their view."""
     points = _cut(selected_cells(selected, middles(cells), tiles, area).withColumn("point", F.struct("tile_idx", "cell_id")))
     views, owner = views_over(points, ["slide_id"], "point")
@@ -69,15 +70,15 @@ def meg_views(megs: DataFrame, blocks: DataFrame, tiles: DataFrame, first: DataF
     return v, points.join(owner, ["slide_id", "id"])
 
 
-def meg_records(views: DataFrame, boxes: DataFrame, last_row: int) -> DataFrame:
-    """Task records of meg_views()."""
+def meg_records(views: DataFrame, boxes: DataFrame, area) -> DataFrame:
+    """Task records of meg_views(); rows count from the last one of the area."""
     half = lambda c: F.floor(F.bround(c) / 2)
     at = boxes.join(views.select("slide_id", "view_id", "position_x", "position_y"), ["slide_id", "view_id"])
     cell = F.struct((F.col("x") - F.col("position_x") - half("cw")).cast("int").alias("cell_x"), (F.col("y") - F.col("position_y") - half("ch")).cast("int").alias("cell_y"),
                     F.bround("cw").cast("int").alias("cell_width"), F.bround("ch").cast("int").alias("cell_height"))
     lists = at.groupBy("slide_id", "view_id").agg(F.array_sort(F.collect_list(cell)).alias("cell_list"))  # as many as fit in one view
-    return views.join(lists, ["slide_id", "view_id"]).select(
-        "slide_id", F.lit(None).cast("int").alias("region"), F.col("view_id").cast("int").alias("sort_id"), F.lit("False").alias("Adition_shooting_flag"), (last_row - F.col("row_index")).alias("row_index"),
+    return at_area(views.join(lists, ["slide_id", "view_id"]), area).select(
+        "slide_id", F.lit(None).cast("int").alias("region"), F.col("view_id").cast("int").alias("sort_id"), F.lit("False").alias("Adition_shooting_flag"), (F.col("_max_row") - F.col("row_index")).alias("row_index"),
         "col_index", "view_pos_x", "view_pos_y", F.lit(VIEW_W).alias("view_width"), F.lit(VIEW_H).alias("view_height"), F.lit("meg").alias("view_type"), "cell_list")
 
 
@@ -99,17 +100,17 @@ def neighbours(selected: DataFrame, tiles: DataFrame, reach: int = 1) -> DataFra
     return selected.select(*keys).union(around).distinct().intersect(tiles.select(*keys))
 
 
-def task_list(detections: DataFrame, tiles: DataFrame, blocks: DataFrame, megs: DataFrame, sizes: list[tuple[int, int]], area: dict, target: int, orientation: int = 1,
-              least: float = -6.0) -> DataFrame:
+def task_list(detections: DataFrame, tiles: DataFrame, blocks: DataFrame, megs: DataFrame, area, target: int, orientation: int = 1, least: float = -6.0,
+              sizes: list[tuple[int, int]] | None = None) -> DataFrame:
     """The whole way: detections of all slides to task records in groups, those of nucleated cells by region, megakaryocytes last.
 
-    detections: tile-local boxes; blocks: scored, with labels; megs: boxes of the slide.  The search looks for three times the target.
+    detections: tile-local boxes; blocks: scored, with labels; megs: boxes of the slide.  area: a user area for all slides, or a table with each
+    one's.  The search looks for three times the target, in windows of all sizes.
     """
     kept = _cut(cross_tile_dedup(detections, tiles))
     per_tile = _cut(kept.join(tiles.select("slide_id", "tile_idx", F.col("col_index").alias("ix"), F.col("row_index").alias("iy")), ["slide_id", "tile_idx"]).groupBy("slide_id", "ix", "iy").agg(F.count("*").alias("cells")))
     grid = _cut(heatmap.heat_map(blocks, tiles))
-    height = 2 * (area["max_row"] - area["min_row"] + 1)
-    found = _cut(search(grid, heatmap.head_crop(grid, least, height), per_tile, sizes, area, 3 * target, orientation))
+    found = _cut(search(grid, heatmap.head_crop(grid, least, area=area), per_tile, sizes or all_sizes(), area, 3 * target, orientation))
     region = _cut(best_region(found, middles(kept), tiles, area, 3 * target))
     parts = _cut(capture(region, grid, per_tile, area, target))
     views, cells = wbc_views(parts.select("slide_id", "gx", "gy"), kept, tiles, area)
@@ -118,6 +119,6 @@ def task_list(detections: DataFrame, tiles: DataFrame, blocks: DataFrame, megs:
     placed = views.select("slide_id", F.col("view_id").alias("id"), F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + VIEW_W).alias("x2"), (F.col("y") + VIEW_H).alias("y2"))
     placed = assign_regions(placed, rects, ["slide_id"]).where(F.col("region").isNotNull()).select(
         "slide_id", "region", F.col("id").alias("view_id"), F.col("x1").alias("x"), F.col("y1").alias("y"), F.lit(VIEW_W).alias("w"), F.lit(VIEW_H).alias("h"))
-    wbc = records(placed, cells.select("slide_id", "view_id", F.col("x").alias("cx"), F.col("y").alias("cy"), "cw", "ch"), tiles, area["max_row"])
+    wbc = records(placed, cells.select("slide_id", "view_id", F.col("x").alias("cx"), F.col("y").alias("cy"), "cw", "ch"), tiles, area)
     first = placed.groupBy("slide_id").agg(F.min_by(F.struct("x", "y"), F.struct("region", "x", "y", "view_id")).alias("f")).select("slide_id", "f.x", "f.y")
-    return grouped(wbc, meg_records(*meg_views(megs, blocks, tiles, first), area["max_row"]))
+    return grouped(wbc, meg_records(*meg_views(megs, blocks, tiles, first), area))

@@ -3,9 +3,6 @@
 Readers keep slide_id from the folder name `slide_id=...`, so that one read covers any number of slides.
 """
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,15 +11,6 @@ PROJECT = """slide_id long, task_info struct<row_num: int, col_num: int>, nodes
 TILE_CENTRE = (1224, 1024)
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that the driver and every executor see: below spark.checkpoint.dir; a temporary one only where that is unset."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    base = base or tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def write_lines(df: DataFrame, path: str) -> None:
     """Text files of (slide_id, value), one folder a slide."""
     df.select("slide_id", "value").write.partitionBy("slide_id").text(path)
