@@ -342,10 +342,9 @@ def r14_task_records(s, d):
                     F.aggregate("cell_list", F.lit(0).cast("long"), lambda a, c: a + c["cell_x"]).alias("sum_x"))
 
 
-@query(f"""with {_GLOBAL} select slide_id, 'WBC' as view_type, 3000 as x1, 2000 as y1, 12000 as x2, 9000 as y2, count(*) as cells, cast(sum(cell_id % 1000003) as bigint) as id_sum from g
-    where X1g <= 12000 and X2g >= 3000 and Y1g <= 9000 and Y2g >= 2000 group by 1""", "detections", "tiles")
+@query(f"""with {_GLOBAL}, l as (select slide_id, cell_id, tile_idx, X1g, Y1g, X2g, Y2g, row_number() over (partition by slide_id order by cell_id, tile_idx) - 1 as n from g where X1g <= 12000 and X2g >= 3000 and Y1g <= 9000 and Y2g >= 2000)
+    select slide_id, 'WBC' as view_type, cast(n // 500 as int) as page, cast(n % 500 as int) as place, cell_id, tile_idx, X1g as x1, Y1g as y1, X2g as x2, Y2g as y2 from l""", "detections", "tiles")
 def r16_roi_task(s, d):
-    """One view over a region with its cells; the query counts them, as a list of a whole region has no bound."""
-    c = T.in_roi(T.to_global(load(s, d, "detections"), load(s, d, "tiles")), 3000, 2000, 12000, 9000)
-    box = [F.lit(v).alias(n) for n, v in zip(R.BOX, (3000, 2000, 12000, 9000))]
-    return c.groupBy("slide_id").agg(F.count("*").alias("cells"), F.sum(F.col("cell_id") % 1000003).alias("id_sum")).select("slide_id", F.lit("WBC").alias("view_type"), *box, "cells", "id_sum")
+    """One view over a region, with the list of its cells in pages of 500."""
+    t = K.roi_tasks(T.to_global(load(s, d, "detections"), load(s, d, "tiles")), (3000, 2000, 12000, 9000), page=500)
+    return t.select("slide_id", "view_type", "page", F.posexplode("cell_list").alias("place", "c")).select("slide_id", "view_type", "page", "place", *(f"c.{n}" for n in ("cell_id", "tile_idx", "x1", "y1", "x2", "y2")))

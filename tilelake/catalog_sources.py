@@ -6,7 +6,7 @@ from tilelake.catalog import _r, query
 from tilelake.fixtures import load
 from tilelake.operators import heatmap
 from tilelake.session import shared_folder
-from tilelake.sources import files, models
+from tilelake.sources import documents, files, models, saved
 
 
 def _text_cells(s, d):
@@ -135,18 +135,43 @@ def s9_task_list(s, d):
     return back.select("slide_id", "region", F.inline("tasks"))
 
 
-@query("select slide_id, tile_idx, cell_id, x1, y1 from detections where slide_id = 0", "detections")
+@query("""select slide_id, tile_idx, cell_id, x1 + case when slide_id % 2 = 0 then 1000 else 0 end as x1, y1 from detections where slide_id % 2 = 1 or label = 0""", "detections")
 def s10_saved_project(s, d):
+    """A project saved, half of its slides changed and saved again, and read."""
+    path, cells = shared_folder(s, "saved"), load(s, d, "detections")
+    saved.save_project(cells, path)
+    saved.save_project(cells.where("slide_id % 2 = 0 and label = 0").withColumn("x1", F.col("x1") + 1000), path)
+    return saved.load_project(s, path).select("slide_id", "tile_idx", "cell_id", "x1", "y1")
+
+
+@query("select slide_id, tile_idx, cell_id, x1, y1 from detections where slide_id = 0", "detections")
+def s10_one_slide(s, d):
     path = shared_folder(s, "saved")
-    files.save_project(load(s, d, "detections"), path)
-    return files.load_project(s, path, 0).select(F.col("slide_id").cast("long"), "tile_idx", "cell_id", "x1", "y1")
+    saved.save_project(load(s, d, "detections"), path)
+    return saved.load_project(s, path, 0).select("slide_id", "tile_idx", "cell_id", "x1", "y1")
 
 
-@query("select p_partkey, case when p_partkey % 7 = 0 then null else center end as center, case when p_partkey % 5 = 0 then null else white end as second from peaks", "peaks")
+@query("""select p_partkey, case when p_partkey % 7 = 0 then null else center end as center, case when p_partkey % 5 = 0 then null else white end as second, case when p_partkey % 3 = 0 then null else white end as deep,
+    case when p_partkey % 4 = 0 then null else center end as held from peaks""", "peaks")
 def s12_json_safe(s, d):
+    """Numbers that are none, by themselves and inside arrays, structs and maps."""
     bad = lambda k, c: F.when(F.col("p_partkey") % k == 0, float("nan")).otherwise(F.col(c))
-    p = load(s, d, "peaks").select("p_partkey", bad(7, "center").alias("center"), F.array(F.col("white"), bad(5, "white")).alias("list"))
-    return files.json_safe(p).select("p_partkey", "center", F.get("list", F.lit(1)).alias("second"))
+    p = load(s, d, "peaks").select("p_partkey", bad(7, "center").alias("center"), F.array(F.col("white"), bad(5, "white")).alias("list"),
+                                   F.struct(F.lit(1).alias("n"), F.array(F.struct(bad(3, "white").alias("x"))).alias("parts")).alias("tree"), F.create_map(F.lit("k"), bad(4, "center")).alias("map"))
+    return documents.json_safe(p).select("p_partkey", "center", F.get("list", F.lit(1)).alias("second"), F.get("tree.parts", F.lit(0))["x"].alias("deep"), F.col("map")["k"].alias("held"))
+
+
+@query("""with u as (select doc_id, path, seq, lag(seq) over (partition by doc_id order by seq) as before from doc_updates), l as (select *, max(case when seq % 5 = 0 then seq end) over (partition by doc_id) as flat, max(seq) over (partition by doc_id) as top from u),
+    leaf as (select doc_id, string_agg('"' || path || '":' || v, ',' order by path) as t from (select doc_id, path, max(seq) as v from u group by 1, 2) group by 1),
+    k as (select doc_id, string_agg('"x' || i || '":' || v, ',' order by i) as t from (select doc_id, seq % 3 as i, max(seq) as v from l where flat is null or seq > flat group by 1, 2) group by 1),
+    n as (select doc_id, string_agg(seq || ',{"s":' || seq || '}', ',' order by seq) as t, any_value(flat) as flat, any_value(top) as top from l group by 1)
+    select doc_id, '{"a":{"b":{"c":{' || leaf.t || '}},"list":[' || n.t || ']},"k":' || case when flat = top then flat::varchar else '{' || k.t || '}' end || '}' as json from n join leaf using (doc_id) left join k using (doc_id)""", "doc_updates")
+def s11_deep_merge(s, d):
+    """Updates four levels deep, with lists that grow and a key that is now a number and now an object."""
+    u = load(s, d, "doc_updates")
+    key = F.when(F.col("seq") % 5 == 0, F.col("seq").cast("string")).otherwise(F.concat(F.lit('{"x'), F.col("seq") % 3, F.lit('":'), "seq", F.lit("}")))
+    text = F.concat(F.lit('{"a":{"b":{"c":{"'), "path", F.lit('":'), "seq", F.lit('}},"list":['), "seq", F.lit(',{"s":'), "seq", F.lit('}]},"k":'), key, F.lit("}"))
+    return documents.merge_documents(u.select("doc_id", "seq", text.alias("json")), ["doc_id"])
 
 
 @query("select slide_id, tile_idx, cell_id, round((x2 - x1) * (y2 - y1) * score, 6) as ink from detections", "detections")

@@ -143,3 +143,23 @@ def decode_boxes(raw: DataFrame, least: float, cols: int, rows: int, width: int
     at = lambda e, n, m: F.expr(f"cast(({e}) * {n} div {m} as int)")
     return a.withColumn("x1", at("_x", cols, width)).withColumn("y1", at("_y", rows, height)).withColumn("x2", at("_x + _w", cols, width)).withColumn("y2", at("_y + _h", rows, height)).drop(
         "_x", "_y", "_w", "_h", "ax", "ay", "aw", "ah")
+
+
+def roi_tasks(cells: DataFrame, box: tuple[int, int, int, int], kind: str = "WBC", page: int = 1000, offset: int = 0, tasks: int = 100) -> DataFrame:
+    """The simple task list: one view a slide, a region with all its cells, in pages of its list.
+
+    (slide_id, task_index, view_type, x1..y2 of the region, page, cell_list): cells (slide_id, cell_id, x1..y2, label, score) that touch the region, in
+    order of id and tile, `page` of them a row, so no row grows with the region.  A slide without cells there has one page with an empty
+    list.  Tasks are counted from 0; `offset` and `tasks` cut the list of tasks.
+    """
+    from tilelake.operators.tiles import in_roi
+
+    order = Window.partitionBy("slide_id").orderBy("cell_id", "tile_idx")
+    held = in_roi(cells, *box).withColumn("_n", F.row_number().over(order) - 1)
+    cell = F.struct("_n", "cell_id", "tile_idx", "label", "score", "x1", "y1", "x2", "y2")
+    pages = held.groupBy("slide_id", F.expr(f"cast(_n div {page} as int)").alias("page")).agg(F.array_sort(F.collect_list(cell)).alias("c"))
+    pages = pages.select("slide_id", "page", F.transform("c", lambda c: c.dropFields("_n")).alias("cell_list"))
+    out = cells.select("slide_id").distinct().join(pages, "slide_id", "left")
+    lits = [F.lit(v).alias(n) for n, v in zip(("x1", "y1", "x2", "y2"), box)]
+    out = out.select("slide_id", F.lit(0).alias("task_index"), F.lit(kind).alias("view_type"), *lits, F.coalesce("page", F.lit(0)).alias("page"), F.coalesce("cell_list", F.array().cast(pages.schema["cell_list"].dataType)).alias("cell_list"))
+    return out.where((F.col("task_index") >= offset) & (F.col("task_index") < offset + tasks))

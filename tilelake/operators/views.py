@@ -122,3 +122,13 @@ def task_list(detections: DataFrame, tiles: DataFrame, blocks: DataFrame, megs:
     wbc = records(placed, cells.select("slide_id", "view_id", F.col("x").alias("cx"), F.col("y").alias("cy"), "cw", "ch"), tiles, area)
     first = placed.groupBy("slide_id").agg(F.min_by(F.struct("x", "y"), F.struct("region", "x", "y", "view_id")).alias("f")).select("slide_id", "f.x", "f.y")
     return grouped(wbc, meg_records(*meg_views(megs, blocks, tiles, first), area))
+
+
+def kept_task_lists(path: str, detections: DataFrame, tiles: DataFrame, blocks: DataFrame, megs: DataFrame, area, target: int, orientation: int = 1, least: float = -6.0) -> DataFrame:
+    """task_list(), kept in a store by slide, user area, settings and the slide's rows: a slide that is there is read, not searched."""
+    from tilelake.sources.saved import kept_results
+
+    def compute(t, own_area):
+        return task_list(t["detections"], t["tiles"], t["blocks"], t["megs"], own_area, target, orientation, least)
+
+    return kept_results(path, {"detections": detections, "tiles": tiles, "blocks": blocks, "megs": megs}, compute, area, target=target, orientation=orientation, least=least)

@@ -105,16 +105,6 @@ def write_task_list(tasks: DataFrame, path: str) -> None:
     groups.write.partitionBy("slide_id").json(path)
 
 
-def save_project(df: DataFrame, path: str) -> None:
-    df.write.partitionBy("slide_id").parquet(path)
-
-
-def load_project(spark: SparkSession, path: str, slide_id: int | None = None) -> DataFrame:
-    """A saved table, or one slide of it; the other slides' folders are not read."""
-    df = spark.read.parquet(path)
-    return df if slide_id is None else df.where(F.col("slide_id") == slide_id)
-
-
 def merge_scalars(updates: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, path, value): of each path the value of the last update (greatest seq)."""
     return updates.groupBy(*keys, "path").agg(F.max_by("value", "seq").alias("value"))
@@ -137,15 +127,3 @@ def nested(merged: DataFrame, keys: list[str]) -> DataFrame:
     inner = leaf.where(F.col("b").isNotNull()).groupBy(*keys, "a").agg(joined(text("b", F.col("v"))).alias("v"))
     top = inner.unionByName(leaf.where(F.col("b").isNull()).select(*keys, "a", "v"))
     return top.groupBy(*keys).agg(joined(text("a", F.col("v"))).alias("json"))
-
-
-def json_safe(df: DataFrame) -> DataFrame:
-    """Columns that JSON can hold: NaN and infinities become null, also inside arrays; dates, binaries and intervals become text."""
-    def safe(c: F.Column, kind: str) -> F.Column:
-        if kind in ("double", "float"):
-            return F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(c)
-        if kind in ("array<double>", "array<float>"):
-            return F.transform(c, lambda x: safe(x, "double"))
-        return F.base64(c) if kind == "binary" else c.cast("string") if kind.startswith(("date", "timestamp", "interval")) else c
-
-    return df.select(*(safe(F.col(f"`{c}`"), kind).alias(c) for c, kind in df.dtypes))
