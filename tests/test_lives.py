@@ -27,7 +27,8 @@ def put(spark, folder, rows):
 
 def go(spark, tmp_path, **settings):
     src = spark.readStream.schema(UPLOADS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    events = lives.task_events(src, 2, 2, **settings)
+    grid = settings.pop("grid", (2, 2))
+    events = lives.task_events(src, grid, **settings)
     q = lives.keep_tables(events, str(tmp_path / "out"), str(tmp_path / "check")).trigger(availableNow=True).start()
     q.awaitTermination(240)
     assert q.exception() is None
@@ -65,6 +66,15 @@ def test_every_exit_and_no_state_afterwards(session, tmp_path):
     assert kept <= 12  # tasks 4 and 5 with their timers; nothing of 1, 2 and 3
 
 
+def test_tasks_of_different_grids(session, tmp_path):
+    spark = session
+    grids = spark.createDataFrame([(1, 1, 2), (2, 3, 1)], "task_id long, rows int, cols int")
+    put(spark, str(tmp_path / "in"), [(0, 1, 0, 0, 5, 0), (1, 1, 0, 1, 5, 1), (2, 2, 0, 0, 5, 2), (3, 2, 2, 0, 5, 3), (4, 2, 0, 1, 5, 3), (5, 7, 0, 0, 5, 4)])
+    go(spark, tmp_path, grid=grids)
+    assert {r["task_id"]: (r["code"], r["received"], r["expected"]) for r in table(spark, tmp_path, "progress").collect()} == {1: (100, 2, 2), 2: (101, 2, 3)}
+    assert {r["event_id"]: r["code"] for r in table(spark, tmp_path, "rejected").collect()} == {4: 201}
+
+
 def test_restart_repeats_and_loses_nothing(session, tmp_path):
     """The query is stopped after each file and a batch's folders are left half written; the tables end as those of one run."""
     spark, src = session, str(tmp_path / "in")

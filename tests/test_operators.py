@@ -269,6 +269,16 @@ def test_missing_tiles_of_sparse_and_repeated_layers(spark):
     assert [(r["row_index"], r["image_missing"]) for r in T.missing_tiles(t, 0, 0, "seq").collect()] == [(0, 1)]
 
 
+def test_missing_tiles_and_progress_by_slide(spark):
+    t = spark.createDataFrame([(0, 0, 0, "a"), (1, 0, 0, "b"), (1, 0, 1, None), (2, 5, 5, None), (2, 5, 6, "c")], "slide_id long, row_index int, col_index int, image_uid string")
+    layers = spark.createDataFrame([(0, 1, 1), (1, 1, 3), (2, 0, 0), (3, 1, 1)], "slide_id long, rows int, cols int")
+    assert {tuple(r) for r in T.missing_by_layer(t, layers).collect()} == {(1, 0, 1, 0, 1), (1, 0, 2, 1, 1), (2, 5, 5, 0, 1), (3, 0, 0, 1, 1)}
+    u = spark.createDataFrame([(1, 0, 0, 5), (1, 0, 1, 5), (2, 0, 0, 5), (2, 1, 0, 0)], "task_id long, row_index int, col_index int, n_bytes long")
+    grids = spark.createDataFrame([(1, 1, 2), (2, 2, 1)], "task_id long, rows int, cols int")
+    assert {tuple(r) for r in T.progress(u, grids).collect()} == {(1, 2, 2, 0, 100), (2, 1, 2, 1, 101)}
+    assert {tuple(r) for r in T.upload_complete(u, grids).collect()} == {(1, True), (2, False)}
+
+
 def test_checks_of_full_grids(spark):
     t = spark.createDataFrame([(0, 0), (0, 1), (1, 0)], "slide_id long, tile_idx int")
     b = spark.createDataFrame([(0, 0, x, y) for x in (0, 1) for y in (0, 1)] + [(0, 1, 0, 0)] + [(1, 0, x, y) for x in (0, 1) for y in (0, 1)], "slide_id long, tile_idx int, dx int, dy int")

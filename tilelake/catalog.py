@@ -128,6 +128,18 @@ def j1_missing_tiles(s, d):
     return T.missing_tiles(load(s, d, "tiles"), 8, 10)
 
 
+@query("""with l as (select slide_id, case when slide_id % 3 = 2 then 0 else cast(7 + slide_id % 3 as int) end as rows, cast(9 + slide_id % 2 as int) as cols from (select distinct slide_id from tiles)),
+    g as (select l.slide_id, r.r as row_index, c.c as col_index from l, range(9) r(r), range(10) c(c) where r.r < rows and c.c < cols)
+    select g.slide_id, cast(g.row_index as int) as row_index, cast(g.col_index as int) as col_index, cast(t.slide_id is null as int) as position_missing, cast(t.image_uid is null as int) as image_missing
+    from g left join tiles t using (slide_id, row_index, col_index) where t.slide_id is null or t.image_uid is null
+    union all select slide_id, row_index, col_index, 0, 1 from tiles join l using (slide_id) where rows = 0 and image_uid is null""", "tiles")
+def j1_layers_of_slides(s, d):
+    """Slides of different grids, sparse ones among them, in one call."""
+    t = load(s, d, "tiles")
+    layers = t.select("slide_id").distinct().selectExpr("slide_id", "case when slide_id % 3 = 2 then 0 else cast(7 + slide_id % 3 as int) end as rows", "cast(9 + slide_id % 2 as int) as cols")
+    return T.missing_by_layer(t, layers)
+
+
 @query(f"with {_GLOBAL} select slide_id, tile_idx, cell_id, X1g as x1, Y1g as y1, X2g as x2, Y2g as y2 from g", "detections", "tiles")
 def f3_global_boxes(s, d):
     return _box_cells(s, d).select("slide_id", "tile_idx", "cell_id", "x1", "y1", "x2", "y2")

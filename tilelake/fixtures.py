@@ -36,10 +36,10 @@ FORMULAS = {
         from orders where {_K} >= 400 and {_K} < 560""",
     "uploads": """select event_id, ts, cast(user_id as bigint) as task_id, cast(event_id % 2 as int) as row_index, cast((event_id div 2) % 2 as int) as col_index,
         case when event_type = 'error' then cast(0 as bigint) else cast(floor(value * 100) as bigint) end as n_bytes from events""",
-    "peaks": """select cast(0 as bigint) as slide_id, cast(p_partkey div 25 as int) as tile_idx, cast((p_partkey * 37) % 640 as int) as px, cast((p_partkey * 59) % 512 as int) as py,
+    "peaks": """select cast(p_partkey % 4 as bigint) as slide_id, cast(p_partkey div 25 as int) as tile_idx, cast((p_partkey * 37) % 640 as int) as px, cast((p_partkey * 59) % 512 as int) as py,
         cast((p_partkey * 7) % 100 as double) / 100.0 as center, cast((p_partkey * 7) % 100 as double) / 100.0 + case when p_partkey % 3 = 0 then cast(0 as double) else cast(0.1 as double) end as center_pool,
         cast(p_size * 2 as double) / 100.0 as white, p_partkey from part""",
-    "views": """select cast(0 as bigint) as slide_id, cast(p_partkey as bigint) as view_id, cast((cast(p_partkey as bigint) * 7919) % 21900 as int) as x,
+    "views": """select cast(p_partkey % 4 as bigint) as slide_id, cast(p_partkey as bigint) as view_id, cast((cast(p_partkey as bigint) * 7919) % 21900 as int) as x,
         cast((cast(p_partkey as bigint) * 104729) % 14600 as int) as y, 384 as w, 283 as h from part""",
     "mask_pixels": """select slide_id, tile_idx, cast(floor((x1 + x2) / cast(8 as double)) as int) as px, cast(floor((y1 + y2) / cast(8 as double)) as int) as py,
         cast(max((cell_id * 13) % 256) as int) as white, cast(max((cell_id * 29) % 256) as int) as red from detections group by 1, 2, 3, 4""",

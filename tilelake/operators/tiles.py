@@ -10,19 +10,26 @@ TILE_W, TILE_H = 2448, 2048
 
 
 def missing_tiles(tiles: DataFrame, rows: int, cols: int, order: str | None = None) -> DataFrame:
-    """Places of the rows x cols grid that have no tile, or a tile without image; of tiles added again, the last by `order` counts.
+    """missing_by_layer() for slides that all have a grid of rows x cols."""
+    return missing_by_layer(tiles, tiles.select("slide_id").distinct().select("slide_id", F.lit(rows).alias("rows"), F.lit(cols).alias("cols")), order)
 
-    A sparse layer (0 rows or columns) has no places of its own: it reports its tiles without image.
+
+def missing_by_layer(tiles: DataFrame, layers: DataFrame, order: str | None = None) -> DataFrame:
+    """Places of each slide's grid that have no tile, or a tile without image; of tiles added again, the last by `order` counts.
+
+    layers: (slide_id, rows, cols).  A sparse layer (0 rows or columns) has no places of its own: it reports its tiles without image.
+    Slides that layers lacks are left out; one without any tile lacks them all.
     """
+    key = ["slide_id", "row_index", "col_index"]
     if order:
-        tiles = latest(tiles, ["slide_id", "row_index", "col_index"], order)
-    if not rows or not cols:
-        return tiles.where("image_uid is null").select("slide_id", "row_index", "col_index", F.lit(0).alias("position_missing"), F.lit(1).alias("image_missing"))
-    grid = tiles.select("slide_id").distinct().withColumn("row_index", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))).withColumn(
-        "col_index", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
-    out = grid.join(tiles.select("slide_id", "row_index", "col_index", "image_uid", F.lit(1).alias("here")), ["slide_id", "row_index", "col_index"], "left")
-    return out.where("here is null or image_uid is null").select(
-        "slide_id", "row_index", "col_index", F.col("here").isNull().cast("int").alias("position_missing"), F.col("image_uid").isNull().cast("int").alias("image_missing"))
+        tiles = latest(tiles, key, order)
+    own = tiles.select(*key, "image_uid", F.lit(1).alias("here"))
+    dense = (F.col("rows") > 0) & (F.col("cols") > 0)
+    grid = layers.where(dense).withColumn("row_index", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).select(
+        "slide_id", "row_index", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("col_index"))
+    places = grid.join(own, key, "left").unionByName(own.join(layers.where(~dense), "slide_id").select(*key, "image_uid", "here"))
+    return places.where("here is null or image_uid is null").select(
+        *key, F.col("here").isNull().cast("int").alias("position_missing"), F.col("image_uid").isNull().cast("int").alias("image_missing"))
 
 
 def to_global(boxes: DataFrame, tiles: DataFrame) -> DataFrame:
@@ -203,9 +210,17 @@ def received() -> Column:
     return F.count_distinct(F.when(F.col("n_bytes") > 0, F.struct("row_index", "col_index")))
 
 
-def upload_complete(uploads: DataFrame, rows: int, cols: int) -> DataFrame:
-    """Whether every place of a task's grid has an upload with a payload."""
-    return uploads.groupBy("task_id").agg((received() == rows * cols).alias("complete"))
+def of_grid(uploads: DataFrame, grid) -> DataFrame:
+    """uploads with rows and cols of their task's grid.  grid: (rows, cols) for all tasks, or a table (task_id, rows, cols); tasks that it lacks go."""
+    if isinstance(grid, tuple):
+        return uploads.withColumn("rows", F.lit(grid[0])).withColumn("cols", F.lit(grid[1]))
+    return uploads.join(grid.select("task_id", "rows", "cols"), "task_id")
+
+
+def upload_complete(uploads: DataFrame, rows, cols: int | None = None) -> DataFrame:
+    """Whether every place of a task's grid has an upload with a payload.  rows: a number, or a table as of_grid() takes it."""
+    own = of_grid(uploads, rows if cols is None else (rows, cols))
+    return own.groupBy("task_id").agg((received() == F.max(F.col("rows") * F.col("cols"))).alias("complete"))
 
 
 def upload_status(uploads: DataFrame) -> DataFrame:
@@ -214,8 +229,8 @@ def upload_status(uploads: DataFrame) -> DataFrame:
     return uploads.withColumn("code", F.when(F.col("n_bytes") == 0, 201).when(F.row_number().over(full) > 1, 103).otherwise(0))
 
 
-def progress(uploads: DataFrame, rows: int, cols: int) -> DataFrame:
-    """Received, expected and missing places of each task, and its status (100 when complete, else 101)."""
-    got = uploads.groupBy("task_id").agg(received().alias("received"))
-    return got.withColumn("expected", F.lit(rows * cols).cast("long")).withColumn("missing", F.col("expected") - F.col("received")).withColumn(
-        "status", F.when(F.col("missing") == 0, 100).otherwise(101))
+def progress(uploads: DataFrame, rows, cols: int | None = None) -> DataFrame:
+    """Received, expected and missing places of each task, and its status (100 when complete, else 101).  rows: a number, or a table as of_grid() takes it."""
+    own = of_grid(uploads, rows if cols is None else (rows, cols))
+    got = own.groupBy("task_id").agg(received().alias("received"), F.max(F.col("rows") * F.col("cols")).cast("long").alias("expected"))
+    return got.withColumn("missing", F.col("expected") - F.col("received")).withColumn("status", F.when(F.col("missing") == 0, 100).otherwise(101))

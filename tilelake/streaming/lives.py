@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
+from tilelake.operators.tiles import of_grid
 from tilelake.session import ship
 
 # Status and answer codes (fixed values): complete, collecting, timed out; place already filled, no payload.
@@ -21,12 +22,12 @@ EVENTS = "task_id long, kind string, event_id long, row_index int, col_index int
 class TaskLife(StatefulProcessor):
     """State of one task: its status, a bit for each place of the grid, and how many are set; dropped `remember_ms` after it closed."""
 
-    def __init__(self, rows: int, cols: int, idle_ms: int, remember_ms: int):
-        self.rows, self.cols, self.idle_ms, self.remember_ms = rows, cols, idle_ms, remember_ms
+    def __init__(self, idle_ms: int, remember_ms: int):
+        self.idle_ms, self.remember_ms = idle_ms, remember_ms
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("task", "status int, seen binary, received int, until long")
+        self.state = handle.getValueState("task", "status int, seen binary, received int, expected int, until long")
 
     def _wait(self, until: int) -> int:
         for t in list(self.handle.listTimers()):
@@ -35,18 +36,20 @@ class TaskLife(StatefulProcessor):
         return until
 
     def handleInputRows(self, key, rows, timerValues):
-        n = self.rows * self.cols
-        status, seen, received, until = self.state.get() if self.state.exists() else (COLLECTING, b"\0" * (-(-n // 8)), 0, 0)
+        rows = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        down, across = int(rows["rows"].iloc[0]), int(rows["cols"].iloc[0])
+        n = down * across
+        status, seen, received, n, until = self.state.get() if self.state.exists() else (COLLECTING, b"\0" * (-(-n // 8)), 0, n, 0)
         took, out = False, []
         if until and until <= timerValues.getCurrentWatermarkInMs():  # its timer was due before these rows
             if status == COLLECTING:
-                out += self._closed(key, TIMED_OUT, received, until)
+                out += self._closed(key, TIMED_OUT, received, n, until)
                 status, until = TIMED_OUT, until + self.remember_ms
             if until <= timerValues.getCurrentWatermarkInMs():
                 status, seen, received, until = COLLECTING, b"\0" * (-(-n // 8)), 0, 0
         bits = bytearray(seen)
-        for r in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples():
-            place, inside = r.row_index * self.cols + r.col_index, 0 <= r.row_index < self.rows and 0 <= r.col_index < self.cols
+        for r in rows.itertuples():
+            place, inside = r.row_index * across + r.col_index, 0 <= r.row_index < down and 0 <= r.col_index < across and r.row_index * across + r.col_index < n
             if status != COLLECTING:
                 code = status
             elif not r.n_bytes or not inside:
@@ -64,21 +67,20 @@ class TaskLife(StatefulProcessor):
                     out.append((key[0], "status", None, None, None, r.ts, COMPLETE, received, n))
         if took:
             out.append((key[0], "progress", None, None, None, None, status, received, n))
-        self.state.update((status, bytes(bits) if status == COLLECTING else b"", received, self._wait(max(until, timerValues.getCurrentWatermarkInMs() + 1))))
+        self.state.update((status, bytes(bits) if status == COLLECTING else b"", received, n, self._wait(max(until, timerValues.getCurrentWatermarkInMs() + 1))))
         yield _frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         if not self.state.exists():
             return
-        status, _, received, until = self.state.get()
+        status, _, received, n, until = self.state.get()
         if status != COLLECTING:
             self.state.clear()
             return
-        self.state.update((TIMED_OUT, b"", received, self._wait(until + self.remember_ms)))
-        yield _frame(self._closed(key, TIMED_OUT, received, until))
+        self.state.update((TIMED_OUT, b"", received, n, self._wait(until + self.remember_ms)))
+        yield _frame(self._closed(key, TIMED_OUT, received, n, until))
 
-    def _closed(self, key, status: int, received: int, until: int) -> list[tuple]:
-        n = self.rows * self.cols
+    def _closed(self, key, status: int, received: int, n: int, until: int) -> list[tuple]:
         return [(key[0], "status", None, None, None, pd.Timestamp(until, unit="ms"), status, received, n), (key[0], "progress", None, None, None, None, status, received, n)]
 
     def close(self) -> None:
@@ -91,16 +93,18 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return f.astype({"event_id": "Int64", "row_index": "Int32", "col_index": "Int32", "received": "Int64", "expected": "Int64", "code": "int32"})
 
 
-def task_events(uploads: DataFrame, rows: int, cols: int, idle_seconds: int = 300, remember_seconds: int = 3600, watermark: str = "60 seconds") -> DataFrame:
+def task_events(uploads: DataFrame, grid, idle_seconds: int = 300, remember_seconds: int = 3600, watermark: str = "60 seconds") -> DataFrame:
     """What happens to tasks (EVENTS) by a stream of uploads (event_id, task_id, row_index, col_index, n_bytes, ts).
 
+    grid: (rows, cols) for all tasks, or a table (task_id, rows, cols), which a task's first upload fixes.
+
     kind accepted or rejected: one row for each upload, code 0, or 103 (its place is filled), 201 (no payload, or a place off the grid), 100 or 102
     (its task is closed).  kind status: once for each task that closes, 100 or 102.  kind progress: places received whenever that has
     changed.  Rows of a batch are taken in order of ts, then event_id.  The session's state store must be RocksDB's (rocksdb_state()).
     """
     ship(uploads.sparkSession)
     u = uploads.select("event_id", F.col("task_id").cast("long").alias("task_id"), "row_index", "col_index", "n_bytes", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", watermark)
-    return u.groupBy("task_id").transformWithStateInPandas(TaskLife(rows, cols, 1000 * idle_seconds, 1000 * remember_seconds), outputStructType=EVENTS, outputMode="Append", timeMode="EventTime")
+    return of_grid(u, grid).groupBy("task_id").transformWithStateInPandas(TaskLife(1000 * idle_seconds, 1000 * remember_seconds), outputStructType=EVENTS, outputMode="Append", timeMode="EventTime")
 
 
 def rocksdb_state(spark: SparkSession) -> None:
