@@ -1,5 +1,6 @@
 """The operators on small tables: nulls, empty and long texts, repeated rows, clashing names; brute force and round trips."""
 
+import hashlib
 import math
 import re
 import struct
@@ -453,7 +454,7 @@ def chunks_by_reading(rows, even):
             docs[(-2**63 if i is None else i, text)] = text.split("\n")
     where: dict = {}
     for key, lines in docs.items():
-        n, w = len(lines), [x.count(" ") + 1 for x in lines]
+        n, w = len(lines), [len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in lines]
         is_even = [k > 0 and even[lines[k - 1], lines[k]] for k in range(n)]
         found, start = set(), 0
         for k in range(n):
@@ -464,8 +465,8 @@ def chunks_by_reading(rows, even):
                         found.add((s, e))
                 start = k + 1
         for s in range(n):
-            if w[s] < 50:
-                e = next((e for e in range(s + 1, min(n, s + 8)) if sum(w[s:e + 1]) >= 50), None)
+            if 0 < w[s] < 50:
+                e = next((e for e in range(s + 1, n) if sum(w[s:e + 1]) >= 50), None)
                 if e is not None:
                     found.add((s, e))
         for s, e in found:
@@ -479,7 +480,7 @@ def brute_line_dedup(spark, rows):
     pairs = {(a, b) for _, t in rows if t is not None for a, b in zip(t.split("\n"), t.split("\n")[1:])}
     told = spark.createDataFrame(list(pairs), "a string, b string").selectExpr("a", "b", "pmod(xxhash64(xxhash64(a), xxhash64(b)), 2) = 0 as even")
     even = {(r["a"], r["b"]): r["even"] for r in told.collect()}
-    t_hash = {r["text"]: r["h"] for r in df.selectExpr("text", "xxhash64(text) as h").collect()}
+    t_hash = {t: hashlib.md5(t.encode()).digest() for _, t in rows if t is not None}
     docs, where = chunks_by_reading(rows, even)
     gone: dict = {k: set() for k in docs}
     for places in where.values():
@@ -554,6 +555,52 @@ def test_line_dedup_spares_lines_that_only_share_a_hash(spark, monkeypatch):
     assert {tuple(r) for r in linededup.dedup(df).collect()} == set(rows)
 
 
+def test_line_dedup_chunks_of_one_hash_keep_their_text(spark, monkeypatch):
+    """With one hash for all chunks the result is what it is without."""
+    rng = np.random.default_rng(5)
+    base = [sentence(rng, 30) + f" {k}" for k in range(6)]
+    rows = [(i, f"{base[2 * (i % 3)]}\n{base[2 * (i % 3) + 1]}\nown {i}") for i in range(9)] + [(20 + i, f"x{i}\ny{i}") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, linededup.dedup(df).collect()))
+    assert [t for i, t in want if i < 3] == [t for i, t in rows if i < 3] and [t for i, t in want if 3 <= i < 9] == [f"own {i}" for i in range(3, 9)]
+    monkeypatch.setattr(linededup, "CHUNK_HASH", "if(size(q) >= 0, 7L, 0L)")
+    assert sorted(map(tuple, linededup.dedup(df).collect())) == want
+
+
+def test_line_dedup_finds_every_repeated_run(spark):
+    """From the statement alone: of any run of lines of 50 words or more that stands in two places fewer than 50 words are left in the later
+    one; what goes stays elsewhere, in one piece of lines that follow each other; texts without a repeated run stay as they are."""
+    rng = np.random.default_rng(31)
+    words = lambda n: "\t".join(rng.choice(WORDS, n)) if rng.random() < 0.2 else "  ".join(rng.choice(WORDS, n))
+    rows, n_words = [], lambda lines: len("\n".join(lines).split())
+    passages = [[words(5) for _ in range(12)], [words(1) for _ in range(70)], [words(200)], [x for _ in range(30) for x in (words(2), "", " ")], [words(3) for _ in range(15)]]
+    for i in range(60):
+        lines = [words(int(k)) for k in rng.integers(1, 30, 5)]
+        if i % 2:
+            at = int(rng.integers(0, 6))
+            lines[at:at] = passages[i // 2 % len(passages)]
+        rows.append((i, "\n".join(lines)))
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    lines = {i: t.split("\n") for i, t in rows}
+    gone = {}
+    for i, own in lines.items():
+        left, cut_out = got[i].split("\n") if got[i] else [], []
+        for k, x in enumerate(own):  # lines that are left stand in their order
+            if left and left[0] == x:
+                left.pop(0)
+            else:
+                cut_out.append(k)
+        assert not left
+        gone[i] = cut_out
+    for i, passage in ((i, passages[i // 2 % len(passages)]) for i, _ in rows if i % 2):
+        first = i < 2 * len(passages)
+        kept = n_words(got[i].split("\n")) - n_words([x for x in lines[i] if x not in passage])
+        assert (kept == n_words(passage)) if first and n_words(passage) >= 50 else n_words(passage) < 50 or kept < 50
+    everything = "\n\n".join(got.values())
+    assert all(lines[i][k] in everything for i, cut_out in gone.items() for k in cut_out)
+    assert all(got[i] == t for i, t in rows if i % 2 == 0)
+
+
 def test_language_id(spark, docs):
     rng = np.random.default_rng(9)
     fr = "le la les des une avec pour dans sur qui que nous vous être français maison".split()

@@ -3,20 +3,23 @@
 Chunks.  Lines are hashed.  Line i ends a coarse chunk when a hash rolled over lines i-1 and i is even and that of lines
 i-2 and i-1 is not; this depends on three lines, so borders move with the text, and no two borders touch.  A chunk of over
 MOST lines is split every MOST lines.  A passage that two documents share in the middle of different coarse chunks has
-borders of its own: from every line on, a fine chunk ends where a count of words rolled over the lines first reaches
-LONG (within REACH lines), so every shared run of LONG words or more holds a whole chunk, whatever stands around it.  A line of
-LONG words or more is such a run by itself, and one line: it is the only kind of single line that is ever removed.
-
-Chunks are grouped by a hash of their lines (narrow rows, partial aggregation); the first occurrence, by document id and
-place, stays, and the lines of every other one go.  Before that all lines of repeated chunks that share a hash are compared
-byte by byte (least and greatest text of each line hash, aggregated before the shuffle); chunks with lines that differ are
-not touched.  Every line that is removed stays somewhere: the line it repeats comes earlier in the order of ids and places.
+borders of its own: from every line with a word on, a fine chunk ends where a count of words rolled over the lines first reaches
+LONG, however many lines that takes; so every shared run of LONG words or more holds a whole chunk, whatever stands around it.  A line of
+LONG words or more is such a run by itself, and one line: it is the only kind of single line that is ever removed.  Words are what stands
+between white space (blanks, tabs, line breaks, form feeds).
+
+Repeats.  Hashes of chunks, counted with partial aggregation, tell which chunks may repeat; these are then told apart by the
+whole sequence of their lines' hashes, and all lines of repeated chunks that share a hash are compared byte by byte (least and
+greatest text of each line hash, aggregated before the shuffle).  Chunks with lines that differ are not touched.  So a chunk goes only
+if the same bytes stay elsewhere: the first occurrence, by document id and place, stays, and the lines of every other one go.  Every line
+that is removed stays somewhere: the line it repeats comes earlier in the order of ids and places.  At the end of a repeated run
+a rest of fewer than LONG words may stay.
 
 Documents without repeated chunks are told by a bitmap of hashes (bounded; a full one lets more through, and changes nothing
 else) and are not shuffled.
 
 Null text stays null.  A document whose every line goes keeps its row with an empty text.  Rows with equal id and
-text are one document and get the same result.  A null id sorts first.  Other columns stay as they are, whatever their
+text (by its MD5) are one document and get the same result.  A null id sorts first.  Other columns stay as they are, whatever their
 names; `counts` names the two columns to add, and raises if the table has one of that name.  An empty table gives no rows.
 A text is handled by one task as arrays of its lines, however long it is.
 """
@@ -26,12 +29,20 @@ from pyspark.sql import functions as F
 
 from .common import among, cut, settled
 
-LONG, MOST, REACH = 50, 32, 8
+LONG, MOST = 50, 32
+#: Lines that a fine chunk is first looked for in, by plain sums; longer ones are counted on.
+NEAR = 8
+#: What chunks are first told apart by, from the array q of their lines' hashes.
+CHUNK_HASH = "xxhash64(q)"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-2**63)).alias("_d"), F.xxhash64("text").alias("_t"),
-                       F.col("text").cast("string").alias("_text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-2**63)).alias("_d"), _name().alias("_t"), F.col("text").cast("string").alias("_text"))
+
+
+def _name() -> F.Column:
+    """The name of a text among those of one id."""
+    return F.unhex(F.md5(F.col("text").cast("string").cast("binary")))
 
 
 def _split(df: DataFrame) -> DataFrame:
@@ -40,30 +51,37 @@ def _split(df: DataFrame) -> DataFrame:
     return settled(df.withColumn("_n", F.size("_lines")), _h=F.expr("transform(_lines, x -> xxhash64(x))"))
 
 
-def chunks(docs: DataFrame, long_words: int = LONG, most: int = MOST, reach: int = REACH) -> DataFrame:
-    """(_d, _t, s, e, h): lines s to e of a document are a chunk; only chunks that may be removed."""
+def chunks(docs: DataFrame, long_words: int = LONG, most: int = MOST) -> DataFrame:
+    """(_d, _t, s, e, q): lines s to e of a document are a chunk, q their hashes; only chunks that may be removed."""
     df = _split(_keyed(docs).where("_text is not null"))
-    df = settled(df, _w=F.expr("transform(_lines, x -> length(x) - length(replace(x, ' ', '')) + 1)"),
+    df = settled(df, _w=F.expr(r"transform(_lines, x -> regexp_count(x, '[^\\x20\\x09-\\x0D]+'))"),
                  _even=F.expr("transform(_h, (x, i) -> i > 0 and pmod(xxhash64(get(_h, i - 1), x), 2) = 0)"))
     df = settled(df.drop("_lines", "_text"), _ends=F.expr(f"""
         filter(sequence(0, _n - 1), i -> i = _n - 1 or get(_w, i) >= {long_words} or get(_w, i + 1) >= {long_words}
-            or (i >= 1 and i < _n - 2 and get(_even, i) and not get(_even, i - 1)))"""))
-    words, ends = "get(_w, i)", []
-    for d in range(1, reach):
-        words += f" + get(_w, i + {d})"
-        ends.append(f"when i + {d} < _n and {words} >= {long_words} then i + {d}")
+            or (i >= 1 and i < _n - 2 and get(_even, i) and not get(_even, i - 1)))"""), _at=F.expr("filter(sequence(0, _n - 1), i -> get(_w, i) > 0)"))
+    df = settled(df, _v=F.expr("transform(_at, i -> get(_w, i))"))
+    words, ends = "get(_v, k)", []
+    for d in range(1, NEAR):
+        words += f" + coalesce(get(_v, k + {d}), 0)"
+        ends.append(f"when {words} >= {long_words} then k + {d}")
+    # every line of _v has a word, so the count is reached within long_words of them
+    further = f"""aggregate(slice(_v, k + 1, {long_words}), struct(0 as c, 0 as n), (a, x) -> if(a.c >= {long_words}, a, struct(a.c + x as c, a.n + 1 as n)), a -> if(a.c >= {long_words}, k + a.n - 1, null))"""
+    fine = f"transform(filter(sequence(0, size(_at) - 1), k -> k >= 0 and get(_v, k) < {long_words}), k -> struct(get(_at, k) as s, get(_at, case {' '.join(ends)} else {further} end) as e))"
     df = settled(df, _coarse=F.expr(f"""
         flatten(transform(_ends, (e, k) -> transform(sequence(if(k = 0, 0, get(_ends, k - 1) + 1), e, {most}), s -> struct(s as s, least(s + {most - 1}, e) as e))))"""),
-                 _fine=F.expr(f"transform(filter(sequence(0, _n - 1), i -> get(_w, i) < {long_words}), i -> struct(i as s, case {' '.join(ends)} end as e))"))
+                 _fine=F.expr(f"if(size(_at) = 0, cast(array() as array<struct<s:int,e:int>>), {fine})"))
     df = df.select("_d", "_t", "_h", F.expr(f"inline(array_distinct(concat(filter(_coarse, c -> c.e > c.s or get(_w, c.s) >= {long_words}), filter(_fine, c -> c.e is not null))))"))
-    return df.select("_d", "_t", "s", "e", F.expr("xxhash64(slice(_h, s + 1, e - s + 1))").alias("h"))
+    return df.select("_d", "_t", "s", "e", F.expr("slice(_h, s + 1, e - s + 1)").alias("q"))
 
 
 def _repeated(docs: DataFrame, long_words: int) -> DataFrame:
     """(_d, _t, cs): for each document with repeated chunks their places (s, e), and whether each is a first occurrence."""
-    found = chunks(docs, long_words)
-    first = found.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("_d", "_t", "s")).alias("keep")).where("n > 1").drop("n")
-    again = found.join(first, "h").select("_d", "_t", F.struct("s", "e", (F.struct("_d", "_t", "s") == F.col("keep")).alias("first")).alias("c"))
+    found = chunks(docs, long_words).withColumn("h", F.expr(CHUNK_HASH))
+    twice = cut(found.select("h").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    place = F.struct("_d", "_t", "s")
+    again = cut(among(found, twice, "h").where("_may").drop("_may"))
+    first = again.groupBy("h", "q").agg(F.count("*").alias("n"), F.min(place).alias("keep")).where("n > 1").drop("n")
+    again = again.join(first, ["h", "q"]).select("_d", "_t", F.struct("s", "e", (place == F.col("keep")).alias("first")).alias("c"))
     return again.groupBy("_d", "_t").agg(F.collect_set("c").alias("cs"))
 
 
@@ -86,7 +104,7 @@ def dedup(docs: DataFrame, long_words: int = LONG, counts: tuple[str, str] | Non
         raise ValueError(f"the table has a column {set(counts) & set(cols)}; name the counts differently")
     repeated = cut(_repeated(docs, long_words))
     bad = cut(differing(docs, repeated))
-    src = docs.select(*(F.col(f"`{c}`").alias(f"in_{k}") for k, c in enumerate(cols)), F.coalesce(F.col("doc_id").cast("long"), F.lit(-2**63)).alias("_d"), F.xxhash64("text").alias("_t"))
+    src = docs.select(*(F.col(f"`{c}`").alias(f"in_{k}") for k, c in enumerate(cols)), F.coalesce(F.col("doc_id").cast("long"), F.lit(-2**63)).alias("_d"), _name().alias("_t"))
     src = among(src, repeated, "_d", "_t")
     text = F.col(f"in_{cols.index('text')}")
     lines = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
