@@ -499,6 +499,17 @@ def brute_line_dedup(spark, rows):
     return want
 
 
+def test_secrets_of_any_length_are_found_whole(spark):
+    rng = np.random.default_rng(8)
+    key = lambda n: "".join(rng.choice(list("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"), n))
+    a, b, c, d = key(900), key(700), key(600), key(500)
+    texts = [f'api_key = "{a}" and more', f"password='{b}' here", f"see https://user:{c}@host.example.org/x", f"secret={d} end", 'token: "' + 'x\\"y' * 90 + key(40) + '" end', 'password="' + key(50) + "z" * 300_000]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    out = {r["doc_id"]: r["text"] for r in secrets.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert a not in out[0] and b not in out[1] and c not in out[2] and d not in out[3]
+    assert all(len(out[i]) < 80 for i in range(4)) and out[2].endswith("@host.example.org/x") and len(out) == 6
+
+
 def test_line_dedup_against_brute_force(spark):
     rng = np.random.default_rng(21)
     line = lambda n: sentence(rng, n)

@@ -1,13 +1,12 @@
 """Helpers shared by the operators of this folder."""
 
-import os
-import shutil
-import tempfile
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilelake.session import base_folder as shared_folder
+from tilelake.session import ship
+
 
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from the written copy.
@@ -20,24 +19,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; a temporary one only where Spark runs on this machine alone."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return base or tempfile.mkdtemp(prefix="ckpt-")
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for each Spark context; they need not have it installed."""
-    sc = spark.sparkContext
-    if not getattr(sc, "_tilelake_sent", False):
-        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        made = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "tilelake"), "zip", os.path.dirname(root), os.path.basename(root))
-        sc.addPyFile(made)
-        sc._tilelake_sent = True
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

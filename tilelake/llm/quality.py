@@ -19,10 +19,13 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .common import slices
+
 POSITIVES, UNLABELLED = 3000, 6000
 HIDDEN, STEPS, BATCH, RATE = 16, 1500, 512, 0.01
 #: Part of the bound by Hoeffding's inequality that best_bin() takes; the whole one is wide for samples of hundreds.
@@ -147,7 +150,7 @@ def learn(docs: DataFrame, labels: DataFrame, train: F.Column, label_col: str =
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([features(t or "").tolist() for t in b.column(2).to_pylist()],
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([features(t.as_py() or "").tolist() for t in b.column(2)],
                                                                                 pa.list_(pa.float64()))], ["doc_id", "kind", "x"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(wanted), "doc_id").select("doc_id", "kind", "text")
@@ -167,8 +170,8 @@ def _scored(docs: DataFrame, net: Net | None, column: str) -> DataFrame:
     def run(batches):
         for b in batches:
             at = b.schema.get_field_index(column)
-            for lo in range(0, b.num_rows, 1000):
-                part = b.slice(lo, 1000)
+            for lo, hi in slices(np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])):
+                part = b.slice(lo, hi - lo)
                 texts = part.column(at).to_pylist()
                 s = net.score(np.array([features(t or "") for t in texts])) if net else np.full(len(texts), 0.5)
                 yield pa.RecordBatch.from_arrays([*part.columns[:at], *part.columns[at + 1:], pa.array(s)],

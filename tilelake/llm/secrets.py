@@ -29,12 +29,12 @@ PLAIN = "commit|sha|hash|uuid|version|build|order|phone|tel|call|card|isbn|id|re
 KEY = rf"(?i:{KEYS})[A-Za-z0-9_.\-]{{0,40}}+(?:\\?[\"'])?[ \t]{{0,8}}+(?:=>|:=|[=:]{{1,2}}|>)[ \t]{{0,8}}+(?:(?i:bearer|basic)[ ]{{1,4}})?+"
 # named groups k.: what stands before a value; v.: the value
 CANDIDATE = "|".join((
-    rf'(?=[AaCcPpSsTt])(?=(?i:{KEYS}))(?:(?<ka>{KEY}\\")(?<va>[^"\\\r\n]{{3,400}})(?=\\")', rf'(?<kb>{KEY}")(?<vb>(?:[^"\\\r\n]|\\[^\r\n]){{3,400}})(?=")',
-    rf"(?<kc>{KEY}')(?<vc>[^'\r\n]{{3,400}})(?=')", rf"(?<kd>{KEY}[\"'(]?)(?<vd>[^\s\"'<>{{}}(),;&]{{2,}}[A-Za-z0-9+/_=\-]))",
+    rf'(?=[AaCcPpSsTt])(?=(?i:{KEYS}))(?:(?<ka>{KEY}\\")(?<va>[^"\\\r\n]{{3,}}+)(?=\\")', rf'(?<kb>{KEY}")(?<vb>(?=[^"\r\n]{{3}})(?:[^"\\\r\n]++|\\[^\r\n]){{1,400}}+)(?=")',
+    rf"(?<kc>{KEY}')(?<vc>[^'\r\n]{{3,}}+)(?=')", rf"(?<kd>{KEY}[\"'(]?)(?<vd>[^\s\"'<>{{}}(),;&]{{2,}}[A-Za-z0-9+/_=\-]))",
     r"(?<ve>(?=[Ae])(?<![A-Za-z0-9])(?:A[KS]IA[A-Z0-9]{12,}|eyJ[A-Za-z0-9_\-]{5,}(?:\.[A-Za-z0-9_\-]+){1,4}))",
-    rf"(?<kf>(?<![A-Za-z_])(?=[A-Za-z_]{{3,}}+[\"']?[=:])(?![A-Za-z_]*(?i:{KEYS}))[A-Za-z_]{{3,}}+[\"']?[=:][\"']?)(?<vf>(?!//)(?:(?!(?i:{KEYS}))[^\s\"'?&=,;{{}}<>]){{4,400}}[A-Za-z0-9+/_\-])",
+    rf"(?<kf>(?<![A-Za-z_])(?=[A-Za-z_]{{3,}}+[\"']?[=:])(?![A-Za-z_]*(?i:{KEYS}))[A-Za-z_]{{3,}}+[\"']?[=:][\"']?)(?<vf>(?!//)(?:(?!(?i:{KEYS}))[^\s\"'?&=,;{{}}<>]){{4,}}[A-Za-z0-9+/_\-])",
     rf"(?<vg>(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])(?=[A-Za-z0-9+/_\-]{{8}})(?![A-Za-z0-9+/_\-]{{0,80}}{KEY})[A-Za-z0-9+/_\-]{{8,}})",
-    r"(?<kh>://[^\s/:@]{1,64}:)(?<vh>[^\s/@:]{3,200})(?=@)"))
+    r"(?<kh>://[^\s/:@]++:)(?<vh>[^\s/@:]{3,}+)(?=@)"))
 # noncharacters that part the pieces of a text; in a text itself MARK is written ESCAPE 0 and ESCAPE is written ESCAPE 1
 MARK, ESCAPE = "\ufdd0", "\ufdd1"
 BEFORE_VALUE = rf"{KEY}[\\\"'(]*$"

@@ -22,10 +22,11 @@ of just 0.5 is predicted 1.  Empty tables give no rows; other columns are not re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, ship
+from .common import mix, ship, slices
 
 TOXIC, CLEAN, SAMPLE_BYTES, BLOCK = 3000, 6000, 24_000_000, 500_000
 SHORT, LONG, BUCKETS, SIZE, WIDTH = 3, 5, 1 << 17, 8, 4
@@ -216,14 +217,11 @@ def score(docs: DataFrame, labels: DataFrame, held: F.Column, label_col: str = "
 
     def run(batches):
         for b in batches:
-            size = np.array(pa.compute.fill_null(pa.compute.binary_length(b.column(2)), 0).to_numpy(zero_copy_only=False), np.int64)
-            total, lo = np.cumsum(size), 0
-            while lo < b.num_rows:
-                hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + slice_bytes, "right")))
+            size = pc.fill_null(pc.binary_length(b.column(2)), 0).to_numpy(zero_copy_only=False)
+            for lo, hi in slices(np.concatenate([[0], np.cumsum(size, dtype=np.int64)]), slice_bytes):
                 part = b.slice(lo, hi - lo)
                 s = scores([t or "" for t in part.column(2).to_pylist()], margins, bias)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s, pa.float64())], ["doc_id", "held_out", "score"])
-                lo = hi
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("_text"))
     out = src.mapInArrow(run, "doc_id long, held_out boolean, score double")
