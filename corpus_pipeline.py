@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tilelake.llm import linededup, ngram_join, packing, quality, secrets
 from tilelake.llm.common import fold, shared_folder, ship, table
+from tilelake.session import until_end
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -58,10 +59,11 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """All stages applied to documents."""
+    """All stages applied to documents; what they write stays until the driver ends."""
     base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
+        until_end(spark, f"{base}/{k}")
         docs = spark.read.parquet(f"{base}/{k}")
     return docs

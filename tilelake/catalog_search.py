@@ -171,6 +171,20 @@ def r6_capture(s, d):
                                          F.count_if(~inside).alias("outside"))
 
 
+@query(f"""with recursive {_GRID}, g as (select slide_id, gx, gy, score > -6 as marked, label <> 5 as usable from grid),
+    st as (select distinct slide_id, 0 as n, 8 as x1, 6 as y1, 11 as x2, 9 as y2, 0 as a1, 0 as b1, 0 as a2, 0 as b2, 1 as held from tiles
+      union all select slide_id, n + 1, least(x1, a1), least(y1, b1), greatest(x2, a2), greatest(y2, b2), a1, b1, a2, b2, u from (
+        select *, row_number() over (partition by slide_id order by case when any_m > 0 then m else u end desc, k) as place from (select *, sum(m) over (partition by slide_id) as any_m from (
+          select t.slide_id, t.n, t.x1, t.y1, t.x2, t.y2, s.k, s.a1, s.b1, s.a2, s.b2, count(case when g.marked then 1 end) as m, count(case when g.usable then 1 end) as u
+          from st t cross join lateral (select unnest([0, 1, 2, 3]) as k, unnest([x1, x1, x1 - 1, x2 + 1]) as a1, unnest([y1 - 1, y2 + 1, y1, y1]) as b1, unnest([x2, x2, x1 - 1, x2 + 1]) as a2, unnest([y1 - 1, y2 + 1, y2, y2]) as b2) s
+          left join g on g.slide_id = t.slide_id and gx between s.a1 and s.a2 and gy between s.b1 and s.b2 and s.a1 >= 0 and s.b1 >= 0 and s.a2 < 20 and s.b2 < 16 group by all))) where place = 1 and case when any_m > 0 then m else u end > 0)
+    select slide_id, cast(row_number() over (partition by slide_id order by n) as int) as step, a1 as x1, b1 as y1, a2 as x2, b2 as y2 from st where n > 0 and held > 0""", "blocks_raw", "tiles")
+def r7_strips(s, d):
+    """The strips by which a rectangle in the middle of each slide's grid grows."""
+    first = load(s, d, "tiles").select("slide_id").distinct().selectExpr("slide_id", "8 as x1", "6 as y1", "11 as x2", "9 as y2")
+    return C.strips(first, _grid(s, d).select("slide_id", "gx", "gy", (F.col("score") > -6).alias("marked"), (F.col("label") != 5).alias("usable")), AREA)
+
+
 # ---- views and task lists --------------------------------------------------------------------------------------------------
 
 @query(f"with {_MEGS} select slide_id, count(*) as points, cast(0 as bigint) as uncovered from mg group by 1", "megs", "tiles")

@@ -73,6 +73,12 @@ def s4_project_cells(s, d):
     return files.project_cells(_project(s, d)).withColumn("score", _r("score"))
 
 
+@query("""select slide_id, t.col_index as ix, 7 - t.row_index as iy, cast(x + position_x as double) as x1, cast(y + position_y as double) as y1, cast(x + w + position_x as double) as x2, cast(y + h + position_y as double) as y2,
+    round(rate, 6) as score from megs join tiles t using (slide_id, tile_idx) where exists (select 1 from blocks_raw b where b.slide_id = t.slide_id and b.tile_idx = t.tile_idx)""", "megs", "tiles", "blocks_raw")
+def s4_project_megs(s, d):
+    return files.project_megs(_project(s, d)).withColumn("score", _r("score"))
+
+
 @query("""select slide_id, t.col_index as ix, 7 - t.row_index as iy, dx, dy, round(l0, 6) as score, dx + dy as label from blocks_raw join tiles t using (slide_id, tile_idx)""", "blocks_raw", "tiles")
 def s4_project_blocks(s, d):
     return files.project_blocks(_project(s, d)).withColumn("score", _r("score"))

@@ -76,6 +76,7 @@ def oracle(body: str, *names: str) -> str:
     ctes = [f"{n} as ({FORMULAS[n].replace(' div ', ' // ').replace('varchar(20)', 'varchar')})" for n in order]
     if not ctes:
         return body
-    if body.lstrip().startswith("with "):
-        return f"with {', '.join(ctes)}, {body.lstrip()[5:]}"
+    for start in ("with recursive ", "with "):
+        if body.lstrip().startswith(start):
+            return f"{start}{', '.join(ctes)}, {body.lstrip()[len(start):]}"
     return f"with {', '.join(ctes)} {body}"

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tilelake.operators.regions import AREA_COLUMNS, at_area
 from tilelake.operators.search import cells_of_windows
+from tilelake.session import ship
 
 
 class Parts:
@@ -120,6 +121,29 @@ def grown(box, marked: np.ndarray, usable: np.ndarray):
             yield strip
 
 
+def strips(first: DataFrame, grid: DataFrame, area) -> DataFrame:
+    """(slide_id, step, x1, y1, x2, y2): the strips by which each slide's first rectangle (x1..y2, ends included) grows over its grid.
+
+    grid: (slide_id, gx, gy, marked, usable); see grown().  One slide's grid is one group, as in capture().
+    """
+    ship(grid.sparkSession)
+    box = first.select("slide_id", *(F.col(c).alias(f"_{c}") for c in ("x1", "y1", "x2", "y2")))
+    rows = at_area(grid.select("slide_id", "gx", "gy", "marked", "usable").join(box, "slide_id"), area)
+    grow = grown
+
+    def one(key, t):
+        bound = {c: int(t[c].iloc[0]) for c in AREA_COLUMNS}
+        width, height = 2 * (bound["_max_col"] - bound["_min_col"] + 1), 2 * (bound["_max_row"] - bound["_min_row"] + 1)
+        start = tuple(int(t[f"_{c}"].iloc[0]) for c in ("x1", "y1", "x2", "y2"))
+        t = t[(t.gx >= 0) & (t.gx < width) & (t.gy >= 0) & (t.gy < height)]
+        marked, usable = np.zeros((height, width), bool), np.zeros((height, width), bool)
+        marked[t.gy, t.gx], usable[t.gy, t.gx] = t.marked, t.usable
+        out = [(key[0], k + 1, *s) for k, s in enumerate(grow(start, marked, usable))]
+        return pd.DataFrame(out, columns=["slide_id", "step", "x1", "y1", "x2", "y2"])
+
+    return rows.groupBy("slide_id").applyInPandas(one, "slide_id long, step int, x1 int, y1 int, x2 int, y2 int")
+
+
 def rectangles(score, inside, usable, tile, cells, area_score: float, target: int, ratio: float) -> list[tuple[int, int, int, int]]:
     """Bounds (x1, y1, x2, y2, ends included) of what is captured, in order."""
     found = first_part(score, inside, usable, tile, cells, area_score, target, ratio)
@@ -135,6 +159,7 @@ def capture(region: DataFrame, grid: DataFrame, cells_per_tile: DataFrame, area,
     Part 0 is around the largest connected part of good cells that holds the target (first_part); strips extend it (grown).
     Cells without a label or of label 5 are left out.  One slide's grid is one group: its size is that of the scanner's table.
     """
+    ship(grid.sparkSession)
     members = cells_of_windows(region).select("slide_id", "gx", "gy", F.lit(True).alias("inside"))
     rows = at_area(grid.join(members, ["slide_id", "gx", "gy"], "left"), area)
     rows = rows.withColumn("ix", F.expr("gx div 2").cast("int") + F.col("_min_col")).withColumn("iy", F.col("_max_row") - F.expr("gy div 2").cast("int"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tilelake.operators.spatial import points_in_boxes
 
+# What the grades 0 to 6 of a block weigh (fixed values).
 WEIGHTS = [64.0, 32.0, 16.0, 8.0, 4.0, 2.0, 1.0]
 
 

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from tilelake.operators.cover import rect_sizes
 from tilelake.operators.regions import AREA_COLUMNS, at_area, cells_of_regions, in_quad, most_uniform, near_target
 from tilelake.operators.tiles import TILE_H, TILE_W
+from tilelake.session import ship
 
 ANGLES = (0, 15, 75)
 MISSING = -1000.0
@@ -61,6 +62,7 @@ def rotated_windows(grid: DataFrame, sizes: list[tuple[int, int]], area, angles=
     side exceeds a slide's grid are left out for that slide.  A slide's grid is a scanner's table of blocks; it goes
     to several tasks with `together` windows each, so the work is spread over slides and sizes.
     """
+    ship(grid.sparkSession)
     table = [(k, w, h, a) for k, (w, h, a) in enumerate((w, h, a) for w, h in sizes for a in angles)]
     cells = grid.where("score is not null").groupBy("slide_id").agg(F.collect_list(F.struct("gx", "gy", "score")).alias("c"))
     packed = at_area(cells, area).select("slide_id", (2 * (F.col("_max_col") - F.col("_min_col") + 1)).alias("width"), (2 * (F.col("_max_row") - F.col("_min_row") + 1)).alias("height"),

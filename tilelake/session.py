@@ -8,19 +8,33 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that the driver and every executor see: below spark.checkpoint.dir; a temporary one only where that is unset."""
+def base_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; a temporary one only where Spark runs in this process alone."""
     base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local["):
+    if not base and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    base = base or tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    return base or tempfile.mkdtemp(prefix="spark-")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's name that the driver and every executor see."""
+    return f"{base_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def until_end(spark: SparkSession, path: str) -> None:
+    """Have a folder, which must be there, removed when the driver ends."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder, and read from there: a plan without lineage, whose size Spark knows."""
+    """df written to the shared checkpoint folder, and read from there: a plan without lineage, whose size Spark knows.
+
+    The copy stays until the driver ends.
+    """
     path = shared_folder(df.sparkSession, "cut")
     df.write.parquet(path)
+    until_end(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -74,6 +74,14 @@ def project_cells(tiles: DataFrame) -> DataFrame:
     return rows.select("slide_id", "ix", "iy", *((at(i) + F.col(p)).alias(c) for i, (c, p) in enumerate(zip(("x1", "y1", "x2", "y2"), ("abs_x", "abs_y") * 2))), at(4).alias("score"))
 
 
+def project_megs(tiles: DataFrame) -> DataFrame:
+    """Megakaryocytes of read_project(), given as x, y, width, height in their tile, as boxes in slide coordinates."""
+    at = lambda i: F.get("b", F.lit(i))
+    rows = tiles.select("slide_id", "ix", "iy", "abs_x", "abs_y", F.explode("meg").alias("b"))
+    x, y = at(0) + F.col("abs_x"), at(1) + F.col("abs_y")
+    return rows.select("slide_id", "ix", "iy", x.alias("x1"), y.alias("y1"), (x + at(2)).alias("x2"), (y + at(3)).alias("y2"), at(4).alias("score"))
+
+
 def project_blocks(tiles: DataFrame, y_of_first: int = 88) -> DataFrame:
     """Score and label of every quadrant of read_project()."""
     at = lambda i: F.get("b", F.lit(i))
