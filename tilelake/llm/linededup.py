@@ -32,6 +32,8 @@ from .common import among, cut, settled
 LONG, MOST = 50, 32
 #: Lines that a fine chunk is first looked for in, by plain sums; longer ones are counted on.
 NEAR = 8
+#: The number of words of a line x: each one is written as one character with the white space around it.
+WORDS = r"if(x rlike '[^\\x20\\x09-\\x0D]', length(regexp_replace(x, '[\\x20\\x09-\\x0D]*+[^\\x20\\x09-\\x0D]++[\\x20\\x09-\\x0D]*+', 'w')), 0)"
 #: What chunks are first told apart by, from the array q of their lines' hashes.
 CHUNK_HASH = "xxhash64(q)"
 
@@ -54,7 +56,7 @@ def _split(df: DataFrame) -> DataFrame:
 def chunks(docs: DataFrame, long_words: int = LONG, most: int = MOST) -> DataFrame:
     """(_d, _t, s, e, q): lines s to e of a document are a chunk, q their hashes; only chunks that may be removed."""
     df = _split(_keyed(docs).where("_text is not null"))
-    df = settled(df, _w=F.expr(r"transform(_lines, x -> regexp_count(x, '[^\\x20\\x09-\\x0D]+'))"),
+    df = settled(df, _w=F.expr(rf"transform(_lines, x -> {WORDS})"),
                  _even=F.expr("transform(_h, (x, i) -> i > 0 and pmod(xxhash64(get(_h, i - 1), x), 2) = 0)"))
     df = settled(df.drop("_lines", "_text"), _ends=F.expr(f"""
         filter(sequence(0, _n - 1), i -> i = _n - 1 or get(_w, i) >= {long_words} or get(_w, i + 1) >= {long_words}
