@@ -32,8 +32,11 @@ from .common import among, cut, settled
 LONG, MOST = 50, 32
 #: Lines that a fine chunk is first looked for in, by plain sums; longer ones are counted on.
 NEAR = 8
-#: The number of words of a line x: each one is written as one character with the white space around it.
-WORDS = r"if(x rlike '[^\\x20\\x09-\\x0D]', length(regexp_replace(x, '[\\x20\\x09-\\x0D]*+[^\\x20\\x09-\\x0D]++[\\x20\\x09-\\x0D]*+', 'w')), 0)"
+#: The number of words of a line x: one more than its blanks where these stand one by one between words; else each word is written as
+#: one character with the white space around it.
+WORDS = r"""if(x = '', 0, if(instr(x, '  ') = 0 and not startswith(x, ' ') and not endswith(x, ' ') and instr(x, '\t') = 0 and instr(x, '\r') = 0 and instr(x, '\u000B') = 0 and instr(x, '\u000C') = 0,
+    octet_length(x) - octet_length(replace(x, ' ', '')) + 1,
+    if(x rlike '[^\\x20\\x09-\\x0D]', length(regexp_replace(x, '[\\x20\\x09-\\x0D]*+[^\\x20\\x09-\\x0D]++[\\x20\\x09-\\x0D]*+', 'w')), 0)))"""
 #: What chunks are first told apart by, from the array q of their lines' hashes.
 CHUNK_HASH = "xxhash64(q)"
 
