@@ -46,10 +46,12 @@ class TaskLife(StatefulProcessor):
                 out += self._closed(key, TIMED_OUT, received, n, until)
                 status, until = TIMED_OUT, until + self.remember_ms
             if until <= timerValues.getCurrentWatermarkInMs():
+                n = down * across
                 status, seen, received, until = COLLECTING, b"\0" * (-(-n // 8)), 0, 0
         bits = bytearray(seen)
         for r in rows.itertuples():
-            place, inside = r.row_index * across + r.col_index, 0 <= r.row_index < down and 0 <= r.col_index < across and r.row_index * across + r.col_index < n
+            place = r.row_index * across + r.col_index
+            inside = 0 <= r.row_index < down and 0 <= r.col_index < across and place < n
             if status != COLLECTING:
                 code = status
             elif not r.n_bytes or not inside:
