@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from tilelake.registered import ORACLE_SQL, QUERIES
-from tilelake.operators import suppress
+from tilelake.operators import spatial, suppress
 
 DIR = "/root/testdata/sf0.001"
 
@@ -45,3 +45,26 @@ def test_nms_equals_sequential(spark):
         if all(iou(r, k) <= 0.2 for k in kept):
             kept.append(r)
     assert got == {r[1] for r in kept}
+
+
+def test_pairwise_iou_compares_all_views(spark):
+    d = "/root/testdata/sf0.01"
+    keys = [r[0] for r in spark.read.parquet(f"{d}/part.parquet").select("p_partkey").collect()]
+    views = [(k, k * 7919 % 21900, k * 104729 % 14600) for k in sorted(keys)]
+    want = {}
+    for i, (a, ax, ay) in enumerate(views):
+        for b, bx, by in views[i + 1:]:
+            part = max(0, 384 - abs(ax - bx)) * max(0, 283 - abs(ay - by))
+            if part / (2 * 384 * 283 - part) > 0.01:
+                want[0, a, b] = round(part / (2 * 384 * 283 - part), 5)
+    got = {(r["slide_id"], r["a"], r["b"]): round(r["iou"], 5) for r in QUERIES["j13_pairwise_iou"](spark, d).collect()}
+    assert len({(a % 4, b % 4) for _, a, b in want}) > 4  # views whose keys differ modulo 4 are compared too
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 2e-5 for k in want)
+
+
+def test_overlapping_pairs_keep_slides_apart(spark):
+    boxes = spark.createDataFrame([(g, 10 * g + i, 300 * i, 0, 300 * i + 384, 283) for g in (0, 1) for i in range(3)],
+                                  "slide_id long, view_id long, x1 int, y1 int, x2 int, y2 int")
+    got = {(r["slide_id"], r["a"], r["b"]) for r in spatial.overlapping_pairs(boxes, ["slide_id"], "view_id", 512, 0.01).collect()}
+    assert got == {(0, 0, 1), (0, 1, 2), (1, 10, 11), (1, 11, 12)}
