@@ -68,3 +68,10 @@ def test_overlapping_pairs_keep_slides_apart(spark):
                                   "slide_id long, view_id long, x1 int, y1 int, x2 int, y2 int")
     got = {(r["slide_id"], r["a"], r["b"]) for r in spatial.overlapping_pairs(boxes, ["slide_id"], "view_id", 512, 0.01).collect()}
     assert got == {(0, 0, 1), (0, 1, 2), (1, 10, 11), (1, 11, 12)}
+
+
+def test_views_at_one_place_are_numbered_by_id(spark, duck, tmp_path):
+    keys = [k * 43800 for k in range(40, -1, -1)] + [4, 8]  # all but two at (0, 0) of slide 0
+    spark.createDataFrame([(k,) for k in keys], "p_partkey long").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    got = {r["view_id"]: r["sort_id"] for r in QUERIES["w4_sort_id"](spark, str(tmp_path)).collect()}
+    assert [v for v, _ in sorted(got.items(), key=lambda r: r[1])] == sorted(keys, key=lambda k: (k * 7919 % 21900, k * 104729 % 14600, k))

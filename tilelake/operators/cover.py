@@ -337,9 +337,9 @@ def order_from_first(rects: DataFrame, keys: list[str], rect_id: str) -> DataFra
     return d.withColumn("pos", F.row_number().over(Window.partitionBy(*keys).orderBy("dist2", rect_id))).drop("f")
 
 
-def number_tasks(tasks: DataFrame, keys: list[str]) -> DataFrame:
-    """sort_id from 1 within each region, by x then y."""
-    return tasks.withColumn("sort_id", F.row_number().over(Window.partitionBy(*keys).orderBy("x", "y")))
+def number_tasks(tasks: DataFrame, keys: list[str], *ties: str) -> DataFrame:
+    """sort_id from 1 within each region, by x then y; tasks at one place in order of the columns ties."""
+    return tasks.withColumn("sort_id", F.row_number().over(Window.partitionBy(*keys).orderBy("x", "y", *ties)))
 
 
 def sizes_of(magnitudes: DataFrame) -> DataFrame:
