@@ -107,6 +107,17 @@ def test_deep_merge_equals_a_recursive_one(spark):
     assert documents.merge_documents(spark.createDataFrame([], "doc long, seq long, json string"), ["doc"]).count() == 0
 
 
+def test_merging_documents_sends_no_table_through_the_driver(spark, monkeypatch, capsys):
+    cut = documents.cut
+    monkeypatch.setattr(documents, "cut", lambda df: (df.explain(), cut(df))[1])
+    u = spark.range(60).selectExpr("id % 7 as doc", "id as seq", """concat('{"a":{"b":', id, '},"k":', if(id % 5 = 0, '1', '{"x":2}'), '}') as json""")
+    got = documents.merge_documents(u, ["doc"])
+    got.explain()
+    assert got.count() == 7 and got.where("doc = 0").collect()[0]["json"] == '{"a":{"b":56},"k":{"x":2}}'
+    plans = capsys.readouterr().out
+    assert "SortMergeJoin" in plans and "Broadcast" not in plans
+
+
 def test_json_safe_goes_into_every_type(spark):
     nan, inf = float("nan"), float("inf")
     df = spark.sql("""select double('nan') as a, struct(double('nan') as a, array(map('k', double('-infinity'), 'l', 1.5D)) as b, date'2024-01-02' as c) as s, map('x', struct(float('nan') as f, 2 as g)) as m,

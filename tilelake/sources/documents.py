@@ -48,8 +48,8 @@ def _nodes(updates: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
     level = updates.select(*keys, "seq", F.array().cast("array<string>").alias("path"), F.try_parse_json("json").alias("v"))
     out, depth = None, 0
     while True:
-        kind = F.schema_of_variant("v")
-        rows = cut(level.select(*keys, "seq", "path", F.when(kind.startswith("OBJECT"), "o").when(kind.startswith("ARRAY"), "l").otherwise("s").alias("kind"), F.to_json("v").alias("text")))
+        first = F.substring("text", 1, 1)  # of a value's own JSON
+        rows = cut(level.select(*keys, "seq", "path", F.to_json("v").alias("text"))).withColumn("kind", F.when(first == "{", "o").when(first == "[", "l").otherwise("s"))
         if depth == 0:
             rows = rows.where("kind = 'o' and text is not null")  # an update is an object
         out = rows if out is None else out.unionByName(rows)
@@ -70,9 +70,11 @@ def merge_documents(updates: DataFrame, keys: list[str]) -> DataFrame:
 
     No document is folded update by update: a path's last kind and the last seq at which it, or a path above it, was of another kind say
     what of it still counts, and both are aggregates.
+
+    Joins are by merging: paths repeat, so a table's files are a small part of what its rows take in memory, and by their size Spark would
+    send tables of millions of rows through the driver.
     """
     rows, depth = _nodes(updates, keys)
-    rows = cut(rows)
     node = [*keys, "path"]
     ordered = F.struct("seq", "text")
     last = lambda k: F.max(F.when(F.col("kind") == k, F.col("seq")))
@@ -80,8 +82,8 @@ def merge_documents(updates: DataFrame, keys: list[str]) -> DataFrame:
         *node, "last", F.greatest(*(F.when(F.col("last") != k, F.col(k)) for k in "ols")).alias("other")))
     # what lies at or below a path of another kind before is gone
     above = kinds.select(*node, F.explode(F.transform(F.sequence(F.lit(0), F.size("path")), lambda n: F.slice("path", F.lit(1), n))).alias("up"))
-    bounds = above.join(kinds.where("other is not null").select(*keys, F.col("path").alias("up"), "other"), [*keys, "up"]).groupBy(*node).agg(F.max("other").alias("bound"))
-    live = rows.join(bounds, node, "left").where("bound is null or seq > bound")
+    bounds = above.join(kinds.where("other is not null").select(*keys, F.col("path").alias("up"), "other").hint("merge"), [*keys, "up"]).groupBy(*node).agg(F.max("other").alias("bound"))
+    live = rows.join(bounds.hint("merge"), node, "left").where("bound is null or seq > bound")
     inner = F.expr("substring(text, 2, length(text) - 2)")
     lists = F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.when((F.col("kind") == "l") & (F.col("text") != "[]"), F.struct("seq", inner.alias("text"))))), lambda x: x["text"]), ","), F.lit("]"))
     merged = live.groupBy(*node).agg(F.max_by("kind", ordered).alias("kind"), F.max_by(F.when(F.col("kind") == "s", F.coalesce("text", F.lit("null"))), ordered).alias("value"), lists.alias("list"))
@@ -90,7 +92,7 @@ def merge_documents(updates: DataFrame, keys: list[str]) -> DataFrame:
     body, level = None, None
     for d in range(depth, -1, -1):  # from the deepest objects up
         level = merged.where(F.size("path") == d)
-        level = level.withColumn("body", F.lit("")) if body is None else level.join(body, node, "left")
+        level = level.withColumn("body", F.lit("")) if body is None else level.join(body.hint("merge"), node, "left")
         level = level.withColumn("text", F.when(F.col("kind") == "o", F.concat(F.lit("{"), F.coalesce("body", F.lit("")), F.lit("}"))).otherwise(F.col("text")))
         if d:
             pair = F.concat(name, F.lit(":"), "text")
