@@ -307,3 +307,40 @@ def test_points_and_bounds(spark):
     p = spark.createDataFrame([(0, 10.0, 20.0), (0, 110.0, 25.0)], "k int, x double, y double")
     assert [tuple(r) for r in spatial.tightened(p, ["k"], (50, 40)).collect()] == [(0, 0, 19, 120, 40)]
     assert regions.near_target(spark.createDataFrame([(0, 1, 70), (0, 2, 90), (0, 3, 10)], "k int, id int, cells int"), spark.createDataFrame([(0, 500)], "k int, total int"), ["k"], 60).select("id").collect()[0]["id"] == 1
+
+
+def test_written_tables_are_not_taken_for_small_by_their_files(spark, capsys):
+    from tilelake.session import cut
+
+    small_file = cut(spark.range(3_000_000).selectExpr("pmod(hash(id), 3) as a", "pmod(hash(id), 5) as b"))
+    spark.range(10_000_000).selectExpr("id as a").join(small_file, "a", "left").explain()
+    assert "Broadcast" not in capsys.readouterr().out
+    tiny = cut(spark.range(3).selectExpr("id as a"))
+    spark.range(10_000_000).selectExpr("id as a").join(tiny, "a", "left_semi").explain()
+    assert "Broadcast" in capsys.readouterr().out
+
+
+def test_small_parts_come_to_a_task_together():
+    rng = np.random.default_rng(5)
+    part, n = np.repeat(np.arange(500), 2), rng.integers(1, 40, 1000)
+    batch = cover.together(part, n, 400)
+    assert all(len(set(batch[part == p])) == 1 for p in range(500))  # no part is torn
+    held = np.bincount(batch, weights=n)
+    assert held.max() <= 400 + 80 and len(held) <= n.sum() / 400 + 1
+
+
+def test_cover_of_many_small_parts_is_that_of_each(spark):
+    rng = np.random.default_rng(6)
+    places = [(s, i, 5000 * (i // 3 % 40) + int(a), 4000 * (i // 120) + int(b)) for s in (0, 1) for i, (a, b) in enumerate(rng.integers(0, 900, (360, 2)))]
+    df = spark.createDataFrame(places, "slide_id long, id long, x int, y int")
+    got = sorted((r["slide_id"], r["wx"], r["wy"], r["points"]) for r in cover.cover(df, ["slide_id"], "id", 384, 283, closed=False, at_once=50).collect())
+    want = []
+    for s in (0, 1):
+        own = np.array([p[2:] for p in places if p[0] == s])
+        u, v = own[:, 0] // 384, own[:, 1] // 283
+        bins, name, n = np.unique(np.stack([u, v], 1), axis=0, return_inverse=True, return_counts=True)
+        component, part = cover.divide(bins[:, 0], bins[:, 1], n, 384, 283, 50)
+        for p in set(part):
+            on = part[name.reshape(-1)] == p
+            want += [(s, *w) for w in cover.cover_part(own[on, 0].astype(float), own[on, 1].astype(float), 384, 283, 0.25, 20_000, False)]
+    assert len(want) > 200 and got == sorted(want)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tilelake.operators.regions import AREA_COLUMNS, at_area
 from tilelake.operators.search import cells_of_windows
-from tilelake.session import ship
+from tilelake.session import ship, spread
 
 
 class Parts:
@@ -141,7 +141,7 @@ def strips(first: DataFrame, grid: DataFrame, area) -> DataFrame:
         out = [(key[0], k + 1, *s) for k, s in enumerate(grow(start, marked, usable))]
         return pd.DataFrame(out, columns=["slide_id", "step", "x1", "y1", "x2", "y2"])
 
-    return rows.groupBy("slide_id").applyInPandas(one, "slide_id long, step int, x1 int, y1 int, x2 int, y2 int")
+    return spread(rows, "slide_id").groupBy("slide_id").applyInPandas(one, "slide_id long, step int, x1 int, y1 int, x2 int, y2 int")
 
 
 def rectangles(score, inside, usable, tile, cells, area_score: float, target: int, ratio: float) -> list[tuple[int, int, int, int]]:
@@ -184,4 +184,4 @@ def capture(region: DataFrame, grid: DataFrame, cells_per_tile: DataFrame, area,
             out += [(key[0], k, x1, y1, x2 - x1 + 1, y2 - y1 + 1, int(x1 + b), int(y1 + a)) for a, b in zip(ys, xs)]
         return pd.DataFrame(out, columns=["slide_id", "part", "x", "y", "w", "h", "gx", "gy"])
 
-    return rows.groupBy("slide_id").applyInPandas(one, "slide_id long, part int, x int, y int, w int, h int, gx int, gy int")
+    return spread(rows, "slide_id").groupBy("slide_id").applyInPandas(one, "slide_id long, part int, x int, y int, w int, h int, gx int, gy int")

@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from tilelake.operators.spatial import overlapping_pairs, points_in_boxes
 from tilelake.session import cut as _cut
-from tilelake.session import ship
+from tilelake.session import ship, spread
 
 # Width and height shares of the candidate rectangles (fixed values).
 ASPECTS = ((1.25, 1.0), (2.0, 1.0), (3.5, 1.0), (5.0, 1.0), (1.0, 1.25), (1.0, 2.0), (1.0, 3.5), (1.0, 5.0))
@@ -97,6 +97,12 @@ def divide(u: np.ndarray, v: np.ndarray, n: np.ndarray, w: int, h: int, most: in
     return component, part
 
 
+def together(part: np.ndarray, n: np.ndarray, most: int) -> np.ndarray:
+    """A number for each bin, by its part (0, 1, ...): parts put together in order until they hold `most` points; no part is torn."""
+    size = np.bincount(part, weights=n)
+    return ((size.cumsum() - size) // most).astype(np.int64)[part]
+
+
 def cover_part(x: np.ndarray, y: np.ndarray, w: int, h: int, ratio: float, most: int, closed: bool) -> list[tuple[int, int, int]]:
     """(wx, wy, points) of windows that cover all points: greedy, then without those whose points all have another window."""
     count = _windows(x.min(), x.max(), y.min(), y.max(), w, h, ratio)
@@ -142,7 +148,7 @@ def cover_part(x: np.ndarray, y: np.ndarray, w: int, h: int, ratio: float, most:
 def cover(points: DataFrame, keys: list[str], point_id: str, w: int, h: int, ratio: float = 0.25, most: int = 20_000, closed: bool = True, at_once: int = 4000) -> DataFrame:
     """Windows (keys, wx, wy, points) that together cover every point (x, y) of each key.
 
-    Parts of at most `at_once` points are covered by one task each.  The stride of the windows is that of the part: `ratio`, or more where
+    Parts of at most `at_once` points are covered one by one; small ones come to a task together (together).  The stride of the windows is that of the part: `ratio`, or more where
     over `most` windows would lie within its bounds.  points: how many of its parts' points a window holds.  No part has more windows than the
     greedy cover of it.
     """
@@ -154,23 +160,29 @@ def cover(points: DataFrame, keys: list[str], point_id: str, w: int, h: int, rat
     def placed(key, t):
         component, part = divide(t["_u"].to_numpy(), t["_v"].to_numpy(), t["_n"].to_numpy(), w, h, at_once)
         parts = pd.Series(part).groupby(component).transform("nunique").to_numpy()
-        return t.assign(_part=part, _split=parts > 1)[[*keys, "_u", "_v", "_part", "_split"]]
+        return t.assign(_part=part, _batch=put(part, t["_n"].to_numpy(), at_once), _split=parts > 1)[[*keys, "_u", "_v", "_part", "_batch", "_split"]]
+
+    put = together
 
     # bins are as many as a slide's area has views
     counted = bins.groupBy(*keys, "_u", "_v").agg(F.count("*").alias("_n"))
-    parts = counted.groupBy(*keys).applyInPandas(placed, StructType([*key_fields]).add("_u", "integer").add("_v", "integer").add("_part", "long").add("_split", "boolean"))
+    parts = spread(counted, *keys).groupBy(*keys).applyInPandas(placed, StructType([*key_fields]).add("_u", "integer").add("_v", "integer").add("_part", "long").add("_batch", "long").add("_split", "boolean"))
     rows = bins.join(parts, [*keys, "_u", "_v"])
-    part = rows.select(*keys, "_part", "_split", "x", "y")
+    batch = spread(rows.select(*keys, "_batch", "_part", "_split", "x", "y"), *keys, "_batch")
 
     def solved(key, t):
-        found = cover_part(t["x"].to_numpy(np.float64), t["y"].to_numpy(np.float64), w, h, ratio, most, closed)
-        out = pd.DataFrame(found, columns=["wx", "wy", "points"])
+        part, split, x, y = t["_part"].to_numpy(), t["_split"].to_numpy(), t["x"].to_numpy(np.float64), t["y"].to_numpy(np.float64)
+        order = np.argsort(part, kind="stable")
+        found = []
+        for own in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+            found += [(*view, bool(split[own[0]])) for view in cover_part(x[own], y[own], w, h, ratio, most, closed)]
+        out = pd.DataFrame(found, columns=["wx", "wy", "points", "_split"])
         for name, value in zip(keys, key):
             out[name] = value
-        return out.assign(_split=bool(t["_split"].iloc[0]))[[*keys, "wx", "wy", "points", "_split"]]
+        return out[[*keys, "wx", "wy", "points", "_split"]]
 
     kinds = StructType([*key_fields]).add("wx", "integer").add("wy", "integer").add("points", "long").add("_split", "boolean")
-    found = part.groupBy(*keys, "_part").applyInPandas(lambda key, t: solved(key[:-1], t), kinds)
+    found = batch.groupBy(*keys, "_batch").applyInPandas(lambda key, t: solved(key[:-1], t), kinds)
     found = _cut(found.groupBy(*keys, "wx", "wy").agg(F.sum("points").alias("points"), F.every("_split").alias("_split")))
     at_seams = found.where("_split")
     if at_seams.isEmpty():
@@ -289,8 +301,8 @@ def settled(members: DataFrame, pairs: DataFrame, keys: list[str], view_id: str,
 def owned(views: DataFrame, points: DataFrame, keys: list[str], view_id: str, point_id: str, w: int, h: int, above: float = 0.01, at_once: int = 20_000) -> DataFrame:
     """(keys, view_id, point_id, x, y): the points of each view (x, y), after overlapping views have settled whose the shared ones are.
 
-    Views that touch through others form components; one with at most `at_once` memberships is settled by one task, larger ones
-    in rounds (settled).  Both give the same.
+    Views that touch through others form components; one with at most `at_once` memberships is settled by one task, and small ones by
+    the same one (together), larger ones in rounds (settled).  Both give the same.
     """
     ship(views.sparkSession)
     boxes = views.select(*keys, view_id, F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + w).alias("x2"), (F.col("y") + h).alias("y2"))
@@ -301,10 +313,12 @@ def owned(views: DataFrame, points: DataFrame, keys: list[str], view_id: str, po
 
     def placed(key, t):
         component, _ = divide(t["_u"].to_numpy(), t["_v"].to_numpy(), t["_n"].to_numpy(), w, h, 2**62)
-        return t.assign(_c=component, _size=t["_n"].groupby(component).transform("sum"))[[*keys, "_u", "_v", "_c", "_size"]]
+        size = t["_n"].groupby(component).transform("sum")
+        return t.assign(_c=put(component, t["_n"].where(size <= at_once, 0).to_numpy(), at_once), _size=size)[[*keys, "_u", "_v", "_c", "_size"]]
 
+    put = together
     bins = hit.groupBy(*keys, "_u", "_v").agg(F.count("*").alias("_n"))
-    bins = bins.groupBy(*keys).applyInPandas(placed, StructType([*fields]).add("_u", "integer").add("_v", "integer").add("_c", "long").add("_size", "long"))
+    bins = spread(bins, *keys).groupBy(*keys).applyInPandas(placed, StructType([*fields]).add("_u", "integer").add("_v", "integer").add("_c", "long").add("_size", "long"))
     rows = _cut(hit.join(bins, [*keys, "_u", "_v"]).drop("_u", "_v"))
     rows = rows.withColumn("_p", F.to_json(F.struct(F.col(point_id).alias("p"))))  # a name of the point, of whatever type it is
     own = [*keys, view_id, point_id, "x", "y"]
@@ -315,7 +329,7 @@ def owned(views: DataFrame, points: DataFrame, keys: list[str], view_id: str, po
         return t.loc[stay, [*keys, view_id, "_p"]]
 
     small, large = rows.where(F.col("_size") <= at_once), rows.where(F.col("_size") > at_once)
-    kept = small.select(*keys, "_c", view_id, "_p", "x", "y", "x1", "y1").groupBy(*keys, "_c").applyInPandas(solved, StructType([*fields, hit.schema[view_id]]).add("_p", "string"))
+    kept = spread(small.select(*keys, "_c", view_id, "_p", "x", "y", "x1", "y1"), *keys, "_c").groupBy(*keys, "_c").applyInPandas(solved, StructType([*fields, hit.schema[view_id]]).add("_p", "string"))
     out = small.join(kept, [*keys, view_id, "_p"], "left_semi").select(*own)
     if large.isEmpty():
         return out
