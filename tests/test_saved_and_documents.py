@@ -134,3 +134,19 @@ def test_roi_tasks_page_their_cells(spark):
     got = K.roi_tasks(cells, (45, 0, 200, 10), page=7).orderBy("slide_id", "page").collect()
     assert [(r["slide_id"], r["page"], [c["cell_id"] for c in r["cell_list"]]) for r in got] == [(0, 0, [*range(4, 11)]), (0, 1, [*range(11, 18)]), (0, 2, [18, 19, 20]), (1, 0, [])]
     assert K.roi_tasks(cells, (45, 0, 200, 10), offset=1).count() == 0
+
+
+def test_text_of_slides_is_few_files(spark, tmp_path, monkeypatch):
+    from tilelake import catalog_sources
+
+    monkeypatch.setattr(catalog_sources, "shared_folder", lambda s, n: str(tmp_path / n))
+    own = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "12"}
+    before = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        catalog_sources._text_cells(spark, "/root/testdata/sf0.01")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [len(list(p.glob("part-*"))) for p in sorted((tmp_path / "cells").glob("slide_id=*"))] == [1] * 4

@@ -10,7 +10,7 @@ from tilelake.sources import documents, files, models, saved
 
 
 def _text_cells(s, d):
-    c = load(s, d, "detections").join(load(s, d, "tiles").select("slide_id", "tile_idx", "position_x", "position_y"), ["slide_id", "tile_idx"])
+    c = files.by_slide(load(s, d, "detections").join(load(s, d, "tiles").select("slide_id", "tile_idx", "position_x", "position_y"), ["slide_id", "tile_idx"]))
     fields = ["col_index", "row_index", "position_x + 1224", "position_y + 1024", "1", "x1", "y1", "x1 + position_x", "y1 + position_y"]
     line = F.concat_ws(" ", *(F.expr(f"cast({e} as string)") for e in fields))
     path = shared_folder(s, "cells")

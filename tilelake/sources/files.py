@@ -11,8 +11,15 @@ PROJECT = """slide_id long, task_info struct<row_num: int, col_num: int>, nodes
 TILE_CENTRE = (1224, 1024)
 
 
+def by_slide(df: DataFrame) -> DataFrame:
+    """df dealt by slide, small slides together and large ones over several tasks; so that what is written by slide is not as many files as
+    tasks times slides.  Rows come in any order: lines whose order counts are made after it.
+    """
+    return df.hint("rebalance", "slide_id")
+
+
 def write_lines(df: DataFrame, path: str) -> None:
-    """Text files of (slide_id, value), one folder a slide."""
+    """Text files of (slide_id, value), one folder a slide, in the order in which the rows come (see by_slide)."""
     df.select("slide_id", "value").write.partitionBy("slide_id").text(path)
 
 
