@@ -28,7 +28,7 @@ def s1_cell_text(s, d):
 
 
 def _text_blocks(s, d):
-    b = load(s, d, "blocks_raw").withColumn("v", F.explode(F.array(F.col("l0") - 1, F.col("l0"))))
+    b = files.by_slide(load(s, d, "blocks_raw")).withColumn("v", F.explode(F.array(F.col("l0") - 1, F.col("l0"))))
     fields = ["tile_idx % 10", "tile_idx div 10", "dx * 612", "if(dy = 0, 352, 864)", "1", "v"]
     line = F.concat_ws(" ", *(F.expr(f"cast({e} as string)") for e in fields))
     path = shared_folder(s, "blocks")
