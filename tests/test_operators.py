@@ -344,3 +344,16 @@ def test_cover_of_many_small_parts_is_that_of_each(spark):
             on = part[name.reshape(-1)] == p
             want += [(s, *w) for w in cover.cover_part(own[on, 0].astype(float), own[on, 1].astype(float), 384, 283, 0.25, 20_000, False)]
     assert len(want) > 200 and got == sorted(want)
+
+
+def test_edges_are_found_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def edges(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    e = spark.createDataFrame([(0, 1, 2), (0, 2, 3), (0, 3, 4), (1, 5, 6)], "k int, u long, v long").mapInPandas(edges, "k int, u long, v long")
+    assert sorted(tuple(r) for r in suppress.suppressed(e, ["k"]).collect()) == [(0, 2), (0, 4), (1, 6)]
+    assert seen.value == 4

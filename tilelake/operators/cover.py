@@ -119,19 +119,23 @@ def cover_part(x: np.ndarray, y: np.ndarray, w: int, h: int, ratio: float, most:
             i.append(ax[on] + a)
             j.append(ay[on] + b)
     point, i, j = map(np.concatenate, (point, i, j))
-    windows, name = np.unique(np.stack([i, j], 1), axis=0, return_inverse=True)
-    name = name.reshape(-1)
-    order = np.argsort(name, kind="stable")
-    holds = np.split(point[order], np.cumsum(np.bincount(name, minlength=len(windows)))[:-1])
-    heap = [(-len(p), k) for k, p in enumerate(holds)]
+    low, tall = j.min(), int(np.ptp(j)) + 1
+    windows, name = np.unique(i * tall + (j - low), return_inverse=True)  # in order of i, then j
+    windows = np.stack([windows // tall, windows % tall + low], 1)
+    sizes = np.bincount(name, minlength=len(windows))
+    holds = np.split(point[np.argsort(name, kind="stable")], np.cumsum(sizes)[:-1])
+    held_by = np.split(name[np.argsort(point, kind="stable")], np.cumsum(np.bincount(point, minlength=len(x)))[:-1])
+    heap = [(-n, k) for k, n in enumerate(sizes.tolist())]
     heapq.heapify(heap)
-    covered, chosen = np.zeros(len(x), np.int64), []
+    gains, covered, chosen = sizes.copy(), np.zeros(len(x), np.int64), []
     left = len(x)
     while left:
         gain, k = heapq.heappop(heap)
-        now = -int((covered[holds[k]] == 0).sum())
+        now = -int(gains[k])
         if now == gain:
             chosen.append(k)
+            for p in holds[k][covered[holds[k]] == 0]:
+                gains[held_by[p]] -= 1
             covered[holds[k]] += 1
             left += now
         elif now:

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from tilelake.operators.cover import rect_sizes
 from tilelake.operators.regions import AREA_COLUMNS, at_area, cells_of_regions, in_quad, most_uniform, near_target
 from tilelake.operators.tiles import TILE_H, TILE_W
+from tilelake.session import cut as _cut
 from tilelake.session import ship
 
 ANGLES = (0, 15, 75)
@@ -67,9 +68,11 @@ def rotated_windows(grid: DataFrame, sizes: list[tuple[int, int]], area, angles=
     cells = grid.where("score is not null").groupBy("slide_id").agg(F.collect_list(F.struct("gx", "gy", "score")).alias("c"))
     packed = at_area(cells, area).select("slide_id", (2 * (F.col("_max_col") - F.col("_min_col") + 1)).alias("width"), (2 * (F.col("_max_row") - F.col("_min_row") + 1)).alias("height"),
                                          "c.gx", "c.gy", "c.score")
-    blocks = -(-len(table) // together)
+    needs = [(int(math.hypot(w, h)) + 4) | 1 for _, w, h, _ in table]  # the least side of a grid that a window is searched on
+    least = F.array(*(F.lit(min(needs[k:k + together])) for k in range(0, len(table), together)))
+    held = F.filter(F.transform(least, lambda n, k: F.when(n <= F.least("width", "height"), k)), lambda k: k.isNotNull())
     n = int(grid.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tasks = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(n, "slide_id", "block")
+    tasks = packed.withColumn("block", F.explode(held)).repartition(n, "slide_id", "block")
     key = grid.schema["slide_id"]
     place = best_place
 
@@ -85,7 +88,7 @@ def rotated_windows(grid: DataFrame, sizes: list[tuple[int, int]], area, angles=
                 there[gy[on], gx[on] + 1] = 1
                 value, there = value.cumsum(1), there.cumsum(1)
                 for k, w, h, a in table[r["block"] * together:(r["block"] + 1) * together]:
-                    if (int(math.hypot(w, h)) + 4) | 1 <= min(width, height):
+                    if needs[k] <= min(width, height):
                         out.append((r["slide_id"], k, w, h, a, *place(value, there, w, h, a)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (b.schema.field("slide_id").type, *[pa.int32()] * 6, pa.float64()))],
@@ -130,7 +133,7 @@ def search(grid: DataFrame, crop: DataFrame, cells_per_tile: DataFrame, sizes: l
     """
     sized = lambda df: at_area(df, area).withColumn("_width", 2 * (F.col("_max_col") - F.col("_min_col") + 1)).withColumn("_height", 2 * (F.col("_max_row") - F.col("_min_row") + 1)).drop(*AREA_COLUMNS)
     totals = cells_per_tile.groupBy("slide_id").agg(F.sum("cells").alias("total"))
-    found = with_corners(sized(rotated_windows(grid, sizes, area))).drop("_width", "_height")
+    found = with_corners(sized(_cut(rotated_windows(grid, sizes, area)))).drop("_width", "_height")
     point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
     zero, right, low = F.lit(0), F.col("_width") - 1, F.col("_height") - 1
     whole = sized(grid.groupBy("slide_id").agg(F.avg("score").alias("area_score"))).select(
@@ -170,7 +173,7 @@ def region_uniformity(regions: DataFrame, cells: DataFrame, bin_px: int = 20, vi
     r = regions.select("slide_id", "id", *(f"p{c}" for c in CORNERS), F.greatest(size, F.lit(1.0)).alias("_bins"))
     inside = cells.join(r, "slide_id").where(in_quad(F.col("x"), F.col("y"), corner_pairs("p")))
     bins = inside.select("slide_id", "id", "_bins", F.floor(F.col("x") / bin_px).alias("mx"), F.floor(F.col("y") / bin_px).alias("my")).distinct()
-    rows = bins.select("slide_id", "id", "_bins", "mx", F.explode(F.sequence(F.col("my") - (kh - 1 - kh // 2), F.col("my") + kh // 2)).alias("row")).distinct()
+    rows = bins.select("slide_id", "id", "_bins", "mx", F.explode(F.sequence(F.col("my") - (kh - 1 - kh // 2), F.col("my") + kh // 2)).alias("row"))  # of a bin that comes twice in a row the first counts for nothing, as the gap is 0
     gap = F.lead("mx").over(Window.partitionBy("slide_id", "id", "row").orderBy("mx")) - F.col("mx")
     lit = rows.withColumn("n", F.least(F.coalesce(gap, F.lit(kw)), F.lit(kw))).groupBy("slide_id", "id").agg((F.sum("n") / F.first("_bins")).alias("uniformity"))
     return regions.join(lit, ["slide_id", "id"], "left").withColumn("uniformity", F.coalesce("uniformity", F.lit(0.0)))

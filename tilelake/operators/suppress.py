@@ -22,7 +22,7 @@ def suppressed(edges: DataFrame, keys: list[str]) -> DataFrame:
     One checkpoint a round: the live edges, marked where nothing live points at their source.  Every round settles the
     best box of each group of live edges at least, so the rounds end however long a chain is.
     """
-    live, out = edges.select(*keys, "u", "v"), None
+    live, out = _cut(edges.select(*keys, "u", "v")), None  # found once: a round reads them twice
     while True:
         low = live.select(*keys, F.col("v").alias("u")).distinct().withColumn("_low", F.lit(True))
         marked = _cut(live.join(low, [*keys, "u"], "left").withColumn("_low", F.col("_low").isNotNull()))

@@ -108,7 +108,8 @@ def task_list(detections: DataFrame, tiles: DataFrame, blocks: DataFrame, megs:
     one's.  The search looks for three times the target, in windows of all sizes.
     """
     kept = _cut(cross_tile_dedup(detections, tiles))
-    per_tile = _cut(kept.join(tiles.select("slide_id", "tile_idx", F.col("col_index").alias("ix"), F.col("row_index").alias("iy")), ["slide_id", "tile_idx"]).groupBy("slide_id", "ix", "iy").agg(F.count("*").alias("cells")))
+    held = kept.groupBy("slide_id", "tile_idx").agg(F.count("*").alias("n"))  # a row a tile is joined, not a row a cell
+    per_tile = _cut(held.join(tiles.select("slide_id", "tile_idx", F.col("col_index").alias("ix"), F.col("row_index").alias("iy")), ["slide_id", "tile_idx"]).groupBy("slide_id", "ix", "iy").agg(F.sum("n").alias("cells")))
     grid = _cut(heatmap.heat_map(blocks, tiles))
     found = _cut(search(grid, heatmap.head_crop(grid, least, area=area), per_tile, sizes or all_sizes(), area, 3 * target, orientation))
     region = _cut(best_region(found, middles(kept), tiles, area, 3 * target))
